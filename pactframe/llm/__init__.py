@@ -1,7 +1,7 @@
 """Training-data operators. Nothing else in the package imports this subpackage."""
 
-from . import quality
+from . import lines, mixing, quality, simhash
 
-_MODULES = [quality]
+_MODULES = [quality, simhash, lines, mixing]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
