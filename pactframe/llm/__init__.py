@@ -1,7 +1,7 @@
 """Training-data operators. Nothing else in the package imports this subpackage."""
 
-from . import lines, mixing, quality, simhash
+from . import fingerprints, lines, mixing, quality, simhash, token_counts
 
-_MODULES = [quality, simhash, lines, mixing]
+_MODULES = [token_counts, quality, simhash, lines, mixing, fingerprints]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
