@@ -1,7 +1,7 @@
 """Training-data operators. Nothing else in the package imports this subpackage."""
 
-from . import fingerprints, lines, mixing, quality, simhash, token_counts, token_files, warc
+from . import fingerprints, lines, mixing, quality, simhash, substrings, token_counts, token_files, warc
 
-_MODULES = [token_counts, quality, simhash, lines, token_files, mixing, warc, fingerprints]
+_MODULES = [token_counts, quality, simhash, lines, token_files, mixing, warc, fingerprints, substrings]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
