@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, table, with_columns_dropped, words
+from .common import GAP, cut, table, with_columns_dropped, words
 
 # Common function words by language.
 COMMON_WORDS = {
@@ -80,12 +80,12 @@ def _histograms(df: DataFrame, text: str, lang: str, rules: QualityRules) -> Dat
     )
 
 
-def language_references(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per listed language: lang, ref_chars and ref_common, histograms as shares. At most as many rows as lists."""
-    listed = docs.filter(F.col(lang).isin(list(rules.common_words))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+def language_references(measured: DataFrame, rules: QualityRules = QualityRules(), lang: str = "lang") -> DataFrame:
+    """One row per listed language: lang, ref_chars and ref_common, histograms as shares, of `measure`'s rows. At most as many rows as lists."""
     bins = max(map(len, rules.common_words.values())) + 1
     sums = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)])
-    totals = _histograms(listed, "text", "lang", rules).groupBy("lang").agg(sums("_chars", 6).alias("c"), sums("_common", bins).alias("w"))
+    listed = measured.filter(F.col(lang).isin(list(rules.common_words)))
+    totals = listed.groupBy(F.col(lang).alias("lang")).agg(sums("_chars", 6).alias("c"), sums("_common", bins).alias("w"))
     share = lambda c: F.transform(F.filter(c, lambda x: x.isNotNull()), lambda x: x / F.aggregate(c, F.lit(0).cast("bigint"), lambda a, y: a + F.coalesce(y, F.lit(0).cast("bigint"))))
     return totals.filter(F.get("c", F.lit(0)).isNotNull()).select("lang", share(F.col("c")).alias("ref_chars"), share(F.col("w")).alias("ref_common"))
 
@@ -122,8 +122,8 @@ def _repeated_words(df: DataFrame) -> DataFrame:
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
 
 
-def score(docs: DataFrame, references: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with the measures of ADDED. references (one row per listed language, so bounded) is broadcast."""
+def measure(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs with the counts of the base rule, base_failed, and the histograms _chars and _common."""
     own = with_columns_dropped(docs, *[c for c in ADDED if c not in (text, lang)])
     df = _repeated_words(_histograms(own, text, lang, rules))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.regexp_replace(x, GAP + "+", "")) > 0)
@@ -132,24 +132,40 @@ def score(docs: DataFrame, references: DataFrame, rules: QualityRules = QualityR
     df = df.withColumn("n_dup_lines", F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("bigint"))
     df = df.withColumn("n_repeat_words", F.col("_n_repeat").cast("bigint"))
     df = df.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
+    return df.select(*own.columns, *ADDED[:6], "_chars", "_common")
+
+
+def judge(measured: DataFrame, references: DataFrame, rules: QualityRules = QualityRules(), lang: str = "lang") -> DataFrame:
+    """measured with the distances and the verdict. references (one row per listed language, so bounded) is broadcast."""
     refs = references.select(F.col("lang").alias("_ref_lang"), F.col("ref_chars").alias("_ref_chars"), F.col("ref_common").alias("_ref_common"))
-    df = df.join(F.broadcast(refs), F.col(lang) == F.col("_ref_lang"), "left")
+    df = measured.join(F.broadcast(refs), F.col(lang) == F.col("_ref_lang"), "left")
     df = df.withColumn("char_distance", js_distance(F.col("_chars"), F.col("_ref_chars"))).withColumn("word_distance", js_distance(F.col("_common"), F.col("_ref_common")))
     diverges = (F.col("char_distance") > rules.max_char_distance) | (F.col("word_distance") > rules.max_word_distance)
     df = df.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(diverges, F.lit(False)))
-    return df.select(*own.columns, *ADDED)
+    return df.select(*[c for c in measured.columns if c not in ("_chars", "_common")], *ADDED[6:])
+
+
+def score(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs with the columns ADDED. Texts are read twice, for the references and for the verdicts, and never shuffled."""
+    measured = measure(docs, rules, text, lang)
+    return judge(measured, language_references(measured, rules, lang), rules, lang)
+
+
+def verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """doc_id and the columns ADDED of each row: texts are read once, and the counts kept in the shared folder."""
+    counts = cut(measure(docs.select(doc_id, text, lang), rules, text, lang).drop(text))
+    return judge(counts, language_references(counts, rules, lang), rules, lang)
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that pass, with the columns they had."""
-    verdicts = score(docs.withColumn("_row", F.struct(*docs.columns)), language_references(docs, rules), rules)
+    scored = score(docs.withColumn("_row", F.struct(*docs.columns)), rules)
     # a row number is not deterministic, which keeps the optimizer from writing the whole score into the filter
-    return verdicts.withColumn("_at", F.monotonically_increasing_id()).filter("kept AND _at >= 0").select("_row.*")
+    return scored.withColumn("_at", F.monotonically_increasing_id()).filter("kept AND _at >= 0").select("_row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return score(docs, language_references(docs)).select("doc_id", *[c for c in ADDED if not c.endswith("distance")])
+    return verdicts(table(spark, sf_dir, "documents")).select("doc_id", *[c for c in ADDED if not c.endswith("distance")])
 
 
 def op2_sql(rules: QualityRules = QualityRules()) -> str:

@@ -28,7 +28,7 @@ def js(p, q_):
 
 def test_measures_and_verdicts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    got = {r.doc_id: r for r in q.score(docs, q.language_references(docs)).collect()}
+    got = {r.doc_id: r for r in q.score(docs).collect()}
     texts = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
     rules = q.QualityRules()
     common = {}
@@ -61,10 +61,10 @@ def test_defined_cases(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words int")
     for bits in (20, 10):  # with ten bits most texts take the slower path
         monkeypatch.setattr(q, "POSITION_BITS", bits)
-        got = q.score(df, q.language_references(df))
+        got = q.score(df)
         assert got.columns.count("n_words") == 1
         found = sorted(((r.doc_id or 0, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got.collect()))
         assert found == sorted((i or 0, *measures(t)) for i, t, _, _ in rows)
     kept = q.keep_good(df)
     assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [4]
-    assert q.score(df.limit(0), q.language_references(df.limit(0))).count() == 0
+    assert q.score(df.limit(0)).count() == 0
