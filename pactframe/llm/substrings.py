@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import cut, shared_folder, table, with_columns_dropped
 from .fm_index import FMIndex
 
-WIDTH, GRAM = 13, 5
+WIDTH, GRAM = 13, 8
 NO_ID = (1 << 63) - 1
 #: Windows in a segment at most.
 RUN = 16
