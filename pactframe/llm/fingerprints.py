@@ -109,24 +109,25 @@ def _following(docs: DataFrame) -> DataFrame:
 
 
 def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_chars, vec, edited, edited_vec and next_vec.
+    """Per row: doc_id, n_chars, vec, edited, edited_vec, and of the next document next_id, next_chars and next_vec.
 
     The edited text is the text with its last third replaced by as much of the start of the next document in
     descending id order. A null id comes last. Where several rows share an id, they have the same next
     document, and the one of them whose start sorts first is the next document for others.
-    Two shuffles move text: whole texts by id, once, and the starts to those that need them.
+    Two shuffles move text: whole texts by id, once, and the starts to those that need them. Both joins read
+    the same columns of the first, so that it is made once and used again.
     """
     key = F.coalesce(F.col(doc_id).cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
     base = docs.select(key.alias("key"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = cut(_following(base.select("key", F.length("text").alias("n_chars"))))
     placed = base.withColumn("n_chars", F.length("text")).withColumn("vec", vector(F.col("text"))).repartition("key")
-    sent = placed.join(order, "key").select("to", F.expr("substring(text, 1, need)").alias("start"), F.col("vec").alias("next_vec"))
+    sent = placed.join(order, "key").select("to", F.expr("substring(text, 1, need)").alias("start"), F.col("vec").alias("next_vec"), F.col("doc_id").alias("next_id"), F.col("n_chars").alias("next_chars"))
     if not order.filter("rows > 1").isEmpty():
-        sent = sent.groupBy("to").agg(F.min(F.struct("start", "next_vec")).alias("s")).select("to", "s.*")
+        sent = sent.groupBy("to").agg(F.min(F.struct("start", "next_vec", "next_id", "next_chars")).alias("s")).select("to", "s.*")
     taken = F.floor(F.col("n_chars") / 3).cast("int")
     joined = placed.join(sent, placed["key"] == sent["to"]).withColumn("_taken", taken)
     edited = joined.withColumn("edited", F.expr("concat(substring(text, 1, n_chars - _taken), substring(start, 1, _taken))"))
-    return edited.withColumn("edited_vec", vector(F.col("edited"))).select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "vec", "edited", "edited_vec", "next_vec")
+    return edited.withColumn("edited_vec", vector(F.col("edited"))).select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "vec", "edited", "edited_vec", "next_id", F.col("next_chars").cast("bigint").alias("next_chars"), "next_vec")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +135,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("vec")).alias("fingerprint"), fingerprint(F.col("edited_vec")).alias("edited_fingerprint"),
         likeness(F.col("vec"), F.col("edited_vec")).alias("near_edited"), likeness(F.col("vec"), F.col("next_vec")).alias("near_next"),
+        "next_id", "next_chars",
     )
 
 
