@@ -24,6 +24,7 @@ reads an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import array
 import functools
 import os
 import re
@@ -43,7 +44,7 @@ FORMAT = "shard int, block int, first bigint, n_ids int, kind string, planes arr
 # Unicode's white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 RUN = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 
 
 class Encoder:
@@ -54,12 +55,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        decoder = self.tokenizer.get_added_tokens_decoder()
+        added = [t.content for t in decoder.values()]
+        plain = [(t.content, i) for i, t in decoder.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.parting = plain[0] if plain else None
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """The ids of runs, which hold no added token. Many go to the library as one text, parted by an added token."""
+        if not self.parting:
+            return self._library(runs)
+        out = []
+        for ids in self._library([self.parting[0].join(runs[k : k + 1024]) for k in range(0, len(runs), 1024)]):
+            ends = np.append(np.flatnonzero(np.frombuffer(ids, "<u4") == self.parting[1]), len(ids) // 4).tolist()
+            at = 0
+            for end in ends:
+                out.append(ids[4 * at : 4 * end])
+                at = end + 1
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 256):
@@ -67,12 +84,15 @@ class Encoder:
             runs = [None if self.special and self.special.search(t) else RUN.findall(t) for t in part]
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            new = list({r for each in runs if each for r in each if r not in self.known})
-            for k in range(0, len(new), 8192):
-                self.known.update(zip(new[k : k + 8192], self._library(new[k : k + 8192]), strict=True))
             known = self.known
-            for t, each in zip(part, runs, strict=True):
-                yield b"".join([known[r] for r in each]) if each is not None else self._library([t])[0]
+            found = [each and list(map(known.get, each)) for each in runs]
+            new = list({r for each, got in zip(runs, found, strict=True) if each and None in got for r, x in zip(each, got, strict=True) if x is None})
+            known.update(zip(new, self._runs(new), strict=True))
+            for t, each, got in zip(part, runs, found, strict=True):
+                if each is None:
+                    yield self._library([t])[0]
+                else:
+                    yield b"".join([known[r] if x is None else x for r, x in zip(each, got, strict=True)] if None in got else got)
 
 
 @functools.cache
