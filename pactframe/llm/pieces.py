@@ -36,7 +36,8 @@ from .common import table, with_columns_dropped
 
 SPACE = "▁"
 UNKNOWN_LOSS = 10.0
-REMEMBERED = 1 << 19
+#: Runs whose best segmentation, and whose N best, a worker remembers.
+REMEMBERED, LISTED = 1 << 19, 1 << 14
 Arc = tuple[int, float, object]  # where it starts, its score, what it stands for
 
 
@@ -94,6 +95,12 @@ class PieceModel:
             raise ValueError("pieces that span a space need a lattice of whole texts")
         covered = "".join(sorted({c for p in self.pieces for c in p} - {SPACE}))
         self.runs = re.compile(f"{SPACE}*[{re.escape(covered)}]+|{SPACE}+|[^{re.escape(covered)}]")
+        self.trie: dict = {}
+        for piece, (i, score) in self.pieces.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = (i.to_bytes(4, "little"), score)
         self.known: dict[str, tuple[float, bytes, float]] = {}
         self.listed: dict[str, list] = {}
 
@@ -119,44 +126,53 @@ class PieceModel:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
                 self.listed.clear()
-            got = self._best(self.arcs(run))
-            self.known[run] = got
+            got = self.known[run] = self._best(run)
         return got
 
-    @staticmethod
-    def _best(into: list[list[Arc]]) -> tuple[float, bytes, float]:
-        n = len(into) - 1
-        ahead, back = [0.0], [None]
-        for here in into[1:]:
-            top, by = float("-inf"), None
-            for arc in here:
-                score = ahead[arc[0]] + arc[1]
-                if score > top:
-                    top, by = score, arc
-            ahead.append(top)
-            back.append(by)
-        behind = [float("-inf")] * n + [0.0]
+    def _best(self, run: str) -> tuple[float, bytes, float]:
+        """Forward Viterbi with the two best scores to each place; pieces are found along a trie."""
+        n, none = len(run), float("-inf")
+        first, second, back = [none] * (n + 1), [none] * (n + 1), [None] * (n + 1)
+        first[0] = 0.0
+        for i in range(n):
+            node, reached, runner_up, j = self.trie, first[i], second[i], i
+            alone = True
+            while j < n:
+                node = node.get(run[j])
+                if node is None:
+                    break
+                j += 1
+                hit = node.get("")
+                if hit is None:
+                    continue
+                alone = alone and j > i + 1
+                score = reached + hit[1]
+                if score > first[j]:
+                    second[j] = first[j] if first[j] > runner_up + hit[1] else runner_up + hit[1]
+                    first[j], back[j] = score, (i, hit[0])
+                elif score > second[j]:
+                    second[j] = score
+            if alone:
+                score, j = reached + self.unknown_score, i + 1
+                low = runner_up + self.unknown_score
+                if score > first[j]:
+                    second[j] = first[j] if first[j] > low else low
+                    first[j], back[j] = score, (i, b"".join([self.bytes[b].to_bytes(4, "little") for b in run[i].encode()]))
+                elif score > second[j]:
+                    second[j] = score
         path, j = [], n
-        on_best = set()
         while j:
-            path.append(back[j][2])
-            on_best.add((back[j][0], j))
+            path.append(back[j][1])
             j = back[j][0]
-        second = float("-inf")
-        for j in range(n, 0, -1):
-            b = behind[j]
-            for i, s, _ in into[j]:
-                if s + b > behind[i]:
-                    behind[i] = s + b
-                if (i, j) not in on_best and ahead[i] + s + b > second:
-                    second = ahead[i] + s + b
-        ids = np.array([x for label in reversed(path) for x in label], "<u4").tobytes()
-        return ahead[n], ids, ahead[n] - second
+        path.reverse()
+        return first[n], b"".join(path), first[n] - second[n]
 
     def listing(self, run: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The run's n best (score, ids)."""
         got = self.listed.get(run)
         if got is None or len(got) < n:
+            if len(self.listed) >= LISTED:
+                self.listed.clear()
             got = [(score, tuple(x for label in labels for x in label)) for score, labels in n_best(self.arcs(run), n)]
             self.listed[run] = got
         return got[:n]
