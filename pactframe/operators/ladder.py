@@ -5,8 +5,6 @@ streaming frames run it alike and no row leaves the JVM. Rungs in Python run as
 that no native rung settled.
 """
 
-from __future__ import annotations
-
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
@@ -94,11 +92,11 @@ class Transforms:
     pairs: dict = field(default_factory=dict)
     names: dict = field(default_factory=dict)
 
-    def for_pair(self, old_id: str, new_id: str, transform: Callable) -> Transforms:
+    def for_pair(self, old_id: str, new_id: str, transform: Callable) -> "Transforms":
         self.pairs[old_id, new_id] = transform
         return self
 
-    def named(self, name: str, transform: Callable) -> Transforms:
+    def named(self, name: str, transform: Callable) -> "Transforms":
         self.names[name] = transform
         return self
 
@@ -143,6 +141,17 @@ def llm_try(migrator: Callable[[dict, dict, dict], dict | None], confidence: flo
     return PythonRung("llm-try", propose, confidence)
 
 
+def _proposals(rung: PythonRung, old: dict, new: dict) -> Callable[[Column], Column]:
+    """The rung's proposals for payloads as JSON texts."""
+    @F.pandas_udf("string")
+    def propose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            made = [rung.propose(json.loads(x), old, new) if x is not None else None for x in batch]
+            yield pd.Series([None if m is None else json.dumps(m) for m in made], dtype=object)
+
+    return propose
+
+
 @dataclass(frozen=True)
 class Ladder:
     steps: tuple[Rung | PythonRung, ...]
@@ -151,10 +160,10 @@ class Ladder:
     also: Callable[[dict, Column], Column] | None = None
 
     @classmethod
-    def default(cls, transforms: Transforms | None = None, **options) -> Ladder:
+    def default(cls, transforms: Transforms | None = None, **options) -> "Ladder":
         return cls((Rung("structural", structural), Rung("declared-mapping", declared), custom(transforms)), **options)
 
-    def with_rungs(self, *rungs: Rung | PythonRung) -> Ladder:
+    def with_rungs(self, *rungs: Rung | PythonRung) -> "Ladder":
         return replace(self, steps=(*self.steps, *rungs))
 
     def rungs(self) -> list[str]:
@@ -183,14 +192,7 @@ class Ladder:
     def _in_python(self, df: DataFrame, column: str, old: dict, new: dict, into: str, rest: list[PythonRung]) -> DataFrame:
         for k, rung in enumerate(rest):
             own, made = df.columns, f"_made_{k}"
-
-            @F.pandas_udf("string")
-            def propose(batches: Iterator[pd.Series], rung: PythonRung = rung) -> Iterator[pd.Series]:
-                for batch in batches:
-                    made = [rung.propose(json.loads(x), old, new) if x is not None else None for x in batch]
-                    yield pd.Series([None if m is None else json.dumps(m) for m in made], dtype=object)
-
-            left = df.filter(F.col(f"{into}.quarantined")).withColumn(made, propose(p.to_json(F.col(column))))
+            left = df.filter(F.col(f"{into}.quarantined")).withColumn(made, _proposals(rung, old, new)(p.to_json(F.col(column))))
             tried = left.withColumn(into, self._result(F.col(column), [(rung, p.from_json(F.col(made)))], new))
             df = df.filter(~F.col(f"{into}.quarantined")).unionByName(tried.select(*own))
         return df
