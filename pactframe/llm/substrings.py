@@ -5,13 +5,13 @@ smaller id. Documents meet only where they may share windows:
 
 1. Every window has a minimizer, the least hash of its runs of `gram` words; equal windows have equal
    minimizers. Minimizers are counted over all documents (combined before the shuffle), and those of two
-   documents or more are marked in a bitmap of at most 2^`map_bits` bits, which is broadcast. It may mark
-   others too; that costs work and changes nothing.
-2. Windows with a marked minimizer are cut out as segments, runs of windows with one minimizer. Equal
-   segments are merged, with their least document id, before anything is grouped. A shard is a hash range of
-   minimizers, so all that may match lies in one shard, and shards are numbered by the data's size. A
-   minimizer with more than `crowded` bytes of segments is cut into single windows, which are spread by their
-   own hash, so no shard grows with one passage.
+   documents or more are marked in a Bloom filter of at most 2^`map_bits` bits, which is broadcast. It may
+   mark others too; that costs work and changes nothing.
+2. Windows with a marked minimizer are cut out as segments, runs of windows with one minimizer. Their places
+   are written with a 128-bit hash in the text's place; each task writes a segment's text once, with its
+   least and greatest document. A shard is a hash range of minimizers, so all that may match lies in one
+   shard, and shards are numbered by the texts' size. A minimizer with more than `crowded` bytes of texts is
+   cut into single windows, which are spread by their own hash, so no shard grows with one passage.
 3. Each shard is indexed (`FMIndex`) and its segments are streamed backward through the index; at each place
    with a match of `width` words the index tells the least document with that window.
 4. Segments' places come back to their documents as intervals of words to remove. They are broadcast where
@@ -39,8 +39,8 @@ from .fm_index import FMIndex
 
 WIDTH, GRAM = 13, 8
 NO_ID = (1 << 63) - 1
-#: Windows in a segment at most.
-RUN = 16
+#: Windows in a segment at most; places of a minimizer in the bitmap; distinct segments a task gathers before it gives them out.
+RUN, PROBES, TEXTS_HELD = 16, 3, 200_000
 _FACTORS = np.array([xxhash.xxh64_intdigest(bytes([i])) | 1 for i in range(64)], np.uint64)
 
 
@@ -97,109 +97,193 @@ def shared_minimizers(docs: DataFrame, width: int, gram: int) -> DataFrame:
     return each.groupBy("m").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("m")
 
 
+def _places(m: np.ndarray, bits: int) -> np.ndarray:
+    """The PROBES places of minimizers (uint64) in a bitmap of 2^bits bits. The low bits of a minimum are even, its high ones are not."""
+    mask = np.uint64((1 << bits) - 1)
+    first, step = m & mask, m >> np.uint64(28) & mask
+    return np.stack([(first + np.uint64(k) * step) & mask for k in range(PROBES)]).astype(np.int64)
+
+
 def bitmap(keys: DataFrame, map_bits: int) -> tuple[np.ndarray, int]:
-    """A bitmap (uint8) of the top bits of keys (m), and how many bits are used: sixteen for each key while that fits 2^map_bits."""
+    """A Bloom filter (uint8) of keys (m), and the power of its bits: sixteen or more for each key while that fits 2^map_bits."""
     bits = int(min(map_bits, max(20, (16 * max(1, keys.count()) - 1).bit_length())))
-    place = F.shiftrightunsigned("m", 64 - bits)
-    spots = keys.select(F.shiftright(place, 16).alias("chunk"), place.bitwiseAND(F.lit(65535)).cast("int").alias("spot"))
-    chunks = spots.groupBy("chunk").agg(F.collect_set("spot").alias("spots"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = []
-            for spots in batch.column(1):
-                marks = np.zeros(65536, np.uint8)
-                marks[spots.values.to_numpy()] = 1
-                packed.append(np.packbits(marks, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["chunk", "bits"])
+            place = np.unique(_places(batch.column(0).to_numpy().view(np.uint64), bits))
+            chunk, first = np.unique(place >> 16, return_index=True)
+            parts = np.split((place & 65535).astype("<u2"), first[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "spots"])
+
+    def pack(chunk: pa.Table) -> pa.Table:
+        marks = np.zeros(65536, np.uint8)
+        for spots in chunk.column("spots").to_pylist():
+            marks[np.frombuffer(spots, "<u2")] = 1
+        return pa.table({"chunk": chunk.column("chunk").slice(0, 1), "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()])})
 
     marks = np.zeros(1 << bits - 3, np.uint8)
-    for row in chunks.mapInArrow(run, "chunk bigint, bits binary").toLocalIterator():
+    chunks = keys.mapInArrow(spots, "chunk bigint, spots binary").groupBy("chunk").applyInArrow(pack, "chunk bigint, bits binary")
+    for row in chunks.toLocalIterator():
         marks[row["chunk"] * 8192 : (row["chunk"] + 1) * 8192] = np.frombuffer(row["bits"], np.uint8)
     return marks, bits
 
 
-OCCURRENCE = "m bigint, segment binary, d bigint, t bigint, at int"
+#: Two kinds of rows: occurrences (m, segment and most are null; at is the first word's place) and texts (t and at are null; d is the least document).
+SEGMENTS = "k1 bigint, k2 bigint, d bigint, t bigint, at int, m bigint, segment binary, most bigint"
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
+NAMES = [c.split()[0] for c in SEGMENTS.split(", ")]
+
+
+class _Segments:
+    """A task's segments: occurrences go out at once, each distinct text once with its least and greatest document."""
+
+    def __init__(self):
+        self.texts: dict[bytes, list] = {}
+        self.keys: list[bytes] = []
+        self.places: list[tuple[int, int, int]] = []
+
+    def add(self, m: int, segment: bytes, d: int, t: int, at: int) -> None:
+        key = xxhash.xxh3_128_digest(segment)
+        self.keys.append(key)
+        self.places.append((d, t, at))
+        got = self.texts.get(key)
+        if got is None:
+            self.texts[key] = [m, segment, d, d]
+        elif d < got[2]:
+            got[2] = d
+        elif d > got[3]:
+            got[3] = d
+
+    @staticmethod
+    def _rows(keys, columns: dict) -> pa.RecordBatch:
+        k = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+        columns = {"k1": k[:, 0].copy(), "k2": k[:, 1].copy()} | columns
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(len(k), kind) for c, kind in zip(NAMES, KINDS, strict=True)], names=NAMES)
+
+    def occurrences(self) -> Iterator[pa.RecordBatch]:
+        if self.keys:
+            yield self._rows(self.keys, dict(zip(("d", "t", "at"), zip(*self.places), strict=True)))
+            self.keys, self.places = [], []
+        if len(self.texts) > TEXTS_HELD:
+            yield from self.distinct()
+
+    def distinct(self) -> Iterator[pa.RecordBatch]:
+        if self.texts:
+            yield self._rows(self.texts, dict(zip(("m", "segment", "d", "most"), zip(*self.texts.values()), strict=True)))
+            self.texts = {}
 
 
 def segments(docs: DataFrame, marked, bits: int, width: int, gram: int) -> DataFrame:
-    """Rows of OCCURRENCE: runs of windows with one marked minimizer; at is the first word's place."""
+    """Rows of SEGMENTS: runs of windows with one marked minimizer."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = marked.value
+        marks, out = marked.value, _Segments()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                columns: list[list] = [[], [], [], [], []]
                 for d, t, text in zip(*(part.column(c).to_pylist() for c in ("d", "t", "text")), strict=True):
                     tokens = _tokens(text)
                     m = minimizers(tokens, width, gram)
                     if not len(m):
                         continue
-                    place = (m >> np.uint64(64 - bits)).astype(np.int64)
-                    hit = marks[place >> 3] >> (place & 7).astype(np.uint8) & 1
-                    if not hit.any():
-                        continue
                     starts = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
                     stops = np.append(starts[1:], len(m))
+                    place = _places(m[starts], bits)
+                    hit = (marks[place >> 3] >> (place & 7).astype(np.uint8) & 1).all(axis=0)
+                    if not hit.any():
+                        continue
                     joined = b" ".join(tokens)
                     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1).tolist()
-                    for a, z in zip(starts[hit[starts] == 1].tolist(), stops[hit[starts] == 1].tolist(), strict=True):
-                        value = int(m[a : a + 1].view(np.int64)[0])
+                    for a, z, value in zip(starts[hit].tolist(), stops[hit].tolist(), m[starts[hit]].view(np.int64).tolist(), strict=True):
                         for i in range(a, z, RUN):
                             j = min(i + RUN, z)
-                            columns[0].append(value)
-                            columns[1].append(joined[ends[i - 1] if i else 0 : ends[j + width - 2] - 1])
-                            columns[2].append(d)
-                            columns[3].append(t)
-                            columns[4].append(i)
-                if columns[0]:
-                    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["m", "segment", "d", "t", "at"])
+                            out.add(value, joined[ends[i - 1] if i else 0 : ends[j + width - 2] - 1], d, t, i)
+                yield from out.occurrences()
+        yield from out.distinct()
 
-    return docs.mapInArrow(run, OCCURRENCE)
+    return docs.mapInArrow(run, SEGMENTS)
 
 
-def _single_windows(occurrences: DataFrame, width: int) -> DataFrame:
-    """The occurrences with each window a segment of its own, and its hash for minimizer."""
+def _single_windows(segments: DataFrame, width: int) -> DataFrame:
+    """Rows of SEGMENTS from rows (segment, d, t, at): each window a segment of its own, and its hash for minimizer."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Segments()
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                tokens = r["segment"].split(b" ")
-                for i in range(len(tokens) - width + 1):
-                    window = b" ".join(tokens[i : i + width])
-                    rows.append((xxhash.xxh64_intdigest(window) - (1 << 63), window, r["d"], r["t"], r["at"] + i))
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names=["m", "segment", "d", "t", "at"])
+            for at in range(0, batch.num_rows, 1000):
+                for r in batch.slice(at, 1000).to_pylist():
+                    tokens = r["segment"].split(b" ")
+                    for i in range(len(tokens) - width + 1):
+                        window = b" ".join(tokens[i : i + width])
+                        out.add(xxhash.xxh64_intdigest(window) - (1 << 63), window, r["d"], r["t"], r["at"] + i)
+                yield from out.occurrences()
+        yield from out.distinct()
+
+    return segments.select("segment", "d", "t", "at").mapInArrow(run, SEGMENTS)
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Rows (d, t, spans) from rows (d, t, a, z): each document's intervals in order, those that touch as one."""
+    def merge(part: pa.Table) -> pa.RecordBatch:
+        d, t, a, z = (part.column(c).to_numpy() for c in ("d", "t", "a", "z"))
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
+        base = (np.cumsum(new) - 1) << 32
+        reach = np.maximum.accumulate(base + z)
+        opens = new.copy()
+        opens[1:] |= base[1:] + a[1:] > reach[:-1]
+        first, rows = np.flatnonzero(opens), np.flatnonzero(new)
+        last = np.append(first[1:], len(d)) - 1
+        pairs = pa.StructArray.from_arrays([pa.array(a[first]), pa.array((reach[last] - base[last]).astype(np.int32))], names=["a", "z"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(first, rows), len(first)).astype(np.int32)), pairs)
+        return pa.RecordBatch.from_arrays([pa.array(d[rows]), pa.array(t[rows]), lists], names=["d", "t", "spans"])
 
-    return occurrences.mapInArrow(run, OCCURRENCE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows of the last document so far, of which more may come
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            last = np.flatnonzero((d != d[-1]) | (t != t[-1]))
+            cut_at = int(last[-1]) + 1 if len(last) else 0
+            if cut_at or (held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (d[-1], t[-1])):
+                yield merge(pa.Table.from_batches([*held, batch.slice(0, cut_at)]))
+                held = []
+            held.append(batch.slice(cut_at))
+        if held:
+            yield merge(pa.Table.from_batches(held))
+
+    ordered = spans.select("d", "t", "a", "z").repartition("d", "t").sortWithinPartitions("d", "t", "a")
+    return ordered.mapInArrow(run, "d bigint, t bigint, spans array<struct<a:int,z:int>>")
 
 
 def _search_shard(shard: pa.Table, width: int) -> pa.Table:
-    """For the distinct segments of one shard, the runs of windows that a smaller document than the segment's largest has."""
-    texts = shard.column("segment").to_pylist()
+    """For the segments of one shard, the runs of windows that a smaller document than the segment's largest has."""
+    k1, k2, least, most = (shard.column(c).to_numpy() for c in ("k1", "k2", "d", "most"))
+    order = np.lexsort((k2, k1))  # one row of each segment stays, with the least and the greatest document
+    k1, k2 = k1[order], k2[order]
+    first = np.flatnonzero(np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))))
+    least, most = np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
+    k1, k2, texts = k1[first], k2[first], shard.column("segment").take(pa.array(order[first])).to_pylist()
     lengths, codes, known = np.zeros(len(texts), np.int64), [], {}
     for i, s in enumerate(texts):
         tokens = s.split(b" ")
         lengths[i] = len(tokens)
         codes += [known.setdefault(w, len(known) + 1) for w in tokens]
     codes = np.array(codes, np.int64)
-    index = FMIndex(codes, lengths, shard.column("least").to_numpy(), width)
+    index = FMIndex(codes, lengths, least, width)
     found, where = index.matching_statistics(codes, lengths)
     full = np.flatnonzero(found == width)
-    least = index.least_owner(where[full])
+    owner = index.least_owner(where[full])
     of = np.repeat(np.arange(len(texts)), lengths)[full]
     i = full - (np.cumsum(lengths) - lengths)[of]
-    most = shard.column("most").to_numpy()
-    real = least < most[of]
-    of, i, least = of[real], i[real], least[real]
+    real = owner < most[of]
+    of, i, owner = of[real], i[real], owner[real]
     opens = np.ones(len(of), bool)
-    opens[1:] = (of[1:] != of[:-1]) | (i[1:] != i[:-1] + 1) | (least[1:] != least[:-1])
+    opens[1:] = (of[1:] != of[:-1]) | (i[1:] != i[:-1] + 1) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(opens)
     last = np.append(first[1:], len(of)) - 1 if len(first) else first
     return pa.table({
-        "k1": shard.column("k1").take(pa.array(of[first])), "k2": shard.column("k2").take(pa.array(of[first])),
-        "i": pa.array(i[first].astype(np.int32)), "j": pa.array((i[last] + width).astype(np.int32)), "least": pa.array(least[first]),
+        "k1": pa.array(k1[of[first]]), "k2": pa.array(k2[of[first]]),
+        "i": pa.array(i[first].astype(np.int32)), "j": pa.array((i[last] + width).astype(np.int32)), "least": pa.array(owner[first]),
     })
 
 
@@ -209,28 +293,24 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, map_bi
     marks, bits = bitmap(cut(shared_minimizers(docs, width, gram)), map_bits)
     marked = spark.sparkContext.broadcast(marks)
     path = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
-    segments(docs, marked, bits, width, gram).write.parquet(path)
-    occurrences = spark.read.schema(OCCURRENCE).parquet(path)
-    total = occurrences.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
+    segments(docs, marked, bits, width, gram).write.option("compression", "zstd").parquet(path)
+    both = spark.read.schema(SEGMENTS).parquet(path)
+    total = both.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
     crowded = max(crowded, total // 1_000_000)  # so that the list below has a million rows at most
     shards = max(1, -(-total // max(shard_bytes, crowded)))
-    hot = cut(occurrences.groupBy("m").agg(F.sum(F.octet_length("segment")).alias("n")).filter(F.col("n") > crowded).select("m"))
+    hot = cut(both.filter("segment is not null").groupBy("m").agg(F.sum(F.octet_length("segment")).alias("n")).filter(F.col("n") > crowded).select("m"))
     if not hot.isEmpty():
-        single = _single_windows(occurrences.join(F.broadcast(hot), "m", "left_semi"), width)
-        occurrences = occurrences.join(F.broadcast(hot), "m", "left_anti").unionByName(single)
-    keyed = occurrences.withColumns({"k1": F.xxhash64("segment"), "k2": F.xxhash64("m", "segment")})
-    distinct = keyed.groupBy("m", "segment", "k1", "k2").agg(F.min("d").alias("least"), F.max("d").alias("most"))
-    sharded = distinct.groupBy(F.pmod(F.xxhash64(F.lit("shard"), F.col("m")), F.lit(shards)).alias("shard"))
+        texts, places = both.filter("segment is not null"), both.filter("segment is null")
+        keys = texts.join(F.broadcast(hot), "m", "left_semi").select("k1", "k2", "segment").dropDuplicates(["k1", "k2"])
+        split = f"{path}-single"
+        _single_windows(places.select("k1", "k2", "d", "t", "at").join(keys, ["k1", "k2"]), width).write.parquet(split)
+        both = texts.join(F.broadcast(hot), "m", "left_anti").unionByName(places.join(keys, ["k1", "k2"], "left_anti")).unionByName(spark.read.schema(SEGMENTS).parquet(split))
+    texts = both.filter("segment is not null").select("m", "k1", "k2", "segment", "d", "most")
+    sharded = texts.groupBy(F.pmod(F.xxhash64(F.lit("shard"), F.col("m")), F.lit(shards)).alias("shard"))
     found = sharded.applyInArrow(lambda t: _search_shard(t, width), "k1 bigint, k2 bigint, i int, j int, least bigint")
-    spans = keyed.select("k1", "k2", "d", "t", "at").join(found, ["k1", "k2"]).filter("least < d").select("d", "t", F.struct((F.col("at") + F.col("i")).alias("a"), (F.col("at") + F.col("j")).alias("z")).alias("s"))
-    gathered = spans.groupBy("d", "t").agg(F.array_sort(F.collect_set("s")).alias("s"))
-    merged = F.aggregate(
-        "s", F.array().cast("array<struct<a:int,z:int>>"),
-        lambda got, x: F.when((F.size(got) > 0) & (x["a"] <= F.get(got, F.size(got) - 1)["z"]),
-                              F.concat(F.slice(got, 1, F.size(got) - 1), F.array(F.struct(F.get(got, F.size(got) - 1)["a"].alias("a"), F.greatest(x["z"], F.get(got, F.size(got) - 1)["z"]).alias("z")))))
-        .otherwise(F.concat(got, F.array(x))),
-    )
-    return gathered.select("d", "t", merged.alias("spans"))
+    places = both.filter("segment is null").select("k1", "k2", "d", "t", "at")
+    spans = places.join(found, ["k1", "k2"]).filter("least < d").select("d", "t", (F.col("at") + F.col("i")).alias("a"), (F.col("at") + F.col("j")).alias("z"))
+    return _merged(spans)
 
 
 BROADCAST_BYTES = 64 << 20
