@@ -37,7 +37,7 @@ from .common import table, with_columns_dropped
 SPACE = "▁"
 UNKNOWN_LOSS = 10.0
 #: Runs whose best segmentation, and whose N best, a worker remembers.
-REMEMBERED, LISTED = 1 << 19, 1 << 14
+REMEMBERED, LISTED = 1 << 17, 1 << 14
 Arc = tuple[int, float, object]  # where it starts, its score, what it stands for
 
 
@@ -95,14 +95,19 @@ class PieceModel:
             raise ValueError("pieces that span a space need a lattice of whole texts")
         covered = "".join(sorted({c for p in self.pieces for c in p} - {SPACE}))
         self.runs = re.compile(f"{SPACE}*[{re.escape(covered)}]+|{SPACE}+|[^{re.escape(covered)}]")
-        self.trie: dict = {}
+        self.known: dict[str, tuple[float, bytes, float]] = {}
+        self.listed: dict[str, list] = {}
+
+    @functools.cached_property
+    def trie(self) -> dict:
+        """The pieces by their characters; workers that only decode do without."""
+        trie: dict = {}
         for piece, (i, score) in self.pieces.items():
-            node = self.trie
+            node = trie
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = (i.to_bytes(4, "little"), score)
-        self.known: dict[str, tuple[float, bytes, float]] = {}
-        self.listed: dict[str, list] = {}
+        return trie
 
     def arcs(self, run: str) -> list[list[Arc]]:
         """The run's lattice; labels are tuples of ids."""
