@@ -7,11 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import gate
 from .functions import payload as p
-from .operators import catalog, ladder, lens, overlay
+from .operators import catalog, fixtures, ladder, lens, overlay
+from .plans import documents, projection
 from .plans import schemas as s
+from .sources import types as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -358,3 +361,64 @@ def schema_diff_tables(spark, sf_dir):
         d = s.diff(documents[a], documents[b])
         rows += [(a, b, kind, x if isinstance(x, str) else x["field"], d["breaking"]) for kind in ("added", "dropped", "widened", "changed") for x in d[kind]]
     return spark.createDataFrame(rows, "old string, new string, kind string, field string, breaking boolean")
+
+
+def _with_metadata(schema: T.StructType, **metadata: dict) -> T.StructType:
+    """The fields that have metadata, in the table's order, required unless a key `null` says otherwise."""
+    return T.StructType([T.StructField(f.name, f.dataType, metadata[f.name].get("null", False), metadata[f.name]) for f in schema if f.name in metadata])
+
+
+_JSON_TYPE = "CASE WHEN column_type LIKE '%[]' THEN 'array' WHEN column_type LIKE '%INT%' THEN 'integer' WHEN column_type LIKE 'DECIMAL%' OR column_type IN ('DOUBLE', 'FLOAT') THEN 'number' WHEN column_type = 'BOOLEAN' THEN 'boolean' ELSE 'string' END"
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS class_name, column_name AS property, {_JSON_TYPE} AS json_type FROM (DESCRIBE {n})" for n in TABLES))
+def schema_of_tables(spark, sf_dir):
+    """Each table's declared type as a schema document: one row for each property."""
+    kinds = sources.of_tables(spark, sf_dir, TABLES)()
+    made = projection.Projector(projection.Types(*kinds), base_uri=False)
+    rows = [(k.name, name, next(t for t in ([x["type"]] if isinstance(x["type"], str) else x["type"]) if t != "null")) for k in kinds for name, x in made.document(k.name)["properties"].items()]
+    return spark.createDataFrame(rows, "class_name string, property string, json_type string")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity BETWEEN 5 AND 40 AND l_discount <= 0.08 AND l_returnflag IN ('A', 'N') AND length(l_linestatus) <= 1 AS accepted FROM lineitem")
+def gate_declared_lineitem(spark, sf_dir):
+    """The rules of a declared type, as keywords, as a gate."""
+    lines = _table(spark, sf_dir, "lineitem")
+    rules = {"l_quantity": [["between", 5, 40]], "l_discount": [["max", 0.08]], "l_returnflag": [["in", "A", "N"]], "l_linestatus": [["max", 1]]}
+    kind = projection.RecordType("Line", _with_metadata(lines.schema, **{k: {"rules": v} for k, v in rules.items()}))
+    schema = projection.Projector(projection.Types(kind)).document("Line")
+    return lines.select("l_orderkey", "l_linenumber", gate.accepts(schema, p.from_columns(*rules)).alias("accepted"))
+
+
+@query("SELECT s_suppkey, s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) AS accepted FROM supplier")
+def gate_registry_supplier(spark, sf_dir):
+    """A live vocabulary as the enum of a property; nations are few by definition."""
+    live = lambda: [r[0] for r in _table(spark, sf_dir, "nation").filter("n_regionkey < 3").select("n_nationkey").collect()]
+    rows = _table(spark, sf_dir, "supplier")
+    kind = projection.RecordType("Supplier", _with_metadata(rows.schema, s_nationkey={"rules": [["exists_in", "nations"]]}))
+    schema = projection.Projector(projection.Types(kind, vocabularies={"nations": live})).document("Supplier")
+    return rows.select("s_suppkey", gate.accepts(schema, p.from_columns("s_nationkey")).alias("accepted"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN o_totalprice >= 50000 WHEN 'O' THEN length(o_orderpriority) <= 6 ELSE false END AS accepted FROM orders")
+def gate_union_orders(spark, sf_dir):
+    """Finished orders and open ones are arms of a union, told apart by their status; others are neither."""
+    rows = _table(spark, sf_dir, "orders")
+    names = ["o_orderstatus", "o_totalprice", "o_orderpriority"]
+    base = _with_metadata(rows.schema, o_orderstatus={})
+    arm = lambda **m: _with_metadata(rows.schema, **({n: {} for n in names} | m))
+    types = projection.Types(
+        projection.RecordType("Order", base, union=projection.MorphUnion("o_orderstatus", {"F": "Finished", "O": "Open"}), abstract=True),
+        projection.RecordType("Finished", arm(o_totalprice={"rules": [["min", 50000]]})), projection.RecordType("Open", arm(o_orderpriority={"rules": [["max", 6]]})),
+    )
+    schema = documents.dereference(projection.Projector(types).document("Order"))
+    return rows.select("o_orderkey", gate.accepts(schema, p.from_columns(*names)).alias("accepted"))
+
+
+@query("SELECT r AS n, 'fixture' AS name, CASE r % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS kind, true AS archived, 7.0::DOUBLE AS size FROM range(1000) t(r)")
+def fixtures_sequence(spark, sf_dir):
+    """A thousand fixtures: an example, a state, a cycling sequence and an override."""
+    schema = {"properties": {"name": {"examples": ["fixture"]}, "kind": {"examples": ["x"]}, "size": {"examples": [1]}}}
+    index = fixtures.Fixtures().shape("thing", schema=schema).state("thing", "isArchived", {"archived": True, "kind": "old"})
+    made = index.factory("thing").state("is_archived").sequence({"kind": "a"}, {"kind": "b"}, {"kind": "c"}).count(1000).make(spark, size=7)
+    return made.select("n", _text("payload", "name"), _text("payload", "kind"), F.try_variant_get(p.get(F.col("payload"), "archived"), "$", "boolean").alias("archived"), _number("payload", "size"))
