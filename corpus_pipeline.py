@@ -35,9 +35,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, the ids of the best segmentation, their number, the scores of the N best, and the text read back."""
-    encoded = pieces.decode(pieces.encode(docs.select("doc_id", "source", "text")).drop("text"), into="text")
+    encoded = pieces.encode(docs.select("doc_id", "source", "text"), decoded="decoded")
     scores = F.transform("segmentations", lambda s: s["score"]).alias("scores")
-    return encoded.select("doc_id", "source", "ids", (F.octet_length("ids") / 4).cast("bigint").alias("n_pieces"), scores, "text")
+    return encoded.select("doc_id", "source", "ids", (F.octet_length("ids") / 4).cast("bigint").alias("n_pieces"), scores, F.col("decoded").alias("text"))
 
 
 STAGES = [

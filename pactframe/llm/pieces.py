@@ -258,23 +258,31 @@ def _mapped(df: DataFrame, source: str, added: dict[str, str], values) -> DataFr
     return own.mapInArrow(run, fields)
 
 
-def encode(docs: DataFrame, text: str = "text", n: int = 4, path: str | None = None) -> DataFrame:
-    """docs with ids, the best segmentation as 32-bit little-endian integers, and the n best segmentations."""
+def encode(docs: DataFrame, text: str = "text", n: int = 4, path: str | None = None, decoded: str | None = None) -> DataFrame:
+    """docs with ids, the best segmentation as 32-bit little-endian integers, and the n best segmentations.
+
+    `decoded` names a column for the text of ids, read back by the same worker.
+    """
     path = path or _default_path()
 
     def values(texts: list[str | None]) -> list[list]:
         own = model(path)
         rows = [own.encode(t, n) for t in texts]
         lists = [[{"score": s, "swaps": [{"at": a, "removed": r, "ids": i} for a, r, i in swaps]} for s, swaps in found] for _, found in rows]
-        return [[ids for ids, _ in rows], lists]
+        back = [[_decoded(own, ids) for ids, _ in rows]] if decoded else []
+        return [[ids for ids, _ in rows], lists, *back]
+
+    return _mapped(docs, text, ENCODED | ({decoded: "string"} if decoded else {}), values)
+
 
-    return _mapped(docs, text, ENCODED, values)
+def _decoded(own: PieceModel, ids: bytes | None) -> str:
+    return own.decode(np.frombuffer(ids or b"", "<u4").tolist())
 
 
 def decode(encoded: DataFrame, ids: str = "ids", into: str = "decoded", path: str | None = None) -> DataFrame:
     """encoded with the text of ids."""
     path = path or _default_path()
-    return _mapped(encoded, ids, {into: "string"}, lambda column: [[model(path).decode(np.frombuffer(b or b"", "<u4").tolist()) for b in column]])
+    return _mapped(encoded, ids, {into: "string"}, lambda column: [[_decoded(model(path), b) for b in column]])
 
 
 def expand(ids: Sequence[int], swaps: Sequence[tuple[int, int, Sequence[int]]]) -> list[int]:
@@ -287,7 +295,7 @@ def expand(ids: Sequence[int], swaps: Sequence[tuple[int, int, Sequence[int]]])
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" "))
     return encoded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"),

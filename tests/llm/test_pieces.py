@@ -70,6 +70,7 @@ def test_defined_cases(spark):
     got = pieces.decode(pieces.encode(df, n=3)).collect()
     assert sorted((r.decoded for r in got)) == sorted((t or "").replace("▁", " ") for _, t, _ in rows)
     assert [len(r.segmentations) for r in got if not r.text] == [1, 1]
+    assert sorted(r.back for r in pieces.encode(df, n=3, decoded="back").collect()) == sorted(r.decoded for r in got)
     assert pieces.decode(pieces.encode(df.limit(0))).count() == 0
 
 
