@@ -37,7 +37,7 @@ from .common import table, with_columns_dropped
 SPACE = "▁"
 UNKNOWN_LOSS = 10.0
 #: Runs whose best segmentation, and whose N best, a worker remembers.
-REMEMBERED, LISTED = 1 << 17, 1 << 14
+REMEMBERED, LISTED = 1 << 19, 1 << 16
 Arc = tuple[int, float, object]  # where it starts, its score, what it stands for
 
 
