@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pactframe.llm import lines, mixing, pieces, quality, simhash
 from pactframe.llm.common import shared_folder
 
+PLACE = ["block", "slot", "place"]
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
@@ -34,10 +36,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, the ids of the best segmentation, their number, the scores of the N best, and the text read back."""
+    """doc_id, source, the ids of the best segmentation, their number, the scores of the N best, the text read back, and the place in the mix.
+
+    Files read again have no order between them, so block, slot and place carry the mix; the same rows get the same schedule.
+    """
     encoded = pieces.encode(docs.select("doc_id", "source", "text"), decoded="decoded")
     scores = F.transform("segmentations", lambda s: s["score"]).alias("scores")
-    return encoded.select("doc_id", "source", "ids", (F.octet_length("ids") / 4).cast("bigint").alias("n_pieces"), scores, F.col("decoded").alias("text"))
+    rows = encoded.select("doc_id", "source", "ids", (F.octet_length("ids") / 4).cast("bigint").alias("n_pieces"), scores, F.col("decoded").alias("text"))
+    plan = mixing.schedule(docs).select("_source", "_id", *PLACE).hint("shuffle_hash")
+    return rows.join(plan, rows["doc_id"].eqNullSafe(plan["_id"]) & rows["source"].eqNullSafe(plan["_source"])).select(*rows.columns, *PLACE)
 
 
 STAGES = [

@@ -1,9 +1,12 @@
+from collections import defaultdict
+
 import duckdb
 from pyspark.sql import Row
 
 import corpus_pipeline
-from pactframe.llm import pieces, quality
+from pactframe.llm import mixing, pieces, quality
 from tests.llm.test_lines import brute as lines_left
+from tests.llm.test_mixing import simulated
 from tests.llm.test_pieces import PATH
 from tests.llm.test_simhash import brute as simhash_of
 from tests.llm.test_simhash import groups
@@ -29,3 +32,22 @@ def test_stages_keep_the_columns(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_slots_reach_the_result(spark, sf):
+    rows = corpus_pipeline.run(spark, sf).collect()
+    ids = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        ids[r.source].append(r.doc_id)
+    order = sorted(ids)
+    want = simulated(mixing.parts([len(ids[s]) ** 0.5 for s in order], 1000), [-(-len(ids[s]) // 32) for s in order])
+    places = {i: (k // 32, want[at][k // 32], k % 32) for at, s in enumerate(order) for k, i in enumerate(ids[s])}
+    assert {r.doc_id: (r.block, r.slot, r.place) for r in rows} == places
+
+
+def test_mixing_of_more_blocks_than_sources(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 4 else "b", f"text {i}") for i in range(300)], "doc_id long, source string, text string")
+    rows = corpus_pipeline.encode_pieces(spark, docs, "").collect()
+    shares = mixing.parts([225**0.5, 75**0.5], 1000)
+    want = simulated(shares, [8, 3])
+    assert len(rows) == 300 and {(r.source, r.block): r.slot for r in rows} == {(s, b): want[k][b] for k, (s, n) in enumerate((("a", 8), ("b", 3))) for b in range(n)}
