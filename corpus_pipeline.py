@@ -16,13 +16,16 @@ from pactframe.llm.common import shared_folder
 
 PLACE = ["block", "slot", "place"]
 
+#: Above this share of a source's pages a line is boilerplate (op4_lines has 0.05, as its SQL says).
+LINE_RATIO = 0.01
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = lines.drop_boilerplate(docs)
+    cleaned = lines.drop_boilerplate(docs, max_ratio=LINE_RATIO)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return cleaned.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -51,3 +51,10 @@ def test_mixing_of_more_blocks_than_sources(spark):
     shares = mixing.parts([225**0.5, 75**0.5], 1000)
     want = simulated(shares, [8, 3])
     assert len(rows) == 300 and {(r.source, r.block): r.slot for r in rows} == {(s, b): want[k][b] for k, (s, n) in enumerate((("a", 8), ("b", 3))) for b in range(n)}
+
+
+def test_lines_of_minority_languages_go(spark):
+    nav = {0: "la ligne de tous", 1: "die Zeile aller"}
+    rows = [(i, f"{nav[i // 12]}\nown {i}" if i < 24 else f"own {i}", "x", "src", 1) for i in range(600)]  # each line on 2% of the pages
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {f"own {i}" for i in range(600)}
