@@ -11,7 +11,7 @@ joined by host otherwise (the adaptive planner splits a hot host).
 
 Defined cases: a null or empty text counts as a page without lines and comes back as it was; null hosts form
 one host; blank lines are neither counted nor dropped; a line repeated within a page counts once, and each
-occurrence goes; each repeated row counts as a page; lines on fewer than `min_pages` pages stay, so that
+occurrence goes; each repeated row counts as a page (unless `copies_once`); lines on fewer than `min_pages` pages stay, so that
 small hosts keep theirs; an empty table gives an empty result. Columns named like added ones are replaced.
 """
 
@@ -38,19 +38,26 @@ def _is_blank(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACE)) == ""
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float, min_pages: int, copies_once: bool = False) -> DataFrame:
     """Rows (host, keys): the hashes of the host's boilerplate lines."""
     seen = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: ~_is_blank(x)), _key))
-    counts = pages.select(host.alias("host"), F.explode(seen).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
-    totals = pages.select(host.alias("h")).groupBy("h").agg(F.count("*").alias("pages"))
+    listed = pages.select(host.alias("host"), seen.alias("seen"))
+    if copies_once:
+        listed = listed.distinct()
+    counts = listed.select("host", F.explode("seen").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
+    totals = listed.select(F.col("host").alias("h")).groupBy("h").agg(F.count("*").alias("pages"))
     frequent = counts.filter(F.col("n") >= min_pages).join(totals, F.col("host").eqNullSafe(F.col("h")))
     return frequent.filter(F.col("n") > max_ratio * F.col("pages")).groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str | Column = "source", text: str = "text", max_ratio: float = 0.05, min_pages: int = 3) -> DataFrame:
-    """pages with `text` less its host's boilerplate lines, and with the columns n_lines and n_removed (long)."""
+def drop_boilerplate(pages: DataFrame, host: str | Column = "source", text: str = "text", max_ratio: float = 0.05, min_pages: int = 3, copies_once: bool = False) -> DataFrame:
+    """pages with `text` less its host's boilerplate lines, and with the columns n_lines and n_removed (long).
+
+    With `copies_once`, a host's pages of the same lines in the same order count as one page, so that copies do
+    not make each other's lines boilerplate.
+    """
     host = F.col(host) if isinstance(host, str) else host
-    found = cut(boilerplate(pages, host, F.col(text), max_ratio, min_pages)).select(F.col("host").alias("_host"), F.col("keys").alias("_keys"))
+    found = cut(boilerplate(pages, host, F.col(text), max_ratio, min_pages, copies_once)).select(F.col("host").alias("_host"), F.col("keys").alias("_keys"))
     size = found.agg(F.sum(8 * F.size("_keys") + 64)).first()[0] or 0
     own = with_columns_dropped(pages, "n_lines", "n_removed")
     joined = pages.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, host.eqNullSafe(F.col("_host")), "left")

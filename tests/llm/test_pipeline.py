@@ -58,3 +58,11 @@ def test_lines_of_minority_languages_go(spark):
     rows = [(i, f"{nav[i // 12]}\nown {i}" if i < 24 else f"own {i}", "x", "src", 1) for i in range(600)]  # each line on 2% of the pages
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {f"own {i}" for i in range(600)}
+
+
+def test_copies_do_not_empty_each_other(spark):
+    rows = [(i, "first line\nsecond line" if i < 40 else f"menu\nown {i}", "x", "src", 1) for i in range(200)]
+    rows += [(200 + i, None, "x", None, 1) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert left == {i: "first line\nsecond line" if i < 40 else f"own {i}" if i < 200 else None for i in range(203)}
