@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut, table
 from .components import components
@@ -101,26 +103,56 @@ def links(prints: DataFrame, distance: int = 2, crowded: int = 64) -> DataFrame:
     return pairs.select(F.col("vertex").alias("u"), F.col("vertex2").alias("v")).unionByName(stars)
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, distance: int = 2, crowded: int = 64) -> DataFrame:
-    """Rows (doc_id, fp, component_id), one per row of docs; component_id is the smallest id of the component."""
+def _rooted(docs: DataFrame, doc_id: str, text: str, width: int, distance: int, crowded: int) -> DataFrame:
+    """Rows (doc_id, fp, root, component_id), one per row of docs. Where ids repeat, components of different roots may share a name."""
     rows = cut(with_fingerprints(docs, doc_id, text, width))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     # the fingerprint itself names the vertex, so that rows without an id take part too
     found = components(links(prints.select("fp", F.col("fp").alias("vertex")), distance, crowded))
     named = prints.join(found, prints["fp"] == found["u"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(roots, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named.join(roots, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, distance: int = 2, crowded: int = 64) -> DataFrame:
+    """Rows (doc_id, fp, component_id), one per row of docs; component_id is the smallest id of the component."""
+    return _rooted(docs, doc_id, text, width, distance, crowded).drop("root")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """One document of each group of near copies: the row whose id names the component, with all its columns.
 
-    Of rows that repeat an id one stays. A row without an id stays, since no component can be named by it.
+    Of a component's rows that repeat its id those of the least fingerprint are taken, and the one of the least
+    hash stays; an id that names several components stays once for each. A row without an id stays, since no
+    component can be named by it.
     """
-    found = classes(docs, doc_id, text, width)
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    named = docs.filter(F.col(doc_id).isNotNull()).join(stay, doc_id, "left_semi").dropDuplicates([doc_id])
-    return named.select(*docs.columns).unionByName(docs.filter(F.col(doc_id).isNull()))
+    found = cut(_rooted(docs, doc_id, text, width, 2, 64).filter("doc_id IS NOT NULL"))
+    stay = found.filter("doc_id = component_id").groupBy("root", F.col("doc_id").alias(doc_id)).agg(F.min("fp").alias("_fp"))
+    # texts are hashed again only where an id comes with several fingerprints
+    mixed = cut(found.groupBy(F.col("doc_id").alias(doc_id)).agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a != b").select(doc_id))
+    ided = docs.filter(F.col(doc_id).isNotNull())
+    kept = [_first(ided.join(stay.join(mixed, doc_id, "left_anti"), doc_id, "left_semi"), [doc_id], docs.columns)]
+    if not mixed.isEmpty():
+        rows = _fingerprinted(ided.join(mixed, doc_id, "left_semi"), text, width)
+        kept.append(_first(rows.join(stay, [doc_id, "_fp"], "left_semi"), [doc_id, "_fp"], docs.columns))
+    kept.append(docs.filter(F.col(doc_id).isNull()))
+    return reduce(DataFrame.unionByName, kept)
+
+
+def _first(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Of the rows of equal keys the one whose columns have the least hash."""
+    least = Window.partitionBy(*keys).orderBy(F.xxhash64(*columns))
+    return rows.withColumn("_at", F.row_number().over(least)).filter("_at = 1").select(*columns)
+
+
+def _fingerprinted(rows: DataFrame, text: str, width: int) -> DataFrame:
+    """rows with the column _fp."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t, width) for t in batch.column(text).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], names=[*batch.schema.names, "_fp"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("_fp", LongType())]))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

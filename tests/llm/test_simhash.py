@@ -76,3 +76,14 @@ def test_defined_cases(spark):
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "7", "8", "None", "None"]
     assert simhash.classes(df.limit(0)).count() == 0
+
+
+def test_repeated_ids_lose_no_group(spark):
+    shared = [f"the words of group {g} are its own {g * g}" for g in range(40)]
+    # id 1 comes with 40 texts; group g also has a row of id 0 where g is even
+    rows = [(1, t, g) for g, t in enumerate(shared)] + [(0, t, -1) for t in shared[::2]] + [(7, "alone", 5), (7, "alone", 4)]
+    want = {(0, t) for t in shared[::2]} | {(1, t) for t in shared[1::2]} | {(7, "alone")}
+    for order in (rows, rows[::-1]):
+        kept = simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string, n int").repartition(5)).collect()
+        assert len(kept) == len(want) and {(r.doc_id, r.text) for r in kept} == want
+        assert len({r.n for r in kept if r.doc_id == 7}) == 1
