@@ -2,7 +2,8 @@
 
 The Burrows-Wheeler transform is held in a wavelet matrix: one bit vector per bit of a word's code, packed
 into 64-bit words with a running count for each, so about 1.5 bits a bit. Suffixes are sorted by their first
-`depth` words, which is all that patterns of up to `depth` words need.
+`depth` words, which is all that patterns of up to `depth` words need. Where the suffixes that share their
+first k words begin is one bit vector for each k, too.
 """
 
 from __future__ import annotations
@@ -24,6 +25,19 @@ class BitVector:
         mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
         return self.before[at] + np.bitwise_count(self.words[at] & mask).astype(np.int64)
 
+    def place(self, k: np.ndarray) -> np.ndarray:
+        """Where the set bit number k (from 0) is; the length where there is none."""
+        at = np.searchsorted(self.before, k, side="right") - 1
+        left = k - self.before[at]
+        word, found = self.words[at], at << 6
+        for half in (32, 16, 8, 4, 2, 1):
+            low = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
+            up = left >= low
+            left = left - np.where(up, low, 0)
+            word = np.where(up, word >> np.uint64(half), word)
+            found = found + np.where(up, half, 0)
+        return np.minimum(found, self.n)
+
 
 class WaveletMatrix:
     def __init__(self, codes: np.ndarray, sigma: int):
@@ -55,19 +69,17 @@ class FMIndex:
         self.depth = depth
         n = len(codes) + len(lengths)
         text = np.zeros(n + depth + 1, np.int64)
-        ends = np.cumsum(lengths)
         text[np.arange(len(codes)) + np.repeat(np.arange(len(lengths)), lengths)] = codes
         self.sigma = int(codes.max(initial=0)) + 1
         order = self._sorted_suffixes(text, n)
         self.wavelet = WaveletMatrix(text[order - 1], self.sigma)  # the last place of text is padding, a zero
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(text[:n], minlength=self.sigma))))[:-1]
-        self.lcp = self._common(text, order)
-        whole = np.flatnonzero(self.lcp < depth)
+        lcp = self._common(text, order)
+        whole = np.flatnonzero(lcp < depth)
         of_sequence = np.repeat(np.arange(len(lengths)), lengths + 1)
-        self.group = np.cumsum(self.lcp < depth) - 1
         self.least = np.minimum.reduceat(owner[of_sequence[order]], whole) if n else owner[:0]
-        self.n, self._bounds = n, {}
-        self.ends = ends
+        self.begins = [BitVector(lcp < k) for k in range(depth + 1)]
+        self.n = n
 
     def _sorted_suffixes(self, text: np.ndarray, n: int) -> np.ndarray:
         rank, reach = text.copy(), 1
@@ -88,14 +100,6 @@ class FMIndex:
             lcp[1:] += same
         return lcp
 
-    def _bounds_at(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each place, where the run of suffixes that share `depth` words starts and ends."""
-        if depth not in self._bounds:
-            breaks = np.flatnonzero(self.lcp < depth)
-            run = np.cumsum(self.lcp < depth) - 1
-            self._bounds[depth] = breaks[run].astype(np.int32), np.append(breaks[1:], self.n)[run].astype(np.int32)
-        return self._bounds[depth]
-
     def _shrink(self, lo: np.ndarray, hi: np.ndarray, length: np.ndarray, at: np.ndarray) -> None:
         """At places `at`, the last word of the match is given up."""
         length[at] -= 1
@@ -104,8 +108,9 @@ class FMIndex:
             if d == 0:
                 lo[some], hi[some] = 0, self.n
             else:
-                first, last = self._bounds_at(int(d))
-                lo[some], hi[some] = first[lo[some]], last[lo[some]]
+                begins = self.begins[int(d)]
+                run = begins.ones(lo[some] + 1)
+                lo[some], hi[some] = begins.place(run - 1), begins.place(run)
 
     def matching_statistics(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For every place of the patterns, the words (up to depth) that match from there on, and the place in suffix order.
@@ -145,4 +150,4 @@ class FMIndex:
 
     def least_owner(self, where: np.ndarray) -> np.ndarray:
         """The least owner of the sequences that hold the full-depth match at these places."""
-        return self.least[self.group[where]]
+        return self.least[self.begins[self.depth].ones(where + 1) - 1]

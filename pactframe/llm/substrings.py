@@ -4,18 +4,21 @@ A window is `width` consecutive words. A word goes if a window over it also star
 smaller id. Documents meet only where they may share windows:
 
 1. Every window has a minimizer, the least hash of its runs of `gram` words; equal windows have equal
-   minimizers. Minimizers are counted over all documents (combined before the shuffle), and those of two
-   documents or more are marked in a Bloom filter of at most 2^`map_bits` bits, which is broadcast. It may
-   mark others too; that costs work and changes nothing.
-2. Windows with a marked minimizer are cut out as segments, runs of windows with one minimizer. Their places
-   are written with a 128-bit hash in the text's place; each task writes a segment's text once, with its
-   least and greatest document. A shard is a hash range of minimizers, so all that may match lies in one
-   shard, and shards are numbered by the texts' size. A minimizer with more than `crowded` bytes of texts is
-   cut into single windows, which are spread by their own hash, so no shard grows with one passage.
-3. Each shard is indexed (`FMIndex`) and its segments are streamed backward through the index; at each place
+   minimizers. Documents and runs of windows are counted for each minimizer (combined before the shuffle);
+   those of two documents or more are shared.
+2. Runs of windows with a shared minimizer are found again in the documents: by a Bloom filter that is
+   broadcast, sixteen bits to a key, where the counted keys fit 2^`map_bits` bits, and by a join on the
+   minimizers where they do not. The filter may let others in; that costs work and changes nothing.
+3. Those runs are cut out as segments, at most RUN windows each, and go to the shard of their minimizer. A
+   task packs what it has for a shard: each text once, with the places where it stands. Shards are numbered by
+   the counted runs, so that each has about `shard_runs`, whatever the size of the input.
+4. A minimizer with more than `crowded` runs is cut into single windows, dealt by their own hash. Of these
+   the shard gets only the texts with their least and greatest documents; the places stay outside and are
+   joined with what the shard finds, so no task holds the places of a passage that is everywhere.
+5. Each shard is indexed (`FMIndex`) and its segments are streamed backward through the index; at each place
    with a match of `width` words the index tells the least document with that window.
-4. Segments' places come back to their documents as intervals of words to remove. They are broadcast where
-   their measured size allows it, and joined by document otherwise.
+6. The intervals of words to remove are gathered by document. They are broadcast where their measured size
+   allows it, and joined by document otherwise.
 
 Defined cases: null or empty texts have no words and stay; texts shorter than a window stay; ids that are
 null count as larger than all others; rows with one id are one document, so they do not take words from each
@@ -31,16 +34,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_folder, table, with_columns_dropped
+from .common import cut, forget, shared_folder, table, with_columns_dropped
 from .fm_index import FMIndex
 
-WIDTH, GRAM = 13, 8
+WIDTH, GRAM = 13, 5
 NO_ID = (1 << 63) - 1
-#: Windows in a segment at most; places of a minimizer in the bitmap; distinct segments a task gathers before it gives them out.
-RUN, PROBES, TEXTS_HELD = 16, 3, 200_000
+#: Windows in a segment at most; places of a minimizer in the bitmap; bits of it for a key; places a task gathers before it packs them.
+RUN, PROBES, BITS_EACH, HELD = 16, 3, 16, 300_000
+#: Shards of small packed size that are yet much work have a task each, up to so many.
+MOST_TASKS = 50_000
 _FACTORS = np.array([xxhash.xxh64_intdigest(bytes([i])) | 1 for i in range(64)], np.uint64)
 
 
@@ -76,25 +82,26 @@ def _prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
 
 
+def _runs(text: str | None, width: int, gram: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """A text's words and its runs of windows with one minimizer: first window, the one after the last, minimizer (int64)."""
+    tokens = _tokens(text)
+    m = minimizers(tokens, width, gram)
+    starts = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1]))) if len(m) else np.zeros(0, np.int64)
+    return tokens, starts, np.append(starts[1:], len(m)) if len(m) else starts, m[starts].view(np.int64)
+
+
 def shared_minimizers(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """Rows (m): minimizers that occur in two documents or more."""
+    """Rows (m, runs): minimizers of two documents or more and how many runs of windows have them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                found = [np.unique(minimizers(_tokens(t), width, gram)) for t in part.column("text").to_pylist()]
-                m = np.concatenate(found).view(np.int64)
-                if not len(m):
-                    continue
-                d = np.repeat(ids, [len(f) for f in found])
-                order = np.argsort(m, kind="stable")
-                m, d = m[order], d[order]
-                first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
-                yield pa.RecordBatch.from_arrays([pa.array(m[first]), pa.array(np.minimum.reduceat(d, first)), pa.array(np.maximum.reduceat(d, first))], names=["m", "lo", "hi"])
-
-    each = docs.mapInArrow(run, "m bigint, lo bigint, hi bigint")
-    return each.groupBy("m").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("m")
+                found = [np.unique(_runs(t, width, gram)[3], return_counts=True) for t in batch.column("text").slice(at, 2000).to_pylist()]
+                m, of = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+                runs = np.bincount(of, weights=np.concatenate([f[1] for f in found]), minlength=len(m))
+                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(np.bincount(of, minlength=len(m))), pa.array(runs.astype(np.int64))], names=["m", "docs", "runs"])
+
+    each = docs.select("text").mapInArrow(run, "m bigint, docs bigint, runs bigint")
+    return each.groupBy("m").agg(F.sum("docs").alias("docs"), F.sum("runs").alias("runs")).filter("docs > 1").select("m", "runs")
 
 
 def _places(m: np.ndarray, bits: int) -> np.ndarray:
@@ -104,9 +111,9 @@ def _places(m: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(first + np.uint64(k) * step) & mask for k in range(PROBES)]).astype(np.int64)
 
 
-def bitmap(keys: DataFrame, map_bits: int) -> tuple[np.ndarray, int]:
-    """A Bloom filter (uint8) of keys (m), and the power of its bits: sixteen or more for each key while that fits 2^map_bits."""
-    bits = int(min(map_bits, max(20, (16 * max(1, keys.count()) - 1).bit_length())))
+def bitmap(keys: DataFrame, count: int) -> tuple[np.ndarray, int]:
+    """A Bloom filter (uint8) of keys (m), count of them, and the power of its bits: BITS_EACH or more for each key."""
+    bits = _bits_for(count)
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,102 +129,138 @@ def bitmap(keys: DataFrame, map_bits: int) -> tuple[np.ndarray, int]:
         return pa.table({"chunk": chunk.column("chunk").slice(0, 1), "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()])})
 
     marks = np.zeros(1 << bits - 3, np.uint8)
-    chunks = keys.mapInArrow(spots, "chunk bigint, spots binary").groupBy("chunk").applyInArrow(pack, "chunk bigint, bits binary")
+    chunks = keys.select("m").mapInArrow(spots, "chunk bigint, spots binary").groupBy("chunk").applyInArrow(pack, "chunk bigint, bits binary")
     for row in chunks.toLocalIterator():
         marks[row["chunk"] * 8192 : (row["chunk"] + 1) * 8192] = np.frombuffer(row["bits"], np.uint8)
     return marks, bits
 
 
-#: Two kinds of rows: occurrences (m, segment and most are null; at is the first word's place) and texts (t and at are null; d is the least document).
-SEGMENTS = "k1 bigint, k2 bigint, d bigint, t bigint, at int, m bigint, segment binary, most bigint"
-KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
-NAMES = [c.split()[0] for c in SEGMENTS.split(", ")]
+def _bits_for(count: int) -> int:
+    return max(16, (BITS_EACH * max(1, count) - 1).bit_length())
+
+
+def _in(m: np.ndarray, marks: np.ndarray, bits: int) -> np.ndarray:
+    place = _places(m.view(np.uint64), bits)
+    return (marks[place >> 3] >> (place & 7).astype(np.uint8) & 1).all(axis=0)
 
 
-class _Segments:
-    """A task's segments: occurrences go out at once, each distinct text once with its least and greatest document."""
+#: What a task packs for a shard: texts (zstandard, a line each), how many places each has, and these in turn (of a crowded minimizer's
+#: windows: the least and the greatest document, t and at being null). Rows without a shard are a crowded window's place.
+PACKED = "crowded boolean, shard bigint, texts binary, places array<int>, d array<bigint>, t array<bigint>, at array<int>, k1 bigint, k2 bigint, own_d bigint, own_t bigint, own_at int"
+KINDS = (pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+NAMES = [c.split()[0] for c in PACKED.split(", ")]
 
-    def __init__(self):
-        self.texts: dict[bytes, list] = {}
-        self.keys: list[bytes] = []
-        self.places: list[tuple[int, int, int]] = []
+
+def _packed_rows(n: int, columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(n, kind) for c, kind in zip(NAMES, KINDS, strict=True)], names=NAMES)
+
+
+class _Gathered:
+    """A task's segments until they are packed by shard."""
+
+    def __init__(self, crowded: bool, shards: int):
+        self.crowded, self.shards = crowded, shards
+        self.known: dict[bytes, int] = {}
+        self.m: list[int] = []
+        self.places: list[tuple[int, int, int, int]] = []
 
     def add(self, m: int, segment: bytes, d: int, t: int, at: int) -> None:
-        key = xxhash.xxh3_128_digest(segment)
-        self.keys.append(key)
-        self.places.append((d, t, at))
-        got = self.texts.get(key)
-        if got is None:
-            self.texts[key] = [m, segment, d, d]
-        elif d < got[2]:
-            got[2] = d
-        elif d > got[3]:
-            got[3] = d
-
-    @staticmethod
-    def _rows(keys, columns: dict) -> pa.RecordBatch:
-        k = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-        columns = {"k1": k[:, 0].copy(), "k2": k[:, 1].copy()} | columns
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(len(k), kind) for c, kind in zip(NAMES, KINDS, strict=True)], names=NAMES)
-
-    def occurrences(self) -> Iterator[pa.RecordBatch]:
-        if self.keys:
-            yield self._rows(self.keys, dict(zip(("d", "t", "at"), zip(*self.places), strict=True)))
-            self.keys, self.places = [], []
-        if len(self.texts) > TEXTS_HELD:
-            yield from self.distinct()
-
-    def distinct(self) -> Iterator[pa.RecordBatch]:
-        if self.texts:
-            yield self._rows(self.texts, dict(zip(("m", "segment", "d", "most"), zip(*self.texts.values()), strict=True)))
-            self.texts = {}
-
-
-def segments(docs: DataFrame, marked, bits: int, width: int, gram: int) -> DataFrame:
-    """Rows of SEGMENTS: runs of windows with one marked minimizer."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, out = marked.value, _Segments()
+        i = self.known.setdefault(segment, len(self.known))
+        if i == len(self.m):
+            self.m.append(m)
+        self.places.append((i, d, t, at))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.places:
+            return
+        of, d, t, at = (np.array(c, np.int64) for c in zip(*self.places, strict=True))
+        texts = np.array(list(self.known), object)
+        shard = (np.array(self.m, np.int64).view(np.uint64) * _FACTORS[61] >> np.uint64(20)) % np.uint64(self.shards)
+        if self.crowded:
+            keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), "<i8").reshape(-1, 2)
+            yield _packed_rows(len(of), {"k1": keys[of, 0].copy(), "k2": keys[of, 1].copy(), "own_d": d, "own_t": t, "own_at": at.astype(np.int32)})
+        by_text = np.lexsort((d, of)) if self.crowded else np.argsort(of, kind="stable")
+        first = np.searchsorted(of[by_text], np.arange(len(texts)))
+        last = np.append(first[1:], len(of))
+        order = np.argsort(shard, kind="stable")
+        opens = np.flatnonzero(np.concatenate(([True], shard[order][1:] != shard[order][:-1])))
+        pack = zstandard.ZstdCompressor(3).compress
+        made = {c: [] for c in NAMES[:7]}
+        for some in np.split(order, opens[1:]):
+            if self.crowded:
+                at_rows = by_text[np.stack([first[some], last[some] - 1], axis=1).reshape(-1)]
+                counts, rest = np.full(len(some), 2), {"t": None, "at": None}
+            else:
+                counts = last[some] - first[some]
+                at_rows = by_text[np.repeat(first[some] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())]
+                rest = {"t": t[at_rows], "at": at[at_rows].astype(np.int32)}
+            row = {"crowded": self.crowded, "shard": int(shard[some[0]]), "texts": pack(b"\n".join(texts[some])), "places": counts.astype(np.int32), "d": d[at_rows]} | rest
+            for c, value in row.items():
+                made[c].append(value)
+        yield _packed_rows(len(opens), made)
+        self.known, self.m, self.places = {}, [], []
+
+
+def _cut_out(out: tuple[_Gathered, _Gathered], tokens: list[bytes], runs: list[tuple[int, int, int, bool]], d: int, t: int, width: int) -> None:
+    """Gathers the segments of runs (first window, the one after the last, minimizer, crowded); a crowded run goes window by window."""
+    joined = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1).tolist()
+    for a, z, m, crowded in runs:
+        step = 1 if crowded else RUN
+        for i in range(a, z, step):
+            segment = joined[ends[i - 1] if i else 0 : ends[min(i + step, z) + width - 2] - 1]
+            out[crowded].add(xxhash.xxh64_intdigest(segment) - (1 << 63) if crowded else m, segment, d, t, i)
+
+
+def _packed(batches: Iterator[pa.RecordBatch], runs_of, shards: tuple[int, int], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows of PACKED; runs_of gives a row's words and runs for `_cut_out`."""
+    out = _Gathered(False, shards[0]), _Gathered(True, shards[1])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            for row in batch.slice(at, 1000).to_pylist():
+                tokens, runs = runs_of(row)
+                if runs:
+                    _cut_out(out, tokens, runs, row["d"], row["t"], width)
+            for side in out:
+                if len(side.places) > HELD:
+                    yield from side.rows()
+    for side in out:
+        yield from side.rows()
+
+
+def packed_by_filter(docs: DataFrame, shared: DataFrame, counts: tuple[int, int], crowded: int, shards: tuple[int, int], width: int, gram: int) -> DataFrame:
+    """Rows of PACKED; the runs of windows are found by broadcast filters of the shared and the crowded minimizers."""
+    filters = bitmap(shared, counts[0]), bitmap(shared.filter(F.col("runs") > crowded), counts[1])
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def runs_of(row: dict) -> tuple[list[bytes], list]:
+        tokens, a, z, m = _runs(row["text"], width, gram)
+        if not len(m):
+            return tokens, []
+        hit = _in(m, *sent.value[0])
+        a, z, m = a[hit], z[hit], m[hit]
+        return tokens, list(zip(a.tolist(), z.tolist(), m.tolist(), _in(m, *sent.value[1]).tolist(), strict=True))
+
+    return docs.mapInArrow(lambda batches: _packed(batches, runs_of, shards, width), PACKED)
+
+
+def packed_by_join(docs: DataFrame, shared: DataFrame, crowded: int, shards: tuple[int, int], width: int, gram: int) -> DataFrame:
+    """The same rows; the runs of windows are joined with the minimizers and then with their documents."""
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                for d, t, text in zip(*(part.column(c).to_pylist() for c in ("d", "t", "text")), strict=True):
-                    tokens = _tokens(text)
-                    m = minimizers(tokens, width, gram)
-                    if not len(m):
-                        continue
-                    starts = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
-                    stops = np.append(starts[1:], len(m))
-                    place = _places(m[starts], bits)
-                    hit = (marks[place >> 3] >> (place & 7).astype(np.uint8) & 1).all(axis=0)
-                    if not hit.any():
-                        continue
-                    joined = b" ".join(tokens)
-                    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1).tolist()
-                    for a, z, value in zip(starts[hit].tolist(), stops[hit].tolist(), m[starts[hit]].view(np.int64).tolist(), strict=True):
-                        for i in range(a, z, RUN):
-                            j = min(i + RUN, z)
-                            out.add(value, joined[ends[i - 1] if i else 0 : ends[j + width - 2] - 1], d, t, i)
-                yield from out.occurrences()
-        yield from out.distinct()
-
-    return docs.mapInArrow(run, SEGMENTS)
-
-
-def _single_windows(segments: DataFrame, width: int) -> DataFrame:
-    """Rows of SEGMENTS from rows (segment, d, t, at): each window a segment of its own, and its hash for minimizer."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Segments()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                for r in batch.slice(at, 1000).to_pylist():
-                    tokens = r["segment"].split(b" ")
-                    for i in range(len(tokens) - width + 1):
-                        window = b" ".join(tokens[i : i + width])
-                        out.add(xxhash.xxh64_intdigest(window) - (1 << 63), window, r["d"], r["t"], r["at"] + i)
-                yield from out.occurrences()
-        yield from out.distinct()
+                found = [_runs(t, width, gram)[1:] for t in part.column("text").to_pylist()]
+                n = [len(f[0]) for f in found]
+                d, t = (np.repeat(part.column(c).to_numpy(), n) for c in ("d", "t"))
+                a, z, m = (np.concatenate([f[k] for f in found]) for k in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d, t, a.astype(np.int32), z.astype(np.int32), m)], names=["d", "t", "a", "z", "m"])
 
-    return segments.select("segment", "d", "t", "at").mapInArrow(run, SEGMENTS)
+    docs = docs.dropDuplicates(["d", "t"])
+    runs = docs.mapInArrow(listed, "d bigint, t bigint, a int, z int, m bigint").join(shared, "m")
+    lists = runs.groupBy("d", "t").agg(F.collect_list(F.struct("a", "z", "m", (F.col("runs") > crowded).alias("crowded"))).alias("found"))
+    runs_of = lambda row: (_tokens(row["text"]), [(r["a"], r["z"], r["m"], r["crowded"]) for r in row["found"]])
+    return docs.join(lists, ["d", "t"]).mapInArrow(lambda batches: _packed(batches, runs_of, shards, width), PACKED)
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -255,62 +298,81 @@ def _merged(spans: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "d bigint, t bigint, spans array<struct<a:int,z:int>>")
 
 
-def _search_shard(shard: pa.Table, width: int) -> pa.Table:
-    """For the segments of one shard, the runs of windows that a smaller document than the segment's largest has."""
-    k1, k2, least, most = (shard.column(c).to_numpy() for c in ("k1", "k2", "d", "most"))
-    order = np.lexsort((k2, k1))  # one row of each segment stays, with the least and the greatest document
-    k1, k2 = k1[order], k2[order]
-    first = np.flatnonzero(np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))))
-    least, most = np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
-    k1, k2, texts = k1[first], k2[first], shard.column("segment").take(pa.array(order[first])).to_pylist()
-    lengths, codes, known = np.zeros(len(texts), np.int64), [], {}
+def _matched(shard: pa.Table, width: int):
+    """For a shard's rows of PACKED: its distinct texts; for their places text, d, t, at; and the runs of windows that a smaller
+    document than a text's greatest has: text, first window, the place after the last word, least document."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    known: dict[bytes, int] = {}
+    of_lists = [[known.setdefault(x, len(known)) for x in unpack(r).split(b"\n")] for r in shard.column("texts").to_pylist()]
+    texts, lengths, codes, words = list(known), np.zeros(len(known), np.int64), [], {}
     for i, s in enumerate(texts):
         tokens = s.split(b" ")
         lengths[i] = len(tokens)
-        codes += [known.setdefault(w, len(known) + 1) for w in tokens]
+        codes += [words.setdefault(w, len(words) + 1) for w in tokens]
     codes = np.array(codes, np.int64)
+    flat = lambda c: shard.column(c).combine_chunks().flatten().to_numpy()
+    of = np.repeat(np.array([i for x in of_lists for i in x], np.int64), flat("places"))
+    d = flat("d")
+    order = np.lexsort((d, of))
+    of, d = of[order], d[order]
+    first = np.searchsorted(of, np.arange(len(texts) + 1))
+    least, most = d[first[:-1]], d[first[1:] - 1]
     index = FMIndex(codes, lengths, least, width)
     found, where = index.matching_statistics(codes, lengths)
     full = np.flatnonzero(found == width)
     owner = index.least_owner(where[full])
-    of = np.repeat(np.arange(len(texts)), lengths)[full]
-    i = full - (np.cumsum(lengths) - lengths)[of]
-    real = owner < most[of]
-    of, i, owner = of[real], i[real], owner[real]
-    opens = np.ones(len(of), bool)
-    opens[1:] = (of[1:] != of[:-1]) | (i[1:] != i[:-1] + 1) | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(opens)
-    last = np.append(first[1:], len(of)) - 1 if len(first) else first
-    return pa.table({
-        "k1": pa.array(k1[of[first]]), "k2": pa.array(k2[of[first]]),
-        "i": pa.array(i[first].astype(np.int32)), "j": pa.array((i[last] + width).astype(np.int32)), "least": pa.array(owner[first]),
-    })
-
-
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, map_bits: int = 28, crowded: int = 4 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
+    text = np.repeat(np.arange(len(texts)), lengths)[full]
+    i = full - (np.cumsum(lengths) - lengths)[text]
+    real = owner < most[text]
+    text, i, owner = text[real], i[real], owner[real]
+    opens = np.ones(len(text), bool)
+    opens[1:] = (text[1:] != text[:-1]) | (i[1:] != i[:-1] + 1) | (owner[1:] != owner[:-1])
+    begin = np.flatnonzero(opens)
+    end = np.append(begin[1:], len(text)) - 1 if len(begin) else begin
+    return texts, (first, order, d), (text[begin], i[begin], i[end] + width, owner[begin]), flat
+
+
+def _search_shard(shard: pa.Table, width: int) -> pa.Table:
+    """The intervals [a, z) of words to remove at the places of the shard's segments."""
+    _, (first, order, d), (text, i, j, owner), flat = _matched(shard, width)
+    n = first[text + 1] - first[text]
+    run = np.repeat(np.arange(len(text)), n)
+    row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[text], n)
+    real = d[row] > owner[run]
+    run, row = run[real], row[real]
+    at, t = flat("at")[order[row]], flat("t")[order[row]]
+    return pa.table({"d": pa.array(d[row]), "t": pa.array(t), "a": pa.array((at + i[run]).astype(np.int32)), "z": pa.array((at + j[run]).astype(np.int32))})
+
+
+def _search_windows(shard: pa.Table, width: int) -> pa.Table:
+    """The least documents of the shard's single windows, by the windows' hashes."""
+    texts, _, (text, _, _, owner), _ = _matched(shard, width)
+    keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(texts[k]) for k in text.tolist()), "<i8").reshape(-1, 2)
+    return pa.table({"k1": pa.array(keys[:, 0].copy()), "k2": pa.array(keys[:, 1].copy()), "least": pa.array(owner)})
+
+
+def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, map_bits: int = 28, crowded: int = 4096, shard_runs: int = 50_000) -> DataFrame:
     """Rows (d, t, spans): for each document and text hash, merged intervals [a, z) of words to remove. docs as `_prepared` gives it."""
     spark = docs.sparkSession
-    marks, bits = bitmap(cut(shared_minimizers(docs, width, gram)), map_bits)
-    marked = spark.sparkContext.broadcast(marks)
+    shared = cut(shared_minimizers(docs, width, gram))
+    many = F.col("runs") > crowded
+    n, n_crowded, runs, windows = shared.agg(F.count("*"), F.count_if(many), F.sum(F.when(~many, F.col("runs"))), F.sum(F.when(many, F.col("runs")))).first()
+    shards = tuple(1 + (x or 0) // shard_runs for x in (runs, windows))
+    if _bits_for(n) <= map_bits:
+        packed = packed_by_filter(docs, shared, (n, n_crowded), crowded, shards, width, gram)
+    else:
+        packed = packed_by_join(docs, shared, crowded, shards, width, gram)
     path = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
-    segments(docs, marked, bits, width, gram).write.option("compression", "zstd").parquet(path)
-    both = spark.read.schema(SEGMENTS).parquet(path)
-    total = both.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
-    crowded = max(crowded, total // 1_000_000)  # so that the list below has a million rows at most
-    shards = max(1, -(-total // max(shard_bytes, crowded)))
-    hot = cut(both.filter("segment is not null").groupBy("m").agg(F.sum(F.octet_length("segment")).alias("n")).filter(F.col("n") > crowded).select("m"))
-    if not hot.isEmpty():
-        texts, places = both.filter("segment is not null"), both.filter("segment is null")
-        keys = texts.join(F.broadcast(hot), "m", "left_semi").select("k1", "k2", "segment").dropDuplicates(["k1", "k2"])
-        split = f"{path}-single"
-        _single_windows(places.select("k1", "k2", "d", "t", "at").join(keys, ["k1", "k2"]), width).write.parquet(split)
-        both = texts.join(F.broadcast(hot), "m", "left_anti").unionByName(places.join(keys, ["k1", "k2"], "left_anti")).unionByName(spark.read.schema(SEGMENTS).parquet(split))
-    texts = both.filter("segment is not null").select("m", "k1", "k2", "segment", "d", "most")
-    sharded = texts.groupBy(F.pmod(F.xxhash64(F.lit("shard"), F.col("m")), F.lit(shards)).alias("shard"))
-    found = sharded.applyInArrow(lambda t: _search_shard(t, width), "k1 bigint, k2 bigint, i int, j int, least bigint")
-    places = both.filter("segment is null").select("k1", "k2", "d", "t", "at")
-    spans = places.join(found, ["k1", "k2"]).filter("least < d").select("d", "t", (F.col("at") + F.col("i")).alias("a"), (F.col("at") + F.col("j")).alias("z"))
-    return _merged(spans)
+    packed.write.option("compression", "zstd").parquet(path)
+    parts = spark.read.schema(PACKED).parquet(path)
+    plain, single = (parts.filter(kind).repartition(min(count, MOST_TASKS), "shard") for kind, count in zip(("NOT crowded", "crowded"), shards, strict=True))
+    spans = plain.select("shard", "texts", "places", "d", "t", "at").groupBy("shard").applyInArrow(lambda s: _search_shard(s, width), "d bigint, t bigint, a int, z int")
+    found = single.select("shard", "texts", "places", "d").groupBy("shard").applyInArrow(lambda s: _search_windows(s, width), "k1 bigint, k2 bigint, least bigint")
+    places = parts.filter("shard IS NULL").join(found, ["k1", "k2"]).filter("least < own_d")
+    everywhere = places.select(F.col("own_d").alias("d"), F.col("own_t").alias("t"), F.col("own_at").alias("a"), (F.col("own_at") + width).alias("z"))
+    merged = cut(_merged(spans.unionByName(everywhere) if n_crowded else spans))
+    forget(spark, path)
+    return merged
 
 
 BROADCAST_BYTES = 64 << 20
@@ -318,7 +380,7 @@ BROADCAST_BYTES = 64 << 20
 
 def _with_spans(docs: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
     """docs with a column _spans."""
-    found = cut(repeated_spans(_prepared(docs, doc_id, text), **options)).select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("spans").alias("_spans"))
+    found = repeated_spans(_prepared(docs, doc_id, text), **options).select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("spans").alias("_spans"))
     size = found.agg(F.sum(64 + 8 * F.size("_spans"))).first()[0] or 0
     same = (F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)) == F.col("_d")) & (F.xxhash64(text) == F.col("_t"))
     return docs.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, same, "left").drop("_d", "_t")

@@ -59,8 +59,16 @@ def test_matching_statistics(depth):
             at += n
 
 
-@pytest.mark.parametrize("crowded", [4 << 20, 1])
-def test_removals_agree_with_brute_force(spark, crowded):
+def test_places_of_bits():
+    rng = np.random.default_rng(2)
+    for n, share in ((1, 1.0), (64, 0.5), (1000, 0.02), (1000, 0.9), (130, 0.0)):
+        bits = rng.random(n) < share
+        places = np.flatnonzero(bits)
+        assert BitVector(bits).place(np.arange(len(places) + 1)).tolist() == [*places.tolist(), n]
+
+
+@pytest.mark.parametrize(("crowded", "map_bits"), [(4096, 28), (1, 28), (4096, 10), (3, 10)])
+def test_removals_agree_with_brute_force(spark, crowded, map_bits):
     rng = random.Random(7)
     passages = [[f"w{rng.randint(0, 40)}" for _ in range(rng.randint(4, 25))] for _ in range(12)]
     rows = []
@@ -73,7 +81,7 @@ def test_removals_agree_with_brute_force(spark, crowded):
     df = spark.createDataFrame(rows, "doc_id long, text string, m long")
     for width, gram in ((13, 5), (5, 2)):
         got = {}
-        for r in sub.removals(df, width=width, gram=gram, crowded=crowded, shard_bytes=2000).collect():
+        for r in sub.removals(df, width=width, gram=gram, crowded=crowded, map_bits=map_bits, shard_runs=200).collect():
             got.setdefault((r.doc_id, r.text), []).append((r.n_words, r.n_removed, r.kept))
         for (d, t, _), kept in zip(rows, brute([r[:2] for r in rows], width), strict=True):
             n = len((t or "").split())
