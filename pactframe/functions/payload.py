@@ -4,18 +4,27 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAP = "map<string,variant>"
+# The empty value of each type, a number at a text's start, and the texts that are false.
 EMPTY = {"string": "", "integer": 0, "number": 0, "boolean": False, "array": [], "object": {}}
 NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+WHOLE = r"^\s*([+-]?[0-9]+)(?:\.[0-9]*)?(?![0-9]|\.|[eE][+-]?[0-9])"
 PHP_SPACE = " \t\n\r\0\x0b"
 FALSE_WORDS = ["", "0", "false", "no", "off"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def from_json(text: Column) -> Column:
     """A JSON text's object as a payload; null if it is no object."""
     return as_map(F.try_parse_json(text))
@@ -26,6 +35,26 @@ def from_columns(*names: str) -> Column:
     return as_map(F.parse_json(F.to_json(F.struct(*names), {"ignoreNullFields": "false"})))
 
 
+#: Types whose values are the same as variants and by way of JSON.
+_PLAIN = (T.BooleanType, T.IntegralType, T.DecimalType, T.StringType, T.DateType)
+
+
+def from_frame(df: DataFrame, *names: str) -> Column:
+    """df's columns (all, unless named) as a payload, as `from_columns` makes it, without the way over JSON text where their types allow it."""
+    entries = []
+    for name in names or df.columns:
+        kind, column = df.schema[name].dataType, F.col(f"`{name}`")
+        by_json = F.try_variant_get(F.parse_json(F.to_json(F.struct(column.alias("x")), {"ignoreNullFields": "false"})), "$.x", "variant")
+        if isinstance(kind, _PLAIN):
+            value = column.cast("variant")
+        elif isinstance(kind, (T.DoubleType, T.FloatType)):
+            value = F.when(F.isnan(column) | (F.abs(column) == float("inf")), by_json).otherwise(column.cast("variant"))
+        else:
+            value = by_json
+        entries += [F.lit(name), F.coalesce(value, literal(None))]
+    return F.create_map(*entries)
+
+
 def to_json(payload: Column) -> Column:
     return F.to_json(F.to_variant_object(payload))
 
@@ -65,7 +94,7 @@ def kind(value: Column) -> Column:
     return (
         F.when(found == "VOID", "null").when(found == "BOOLEAN", "boolean").when(found == "STRING", "string")
         .when(found.startswith("ARRAY"), "array").when(found.startswith("OBJECT"), "object")
-        .when(found.rlike("^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)"), "number").otherwise("string")
+        .when(found.isin("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE") | found.startswith("DECIMAL"), "number").when(found.isNotNull(), "string")
     )
 
 
@@ -73,16 +102,24 @@ def number(value: Column) -> Column:
     return F.try_variant_get(value, "$", "double")
 
 
+def whole(value: Column) -> Column:
+    """A number that is stored without a fraction, exactly, as decimal(38,0); null for others."""
+    found = F.schema_of_variant(value)
+    stored = found.isin("TINYINT", "SMALLINT", "INT", "BIGINT") | (found.startswith("DECIMAL") & found.endswith(",0)"))
+    return F.when(stored, F.try_variant_get(value, "$", "decimal(38,0)"))
+
+
 def text(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
 def path(value: Column, dotted: str) -> Column:
     """The value at a dotted path, SQL null if there is none. A segment of digits is a key, or else a list index."""
+    ways = ["$"]
     for segment in dotted.split(".") if dotted else []:
-        by_key = get(as_map(value), segment)
-        value = F.coalesce(by_key, F.get(as_array(value), F.lit(int(segment)))) if re.fullmatch("[0-9]+", segment) else by_key
-    return value
+        quote = '"' if "'" in segment else "'"
+        ways = [w + step for w in ways for step in ([f"[{quote}{segment}{quote}]", f"[{int(segment)}]"] if re.fullmatch("[0-9]{1,9}", segment) else [f"[{quote}{segment}{quote}]"])]
+    return F.coalesce(*[F.try_variant_get(value, w, "variant") for w in ways]) if dotted else value
 
 
 def _stringish(value: Column) -> Column:
@@ -109,9 +146,22 @@ def _truth(value: Column) -> Column:
     )
 
 
+LEAST, GREATEST = -(1 << 63), (1 << 63) - 1
+
+
+def _integer(value: Column) -> Column:
+    """Fractions are cut off; what 64 bits do not hold becomes the nearest they do."""
+    near = _leading_number(value)
+    digits = F.when(kind(value) == "string", F.nullif(F.regexp_extract(text(value), WHOLE, 1), F.lit("")))
+    exact = F.coalesce(whole(value), digits.try_cast("decimal(38,0)"))
+    held = F.when(exact > GREATEST, F.lit(GREATEST)).when(exact < LEAST, F.lit(LEAST)).otherwise(exact.try_cast("bigint"))
+    rounded = F.when(near >= float(GREATEST), F.lit(GREATEST)).when(near <= float(LEAST), F.lit(LEAST)).otherwise(F.when(near < 0, F.ceil(near)).otherwise(F.floor(near)).try_cast("bigint"))
+    return F.coalesce(held, rounded)
+
+
 CASTS = {
     "string": _stringish,
-    "int": lambda v: F.when(_leading_number(v) < 0, F.ceil(_leading_number(v))).otherwise(F.floor(_leading_number(v))).cast("bigint"),
+    "int": _integer,
     "float": _leading_number,
     "bool": _truth,
     "trim": lambda v: F.btrim(_stringish(v), F.lit(PHP_SPACE)),

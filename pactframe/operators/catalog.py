@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import schemas as s
@@ -20,6 +22,22 @@ def catalog(spark: SparkSession, documents: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "id string, body string, fingerprint string")
 
 
+def _of_bodies(function: Callable[[dict], str | None], kind: str = "string") -> Callable[[Column], Column]:
+    """A function of one document as a function of bodies, in Arrow batches. Null bodies give null."""
+    @F.pandas_udf(kind)
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if x is None else function(json.loads(x)) for x in batch], dtype=object)
+
+    return made
+
+
+def of_bodies(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """A catalog from a column of documents as JSON texts; other columns stay."""
+    identifier = F.try_variant_get(F.try_parse_json(body), "$['$id']", "string")
+    return bodies.withColumns({"id": identifier, "fingerprint": _of_bodies(s.fingerprint)(F.col(body))}).withColumnRenamed(body, "body")
+
+
 def version_of(identifier: Column) -> Column:
     return F.regexp_extract(identifier, "(?:^|/)([0-9]+)$", 1).try_cast("bigint")
 
@@ -34,6 +52,15 @@ def origin_of(url: Column) -> Column:
     return F.when(host.isNotNull() & protocol.isNotNull(), F.concat(protocol, F.lit("://"), F.regexp_extract(url, r"^[^:]+://(?:[^/@?#]*@)?([^/?#]*)", 1)))
 
 
+def host_of(url: Column) -> Column:
+    return F.try_parse_url(url, F.lit("HOST"))
+
+
+def path_of(identifier: Column) -> Column:
+    """An identifier's path without its outer slashes; a relative one is all path."""
+    return F.btrim(F.coalesce(F.try_parse_url(identifier, F.lit("PATH")), identifier), F.lit("/"))
+
+
 def artifact_name(identifier: Column, cap: int = 100, head: int = 48, elision: str = "--") -> Column:
     slug = F.btrim(F.regexp_replace(identifier, "[^A-Za-z0-9]+", "-"), F.lit("-"))
     tail = cap - head - len(elision)
@@ -41,26 +68,35 @@ def artifact_name(identifier: Column, cap: int = 100, head: int = 48, elision: s
     return F.concat(short, F.lit("."), F.substring(F.sha2(identifier, 256), 1, 16), F.lit(".schema.json"))
 
 
+def _placement_problem(document: dict) -> str | None:
+    try:
+        s.check_placement(document)
+    except s.MisplacedMigration as e:
+        return str(e)
+    return None if document.get("$id") else "a frozen document needs an $id"
+
+
 def register(frozen: DataFrame, new: DataFrame) -> DataFrame:
-    """frozen with the documents of new whose identifier it lacks. The same structure again changes nothing; another raises."""
-    joined = new.dropDuplicates(["id", "fingerprint"]).alias("n").join(frozen.alias("f"), "id", "left")
-    clash = joined.filter("f.fingerprint <> n.fingerprint").select("id").first()
-    twice = clash or new.groupBy("id").agg(F.countDistinct("fingerprint").alias("n")).filter("n > 1").select("id").first()
-    if clash or twice:
-        raise RegistryConflict((clash or twice)["id"])
-    for row in new.select("body").collect():  # documents of a few KB, hundreds of them
-        body = json.loads(row["body"])
-        if not body.get("$id"):
-            raise ValueError("a frozen document needs an $id")
-        s.check_placement(body)
+    """frozen with the documents of new whose identifier it lacks. The same structure again changes nothing; another raises.
+
+    Documents are checked where they are; what comes to the driver is the first problem.
+    """
+    old = frozen.select("id", F.col("fingerprint").alias("was"))
+    told = new.groupBy("id").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b")).join(old, "id", "left")
+    clashes = told.filter("a <> b OR a <> was").select("id", F.lit(None).cast("string").alias("problem"))
+    misplaced = new.select("id", _of_bodies(_placement_problem)(F.col("body")).alias("problem")).filter("problem IS NOT NULL")
+    found = clashes.unionByName(misplaced).first()
+    if found and found["problem"]:
+        raise s.MisplacedMigration(found["problem"]) if s.MIGRATE_FROM in found["problem"] else ValueError(found["problem"])
+    if found:
+        raise RegistryConflict(found["id"])
     return frozen.unionByName(new.dropDuplicates(["id"]).join(frozen, "id", "left_anti").select(*frozen.columns))
 
 
 def chain(*tiers: DataFrame) -> DataFrame:
-    """The tiers' rows by id, the first tier that has it winning; a column `tier` tells which."""
-    numbered = [t.withColumn("tier", F.lit(i)) for i, t in enumerate(tiers)]
-    first = Window.partitionBy("id").orderBy("tier")
-    return reduce(DataFrame.unionByName, numbered).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    """The tiers' rows by id, the first tier that has it winning; a column `tier` tells which. Combined before the shuffle."""
+    rows = reduce(DataFrame.unionByName, [t.withColumn("tier", F.lit(i)) for i, t in enumerate(tiers)])
+    return rows.groupBy("id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "id"]), "tier").alias("_first")).select("id", "_first.*").select(*rows.columns)
 
 
 def union_of_sources(*sources: DataFrame, key: str = "class_name") -> DataFrame:
@@ -75,19 +111,23 @@ def versions(frozen: DataFrame, stem: str) -> DataFrame:
 
 
 def compare(mine: DataFrame, other: DataFrame, key: str = "id") -> DataFrame:
-    """Rows (key, status): missing from other, orphaned in other, drifted or same."""
-    a, b = mine.select(key, F.col("fingerprint").alias("a")), other.select(key, F.col("fingerprint").alias("b"))
-    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "orphaned").when(F.col("a") != F.col("b"), "drifted").otherwise("same")
+    """Rows (key, status): missing from other, orphaned in other, drifted or same. A row without a fingerprint is there all the same."""
+    a = mine.select(key, F.col("fingerprint").alias("a"), F.lit(True).alias("in_a"))
+    b = other.select(key, F.col("fingerprint").alias("b"), F.lit(True).alias("in_b"))
+    status = F.when(F.col("in_b").isNull(), "missing").when(F.col("in_a").isNull(), "orphaned").when(F.col("a").eqNullSafe(F.col("b")), "same").otherwise("drifted")
     return a.join(b, key, "full_outer").select(key, status.alias("status"))
 
 
 def drift(current: DataFrame, frozen: DataFrame) -> DataFrame:
-    """Rows (id, status): checked, unfrozen, refreezable or drifted. Inert changes are judged on the few that differ."""
-    @F.udf("string")
-    def judge(identifier: str, old: str, new: str) -> str:
-        old, new = json.loads(old), json.loads(new)
-        inert = (s.version_of(identifier) == 1 and s.only_defaults_added(old, new)) or s.only_optional_removed(old, new)
-        return "refreezable" if inert else "drifted"
+    """Rows (id, status): checked, unfrozen, refreezable or drifted. Changes are judged in Arrow batches, on the documents that differ."""
+    @F.pandas_udf("string")
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ids, olds, news in batches:
+            out = []
+            for identifier, old, new in zip(ids, map(json.loads, olds), map(json.loads, news), strict=True):
+                inert = (s.version_of(identifier) == 1 and s.only_defaults_added(old, new)) or s.only_optional_removed(old, new)
+                out.append("refreezable" if inert else "drifted")
+            yield pd.Series(out, dtype=object)
 
     joined = current.alias("c").join(frozen.alias("f"), "id", "left").select("id", F.col("c.fingerprint").alias("a"), F.col("f.fingerprint").alias("b"), F.col("c.body").alias("new"), F.col("f.body").alias("old"))
     differ = joined.filter("a <> b").select("id", judge("id", "old", "new").alias("status"))
@@ -95,6 +135,36 @@ def drift(current: DataFrame, frozen: DataFrame) -> DataFrame:
     return joined.filter("b IS NULL OR a = b").select("id", status.alias("status")).unionByName(differ)
 
 
+def _types(prop: Column, deep: int = 2) -> Column:
+    """A property's accepted types, sorted and distinct; a reference is a type of its own. Unions in unions are read `deep` levels down."""
+    ref, kind = F.try_variant_get(prop, "$['$ref']", "string"), F.try_variant_get(prop, "$.type", "variant")
+    names = F.coalesce(F.try_variant_get(kind, "$", "array<string>"), F.array_compact(F.array(F.try_variant_get(kind, "$", "string"))))
+    if deep:
+        members = F.try_variant_get(prop, "$.anyOf", "array<variant>")
+        names = F.when(members.isNotNull(), F.flatten(F.transform(members, lambda x: _types(x, deep - 1)))).otherwise(names)
+    return F.array_sort(F.array_distinct(F.when(ref.isNotNull(), F.array(F.concat(F.lit("$ref:"), ref))).otherwise(names)))
+
+
+def properties(documents: DataFrame) -> DataFrame:
+    """Rows (id, field, types) of the top-level properties of documents (id, body)."""
+    found = F.try_variant_get(F.try_parse_json("body"), "$.properties", "map<string,variant>")
+    return documents.select("id", F.explode(found).alias("field", "prop")).select("id", "field", _types(F.col("prop")).alias("types"))
+
+
+def diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows (id, field, kind, from, to, breaking) of what two catalogs' documents of the same id differ in: added, dropped, widened, changed.
+
+    Documents that only one of them has are no differences of fields and are left to `compare`.
+    """
+    both = old.select("id").join(new.select("id"), "id").distinct()
+    sides = [properties(x.join(both, "id", "left_semi")) for x in (old, new)]
+    a, b = (x.select("id", "field", F.col("types").alias(name)) for x, name in zip(sides, ("from", "to"), strict=True))
+    wider = F.forall("from", lambda t: F.array_contains("to", t) | ((t == "integer") & F.array_contains("to", "number")))
+    kind = F.when(F.col("from").isNull(), "added").when(F.col("to").isNull(), "dropped").when(wider, "widened").otherwise("changed")
+    changed = a.join(b, ["id", "field"], "full_outer").filter(~F.col("from").eqNullSafe(F.col("to"))).withColumn("kind", kind)
+    return changed.select("id", "field", "kind", "from", "to", F.col("kind").isin("dropped", "changed").alias("breaking"))
+
+
 def freeze(current: DataFrame, frozen: DataFrame) -> DataFrame:
     """The rows of current that are not frozen yet."""
     return current.filter("id IS NOT NULL").join(frozen, "id", "left_anti")
@@ -106,14 +176,21 @@ def path_collisions(written: DataFrame) -> DataFrame:
     return groups.filter("size(g) > 1").select("path", F.transform("g", lambda x: x["class_name"]).alias("classes"))
 
 
+#: Roots are sent to all tasks up to this size, at ROOT_BYTES each; more are joined.
+BROADCAST_BYTES, ROOT_BYTES = 64 << 20, 400
+
+
 def owners(files: DataFrame, roots: DataFrame) -> DataFrame:
-    """Files counted by owner, the largest first; the longest root that a path lies under owns it.
+    """Files counted by owner, the largest first; the longest root that a path lies under owns it, the first by name of several. A null path is nobody's: app.
 
-    Every directory of a path is looked up, so this is an equi-join and not a comparison of all pairs.
+    Every directory of a path is looked up among the roots, so this is an equi-join and not a comparison of all pairs. Roots are
+    made distinct and, where their counted size allows it, sent to all tasks: then a directory that all files share is no hot key.
     """
+    found = roots.groupBy("root").agg(F.min("owner").alias("owner"))
+    if found.count() * ROOT_BYTES <= BROADCAST_BYTES:
+        found = F.broadcast(found)
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    joined = files.select("path", F.explode(above).alias("root")).join(roots, "root")
-    best = joined.groupBy("path").agg(F.max_by("owner", F.length("root")).alias("owner"))
-    named = files.join(best, "path", "left").select(F.coalesce("owner", F.lit("app")).alias("owner"))
-    return named.groupBy("owner").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "owner")
+    listed = files.groupBy("path").agg(F.count("*").alias("n")).select("path", "n", F.explode_outer(F.when(F.col("path").isNotNull(), above)).alias("root"))
+    best = listed.join(found, "root", "left").groupBy("path").agg(F.first("n").alias("n"), F.max_by("owner", F.when(F.col("owner").isNotNull(), F.length("root"))).alias("owner"))
+    return best.groupBy(F.coalesce("owner", F.lit("app")).alias("owner")).agg(F.sum("n").alias("files")).orderBy(F.desc("files"), "owner")

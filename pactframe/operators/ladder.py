@@ -87,7 +87,10 @@ def projected(foreign: Column, target: dict) -> Column | None:
 
 @dataclass
 class Transforms:
-    """Custom transforms by version pair or by name; the last registration wins. Each maps a payload column to one."""
+    """Custom transforms by version pair or by name; the last registration wins.
+
+    Each maps a payload column to one, or is `in_python`: a function of a record as a dict, whose results go to the gate the same way.
+    """
 
     pairs: dict = field(default_factory=dict)
     names: dict = field(default_factory=dict)
@@ -100,6 +103,12 @@ class Transforms:
         self.names[name] = transform
         return self
 
+    @staticmethod
+    def in_python(function: Callable[[dict], dict | None]) -> Callable[[Column], Column]:
+        """A transform from a Python function of one record; it runs in Arrow batches of JSON texts. None abstains."""
+        made = _proposals(PythonRung("", lambda record, old, new: function(record)), {}, {})
+        return lambda stored: p.from_json(made(p.to_json(stored)))
+
     def find(self, old: dict, new: dict) -> Callable | None:
         """The pair's, else that of the first registered name among the target's pins other than llm."""
         pins = [v.get(s.MIGRATE) for v in (new.get("properties") or {}).values()]
@@ -173,7 +182,7 @@ class Ladder:
         ok = gate.accepts(new, candidate, self.formats)
         return ok & self.also(new, candidate) if self.also else ok
 
-    def _result(self, stored: Column, candidates: list[tuple[Rung, Column]], new: dict) -> Column:
+    def _result(self, stored: Column, candidates: list[tuple[Rung | PythonRung, Column]], new: dict) -> Column:
         def row(migrated: Column, rung: Column, confidence: float) -> Column:
             return F.struct(stored.alias("original"), migrated.alias("migrated"), F.lit(rung is None).alias("quarantined"), F.lit(rung).alias("rung"), F.lit(confidence).alias("confidence"))
 
@@ -182,10 +191,17 @@ class Ladder:
             out = F.when(self._accepts(new, candidate), row(candidate, rung.name, rung.confidence)).otherwise(out)
         return out
 
+    def _settled(self, df: DataFrame, stored: Column, proposals: list[tuple[Rung | PythonRung, Column]], new: dict, into: str) -> DataFrame:
+        """df with the column `into`. Candidates are columns for a while: the gate names each many times and it is computed once."""
+        made = {f"_candidate_{k}_of_{into}": c for k, (_, c) in enumerate(proposals)}
+        held = df.withColumns(made | {f"_stored_of_{into}": stored})
+        result = self._result(F.col(f"_stored_of_{into}"), [(rung, F.col(name)) for (rung, _), name in zip(proposals, made, strict=True)], new)
+        return held.withColumn(into, result).drop(*made, f"_stored_of_{into}")
+
     def migrate(self, df: DataFrame, column: str, old: dict, new: dict, into: str = "result") -> DataFrame:
         """df with a struct column of RESULT; column is a payload."""
         native = [(r, c) for r in self.steps if isinstance(r, Rung) and (c := r.propose(F.col(column), old, new)) is not None]
-        settled = df.withColumn(into, self._result(F.col(column), native, new))
+        settled = self._settled(df, F.col(column), native, new, into)
         rest = [r for r in self.steps if isinstance(r, PythonRung)]
         return self._in_python(settled, column, old, new, into, rest) if rest else settled
 
@@ -193,7 +209,7 @@ class Ladder:
         for k, rung in enumerate(rest):
             own, made = df.columns, f"_made_{k}"
             left = df.filter(F.col(f"{into}.quarantined")).withColumn(made, _proposals(rung, old, new)(p.to_json(F.col(column))))
-            tried = left.withColumn(into, self._result(F.col(column), [(rung, p.from_json(F.col(made)))], new))
+            tried = self._settled(left.drop(into), F.col(column), [(rung, p.from_json(F.col(made)))], new, into)
             df = df.filter(~F.col(f"{into}.quarantined")).unionByName(tried.select(*own))
         return df
 
@@ -203,7 +219,7 @@ class Ladder:
             raise ValueError("a projection's target needs an $id")
         foreign, stored = F.col(column), p.as_map(F.col(column))
         candidates = [(Rung("source-projection", structural), projected(foreign, target)), (custom(transforms), custom(transforms).propose(stored, {}, target))]
-        return df.withColumn(into, self._result(stored, [(r, c) for r, c in candidates if c is not None], target))
+        return self._settled(df, stored, [(r, c) for r, c in candidates if c is not None], target, into)
 
 
 def migrate_versions(df: DataFrame, column: str, id_column: str, schemas: dict[str, dict], new: dict, ladder: Ladder) -> DataFrame:

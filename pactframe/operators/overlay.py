@@ -83,83 +83,140 @@ def _matches(x: Column, where: tuple[str | None, str]) -> Column:
     return F.coalesce((p.kind(value) == "string") & (p.text(value) == text), F.lit(False))
 
 
-def _at(v: Column, path: list[tuple[str, Any]], change: Callable[[Column], Column], create: bool) -> Column:
-    """v with `change` made at every place of path; create makes places that a concrete path lacks."""
+def _creatable(path: list[tuple[str, Any]]) -> bool:
+    """Whether a concrete path can be made from nothing: a new list has a place 0 only."""
+    return all(kind == "key" or (kind == "index" and key == 0) for kind, key in path)
+
+
+def _made(path: list[tuple[str, Any]], value: Column) -> Column:
+    for kind, key in reversed(path):
+        value = _object(F.create_map(F.lit(key), value) if kind == "key" else F.array(value))
+    return value
+
+
+def _at(v: Column, path: list[tuple[str, Any]], change: Callable[[Column], Column], new: Column | None = None) -> Column:
+    """v with `change` made at every place of path; where a path's end is missing it is made with `new`, if that is given and can be.
+
+    v is named often, so it has to be cheap: a column or a variable of `let`.
+    """
     if not path:
         return change(v)
     (kind, key), rest = path[0], path[1:]
+    deeper = lambda x: p.let(x, lambda y: _at(y, rest, change, new))
+    fresh = _made(rest, new) if new is not None and _creatable(rest) else None
     if kind == "key":
-        m = p.as_map(v)
-        deeper = lambda x: _at(x, rest, change, create)
-        here = F.map_concat(F.map_filter(m, lambda k, _: k != key), F.create_map(F.lit(key), deeper(p.get(m, key))))
-        if not create:
-            return F.when(p.has(m, key), _object(here)).otherwise(v)
-        fresh = F.create_map(F.lit(key), deeper(F.lit(None).cast("variant")))
-        return F.when(m.isNotNull(), _object(here)).otherwise(_object(fresh))
-    items = p.as_array(v)
-    if kind == "index":
-        changed = F.transform(items, lambda x, i: F.when(i == key, _at(x, rest, change, create)).otherwise(x))
-        if create:
-            changed = F.when(F.size(items) == key, F.concat(items, F.array(_at(F.lit(None).cast("variant"), rest, change, create)))).otherwise(changed)
-    elif kind == "all":
-        fields = p.as_map(v)
-        each = F.transform_values(fields, lambda _, x: _at(x, rest, change, create))
-        changed = F.transform(items, lambda x: _at(x, rest, change, create))
-        return F.when(items.isNotNull(), _object(changed)).when(fields.isNotNull(), _object(each)).otherwise(v)
-    else:
-        changed = F.transform(items, lambda x: F.when(_matches(x, key), _at(x, rest, change, create)).otherwise(x))
-    return F.when(items.isNotNull(), _object(changed)).otherwise(v)
+        def in_object(m: Column) -> Column:
+            put = lambda x: _object(F.map_concat(F.map_filter(m, lambda k, _: k != key), F.create_map(F.lit(key), x)))
+            out = F.when(p.has(m, key), put(deeper(p.get(m, key))))
+            return out.otherwise(v) if fresh is None else out.when(m.isNull(), _object(F.create_map(F.lit(key), fresh))).otherwise(put(fresh))
+
+        return p.let(p.as_map(v), in_object)
+    if kind == "all":
+        fields = lambda m: F.when(m.isNotNull(), _object(F.transform_values(m, lambda _, x: deeper(x)))).otherwise(v)
+        return p.let(p.as_array(v), lambda items: F.when(items.isNotNull(), _object(F.transform(items, deeper))).otherwise(p.let(p.as_map(v), fields)))
+
+    def in_list(items: Column) -> Column:
+        here = (lambda x, i: i == key) if kind == "index" else (lambda x, i: _matches(x, key))
+        out = F.when(items.isNotNull(), _object(F.transform(items, lambda x, i: F.when(here(x, i), deeper(x)).otherwise(x))))
+        if fresh is not None and kind == "index":
+            out = F.when(F.size(items) == key, _object(F.concat(items, F.array(fresh)))).when(items.isNull() & F.lit(key == 0), _object(F.array(fresh))).otherwise(out)
+            return F.coalesce(out, v)
+        return out.otherwise(v)
+
+    return p.let(p.as_array(v), in_list)
 
 
 def _merged(v: Column, patch: Any) -> Column:
     if not isinstance(patch, dict):
         return p.literal(patch)
-    m = p.as_map(v)
-    base = F.coalesce(m, p.literal_map({}))
-    if not patch:
-        return F.when(m.isNotNull(), v).otherwise(p.literal({}))
-    entries = [x for k, sub in patch.items() for x in (F.lit(k), F.when(p.has(base, k), _merged(p.get(base, k), sub)).otherwise(p.literal(sub)))]
-    return _object(F.map_concat(F.map_filter(base, lambda k, _: ~k.isin(list(patch))), F.create_map(*entries)))
+
+    def under(sub: Any) -> Callable[[Column], Column]:
+        return lambda y: _merged(y, sub)
+
+    def into(m: Column) -> Column:
+        if not patch:
+            return F.when(m.isNotNull(), v).otherwise(p.literal({}))
+        base = F.coalesce(m, p.literal_map({}))
+        entries = [x for k, sub in patch.items() for x in (F.lit(k), F.when(p.has(m, k), p.let(p.get(m, k), under(sub))).otherwise(p.literal(sub)))]
+        return _object(F.map_concat(F.map_filter(base, lambda k, _: ~k.isin(list(patch))), F.create_map(*entries)))
+
+    return p.let(p.as_map(v), into)
 
 
 def _without(v: Column, last: tuple[str, Any]) -> Column:
     kind, key = last
     m, items = p.as_map(v), p.as_array(v)
     if kind == "key":
-        return F.when(m.isNotNull(), _object(F.map_filter(m, lambda k, _: k != key))).otherwise(v)
+        return F.coalesce(_object(F.map_filter(m, lambda k, _: k != key)), v)
     if kind == "index":
         left = F.filter(items, lambda x, i: i != key)
     elif kind == "all":
         return F.when(items.isNotNull(), p.literal([])).when(m.isNotNull(), p.literal({})).otherwise(v)
     else:
         left = F.filter(items, lambda x: ~_matches(x, key))
-    return F.when(items.isNotNull(), _object(left)).otherwise(v)
+    return F.coalesce(_object(left), v)
 
 
 def act(v: Column, action: Action) -> Column:
     path = steps(action.target)
     if action.operation == "override":
-        return _at(v, path, lambda _: p.literal(action.value), create=action.concrete)
+        value = p.literal(action.value)
+        return _at(v, path, lambda _: value, value if action.concrete else None)
     if action.operation == "merge":
-        return _at(v, path, lambda x: _merged(x, action.value), create=False)
-    return _at(v, path[:-1], lambda x: _without(x, path[-1]), create=False) if path else p.literal(None)
+        return _at(v, path, lambda x: _merged(x, action.value))
+    return _at(v, path[:-1], lambda x: _without(x, path[-1])) if path else p.literal(None)
 
 
 def apply(v: Column, documents: list[dict]) -> Column:
-    """v, a VARIANT, after all actions of all documents, in order."""
-    return reduce(act, [a for d in documents for a in parse_document(d)], v)
+    """v, a VARIANT, after all actions of all documents, in order: a fold over the actions' numbers, so the plan grows with their number alone."""
+    actions = [a for d in documents for a in parse_document(d)]
+    if not actions:
+        return v
+
+    def one(state: Column, number: Column) -> Column:
+        return reduce(lambda out, a: out.when(number == a[0], act(state, a[1])), enumerate(actions[1:], 1), F.when(number == 0, act(state, actions[0])))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(actions) - 1)), v, one)
+
+
+class OverlayRegistry:
+    """Overlay documents by key. A key holds its documents in order; registering it again replaces them."""
+
+    def __init__(self, documents: dict[str, list[dict]] | None = None):
+        self._documents: dict[str, list[dict]] = {}
+        for key, found in (documents or {}).items():
+            self.register(key, *found)
 
+    def register(self, key: str, *documents: dict) -> OverlayRegistry:
+        for d in documents:
+            parse_document(d)
+        self._documents[key] = list(documents)
+        return self
 
-def apply_by_keys(v: Column, keys: Column, registry: dict[str, list[dict]]) -> Column:
+    def has(self, key: str) -> bool:
+        return key in self._documents
+
+    def documents_for(self, key: str) -> list[dict]:
+        return list(self._documents.get(key, ()))
+
+    def stack_for(self, *keys: str) -> list[dict]:
+        """The documents of all keys, in the keys' order; unknown keys are passed over."""
+        return [d for k in keys for d in self.documents_for(k)]
+
+    def keys(self) -> list[str]:
+        return list(self._documents)
+
+
+def apply_by_keys(v: Column, keys: Column, registry: OverlayRegistry | dict[str, list[dict]]) -> Column:
     """v after the documents of each of the row's keys, in the keys' order; unknown keys are passed over.
 
     The registry is plan-time data, so the fold over a row's keys is an aggregate with one branch per key.
     """
+    known = registry if isinstance(registry, OverlayRegistry) else OverlayRegistry(registry)
+
     def one(state: Column, key: Column) -> Column:
-        out = state
-        for name, documents in registry.items():
-            out = F.when(key == name, apply(state, documents)).otherwise(out)
-        return out
+        branches = [(name, apply(state, known.documents_for(name))) for name in known.keys()]
+        return reduce(lambda out, b: F.when(key == b[0], b[1]).otherwise(out), branches, state)
 
     return F.aggregate(keys, v, one)
 
@@ -207,14 +264,15 @@ def _walk(x: Any, path: list[tuple[str, Any]], change: Callable[[Any], Any], cre
         return change(x)
     (kind, key), rest = path[0], path[1:]
     deeper = lambda y: _walk(y, rest, change, create)
+    makes = create and _creatable(rest)
     if kind == "key":
-        if isinstance(x, dict) and (key in x or create):
+        if isinstance(x, dict) and (key in x or makes):
             return x | {key: deeper(x.get(key))}
-        return {key: deeper(None)} if create and not isinstance(x, dict) else x
+        return {key: deeper(None)} if makes and not isinstance(x, dict) else x
     if kind == "all" and isinstance(x, dict):
         return {k: deeper(v) for k, v in x.items()}
     if not isinstance(x, list):
-        return [deeper(None)] if create and kind == "index" and key == 0 else x
-    if kind == "index" and create and key == len(x):
+        return [deeper(None)] if makes and kind == "index" and key == 0 else x
+    if kind == "index" and makes and key == len(x):
         return [*x, deeper(None)]
     return [deeper(v) if kind == "all" or (kind == "index" and i == key) or (kind == "where" and _hit(v, key)) else v for i, v in enumerate(x)]

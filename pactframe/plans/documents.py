@@ -6,9 +6,14 @@ import hashlib
 import json
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
+from itertools import groupby
 from typing import Any
 from urllib.parse import urlsplit
 
+from . import schemas as s
+
+# The printed form's width and indent.
 WIDTH, INDENT = 80, "    "
 NAME = re.compile("[A-Za-z_][A-Za-z0-9_]*")
 
@@ -24,129 +29,133 @@ def local_key(ref: str) -> str:
     return (urlsplit(ref).path or ref).replace("/", "_").strip("_")
 
 
+def _less(body: dict, *words: str) -> dict:
+    return {k: v for k, v in body.items() if k not in words}
+
+
 def dereference(document: dict, registry: dict[str, dict] | None = None) -> dict:
     """document with every known reference replaced by what it refers to, behind which its other keywords stand.
 
     What refers to itself stays a reference, to a definition kept under $defs.
     """
     own = document.get("$defs") or {}
-    known = dict(registry or {})
-    for key, body in own.items():
-        known |= {f"#/$defs/{key}": body} | ({body["$id"]: body} if "$id" in body else {})
-    waiting: dict[str, dict] = {}
-
-    def bare(body: dict) -> dict:
-        return {k: v for k, v in body.items() if k not in ("$id", "$schema", "$defs")}
-
-    def walk(node: Any, open_refs: tuple[str, ...]) -> Any:
-        if isinstance(node, list):
-            return [walk(x, open_refs) for x in node]
-        if not isinstance(node, dict):
-            return node
-        ref = node.get("$ref")
-        if not isinstance(ref, str):
-            return {k: walk(v, open_refs) for k, v in node.items()}
-        if ref not in known:
-            return node
-        if ref in open_refs:
-            waiting.setdefault(local_key(ref), known[ref])
-            return {"$ref": f"#/$defs/{local_key(ref)}"}
-        beside = {k: v for k, v in node.items() if k != "$ref"}
-        return beside | walk(bare(known[ref]), (*open_refs, ref))
-
-    out, kept = walk({k: v for k, v in document.items() if k != "$defs"}, ()), {}
-    while set(waiting) - set(kept):
-        for key in list(waiting):
-            if key not in kept:
-                kept[key] = walk(bare(waiting[key]), ())
-    return out | ({"$defs": kept} if kept else {})
-
-
-def component_name(key: str, body: dict) -> str:
-    """A definition's key if it is an identifier, else its title if that is one, else a hash of the key."""
-    for name in (key, body.get("title")):
-        if isinstance(name, str) and NAME.fullmatch(name):
-            return name
-    return f"Schema_{hashlib.sha256(key.encode()).hexdigest()}"
+    known = dict(registry or {}) | {f"#/$defs/{k}": d for k, d in own.items()} | {d["$id"]: d for d in own.values() if "$id" in d}
+    kept: dict[str, str] = {}
+
+    def inlined(body: dict, inside: frozenset[str]) -> Any:
+        def instead(ref: str, beside: dict) -> dict:
+            if ref not in known:
+                return {"$ref": ref} | beside
+            if ref in inside:
+                kept.setdefault(local_key(ref), ref)
+                return {"$ref": f"#/$defs/{local_key(ref)}"}
+            return beside | inlined(_less(known[ref], "$id", "$schema", "$defs"), inside | {ref})
+
+        return s.references_mapped(body, instead)
+
+    out, defs = inlined(_less(document, "$defs"), frozenset()), {}
+    while missing := [k for k in kept if k not in defs]:
+        defs |= {k: inlined(_less(known[kept[k]], "$id", "$schema", "$defs"), frozenset()) for k in missing}
+    return out | ({"$defs": defs} if defs else {})
+
+
+@dataclass(frozen=True)
+class Component:
+    """A definition on its way to another document: its key, what identifies it, its name there."""
+
+    key: str
+    identity: str
+    name: str
+    body: dict
+
+    @classmethod
+    def of(cls, key: str, body: dict) -> Component:
+        names = [n for n in (key, body.get("title")) if isinstance(n, str) and NAME.fullmatch(n)]
+        return cls(key, body.get("$id", key), (names or [f"Schema_{hashlib.sha256(key.encode()).hexdigest()}"])[0], _less(body, "$id", "$schema"))
+
+    @property
+    def spellings(self) -> set[str]:
+        return {self.key, self.identity, f"#/$defs/{s.escaped(self.key)}"}
 
 
 def to_openapi(document: dict) -> dict:
     """document with its $defs as components/schemas and its references following them."""
-    own = document.get("$defs") or {}
-    moved = {}
-    for key, body in own.items():
-        target = f"#/components/schemas/{component_name(key, body)}"
-        pointer = key.replace("~", "~0").replace("/", "~1")
-        moved |= dict.fromkeys([f"#/$defs/{pointer}", key, *([body["$id"]] if "$id" in body else [])], target)
-
-    def walk(node: Any) -> Any:
-        if isinstance(node, list):
-            return [walk(x) for x in node]
-        if not isinstance(node, dict):
-            return node
-        return {k: moved.get(v, v.replace("#/$defs/", "#/components/schemas/", 1) if v.startswith("#/$defs/") else v) if k == "$ref" and isinstance(v, str) else walk(v) for k, v in node.items()}
-
-    components, owners = {}, {}
-    for key, body in own.items():
-        name, identity = component_name(key, body), body.get("$id", key)
-        made = {k: v for k, v in walk(body).items() if k not in ("$id", "$schema")}
-        if name in components and (owners[name] != identity or components[name] != made):
+    found = [Component.of(key, body) for key, body in (document.get("$defs") or {}).items()]
+    at = {spelling: f"#/components/schemas/{c.name}" for c in found for spelling in c.spellings}
+
+    def moved(body: Any) -> Any:
+        return s.references_mapped(body, lambda ref, beside: {"$ref": at.get(ref, re.sub(r"^#/\$defs/", "#/components/schemas/", ref))} | {k: moved(v) for k, v in beside.items()})
+
+    made = [(c.name, c.identity, moved(c.body)) for c in found]
+    for name, same in groupby(sorted(made, key=lambda m: m[0]), key=lambda m: m[0]):
+        if len({(identity, compact(body)) for _, identity, body in same}) > 1:
             raise NameCollision(name)
-        components[name], owners[name] = made, identity
-    out = walk({k: v for k, v in document.items() if k != "$defs"})
-    return out | ({"components": {"schemas": components}} if own else {})
+    return moved(_less(document, "$defs")) | ({"components": {"schemas": {name: body for name, _, body in made}}} if found else {})
 
 
 def compact(value: Any) -> str:
     return json.dumps(value, separators=(",", ":"))
 
 
-def _scalar(value: Any) -> str:
-    return json.dumps(value)
-
-
-def _one_line(items: list) -> str | None:
-    """A list on one line; None for one that holds a filled object or is a matrix of lists with two items or more."""
-    if len(items) > 1 and all(isinstance(x, list) and len(x) > 1 for x in items):
-        return None
-    parts = [("{}" if not x else None) if isinstance(x, dict) else _one_line(x) if isinstance(x, list) else _scalar(x) for x in items]
-    return None if None in parts else f"[{', '.join(parts)}]"
-
-
-def _filled(cells: list[str], indent: str) -> list[str]:
-    rows: list[str] = []
-    for cell in cells:
-        if rows and len(f"{rows[-1]} {cell}") <= WIDTH:
-            rows[-1] += f" {cell}"
-        else:
-            rows.append(indent + cell)
-    return rows
-
-
-def _pretty(value: Any, indent: str, lead: int, tail: int) -> str:
-    inner = indent + INDENT
-    commas = [","] * (len(value) - 1) + [""] if isinstance(value, (dict, list)) and value else []
-    if isinstance(value, dict):
-        if not value:
-            return "{}"
-        heads = [f"{inner}{_scalar(str(k))}: " for k in value]
-        lines = [h + _pretty(v, inner, len(h), len(c)) + c for h, v, c in zip(heads, value.values(), commas, strict=True)]
-        return "\n".join(["{", *lines, indent + "}"])
-    if not isinstance(value, list):
-        return _scalar(value)
-    flat = _one_line(value)
-    if flat is not None and lead + len(flat) + tail <= WIDTH:
-        return flat
-    if all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in value):
-        lines = _filled([_scalar(x) + c for x, c in zip(value, commas, strict=True)], inner)
-    else:
-        lines = [inner + _pretty(x, inner, len(inner), len(c)) + c for x, c in zip(value, commas, strict=True)]
-    return "\n".join(["[", *lines, indent + "]"])
+@dataclass(frozen=True)
+class Group:
+    """Cells between brackets, each with a head. rows: a line each. flat: one line if it has room. fill: the same, else as many on a line as fit."""
+
+    brackets: str
+    cells: list[tuple[str, str | Group]]
+    style: str
+
+    @property
+    def flat(self) -> str:
+        return self.brackets[0] + ", ".join(head + (c if isinstance(c, str) else c.flat) for head, c in self.cells) + self.brackets[1]
+
+
+def _number(value: Any) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
+def grouped(value: Any) -> str | Group:
+    if isinstance(value, dict) and value:
+        return Group("{}", [(f"{json.dumps(str(k))}: ", grouped(v)) for k, v in value.items()], "rows")
+    if not isinstance(value, list) or not value:
+        return json.dumps(value)
+    cells = [("", grouped(x)) for x in value]
+    matrix = len(value) > 1 and all(isinstance(x, list) and len(x) > 1 for x in value)
+    broken = matrix or any(isinstance(c, Group) and c.style == "rows" for _, c in cells)
+    return Group("[]", cells, "rows" if broken else "fill" if all(map(_number, value)) else "flat")
+
+
+class Page:
+    """Lines of text; the last one is still open."""
+
+    def __init__(self):
+        self.lines = [""]
+
+    def has_room(self, text: str) -> bool:
+        return len(self.lines[-1]) + len(text) <= WIDTH
+
+    def put(self, cell: str | Group, depth: int, then: str = "") -> None:
+        """Writes cell, which `then` follows on the same line."""
+        text = cell if isinstance(cell, str) else cell.flat + then if cell.style != "rows" else None
+        if isinstance(cell, str) or (text and self.has_room(text)):
+            self.lines[-1] += cell + then if isinstance(cell, str) else text
+            return
+        self.lines[-1] += cell.brackets[0]
+        for left, (head, inner) in zip(range(len(cell.cells) - 1, -1, -1), cell.cells, strict=True):
+            comma = "," if left else ""
+            if cell.style == "fill" and self.lines[-1][-1] == "," and self.has_room(f" {inner}{comma}"):
+                self.lines[-1] += f" {inner}{comma}"
+            else:
+                self.lines.append(INDENT * (depth + 1) + head)
+                self.put(inner, depth + 1, comma)
+        self.lines.append(INDENT * depth + cell.brackets[1] + then)
 
 
 def pretty(value: Any) -> str:
     """The canonical printed form: four spaces, objects one member a line, lists on one line up to 80 columns."""
-    return _pretty(value, "", 0, 0) + "\n"
+    page = Page()
+    page.put(grouped(value), 0)
+    return "\n".join(page.lines) + "\n"
 
 
 def output_path(name: str, folder: str, structure: str | Callable[[str, str], str] = "namespace") -> str:

@@ -5,39 +5,84 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable, Iterator
 from typing import Any
 from urllib.parse import urlsplit
 
-#: Keys that describe a schema and leave its structure alone.
+# Keys that describe a schema and leave its structure alone; the words of migrations.
 VOLATILE = {"examples", "example", "description", "title", "$comment", "$id", "$schema"}
-MIGRATE_FROM, MIGRATE, SOURCE = "x-migrate-from", "x-migrate", "x-source"
-#: Keywords that hold a map of schemas, a schema, or a list of schemas.
+MIGRATE_FROM, MIGRATE, SOURCE, OPTIONAL = "x-migrate-from", "x-migrate", "x-source", "x-optional"
+# Keywords that hold a map of schemas, a schema, or a list of schemas.
 MAPS = ("properties", "patternProperties", "$defs", "definitions", "dependentSchemas")
 SINGLES = ("items", "additionalProperties", "unevaluatedProperties", "unevaluatedItems", "contains", "propertyNames", "not", "if", "then", "else", "contentSchema")
 LISTS = ("allOf", "anyOf", "oneOf", "prefixItems")
 NULL = {"type": "null"}
+#: What stands under a schema's keyword; all else in a document is data.
+_UNDER = dict.fromkeys(MAPS, "map") | dict.fromkeys(LISTS, "list") | dict.fromkeys(SINGLES, "schema")
+
+
+def escaped(key: str) -> str:
+    """A key as a step of a JSON pointer."""
+    return key.replace("~", "~0").replace("/", "~1")
+
+
+def children(node: Any, place: str) -> list[tuple[Any, Any, str]]:
+    """The (key or index, value, place) of what node holds; a place is schema, map, list or data."""
+    if isinstance(node, dict):
+        return [(k, v, "schema" if place == "map" else _UNDER.get(k, "data") if place == "schema" else "data") for k, v in node.items()]
+    if isinstance(node, list):
+        return [(i, v, "schema" if place == "list" else "data") for i, v in enumerate(node)]
+    return []
+
+
+def nodes(node: Any, pointer: str = "", place: str = "schema") -> Iterator[tuple[str, dict, str]]:
+    """Every object of a document with its JSON pointer and its place."""
+    if isinstance(node, dict):
+        yield pointer, node, place
+    for key, value, under in children(node, place):
+        yield from nodes(value, f"{pointer}/{escaped(str(key))}", under)
+
+
+def references_mapped(node: Any, change: Callable[[str, dict], Any]) -> Any:
+    """node with change(reference, the keywords beside it) for every object that holds a text $ref."""
+    if isinstance(node, list):
+        return [references_mapped(x, change) for x in node]
+    if not isinstance(node, dict):
+        return node
+    if isinstance(node.get("$ref"), str):
+        return change(node["$ref"], {k: v for k, v in node.items() if k != "$ref"})
+    return {k: references_mapped(v, change) for k, v in node.items()}
+
+
+def _and_null(values: list, null: Any) -> list:
+    return values if null in values else [*values, null]
+
+
+def _null_type(schema: dict) -> dict:
+    types = schema.get("type")
+    return schema | {"type": "null" if types is None else _and_null(types if isinstance(types, list) else [types], "null")}
+
+
+def _wide_enum(schema: dict) -> dict:
+    return schema | {"enum": _and_null(schema["enum"], None)} if isinstance(schema.get("enum"), list) else schema
+
+
+#: How a schema that may be null says so: the first row whose keyword it has.
+_SAYS_NULL: tuple[tuple[str, Callable[[dict], dict]], ...] = (
+    ("not", lambda s: {"anyOf": [s, NULL]}),
+    ("$ref", lambda s: {"anyOf": [{"$ref": s["$ref"]}, NULL]} | {k: v for k, v in _wide_enum(s).items() if k != "$ref"}),
+    ("anyOf", lambda s: _wide_enum(s) | {"anyOf": _and_null(s["anyOf"], NULL)}),
+    ("", lambda s: _null_type(_wide_enum(s))),
+)
 
 
 def fold_nullable(node: dict) -> dict:
     """A boolean `nullable` written as the type, enum or union that says the same."""
-    if not isinstance(node.get("nullable"), bool):
+    says = node.get("nullable")
+    if not isinstance(says, bool):
         return node
     rest = {k: v for k, v in node.items() if k != "nullable"}
-    if not node["nullable"]:
-        return rest
-    if rest.get("not") is not None:
-        return {"anyOf": [rest, NULL]}
-    if isinstance(rest.get("enum"), list) and None not in rest["enum"]:
-        rest["enum"] = [*rest["enum"], None]
-    if rest.get("$ref") is not None:
-        return {"anyOf": [{"$ref": rest.pop("$ref")}, NULL], **rest}
-    if isinstance(rest.get("anyOf"), list):
-        return rest | {"anyOf": rest["anyOf"] if NULL in rest["anyOf"] else [*rest["anyOf"], NULL]}
-    types = rest.get("type")
-    if types is None:
-        return rest | {"type": "null"}
-    types = types if isinstance(types, list) else [types]
-    return rest | {"type": types if "null" in types else [*types, "null"]}
+    return next(write for word, write in _SAYS_NULL if not word or rest.get(word) is not None)(rest) if says else rest
 
 
 def canonical(node: Any, exclude: set[str] | frozenset[str] = frozenset(VOLATILE)) -> Any:
@@ -50,42 +95,31 @@ def canonical(node: Any, exclude: set[str] | frozenset[str] = frozenset(VOLATILE
     return node
 
 
+def _written(canonical_node: Any) -> str:
+    return json.dumps(canonical_node, ensure_ascii=False, separators=(",", ":"))
+
+
 def fingerprint(schema: dict, exclude: set[str] | frozenset[str] = frozenset(VOLATILE)) -> str:
-    return hashlib.sha256(json.dumps(canonical(schema, exclude), ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    return hashlib.sha256(_written(canonical(schema, exclude)).encode()).hexdigest()
+
+
+def _without(more: Any, less: Any, word: str, places: tuple[str, ...], place: str = "schema") -> Any:
+    """more without the keyword `word`, at these places, where less does not have it in the same position."""
+    other = dict(enumerate(less)) if isinstance(less, list) else less if isinstance(less, dict) else {}
+    left = [(k, _without(v, other.get(k), word, places, under)) for k, v, under in children(more, place) if not (k == word and place in places and k not in other)]
+    return dict(left) if isinstance(more, dict) else [v for _, v in left] if isinstance(more, list) else more
 
 
 def only_defaults_added(frozen: Any, current: Any) -> bool:
     """Whether current is frozen with further `default` keywords and nothing else."""
-    def walk(a: Any, b: Any) -> bool:
-        if isinstance(a, dict) and isinstance(b, dict):
-            return a.keys() <= b.keys() and b.keys() - a.keys() <= {"default"} and all(walk(a[k], b[k]) for k in a)
-        if isinstance(a, list) and isinstance(b, list):
-            return len(a) == len(b) and all(map(walk, a, b))
-        return a == b and type(a) is type(b)
-
-    return walk(canonical(frozen), canonical(current))
+    old, new = canonical(frozen), canonical(current)
+    return _written(_without(new, old, "default", ("schema", "map", "list", "data"))) == _written(old)
 
 
 def only_optional_removed(frozen: Any, current: Any) -> bool:
     """Whether current is frozen less `x-optional` keywords in schema positions."""
-    def walk(a: Any, b: Any, where: str) -> bool:
-        if isinstance(a, dict) and isinstance(b, dict):
-            lost = a.keys() - b.keys()
-            if b.keys() - a.keys() or (lost and not (where == "schema" and lost == {"x-optional"})):
-                return False
-            return all(walk(a[k], b[k], inner(where, k)) for k in b)
-        if isinstance(a, list) and isinstance(b, list):
-            return len(a) == len(b) and all(walk(x, y, "schema" if where == "list" else "data") for x, y in zip(a, b, strict=True))
-        return a == b and type(a) is type(b)
-
-    def inner(where: str, key: str) -> str:
-        if where == "map":
-            return "schema"
-        if where != "schema":
-            return "data"
-        return "map" if key in MAPS else "list" if key in LISTS else "schema" if key in SINGLES else "data"
-
-    return walk(canonical(frozen), canonical(current), "schema")
+    old, new = canonical(frozen), canonical(current)
+    return _written(_without(old, new, OPTIONAL, ("schema",))) == _written(new)
 
 
 def types_of(prop: dict) -> list[str]:
@@ -161,7 +195,11 @@ def resolve_id(ref: str, base_uri: str | bool | None) -> str:
     return f"{str(base_uri).rstrip('/')}/{ref.lstrip('/')}"
 
 
-def artifact_name(identifier: str, cap: int = 100, head: int = 48, elision: str = "--") -> str:
+# The longest slug of a file name, the part of it that stays in front, and what stands for the rest.
+SLUG, HEAD, ELISION = 100, 48, "--"
+
+
+def artifact_name(identifier: str, cap: int = SLUG, head: int = HEAD, elision: str = ELISION) -> str:
     """The file name of a frozen document: a readable slug and the start of the identifier's hash."""
     slug = re.sub("[^A-Za-z0-9]+", "-", identifier).strip("-")
     if len(slug) > cap:
@@ -175,36 +213,21 @@ class MisplacedMigration(ValueError):
 
 def check_placement(schema: dict) -> None:
     """Renames are declared on root properties only; raises with a JSON pointer to any other."""
-    def walk(node: Any, pointer: str, allowed: bool) -> None:
-        if not isinstance(node, dict):
-            return
-        if MIGRATE_FROM in node and not allowed:
+    for pointer, node, place in nodes(schema):
+        if place == "schema" and MIGRATE_FROM in node and not re.fullmatch("/properties/[^/]*", pointer):
             raise MisplacedMigration(f"{MIGRATE_FROM} is for root properties only, not {pointer}/{MIGRATE_FROM}")
-        for word in MAPS:
-            for key, sub in (node.get(word) or {}).items() if isinstance(node.get(word), dict) else ():
-                walk(sub, f"{pointer}/{word}/{key.replace('~', '~0').replace('/', '~1')}", pointer == "" and word == "properties")
-        for word in SINGLES:
-            walk(node.get(word), f"{pointer}/{word}", False)
-        for word in LISTS:
-            for i, sub in enumerate(node[word] if isinstance(node.get(word), list) else ()):
-                walk(sub, f"{pointer}/{word}/{i}", False)
-
-    walk(schema, "", False)
 
 
 def references(node: Any) -> list[str]:
     """The absolute references in a document, in order, each once."""
-    found: dict[str, None] = {}
+    return list(dict.fromkeys(n["$ref"] for _, n, _ in nodes(node) if isinstance(n.get("$ref"), str) and "://" in n["$ref"]))
 
-    def walk(x: Any) -> None:
-        for key, value in x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ():
-            if key == "$ref" and isinstance(value, str) and "://" in value:
-                found[value] = None
-            else:
-                walk(value)
 
-    walk(node)
-    return list(found)
+def unresolvable(document: dict, registry: dict[str, dict] | None = None) -> list[str]:
+    """The absolute references of a document and of what it refers to that neither it nor the registry has."""
+    made = bundle(document, registry)
+    known = {d["$id"] for _, d, _ in nodes(made) if isinstance(d.get("$id"), str)} | set(made.get("$defs") or {})
+    return [r for r in references(made) if r not in known]
 
 
 def bundle(document: dict, registry: dict[str, dict] | None = None) -> dict:

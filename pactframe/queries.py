@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +45,12 @@ def _number(column: str, key: str, to: str = "double"):
     return p.number(p.get(F.col(column), key)).cast(to).alias(key)
 
 
+def _gated(df: DataFrame, schema: dict, keys: list[str], *names: str) -> DataFrame:
+    """keys and whether the columns of these names, as a payload, are accepted."""
+    rows = df.select(*keys, p.from_frame(df, *names).alias("_payload"))
+    return rows.select(*keys, gate.accepts(schema, F.col("_payload")).alias("accepted"))
+
+
 EVENT = _object({
     "kind": {"type": "string", "minLength": 5, "x-source": {"path": "event_type", "cast": "trim"}},
     "k": {"type": "integer", "x-source": {"path": "props.k", "cast": "int", "default": -1}},
@@ -89,7 +94,8 @@ ORDER_2 = _object({**ORDER_1["properties"], "currency": {"type": "string", "defa
 
 @query("SELECT o_orderkey, 'structural' AS rung, o_orderstatus, o_totalprice, 'EUR' AS currency, 0 AS tags FROM orders")
 def structural_add_default_orders(spark, sf_dir):
-    rows = _table(spark, sf_dir, "orders").select("o_orderkey", p.from_columns("o_orderkey", "o_orderstatus", "o_totalprice").alias("payload"))
+    orders = _table(spark, sf_dir, "orders")
+    rows = orders.select("o_orderkey", p.from_frame(orders, "o_orderkey", "o_orderstatus", "o_totalprice").alias("payload"))
     out = ladder.Ladder.default().migrate(rows, "payload", ORDER_1, ORDER_2).select("o_orderkey", "result.*")
     return out.select("o_orderkey", "rung", _text("migrated", "o_orderstatus"), _number("migrated", "o_totalprice"), _text("migrated", "currency"), F.size(p.as_array(p.get(F.col("migrated"), "tags"))).alias("tags"))
 
@@ -101,7 +107,8 @@ LINE_2 = _object({k: {"type": "number"} for k in ("l_orderkey", "l_linenumber",
 @query("SELECT l_orderkey, l_linenumber, l_quantity, 3 AS n_keys, 'structural' AS rung FROM lineitem")
 def structural_drop_lineitem(spark, sf_dir):
     names = list(LINE_1["properties"])
-    rows = _table(spark, sf_dir, "lineitem").select(p.from_columns(*names).alias("payload"))
+    lines = _table(spark, sf_dir, "lineitem")
+    rows = lines.select(p.from_frame(lines, *names).alias("payload"))
     out = ladder.Ladder.default().migrate(rows, "payload", LINE_1, LINE_2).select("result.*")
     return out.select(_number("migrated", "l_orderkey", "bigint"), _number("migrated", "l_linenumber", "int"), _number("migrated", "l_quantity"), F.size("migrated").alias("n_keys"), "rung")
 
@@ -114,7 +121,8 @@ PART_2 = _object({"p_partkey": {"type": "integer"}, "p_size": {"type": "number",
 SELECT p_partkey, p_size > 40 AS quarantined, CASE WHEN p_size <= 40 THEN p_size::DOUBLE END AS p_size, CASE WHEN p_size <= 40 THEN '' END AS colour,
   CASE WHEN p_size <= 40 THEN 0::DOUBLE END AS stock, CASE WHEN p_size <= 40 THEN '{}' END AS box FROM part""")
 def structural_widen_part(spark, sf_dir):
-    rows = _table(spark, sf_dir, "part").select("p_partkey", p.from_columns("p_partkey", "p_size").alias("payload"))
+    part = _table(spark, sf_dir, "part")
+    rows = part.select("p_partkey", p.from_frame(part, "p_partkey", "p_size").alias("payload"))
     out = ladder.Ladder.default().migrate(rows, "payload", PART_1, PART_2).select("p_partkey", "result.*")
     return out.select("p_partkey", "quarantined", _number("migrated", "p_size"), _text("migrated", "colour"), _number("migrated", "stock"), F.to_json(p.get(F.col("migrated"), "box")).alias("box"))
 
@@ -159,7 +167,8 @@ def ladder_rung_counts(spark, sf_dir):
 def _renamed(spark, sf_dir, name: str, columns: list[str], renames: dict[str, str]) -> DataFrame:
     old = _object({c: {} for c in columns})
     new = _object({k: ({"x-migrate-from": renames[k]} if k in renames else {}) for k in dict.fromkeys([*(c for c in columns if c not in renames.values()), *renames])})
-    rows = _table(spark, sf_dir, name).select(p.from_columns(*columns).alias("payload"))
+    found = _table(spark, sf_dir, name)
+    rows = found.select(p.from_frame(found, *columns).alias("payload"))
     return ladder.Ladder.default().migrate(rows, "payload", old, new).select("result.*")
 
 
@@ -168,7 +177,7 @@ def rename_chain_supplier(spark, sf_dir):
     """a becomes b while b becomes c, at once."""
     rows = _table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("a"), F.col("s_nationkey").alias("b"))
     old, new = _object({"s_suppkey": {}, "a": {}, "b": {}}), _object({"s_suppkey": {}, "b": {"x-migrate-from": "a"}, "c": {"x-migrate-from": "b"}})
-    out = ladder.Ladder.default().migrate(rows.select(p.from_columns("s_suppkey", "a", "b").alias("payload")), "payload", old, new).select("result.*")
+    out = ladder.Ladder.default().migrate(rows.select(p.from_frame(rows).alias("payload")), "payload", old, new).select("result.*")
     return out.select(_number("migrated", "s_suppkey", "bigint"), _text("migrated", "b"), _number("migrated", "c"), "rung")
 
 
@@ -181,27 +190,27 @@ def rename_swap_nation(spark, sf_dir):
 @query("SELECT o_orderkey, o_orderstatus IN ('F', 'O') AND o_totalprice BETWEEN 1000 AND 200000 AS accepted FROM orders")
 def gate_orders_enum(spark, sf_dir):
     schema = _object({"o_orderstatus": {"type": "string", "enum": ["F", "O"]}, "o_totalprice": {"type": "number", "minimum": 1000, "maximum": 200_000}})
-    return _table(spark, sf_dir, "orders").select("o_orderkey", gate.accepts(schema, p.from_columns("o_orderstatus", "o_totalprice")).alias("accepted"))
+    return _gated(_table(spark, sf_dir, "orders"), schema, ["o_orderkey"], "o_orderstatus", "o_totalprice")
 
 
 @query("SELECT count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS quarantined FROM (SELECT l_quantity = floor(l_quantity) AND l_quantity >= 1 AND l_discount <= 0.05 AND l_returnflag <> 'R' AS ok FROM lineitem)")
 def gate_lineitem_range(spark, sf_dir):
     schema = _object({"l_quantity": {"type": "integer", "minimum": 1}, "l_discount": {"maximum": 0.05}, "l_returnflag": {"not": {"const": "R"}}})
-    ok = _table(spark, sf_dir, "lineitem").select(gate.accepts(schema, p.from_columns("l_quantity", "l_discount", "l_returnflag")).alias("ok"))
-    return ok.agg(F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("quarantined"))
+    ok = _gated(_table(spark, sf_dir, "lineitem"), schema, [], "l_quantity", "l_discount", "l_returnflag")
+    return ok.agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("quarantined"))
 
 
 @query("SELECT doc_id, length(text) BETWEEN 100 AND 2000 AND lang IN ('en', 'fr') AS accepted FROM documents")
 def gate_documents_length(spark, sf_dir):
     schema = _object({"text": {"type": "string", "minLength": 100, "maxLength": 2000}, "lang": {"oneOf": [{"const": "en"}, {"const": "fr"}]}})
-    return _table(spark, sf_dir, "documents").select("doc_id", gate.accepts(schema, p.from_columns("text", "lang")).alias("accepted"))
+    return _gated(_table(spark, sf_dir, "documents"), schema, ["doc_id"], "text", "lang")
 
 
 @query("SELECT vec_id, len(embedding) >= 8 AND list_max(embedding) <= 0.45 AS accepted FROM embeddings")
 def gate_embeddings_items(spark, sf_dir):
     schema = _object({"embedding": {"type": "array", "minItems": 8, "items": {"type": "number", "maximum": 0.45}}})
     typed = _table(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    return typed.select("vec_id", gate.accepts(schema, p.from_columns("embedding")).alias("accepted"))
+    return _gated(typed, schema, ["vec_id"], "embedding")
 
 
 def _event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,6 +239,18 @@ def overlay_merge_events(spark, sf_dir):
                       p.number(p.path(F.col("v"), "items.1.n")).alias("y"), p.number(p.path(F.col("v"), "items.0.n")).alias("x"))
 
 
+@query("""
+SELECT event_id, json_extract_string(props, '$.k')::DOUBLE AS k, 'last' AS a, 19::DOUBLE AS n, '["a","z","c"]' AS tags, false AS has_type FROM events""")
+def overlay_order_last_wins(spark, sf_dir):
+    """Two documents of twelve actions in all: each action sees what the ones before made."""
+    first = [{"target": "$.x.a", "override": "first"}, {"target": "$.x", "merge": {"n": 1}}, *[{"target": "$.x.n", "override": 10 + i} for i in range(4)], {"target": "$.type", "unset": True}]
+    second = [{"target": "$.x.n", "override": 19}, {"target": "$.x", "merge": {"a": "last"}}, {"target": "$.tags[1]", "override": "z"}, {"target": "$.tags[9]", "override": "never"}, {"target": "$.props.more", "override": {}}]
+    v = overlay.apply(F.col("v"), [*_overlay(*first), *_overlay(*second)])
+    out = _event_documents(spark, sf_dir).withColumn("v", v)
+    text = lambda at: p.text(p.path(F.col("v"), at))
+    return out.select("event_id", p.number(p.path(F.col("v"), "props.k")).alias("k"), text("x.a").alias("a"), p.number(p.path(F.col("v"), "x.n")).alias("n"), F.to_json(p.path(F.col("v"), "tags")).alias("tags"), p.path(F.col("v"), "type").isNotNull().alias("has_type"))
+
+
 @query("SELECT event_id, false AS has_props, '[\"a\",\"c\"]' AS tags, 1 AS items, 'y' AS id FROM events")
 def overlay_unset_events(spark, sf_dir):
     patch = _overlay({"target": "$.props", "unset": True}, {"target": "$.tags[1]", "unset": True}, {"target": "$.items[?(@.id=='x')]", "unset": True}, {"target": "$.absent.key", "unset": True})
@@ -314,7 +335,8 @@ DROP_BALANCE = lens.Lens("customer-view", get=lambda v: F.map_filter(v, lambda k
 
 @query("SELECT c_custkey, c_name || '!' AS c_name, c_acctbal, true AS get_put, true AS put_get FROM customer")
 def lens_asymmetric_roundtrip(spark, sf_dir):
-    rows = _table(spark, sf_dir, "customer").select("c_custkey", p.from_columns("c_custkey", "c_name", "c_acctbal").alias("prior"))
+    customers = _table(spark, sf_dir, "customer")
+    rows = customers.select("c_custkey", p.from_frame(customers, "c_custkey", "c_name", "c_acctbal").alias("prior"))
     edited = rows.withColumn("view", F.transform_values(DROP_BALANCE.get(F.col("prior")), lambda k, x: F.when(k == "c_name", F.concat(p.text(x), F.lit("!")).cast("variant")).otherwise(x)))
     out = edited.withColumn("put", DROP_BALANCE.put_back(F.col("view"), F.col("prior")))
     return out.select("c_custkey", _text("put", "c_name"), _number("put", "c_acctbal"), DROP_BALANCE.get_put(F.col("prior")).alias("get_put"), DROP_BALANCE.put_get(F.col("view"), F.col("prior")).alias("put_get"))
@@ -323,7 +345,8 @@ def lens_asymmetric_roundtrip(spark, sf_dir):
 @query("SELECT 'lossless' AS fidelity, count(*) AS samples, 'kept' AS lens FROM supplier UNION ALL SELECT 'lossy', count(*), 'lost' FROM supplier UNION ALL SELECT 'lossy', 0, 'none'")
 def lens_certify(spark, sf_dir):
     names = ("s_suppkey", "s_acctbal")
-    rows = _table(spark, sf_dir, "supplier").select(p.from_columns(*names).alias("prior"), p.from_columns("s_suppkey").alias("view"))
+    suppliers = _table(spark, sf_dir, "supplier")
+    rows = suppliers.select(p.from_frame(suppliers, *names).alias("prior"), p.from_frame(suppliers, "s_suppkey").alias("view"))
     drop = lambda v: F.map_filter(v, lambda k, _: k != "s_acctbal")
     kept = lens.Lens("kept", get=drop, put=lambda v, prior, c: F.map_concat(v, c), complement=lambda prior: F.map_filter(prior, lambda k, _: k == "s_acctbal"))
     lost = lens.Lens("lost", get=drop)
@@ -335,32 +358,42 @@ def lens_certify(spark, sf_dir):
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
-@query(None)
+def _document(*properties: tuple[str, object]) -> object:
+    """A schema document as a JSON text for each row; a property's schema is a text, or null for no property."""
+    entries = [F.when(F.lit(True) if isinstance(x, str) else x.isNotNull(), F.concat(F.lit(f'"{k}":'), F.lit(x) if isinstance(x, str) else x)) for k, x in properties]
+    return F.concat(F.lit('{"$id":"https://example.org/part/'), F.col("p_partkey").cast("string"), F.lit('/1","type":"object","properties":{'), F.concat_ws(",", *entries), F.lit("}}"))
+
+
+@query("""
+SELECT 'https://example.org/part/' || p_partkey || '/1' AS id,
+  CASE p_partkey % 5 WHEN 0 THEN 'checked' WHEN 1 THEN 'refreezable' WHEN 2 THEN 'refreezable' WHEN 3 THEN 'drifted' ELSE 'unfrozen' END AS status FROM part""")
 def drift_classify(spark, sf_dir):
-    """Schemas of the tables against edited frozen copies: every status once or more."""
-    current, frozen = [], []
-    for i, name in enumerate(TABLES):
-        document = {"$id": f"https://example.org/{name}/1", "type": "object", "properties": {f.name: {"type": "string"} for f in _table(spark, sf_dir, name).schema}}
-        old = json.loads(json.dumps(document))
-        first = next(iter(document["properties"]))
-        if i % 4 == 1:
-            document["properties"][first]["default"] = ""
-        if i % 4 == 2:
-            old["properties"].pop(first)
-        current.append(document)
-        frozen += [] if i % 4 == 3 else [old]
-    return catalog.drift(catalog.catalog(spark, current), catalog.catalog(spark, frozen))
-
-
-@query(None)
-def schema_diff_tables(spark, sf_dir):
-    """Each table's schema against the next table's: what is added, dropped, widened and changed."""
-    documents = {n: {"properties": {f.name.split("_", 1)[-1]: {"type": f.dataType.typeName()} for f in _table(spark, sf_dir, n).schema}} for n in TABLES}
-    rows = []
-    for a, b in zip(TABLES, TABLES[1:]):
-        d = s.diff(documents[a], documents[b])
-        rows += [(a, b, kind, x if isinstance(x, str) else x["field"], d["breaking"]) for kind in ("added", "dropped", "widened", "changed") for x in d[kind]]
-    return spark.createDataFrame(rows, "old string, new string, kind string, field string, breaking boolean")
+    """A catalog of a document for each part against an edited frozen copy: every status, by key modulo 5."""
+    turn = F.col("p_partkey") % 5
+    part = _table(spark, sf_dir, "part")
+    name, size = '{"type":"string"}', F.concat(F.lit('{"maximum":'), F.col("p_size").cast("string"), F.lit("}"))
+    now = F.when(turn == 1, '{"type":"string","default":""}').when(turn == 3, '{"type":["string","null"]}').otherwise(name)
+    then = F.when(turn == 2, '{"type":"string","x-optional":true}').otherwise(name)
+    current = catalog.of_bodies(part.select(_document(("p_name", now), ("p_size", size)).alias("body")))
+    frozen = catalog.of_bodies(part.filter(turn != 4).select(_document(("p_name", then), ("p_size", size)).alias("body")))
+    return catalog.drift(current, frozen)
+
+
+@query("""
+WITH p AS (SELECT 'https://example.org/part/' || p_partkey || '/1' AS id, p_partkey % 4 AS t FROM part)
+SELECT id, 'p_size' AS field, CASE t WHEN 0 THEN 'widened' ELSE 'changed' END AS kind, 'integer' AS "from", CASE t WHEN 0 THEN 'null,number' ELSE 'string' END AS "to", t <> 0 AS breaking FROM p WHERE t < 2
+UNION ALL SELECT id, 'p_type', 'dropped', '$ref:#/$defs/t', NULL, true FROM p WHERE t = 2
+UNION ALL SELECT id, 'p_brand', 'added', NULL, 'integer,null,string', false FROM p WHERE t = 3""")
+def schema_diff_documents(spark, sf_dir):
+    """A document for each part against its next version: what is added, dropped, widened and changed."""
+    turn = F.col("p_partkey") % 4
+    part = _table(spark, sf_dir, "part")
+    of_type, none = '{"$ref":"#/$defs/t"}', F.lit(None).cast("string")
+    new_size = F.when(turn == 0, '{"type":["number","null"]}').when(turn == 1, '{"type":"string"}').otherwise('{"type":"integer","title":"Size"}')
+    old = part.select(_document(("p_size", '{"type":"integer"}'), ("p_type", of_type)).alias("body"))
+    new = part.select(_document(("p_size", new_size), ("p_type", F.when(turn != 2, of_type)), ("p_brand", F.when(turn == 3, '{"anyOf":[{"type":"string"},{"type":["integer","null"]}]}').otherwise(none))).alias("body"))
+    found = catalog.diff(catalog.of_bodies(old), catalog.of_bodies(new))
+    return found.select("id", "field", "kind", *[F.array_join(c, ",").alias(c) for c in ("from", "to")], "breaking")
 
 
 def _with_metadata(schema: T.StructType, **metadata: dict) -> T.StructType:
@@ -380,6 +413,35 @@ def schema_of_tables(spark, sf_dir):
     return spark.createDataFrame(rows, "class_name string, property string, json_type string")
 
 
+BIG = 1 << 53
+
+
+@query(f"SELECT o_orderkey, o_orderkey + {BIG} AS as_int, o_orderkey + {BIG} AS as_text, CASE WHEN o_orderkey % 2 = 0 THEN 9223372036854775807 ELSE -9223372036854775808 END AS beyond FROM orders")
+def cast_big_integers(spark, sf_dir):
+    """Keys that doubles cannot tell apart, as numbers and as texts, and numbers that 64 bits do not hold."""
+    big = F.col("o_orderkey") + F.lit(BIG)
+    beyond = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("-"), F.lit("99999999999999999999"))
+    cast = lambda c: F.try_variant_get(p.cast("int", c.cast("variant")), "$", "bigint")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", cast(big).alias("as_int"), cast(F.concat(F.lit(" "), big.cast("string"), F.lit(".9 pieces"))).alias("as_text"), cast(beyond).alias("beyond"))
+
+
+@query("SELECT o_orderkey, o_orderkey = 33 OR o_orderkey >= 1001 AND o_orderkey % 2 = 0 AS accepted FROM orders")
+def gate_big_integers(spark, sf_dir):
+    """const, minimum and multipleOf above what doubles tell apart."""
+    schema = _object({"key": {"anyOf": [{"const": BIG + 33}, {"minimum": BIG + 1001, "multipleOf": 2}]}})
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") + F.lit(BIG)).alias("key"))
+    return _gated(rows, schema, ["o_orderkey"], "key")
+
+
+@query("SELECT event_id, event_id % 3 <> 1 AS accepted FROM events")
+def gate_recursive_events(spark, sf_dir):
+    """Chains of events, two deep, against a schema that refers to itself: a text where a number belongs is found at any depth."""
+    schema = {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}, "next": {"$ref": "#"}}}
+    inner = F.when(F.col("event_id") % 3 == 1, F.lit('"x"')).otherwise(F.col("event_id").cast("string"))
+    made = F.concat(F.lit('{"n":1,"next":{"n":2,"next":{"n":'), inner, F.lit("}}}"))
+    return _table(spark, sf_dir, "events").select("event_id", gate.accepts(schema, p.from_json(made)).alias("accepted"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_quantity BETWEEN 5 AND 40 AND l_discount <= 0.08 AND l_returnflag IN ('A', 'N') AND length(l_linestatus) <= 1 AS accepted FROM lineitem")
 def gate_declared_lineitem(spark, sf_dir):
     """The rules of a declared type, as keywords, as a gate."""
@@ -387,7 +449,7 @@ def gate_declared_lineitem(spark, sf_dir):
     rules = {"l_quantity": [["between", 5, 40]], "l_discount": [["max", 0.08]], "l_returnflag": [["in", "A", "N"]], "l_linestatus": [["max", 1]]}
     kind = projection.RecordType("Line", _with_metadata(lines.schema, **{k: {"rules": v} for k, v in rules.items()}))
     schema = projection.Projector(projection.Types(kind)).document("Line")
-    return lines.select("l_orderkey", "l_linenumber", gate.accepts(schema, p.from_columns(*rules)).alias("accepted"))
+    return _gated(lines, schema, ["l_orderkey", "l_linenumber"], *rules)
 
 
 @query("SELECT s_suppkey, s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) AS accepted FROM supplier")
@@ -397,7 +459,7 @@ def gate_registry_supplier(spark, sf_dir):
     rows = _table(spark, sf_dir, "supplier")
     kind = projection.RecordType("Supplier", _with_metadata(rows.schema, s_nationkey={"rules": [["exists_in", "nations"]]}))
     schema = projection.Projector(projection.Types(kind, vocabularies={"nations": live})).document("Supplier")
-    return rows.select("s_suppkey", gate.accepts(schema, p.from_columns("s_nationkey")).alias("accepted"))
+    return _gated(rows, schema, ["s_suppkey"], "s_nationkey")
 
 
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN o_totalprice >= 50000 WHEN 'O' THEN length(o_orderpriority) <= 6 ELSE false END AS accepted FROM orders")
@@ -412,7 +474,7 @@ def gate_union_orders(spark, sf_dir):
         projection.RecordType("Finished", arm(o_totalprice={"rules": [["min", 50000]]})), projection.RecordType("Open", arm(o_orderpriority={"rules": [["max", 6]]})),
     )
     schema = documents.dereference(projection.Projector(types).document("Order"))
-    return rows.select("o_orderkey", gate.accepts(schema, p.from_columns(*names)).alias("accepted"))
+    return _gated(rows, schema, ["o_orderkey"], *names)
 
 
 @query("SELECT r AS n, 'fixture' AS name, CASE r % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS kind, true AS archived, 7.0::DOUBLE AS size FROM range(1000) t(r)")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pactframe import queries
-from pactframe.functions import gate
+from pactframe.functions import gate, recursive
 from pactframe.functions import payload as p
 from pactframe.operators import ladder, overlay
 from pactframe.plans import schemas as s
@@ -77,6 +77,8 @@ def test_projection(spark):
 @pytest.mark.parametrize("cast,value,want", [
     ("string", 7, "7"), ("string", True, "1"), ("string", False, ""), ("string", [1], ""), ("int", "7abc", 7), ("int", "7.9", 7), ("int", "-7.9", -7), ("int", "x", 0), ("int", "1e3", 1000),
     ("int", True, 1), ("float", "7.5", 7.5), ("bool", "yes", True), ("bool", " OFF ", False), ("bool", "0", False), ("bool", 0, False), ("bool", 2, True), ("bool", [], False), ("trim", "\t x \n", "x"),
+    ("int", 9007199254740993, 9007199254740993), ("int", "9007199254740993", 9007199254740993), ("int", " -9007199254740993.9x", -9007199254740993), ("int", "99999999999999999999", 2**63 - 1), ("int", -99999999999999999999, -(2**63)),
+    ("int", "9" * 60, 2**63 - 1), ("int", "-" + "9" * 60, -(2**63)), ("int", "1e30", 2**63 - 1), ("int", ".5", 0), ("int", "-", 0), ("int", 7.9, 7), ("int", -7.9, -7), ("int", 1e300, 2**63 - 1), ("int", [], 0), ("int", {"a": 1}, 1),
 ])
 def test_casts(spark, cast, value, want):
     got = spark.createDataFrame([(json.dumps(value),)], "j string").select(F.to_json(p.cast(cast, F.parse_json("j"))).alias("x")).first().x
@@ -90,36 +92,116 @@ GATE = [
     ({"oneOf": [{"type": "integer"}, {"minimum": 0}]}, -1, True), ({"oneOf": [{"type": "integer"}, {"minimum": 0}]}, 1, False), ({"anyOf": [{"const": 1}, {"const": 2}]}, 2, True),
     ({"required": ["a"]}, {"b": 1}, False), ({"properties": {"a": {"type": "string"}}, "additionalProperties": False}, {"a": "x", "b": 1}, False), ({"additionalProperties": {"type": "integer"}}, {"z": "x"}, False),
     ({"$ref": "#/$defs/n"}, 3, True), ({"$ref": "#/$defs/n"}, "3", False), ({"maxItems": 1}, [1, 2], False),
+    ({"const": 9007199254740992}, 9007199254740993, False), ({"const": 9007199254740993}, 9007199254740993, True), ({"enum": [9007199254740993]}, 9007199254740992, False), ({"minimum": 9007199254740993}, 9007199254740992, False),
+    ({"exclusiveMaximum": 9007199254740993}, 9007199254740992, True), ({"maximum": 99999999999999999999}, 99999999999999999998, True), ({"minimum": 0.5}, 1, True), ({"const": 1}, 1.0, True), ({"const": 1e3}, 1000, True),
+    ({"uniqueItems": True}, [1, 2, 1], False), ({"uniqueItems": True}, [1, "1", True], True), ({"uniqueItems": True}, [{"a": 1, "b": 2}, {"b": 2, "a": 1}], False), ({"uniqueItems": True}, [1, 1.0], False), ({"uniqueItems": False}, [1, 1], True),
+    ({"multipleOf": 3}, 9, True), ({"multipleOf": 3}, 10, False), ({"multipleOf": 0.01}, 0.07, True), ({"multipleOf": 0.01}, 0.075, False), ({"multipleOf": 2}, "x", True), ({"multipleOf": 7}, 9007199254740993, False),
+    ({"minProperties": 2}, {"a": 1}, False), ({"maxProperties": 1}, {"a": 1}, True), ({"patternProperties": {"^x": {"type": "integer"}}}, {"x1": "a"}, False), ({"patternProperties": {"^x": {"type": "integer"}}}, {"y": "a"}, True),
+    ({"patternProperties": {"^x": {}}, "properties": {"p": {}}, "additionalProperties": False}, {"x1": 1, "p": 2}, True), ({"patternProperties": {"^x": {}}, "additionalProperties": False}, {"z": 1}, False),
+    ({"prefixItems": [{"type": "integer"}, {"type": "string"}]}, [1, "a", None], True), ({"prefixItems": [{"type": "integer"}, {"type": "string"}]}, [1, 2], False), ({"prefixItems": [{}, {}], "items": False}, [1], True), ({"prefixItems": [{}], "items": {"type": "null"}}, [1, 2], False),
+    ({"contains": {"const": 1}}, [2, 1], True), ({"contains": {"const": 1}}, [2], False), ({"contains": {"const": 1}, "minContains": 0}, [], True), ({"contains": {"const": 1}, "maxContains": 1}, [1, 1], False), ({"contains": {"const": 1}}, "x", True),
+    ({"propertyNames": {"maxLength": 2}}, {"abc": 1}, False), ({"propertyNames": {"maxLength": 2}}, {"ab": 1}, True), ({"dependentRequired": {"a": ["b"]}}, {"a": 1}, False), ({"dependentRequired": {"a": ["b"]}}, {"c": 1}, True),
+    ({"dependentSchemas": {"a": {"required": ["b"]}}}, {"a": 1}, False), ({"dependentSchemas": {"a": {"required": ["b"]}}}, {"b": 1}, True), ({"if": {"type": "integer"}, "then": {"minimum": 3}, "else": {"minLength": 2}}, 2, False),
+    ({"if": {"type": "integer"}, "then": {"minimum": 3}, "else": {"minLength": 2}}, "ab", True), ({"if": {"type": "integer"}, "else": {"minLength": 2}}, "a", False), ({"then": False}, 1, True),
+    ({"$ref": "#/$defs/tree"}, {"n": 1, "kids": [{"n": 2, "kids": []}]}, True), ({"$ref": "#/$defs/tree"}, {"n": 1, "kids": [{"n": 2, "kids": [{"n": "x"}]}]}, False),
 ]
 
 
 @pytest.mark.parametrize("schema,value,want", GATE)
 def test_gate(spark, schema, value, want):
-    whole = obj({"v": schema}) | {"$defs": {"n": {"type": "number"}}}
+    tree = {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}, "kids": {"items": {"$ref": "#/$defs/tree"}}}}
+    whole = obj({"v": schema}) | {"$defs": {"n": {"type": "number"}, "tree": tree}}
     payload = p.from_json(F.lit(json.dumps({"v": value})))
     assert spark.range(1).select(gate.accepts(whole, payload).alias("ok")).first().ok is want
 
 
-def test_gate_refuses_recursion():
-    with pytest.raises(gate.RecursiveSchema):
-        gate.accepts(obj({"v": {"$ref": "#/$defs/n"}}) | {"$defs": {"n": {"properties": {"n": {"$ref": "#/$defs/n"}}}}}, F.lit(None))
+@pytest.mark.parametrize("schema,value,want", GATE)
+def test_recursive_gate_agrees(schema, value, want):
+    """The same cases by the validator of rows, which recursive schemas go to."""
+    tree = {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}, "kids": {"items": {"$ref": "#/$defs/tree"}}}}
+    assert recursive.Rows({"$defs": {"n": {"type": "number"}, "tree": tree}}, False).valid(schema, json.loads(json.dumps(value))) is want
+
+
+def test_gate_refuses_what_it_cannot_check():
+    for word in ("unevaluatedProperties", "unevaluatedItems", "$dynamicRef"):
+        with pytest.raises(gate.Unsupported, match=word.replace("$", ".")):
+            gate.accepts(obj({"v": {word: False}}), F.lit(None))
+    with pytest.raises(ValueError, match="unresolved"):
+        gate.accepts(obj({"v": {"$ref": "#/$defs/none"}}), F.lit(None))
+
+
+def test_recursive_schema_goes_to_rows(spark):
+    node = {"type": "object", "required": ["kind"], "properties": {"kind": {"const": "node"}, "next": {"$ref": "#"}}}
+    rows = [('{"kind":"node","next":{"kind":"node"}}',), ('{"kind":"node","next":{"kind":"leaf"}}',), (None,), ("[]",), ('{"kind":"node","next":' * 900 + '{"kind":"node"}' + "}" * 900,)]
+    df = spark.createDataFrame(rows, "j string").select(gate.accepts(node, p.from_json(F.col("j"))).alias("ok"))
+    assert [r.ok for r in df.collect()] == [True, False, False, False, True]
+
+
+def test_kind_of_absent_values(spark):
+    row = spark.range(1).select(p.kind(F.lit(None).cast("variant")).alias("absent"), p.kind(F.parse_json(F.lit("null"))).alias("null"), p.kind(F.parse_json(F.lit("1"))).alias("n")).first()
+    assert tuple(row) == (None, "null", "number")
+
+
+def test_payloads_of_columns(spark):
+    sql = "SELECT 9007199254740993L AS l, CAST(1.50 AS DECIMAL(8,2)) AS d, 1.5D AS f, double('NaN') AS nan, 'x' AS s, true AS b, DATE'2024-02-03' AS day, TIMESTAMP'2024-02-03 04:05:06' AS at, array(1, 2) AS a, named_struct('p', 1, 'q', NULL) AS o, CAST(NULL AS INT) AS none"
+    df = spark.sql(sql)
+    cheap, by_json = (df.select(F.to_json(F.to_variant_object(m)).alias("j")).first().j for m in (p.from_frame(df), p.from_columns(*df.columns)))
+    assert json.loads(cheap) == json.loads(by_json) and json.loads(cheap).keys() == set(df.columns)
+    kinds = [df.select(*[p.kind(p.get(m, c)).alias(c) for c in df.columns]).first() for m in (p.from_frame(df), p.from_columns(*df.columns))]
+    assert kinds[0] == kinds[1]
 
 
 OVERLAYS = [
     ({"target": "$.a.b", "override": 1}, {"a": {"b": 0, "c": 2}}, {"a": {"b": 1, "c": 2}}), ({"target": "$.x.y", "override": 1}, {"x": 5}, {"x": {"y": 1}}), ({"target": "$.l[*].n", "override": 0}, {"l": [{"n": 1}, {"n": 2}]}, {"l": [{"n": 0}, {"n": 0}]}),
     ({"target": "$['k k']", "merge": {"b": None}}, {"k k": {"a": 1}}, {"k k": {"a": 1, "b": None}}), ({"target": "$", "merge": {"a": {"b": 2}}}, {"a": {"c": 1}}, {"a": {"b": 2, "c": 1}}), ({"target": "$.a", "merge": [1]}, {"a": [1, 2]}, {"a": [1]}),
     ({"target": "$.t[1]", "unset": True}, {"t": [1, 2, 3]}, {"t": [1, 3]}), ({"target": "$.r[?(@=='email')]", "unset": True}, {"r": ["id", "email"]}, {"r": ["id"]}), ({"target": "$.zzz", "unset": True}, {"a": 1}, {"a": 1}),
-    ({"target": "$.zzz", "merge": {"a": 1}}, {"a": 1}, {"a": 1}), ({"target": "$.i[?(@.id=='b')].v", "override": 9}, {"i": [{"id": "a"}, {"id": "b"}]}, {"i": [{"id": "a"}, {"id": "b", "v": 9}]}),
+    ({"target": "$.zzz", "merge": {"a": 1}}, {"a": 1}, {"a": 1}),
 ]
 
 
 @pytest.mark.parametrize("action,before,after", OVERLAYS)
 def test_overlays(spark, action, before, after):
     document = [{"overlay": "1.0.0", "actions": [action]}]
-    if "[?" not in action["target"] or "override" not in action:
+    assert overlay.apply_to(before, document) == after
+    got = spark.range(1).select(F.to_json(overlay.apply(F.parse_json(F.lit(json.dumps(before))), document)).alias("j")).first().j
+    assert json.loads(got) == after
+
+
+#: Paths that cannot be made: a column leaves the record as it is, a document raises.
+UNMADE = [("$.b[1]", {"a": {}}), ("$.a[1].c", {"a": []}), ("$.a[3]", {"a": [1]}), ("$.x.y[2].z", {"x": 1}), ("$.x.y[2].z", {"x": {"y": {}}}), ("$.i[?(@.id=='b')].v", {"i": [{"id": "a"}, {"id": "b"}]})]
+MADE = [("$.b[0]", {"a": {}}, {"a": {}, "b": [7]}), ("$.a[1].c", {"a": [1]}, {"a": [1, {"c": 7}]}), ("$.a.b[0].c", {"a": [1]}, {"a": {"b": [{"c": 7}]}}), ("$.a[0]", {"a": 5}, {"a": [7]}), ("$.a.b.c.d.e", {}, {"a": {"b": {"c": {"d": {"e": 7}}}}})]
+
+
+@pytest.mark.parametrize("target,before,after", [*MADE, *[(t, b, None) for t, b in UNMADE]])
+def test_created_paths(spark, target, before, after):
+    document = [{"actions": [{"target": target, "override": 7}]}]
+    got = spark.range(1).select(F.to_json(overlay.apply(F.parse_json(F.lit(json.dumps(before))), document)).alias("j")).first().j
+    assert json.loads(got) == (before if after is None else after)
+    if after is None:
+        with pytest.raises(overlay.BadOverlay):
+            overlay.apply_to(before, document)
+    else:
         assert overlay.apply_to(before, document) == after
-        got = spark.range(1).select(F.to_json(overlay.apply(F.parse_json(F.lit(json.dumps(before))), document)).alias("j")).first().j
-        assert json.loads(got) == after
+
+
+def test_plans_of_overlays_grow_with_their_actions(spark):
+    sizes = []
+    for n in (10, 20, 40):
+        actions = [{"target": f"$.a.k{i % 5}[0]", "override": i} if i % 3 else {"target": "$.a", "merge": {"m": {f"k{i}": i}}} for i in range(n)]
+        df = spark.range(1).select(F.to_json(overlay.apply(F.parse_json(F.lit("{}")), [{"actions": actions}])).alias("j"))
+        sizes.append(len(df._jdf.queryExecution().analyzed().toString()))
+        assert json.loads(df.first().j) == overlay.apply_to({}, [{"actions": actions}])
+    assert sizes[2] < 4.5 * sizes[0]
+
+
+def test_overlay_registry(spark):
+    one, two = ({"actions": [{"target": "$.a", "override": x}]} for x in (1, 2))
+    known = overlay.OverlayRegistry({"one": [one]}).register("two", two)
+    assert known.has("two") and not known.has("x") and known.documents_for("x") == [] and known.stack_for("two", "x", "one") == [two, one]
+    df = spark.createDataFrame([(["one", "two"],), (["two", "x", "one"],), ([],)], "k array<string>")
+    assert [r.j for r in df.select(F.to_json(overlay.apply_by_keys(F.parse_json(F.lit("{}")), F.col("k"), known)).alias("j")).collect()] == ['{"a":2}', '{"a":1}', "{}"]
+    with pytest.raises(overlay.BadOverlay):
+        known.register("bad", {"actions": [{"target": "$.a"}]})
 
 
 @pytest.mark.parametrize("bad", [{"target": "", "unset": True}, {"target": "$.a"}, {"target": "$.a", "unset": True, "merge": {}}, {"target": "$..a", "unset": True}])
@@ -156,7 +238,37 @@ def test_registry_is_write_once(spark):
     assert sorted(r.id for r in frozen.collect()) == ["https://x/a/1", "https://x/b/1"]
     with pytest.raises(catalog.RegistryConflict):
         catalog.register(frozen, catalog.catalog(spark, [one | {"type": "array"}]))
-    assert {r.status for r in queries.drift_classify(spark, "/root/testdata/sf0.001").collect()} == {"checked", "refreezable", "drifted", "unfrozen"}
+    with pytest.raises(catalog.RegistryConflict):
+        catalog.register(frozen, catalog.catalog(spark, [{"$id": "https://x/c/1"}, {"$id": "https://x/c/1", "type": "object"}]))
+    for bad, error in (({"$id": "https://x/d/1", "items": {s.MIGRATE_FROM: "a"}}, s.MisplacedMigration), ({"type": "object"}, ValueError)):
+        with pytest.raises(error):
+            catalog.register(frozen, catalog.catalog(spark, [bad]))
+
+
+def test_catalogs(spark):
+    from pactframe.operators import catalog
+
+    a = spark.createDataFrame([("x", None), ("y", "1"), ("z", "1"), ("v", None)], "id string, fingerprint string")
+    b = spark.createDataFrame([("x", None), ("y", "2"), ("w", None), ("v", "1")], "id string, fingerprint string")
+    assert {r.id: r.status for r in catalog.compare(a, b).collect()} == {"x": "same", "y": "drifted", "z": "missing", "w": "orphaned", "v": "drifted"}
+    files = spark.createDataFrame([("src/a/b/c",), ("src/a/x",), ("lib",), (None,), ("src/a/x",)], "path string")
+    roots = spark.createDataFrame([("src/a", "A"), ("src/a/b", "B"), ("src/a/b", "C")], "root string, owner string")
+    assert {r.owner: r.files for r in catalog.owners(files, roots).collect()} == {"A": 2, "B": 1, "app": 2}
+    assert catalog.owners(files.limit(0), roots).count() == 0
+    docs = [obj({"p": {"anyOf": [{"type": "string"}, {"anyOf": [{"$ref": "#/$defs/q"}, {"type": ["null", "integer"]}]}]}, "r": {}, "t": {"$ref": "u", "type": "string"}})]
+    got = {r.field: r.types for r in catalog.properties(catalog.catalog(spark, docs)).collect()}
+    assert got == {k: s.types_of(v) for k, v in docs[0]["properties"].items()}
+    assert s.unresolvable({"$ref": "https://x/a/1", "p": {"$ref": "#/$defs/z"}}, {"https://x/a/1": {"$id": "https://x/a/1", "q": {"$ref": "https://x/b/1"}}}) == ["https://x/b/1"]
+    url = spark.range(1).select(catalog.host_of(F.lit("https://x.example:81/a/b/1")).alias("h"), catalog.path_of(F.lit("https://x.example:81/a/b/1")).alias("p"), catalog.path_of(F.lit("/rel/2")).alias("q")).first()
+    assert tuple(url) == ("x.example", "a/b/1", "rel/2")
+
+
+def test_python_transforms_by_name_and_pair(spark):
+    old, new = obj({"title": STRING}) | {"$id": "https://x.example/a/1"}, obj({"slug": {"type": "string", "minLength": 5, "x-migrate": "slugify"}}) | {"$id": "https://x.example/a/2"}
+    slug = ladder.Transforms.in_python(lambda record: {"slug": record["title"].lower().replace(" ", "-")} if record["title"] != "skip" else None)
+    for t in (ladder.Transforms().named("slugify", slug), ladder.Transforms().for_pair(old["$id"], new["$id"], slug)):
+        assert climbed(spark, {"title": "Hello World"}, old, new, ladder.Ladder.default(t)) == ("custom-transform", {"slug": "hello-world"})
+        assert climbed(spark, {"title": "skip"}, old, new, ladder.Ladder.default(t)) == (None, None)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
