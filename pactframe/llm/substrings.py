@@ -12,7 +12,7 @@ smaller id. Documents meet only where they may share windows:
 3. Those runs are cut out as segments, at most RUN windows each, and go to the shard of their minimizer. A
    task packs what it has for a shard: each text once, with the places where it stands. Shards are numbered by
    the counted runs, so that each has about `shard_runs`, whatever the size of the input.
-4. A minimizer with more than `crowded` runs is cut into single windows, dealt by their own hash. Of these
+4. A minimizer with more than `crowded` runs (a whole shard's) is cut into single windows, dealt by their own hash. Of these
    the shard gets only the texts with their least and greatest documents; the places stay outside and are
    joined with what the shard finds, so no task holds the places of a passage that is everywhere.
 5. Each shard is indexed (`FMIndex`) and its segments are streamed backward through the index; at each place
@@ -351,9 +351,10 @@ def _search_windows(shard: pa.Table, width: int) -> pa.Table:
     return pa.table({"k1": pa.array(keys[:, 0].copy()), "k2": pa.array(keys[:, 1].copy()), "least": pa.array(owner)})
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, map_bits: int = 28, crowded: int = 4096, shard_runs: int = 50_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, map_bits: int = 28, crowded: int | None = None, shard_runs: int = 50_000) -> DataFrame:
     """Rows (d, t, spans): for each document and text hash, merged intervals [a, z) of words to remove. docs as `_prepared` gives it."""
     spark = docs.sparkSession
+    crowded = crowded or shard_runs
     shared = cut(shared_minimizers(docs, width, gram))
     many = F.col("runs") > crowded
     n, n_crowded, runs, windows = shared.agg(F.count("*"), F.count_if(many), F.sum(F.when(~many, F.col("runs"))), F.sum(F.when(many, F.col("runs")))).first()
