@@ -8,12 +8,17 @@ and block. Each response gives two derivatives, both with WARC-Refers-To and its
 * metadata: application/warc-fields with the title, the language, the source's HTTP headers (prefixed
   "http-"), its digests and its outlinks, and WARC-Concurrent-To the conversion.
 
+Only HTML and text have a conversion; of other types, of encodings that cannot be undone and of bodies that are cut
+off there is the metadata record alone, which says why. Chunks, gzip and deflate are undone first, and the text is read
+in the charset that the HTTP header or the page itself declares, UTF-8 otherwise.
+
 Identifiers are derived from the response's identifier and the kind of record, so a job that runs again makes
-the same ones. Digests are "sha1:" and base32. One row in gives two rows out without a shuffle.
+the same ones. Digests are "sha1:" and base32. One row in gives one or two rows out without a shuffle.
 
-Defined cases: a null or empty html is an empty payload with an empty text; a null url is the empty target;
-repeated rows give repeated records; markup that is never closed runs to the end of the page; an empty table
-gives an empty result; in `derive`, rows of other types give nothing.
+Defined cases: a null or empty html is an empty payload with an empty text; null urls, dates and header values are
+written as empty ones; repeated rows give repeated records; markup that is never closed runs to the end of the page; every
+pattern takes time in proportion to the page; an empty table gives an empty result; in `derive`, rows of other types
+give nothing. Files are read as streams; a record that cannot be read comes out with the type "broken" and a reason.
 """
 
 from __future__ import annotations
@@ -22,9 +27,12 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,24 +45,57 @@ VERSION = "WARC/1.1"
 # Elements whose content is no text, and elements that end a line.
 NO_TEXT = "script|style|noscript|template|title"
 BREAKS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul"
-_DROPPED = re.compile(rf"<!--.*?(?:-->|\Z)|<({NO_TEXT})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_BREAK = re.compile(rf"</?(?:{BREAKS})\b[^>]*>", re.I)
-_TAG = re.compile(r"<[/!?a-zA-Z][^>]*(?:>|\Z)")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
-_LANG = re.compile(r"""<html\b[^>]*\blang\s*=\s*["']?([^"'\s>]+)""", re.I)
-_LINK = re.compile(r"""<a\b[^>]*\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+# Types that have a text.
+HTML_TYPES = {"text/html", "application/xhtml+xml"}
+#: A comment, a tag with its attributes, or other markup. What is not closed runs to the end, so each place is passed once.
+_MARKUP = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[/!?][^>]*(?:>|\Z))", re.S)
+_SILENT = {name: re.compile(rf"</{name}\s*>", re.I) for name in NO_TEXT.split("|")}
+_BREAKING = frozenset(BREAKS.split("|"))
+_ATTRIBUTE = {name: re.compile(rf"""\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I) for name in ("href", "lang", "charset")}
 _SPACES = re.compile(r"[^\S\n]+")
 
 
+def _attribute(name: str, attributes: str) -> str | None:
+    m = _ATTRIBUTE[name].search(attributes)
+    return next(x for x in m.groups() if x is not None) if m else None
+
+
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+class Page:
+    """What one pass over a page's markup finds: text, title, language, links."""
+
+    def __init__(self, page: str):
+        self.title: str | None = None
+        self.language: str | None = None
+        self.links: list[str] = []
+        pieces, at = [], 0
+        while m := _MARKUP.search(page, at):
+            pieces.append(page[at : m.start()].replace("\n", " "))
+            at, name = m.end(), (m[2] or "").lower()
+            if not name:
+                pieces.append(" " if page.startswith("<!--", m.start()) else "")
+            elif name in _BREAKING:
+                pieces.append("\n")
+            elif name in _SILENT and not m[1]:
+                end = _SILENT[name].search(page, at)
+                inside, at = page[at : end.start() if end else len(page)], end.end() if end else len(page)
+                self.title = inside if name == "title" and self.title is None else self.title
+                pieces.append(" ")
+            elif name == "a" and not m[1]:
+                self.links += [x for x in [_attribute("href", m[3])] if x is not None]
+            elif name == "html" and not m[1]:
+                self.language = self.language or _attribute("lang", m[3])
+        pieces.append(page[at:].replace("\n", " "))
+        lines = (_SPACES.sub(" ", line.replace("\n", " ")).strip() for line in map(html.unescape, "".join(pieces).split("\n")))
+        self.text = "\n".join(line for line in lines if line)
+
+
 def text_of(page: str) -> str:
     """A page's text: one line for each block element with text, white space reduced to single spaces."""
-    bare = _TAG.sub("", _BREAK.sub("\n", _SPACES.sub(" ", _DROPPED.sub(" ", page).replace("\n", " "))))
-    lines = (_SPACES.sub(" ", line.replace("\n", " ")).strip() for line in map(html.unescape, bare.split("\n")))
-    return "\n".join(line for line in lines if line)
+    return Page(page).text
 
 
 def _urn(*parts: str) -> str:
@@ -72,49 +113,151 @@ def _one_line(value: str) -> str:
     return " ".join(value.split())
 
 
+class NoText(ValueError):
+    """Why a payload has no conversion."""
+
+
+def _unchunked(payload: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        size, _, _ = payload[at : at + 64].partition(b"\r\n")
+        try:
+            n = int(size.split(b";")[0], 16)
+        except ValueError:
+            raise NoText("chunks are broken") from None
+        at += len(size) + 2
+        if not n:
+            return b"".join(out)
+        if at + n > len(payload):
+            raise NoText("chunks are cut off")
+        out.append(payload[at : at + n])
+        at += n + 2
+
+
+def _decoded(payload: bytes, header: Callable[[str], str]) -> bytes:
+    if "chunked" in header("transfer-encoding").lower():
+        payload = _unchunked(payload)
+    for coding in reversed([c.strip().lower() for c in header("content-encoding").split(",")]):
+        try:
+            if coding in ("gzip", "x-gzip"):
+                payload = gzip.decompress(payload)
+            elif coding == "deflate":
+                payload = zlib.decompress(payload, 15 if payload[:1] == b"\x78" else -15)
+            elif coding not in ("", "identity"):
+                raise NoText(f"content encoding {coding}")
+        except (OSError, EOFError, zlib.error):
+            raise NoText(f"{coding} is broken") from None
+    return payload
+
+
+def _read(payload: bytes, content_type: str) -> tuple[str, bool]:
+    """A payload as text, and whether it is HTML."""
+    kind, _, parameters = content_type.partition(";")
+    kind = kind.strip().lower()
+    if kind and kind not in HTML_TYPES and not kind.startswith("text/"):
+        raise NoText(f"type {kind}")
+    is_html = not kind or kind in HTML_TYPES
+    charset = _attribute("charset", parameters) or (_attribute("charset", payload[:2048].decode("latin-1")) if is_html else None) or "utf-8"
+    try:
+        return payload.decode(charset.strip("\"' ;/"), "replace"), is_html
+    except (LookupError, ValueError):
+        return payload.decode("utf-8", "replace"), is_html
+
+
 def derivatives(response: dict) -> list[dict]:
-    """The metadata and the conversion record of one response."""
+    """The metadata record of one response and, if it is text, the conversion record."""
     status, fields, payload = split_http(response["block"])
-    page = payload.decode("utf-8", "replace")
-    plain = text_of(page).encode()
+    header = lambda name: next((v for k, v in fields if k.lower() == name), "")
     source_digest = (response["headers"] or {}).get("WARC-Payload-Digest") or digest(payload)
-    content_type = next((v for k, v in fields if k.lower() == "content-type"), "")
-    linked = {"WARC-Refers-To": response["record_id"], "WARC-Refers-To-Target-URI": response["target_uri"], "WARC-Refers-To-Date": response["date"]}
+    linked = {"WARC-Refers-To": response["record_id"], "WARC-Refers-To-Target-URI": response["target_uri"], "WARC-Refers-To-Date": response["date"] or ""}
     conversion_id, metadata_id = (_urn(kind, response["record_id"]) for kind in ("conversion", "metadata"))
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    lines = [("title", _one_line(html.unescape(title[1])))] if title else []
-    lines += [("language", lang[1])] if lang else []
+    page, plain, lines = None, None, []
+    try:
+        text, is_html = _read(_decoded(payload, header), header("content-type"))
+        page = Page(text) if is_html else None
+        plain = (page.text if page else text).encode()
+    except NoText as e:
+        lines.append(("no-conversion", str(e)))
+    if page and page.title is not None:
+        lines.append(("title", _one_line(html.unescape(page.title))))
+    lines += [("language", page.language)] if page and page.language else []
     lines += [("http-status", status)] + [(f"http-{k}", v) for k, v in fields] + [("source-payload-digest", source_digest), ("source-block-digest", digest(response["block"]))]
-    lines += [("outlink", _one_line(html.unescape(next(x for x in m.groups() if x is not None)))) for m in _LINK.finditer(page)]
+    lines += [("outlink", _one_line(html.unescape(x))) for x in page.links] if page else []
     meta = "".join(f"{k}: {v}\r\n" for k, v in lines).encode()
     base = {"target_uri": response["target_uri"], "date": response["date"]}
-    return [
-        base | {"record_id": metadata_id, "warc_type": "metadata", "content_type": "application/warc-fields", "block": meta,
-                "headers": linked | {"WARC-Concurrent-To": conversion_id, "WARC-Block-Digest": digest(meta)}},
-        base | {"record_id": conversion_id, "warc_type": "conversion", "content_type": "text/plain; charset=utf-8", "block": plain,
-                "headers": linked | {"WARC-Block-Digest": digest(plain), "WARC-Source-Payload-Digest": source_digest, "WARC-Source-Content-Type": content_type}},
-    ]
+    concurrent = {} if plain is None else {"WARC-Concurrent-To": conversion_id}
+    made = [base | {"record_id": metadata_id, "warc_type": "metadata", "content_type": "application/warc-fields", "block": meta, "headers": linked | concurrent | {"WARC-Block-Digest": digest(meta)}}]
+    if plain is not None:
+        told = {"WARC-Block-Digest": digest(plain), "WARC-Source-Payload-Digest": source_digest, "WARC-Source-Content-Type": header("content-type")}
+        made.append(base | {"record_id": conversion_id, "warc_type": "conversion", "content_type": "text/plain; charset=utf-8", "block": plain, "headers": linked | told})
+    return made
 
 
 def to_bytes(record: dict) -> bytes:
     """A record as it stands in a WARC file."""
     fields = [("WARC-Type", record["warc_type"]), ("WARC-Record-ID", record["record_id"]), ("WARC-Date", record["date"]), ("WARC-Target-URI", record["target_uri"])]
     fields += [*sorted((record["headers"] or {}).items()), ("Content-Type", record["content_type"]), ("Content-Length", str(len(record["block"])))]
-    return (VERSION + "\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + record["block"] + b"\r\n\r\n"
+    return (VERSION + "\r\n" + "".join(f"{k}: {v or ''}\r\n" for k, v in fields) + "\r\n").encode() + record["block"] + b"\r\n\r\n"
+
+
+_COLUMNS = {"warc-type": "warc_type", "warc-record-id": "record_id", "warc-date": "date", "warc-target-uri": "target_uri", "content-type": "content_type"}
+#: The longest header line that is read, and the longest block that is kept.
+LINE_BYTES, BLOCK_BYTES = 1 << 16, 1 << 28
+
+
+def _broken(reason: str, block: bytes = b"") -> dict:
+    return dict.fromkeys(_COLUMNS.values(), "") | {"warc_type": "broken", "headers": {"reason": reason}, "block": block}
+
+
+def _skipped(stream: BinaryIO, n: int) -> int:
+    """Reads n bytes or up to the end, and gives what was missing."""
+    while n and (part := stream.read(min(n, 1 << 20))):
+        n -= len(part)
+    return n
+
+
+def read_records(source: BinaryIO) -> Iterator[dict]:
+    """The records of a WARC file, gzip members or plain, one at a time; what cannot be read comes as a "broken" record."""
+    stream = source if isinstance(source, io.BufferedReader) else io.BufferedReader(source)
+    if stream.peek(2)[:2] == b"\x1f\x8b":
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream))
+    lost = 0  # bytes before the next record that belong to none
+    try:
+        while line := stream.readline(LINE_BYTES):
+            if not line.startswith(b"WARC/"):
+                lost += len(line.strip())
+                continue
+            if lost:
+                yield _broken(f"{lost} bytes between records")
+                lost = 0
+            fields: dict[str, str] = {}
+            while (line := stream.readline(LINE_BYTES)).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                fields[name.strip()] = value.strip()
+            told = {k.lower(): k for k in fields}
+            size = fields.pop(told["content-length"], "") if "content-length" in told else ""
+            if not re.fullmatch("[0-9]{1,18}", size):
+                yield _broken(f"Content-Length is {size!r}")
+                continue
+            n = int(size)
+            if n > BLOCK_BYTES:
+                left = _skipped(stream, n)
+                yield _broken(f"a block of {n} bytes" + (f", {left} of them missing" if left else ""))
+                continue
+            block = stream.read(n)
+            if len(block) < n:
+                yield _broken(f"{n - len(block)} of {n} bytes are missing", block)
+                return
+            yield {to: fields.pop(told[name], "") if name in told else "" for name, to in _COLUMNS.items()} | {"headers": fields, "block": block}
+    except (OSError, EOFError, zlib.error) as e:
+        yield _broken(f"{type(e).__name__}: {e}")
+    if lost:
+        yield _broken(f"{lost} bytes after the last record")
 
 
 def from_bytes(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file's content, gzip members or plain."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (start := data.find(b"WARC/1.", at)) >= 0:
-        end = data.index(b"\r\n\r\n", start)
-        fields = dict((k.strip(), v.strip()) for k, _, v in (f.partition(":") for f in data[start:end].decode("utf-8", "replace").split("\r\n")[1:]))
-        n = int(fields.pop("Content-Length"))
-        names = {"WARC-Type": "warc_type", "WARC-Record-ID": "record_id", "WARC-Date": "date", "WARC-Target-URI": "target_uri", "Content-Type": "content_type"}
-        yield {to: fields.pop(name, "") for name, to in names.items()} | {"headers": fields, "block": data[end + 4 : end + 4 + n]}
-        at = end + 4 + n
+    """The records of a WARC file's content."""
+    return read_records(io.BytesIO(data))
 
 
 def _record_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -133,11 +276,17 @@ def _mapped(df: DataFrame, one) -> DataFrame:
     schema = _schema(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                rows = [r for x in batch.slice(at, 200).to_pylist() for r in one(x)]
-                if rows:
-                    yield _record_batch(rows, schema)
+                for record in (r for x in batch.slice(at, 200).to_pylist() for r in one(x)):
+                    held.append(record)
+                    size += len(record["block"])
+                    if len(held) >= 400 or size > 32 << 20:
+                        yield _record_batch(held, schema)
+                        held, size = [], 0
+        if held:
+            yield _record_batch(held, schema)
 
     return df.mapInArrow(run, RECORD)
 
@@ -162,18 +311,28 @@ def derive(records: DataFrame) -> DataFrame:
     return _mapped(records.filter("warc_type = 'response'").select(*[f.name for f in records.sparkSession.createDataFrame([], RECORD).schema]), one)
 
 
+def _records_at(uri: str) -> Iterator[dict]:
+    from pyarrow import fs
+
+    where, path = fs.FileSystem.from_uri(uri)
+    with where.open_input_file(path) as source:
+        yield from read_records(source)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files. A file is one row, so it must stay under Spark's 2 GB for a value."""
-    return _mapped(spark.read.format("binaryFile").load(path).select("content"), lambda x: from_bytes(x["content"]))
+    """The records of WARC files. Tasks get the files' addresses and read them as streams, so a file may be larger than memory."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return _mapped(files.repartition("path"), lambda x: _records_at(x["path"]))
 
 
 def serialized(records: DataFrame) -> DataFrame:
     """records with a column `bytes`: each as it stands in a WARC file."""
-    parts = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\r\n")))
+    told = lambda c: F.coalesce(c, F.lit(""))
+    parts = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), told(e["value"]), F.lit("\r\n")))
     named = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "date"), ("WARC-Target-URI", "target_uri")]
-    head = F.concat(F.lit(VERSION + "\r\n"), *[F.concat(F.lit(f"{k}: "), F.col(c), F.lit("\r\n")) for k, c in named], F.array_join(parts, ""),
-                    F.lit("Content-Type: "), F.col("content_type"), F.lit("\r\nContent-Length: "), F.octet_length("block").cast("string"), F.lit("\r\n\r\n"))
-    return records.withColumn("bytes", F.concat(head.cast("binary"), F.col("block"), F.lit(b"\r\n\r\n")))
+    head = F.concat(F.lit(VERSION + "\r\n"), *[F.concat(F.lit(f"{k}: "), told(F.col(c)), F.lit("\r\n")) for k, c in named], told(F.array_join(parts, "")),
+                    F.lit("Content-Type: "), told(F.col("content_type")), F.lit("\r\nContent-Length: "), F.coalesce(F.octet_length("block"), F.lit(0)).cast("string"), F.lit("\r\n\r\n"))
+    return records.withColumn("bytes", F.concat(head.cast("binary"), F.coalesce("block", F.lit(b"")), F.lit(b"\r\n\r\n")))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,11 @@
 import gzip
 import hashlib
+import time
+import zlib
 from html.parser import HTMLParser
 
+import pytest
+
 from pactframe.llm import warc
 
 
@@ -81,3 +85,61 @@ def test_query(spark, sf):
     assert len(by_id) == len(rows) == len(want)
     for r in want:
         assert by_id[r.record_id].record_sha256 == hashlib.sha256(warc.to_bytes(r.asDict() | {"block": bytes(r.block)})).hexdigest()
+
+
+def http(payload, *fields):
+    return ("HTTP/1.1 200 OK\r\n" + "".join(f"{f}\r\n" for f in fields) + "\r\n").encode() + payload
+
+
+def converted(payload, *fields):
+    made = warc.derivatives({"record_id": "r", "target_uri": "u", "date": None, "headers": {}, "block": http(payload, *fields)})
+    return next((r["block"].decode() for r in made if r["warc_type"] == "conversion"), None), made[0]["block"].decode()
+
+
+def test_types_encodings_and_charsets():
+    assert converted(b"%PDF-1", "Content-Type: application/pdf")[0] is None and "no-conversion: type application/pdf" in converted(b"%PDF", "Content-Type: application/pdf")[1]
+    assert converted("<p>café".encode("latin-1"), "Content-Type: text/html; charset=ISO-8859-1")[0] == "café"
+    assert converted('<meta charset="windows-1252"><p>café'.encode("cp1252"), "content-type: TEXT/HTML")[0] == "café"
+    assert converted("<p>café".encode(), "Content-Type: text/html; charset=nonsense")[0] == "café"
+    assert converted(b"a < b\n<c>", "Content-Type: text/plain")[0] == "a < b\n<c>"
+    packed = gzip.compress(b"<p>one<p>two")
+    assert converted(packed, "Content-Type: text/html", "Content-Encoding: gzip")[0] == "one\ntwo"
+    assert converted(zlib.compress(b"<p>one"), "Content-Encoding: deflate")[0] == converted(zlib.compress(b"<p>one", wbits=-15), "Content-Encoding: deflate")[0] == "one"
+    chunked = b"".join(b"%x;x=1\r\n%s\r\n" % (len(packed[i : i + 7]), packed[i : i + 7]) for i in range(0, len(packed), 7)) + b"0\r\n\r\n"
+    assert converted(chunked, "Content-Type: text/html", "Content-Encoding: gzip", "Transfer-Encoding: chunked")[0] == "one\ntwo"
+    for bad in ((chunked[:20], "Transfer-Encoding: chunked"), (b"zz", "Transfer-Encoding: chunked"), (packed[:-9], "Content-Encoding: gzip"), (b"x", "Content-Encoding: br")):
+        text, meta = converted(*bad)
+        assert text is None and "no-conversion: " in meta
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<html ", "<br ", "<script ", "<title ", "<a href=", "<!--", "</script ", "<a href='", "< ", "&", "<script>", "</title", "\n \t"])
+def test_hostile_pages_take_linear_time(unit):
+    began = time.process_time()
+    warc.Page(unit * ((1 << 20) // len(unit)))
+    assert time.process_time() - began < 2
+
+
+def test_broken_files_are_set_aside(spark, tmp_path):
+    record = {"warc_type": "response", "record_id": "<urn:x>", "date": "d", "target_uri": "u", "content_type": "t", "headers": {"A": "b"}, "block": b"WARC/1.1\r\n inside \r\n\r\n"}
+    good = warc.to_bytes(record)
+    lower = good.replace(b"Content-Length", b"content-length").replace(b"WARC-Type", b"warc-type")
+    none, bad = (good.replace(b"Content-Length: 24", x) for x in (b"X: y", b"Content-Length: many"))
+    cases = {"lower": (lower, []), "junk": (b"junk\r\n" + good + good, ["4 bytes"]), "cut": (good + good[:-20], ["missing"]), "none": (none + good, ["Content-Length"]), "bad": (bad + good, ["Content-Length"])}
+    for name, (data, reasons) in cases.items():
+        found = list(warc.from_bytes(data))
+        broken = [r["headers"]["reason"] for r in found if r["warc_type"] == "broken"]
+        assert record in [r for r in found if r["warc_type"] != "broken"], name
+        assert all(any(x in b for b in broken) for x in reasons) and bool(broken) == bool(reasons), (name, broken)
+    packed = gzip.compress(good) + gzip.compress(good)
+    assert [r["warc_type"] for r in warc.from_bytes(packed[:-12])][-1] == "broken"
+    (tmp_path / "many.warc.gz").write_bytes(gzip.compress(good) * 3000)
+    (tmp_path / "empty.warc").write_bytes(b"")
+    read = warc.read_files(spark, str(tmp_path))
+    assert read.count() == 3000 and {(r.record_id, bytes(r.block)) for r in read.collect()} == {("<urn:x>", record["block"])}
+
+
+def test_null_dates_are_written_empty(spark):
+    rows = [("r", "response", None, None, None, None, bytearray(http(b"<p>x")))]
+    made = warc.serialized(warc.derive(spark.createDataFrame(rows, warc.RECORD))).collect()
+    assert len(made) == 2 and all(b"WARC-Date: \r\n" in bytes(r.bytes) and b"WARC-Refers-To-Date: \r\n" in bytes(r.bytes) for r in made)
+    assert [bytes(r.bytes) for r in made] == [warc.to_bytes(r.asDict() | {"block": bytes(r.block)}) for r in made]
