@@ -1,10 +1,54 @@
 import hashlib
+import re
 
+import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from pactframe.llm import fingerprints as fp
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def plain_vector(text):
+    """The vector from its definition: counts and sums of hashes, with the hash of a text and a constant chained."""
+    paragraphs = [p for p in re.split(r"\n|(?<=[.!?])[ \t\n\x0b\x0c\r]", text) if p.strip(" \t\x0b\x0c\r")]
+    first = [xxhash.xxh64_intdigest(p.encode(), 42) for p in paragraphs]
+    then = lambda data: [xxhash.xxh64_intdigest(data, h) for h in first]
+    sums = [sum(then(k.to_bytes(4, "little"))) % (1 << 62) for k in range(4)]
+    lanes = []
+    for hashes in (first, then(b"wide")):
+        for k in range(20):
+            bits = [sum(signed(h) >> k + 20 * s & 1 for h in hashes) % (1 << 19) for s in range(3)]
+            lanes.append(bits[0] | bits[1] << 20 | bits[2] << 40)
+    return [len(paragraphs), *sums, *lanes]
+
+
+def plain_likeness(a, b):
+    lanes = lambda v: np.array([x >> 20 * s & (1 << 19) - 1 for x in v[5:] for s in range(3)], float) * 2 - v[0]
+    x, y = lanes(a), lanes(b)
+    return 1.0 if a == b else min(1.0, max(0.0, 2 * (x @ y) / (x @ x + y @ y))) if x @ x + y @ y else 0.0
+
+
+def test_vectors_agree_with_plain_python(spark, sf):
+    """Fingerprints and likenesses of the query over the whole table."""
+    docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()), reverse=True)
+    got = {r.doc_id: r for r in fp.op9_fingerprints(spark, sf).collect()}
+    written = lambda v: "".join(f"{x:016x}" for x in v)
+    for k, (i, text) in enumerate(docs):
+        n, following = len(text) // 3, docs[(k + 1) % len(docs)][1]
+        v, edited, after = plain_vector(text), plain_vector(text[: len(text) - n] + following[:n]), plain_vector(following)
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (written(v), written(edited)), i
+        assert abs(got[i].near_edited - plain_likeness(v, edited)) < 1e-9 and abs(got[i].near_next - plain_likeness(v, after)) < 1e-9
+
+
+def test_lines_of_white_space_are_no_paragraphs(spark):
+    row = spark.createDataFrame([("a\n   \nb\n\t\n", "a\nb")], "s string, t string").select(fp.vector(F.col("s")).alias("s"), fp.vector(F.col("t")).alias("t")).first()
+    assert row.s == row.t and row.s[0] == 2
+
+
 def test_query(spark, sf):
     docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()), reverse=True)
     got = {r.doc_id: r for r in fp.op9_fingerprints(spark, sf).collect()}
