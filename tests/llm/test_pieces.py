@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -85,3 +86,31 @@ def test_a_star_on_random_lattices(n):
             return [0.0] if j == 0 else [a + s for i, s, _ in arcs[j] for a in into(i)]
 
         assert [s for s, _ in pieces.n_best(arcs, n)] == sorted(into(places), reverse=True)[:n]
+
+
+def plain_n_best(own, text, n):
+    """The N best scores of the whole text's lattice by keeping the N best at every place, without runs, memory or search."""
+    norm = pieces.SPACE + text.replace(" ", pieces.SPACE)
+    arcs, best = own.arcs(norm), [[0.0]]
+    for j in range(1, len(norm) + 1):
+        best.append(sorted((a + s for i, s, _ in arcs[j] for a in best[i]), reverse=True)[:n])
+    return best[-1]
+
+
+def test_query_against_plain_n_best(spark, sf):
+    """Scores, ids and digests of the query, on all documents of up to six hundred characters and on the shortest others."""
+    own = pieces.model(PATH)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    some = sorted(texts, key=lambda i: len(texts[i]))
+    some = [i for i in some if 0 < len(texts[i]) <= 600] or some[:40]
+    score = {i: s for i, s in own.pieces.values()}
+    rows = {r.doc_id: r for r in pieces.op5_pieces(spark, sf).collect()}
+    for i in some:
+        want = plain_n_best(own, texts[i], 4)
+        assert np.allclose(list(rows[i].scores), want, rtol=1e-12, atol=1e-9), i
+        ids, found = own.encode(texts[i], 4)
+        assert rows[i].n_pieces == len(ids) // 4 and rows[i].ids_crc32 == zlib.crc32(ids)
+        assert own.decode(np.frombuffer(ids, "<u4").tolist()) == texts[i].replace("\u2581", " ")
+        made = [pieces.expand(np.frombuffer(ids, "<u4").tolist(), swaps) for _, swaps in found]
+        assert all(own.decode(m) == texts[i].replace("\u2581", " ") for m in made)
+        assert all(abs(sum(score.get(x, 0.0) for x in m) - s) < 1e-6 for m, s in zip(made, want, strict=True) if all(x in score for x in m))

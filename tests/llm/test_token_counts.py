@@ -53,3 +53,20 @@ def test_query_agrees_with_full_encoding(spark):
     assert tc.count_edited(df.limit(0)).count() == 0
     table = spark.createDataFrame([(1, 2, 0, 0, "b"), (1, 1, 3, 2, "a")], "doc_id long, seq int, start long, removed long, inserted string")
     assert [tuple(e) for e in tc.edits_by_document(table).first().edits] == [(3, 2, "a"), (0, 0, "b")]
+
+
+def test_query_over_all_documents(spark, sf):
+    """The query's counts against the whole edited texts, encoded anew."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = tc.op1_edit_counts(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        text = texts[r.doc_id]
+        n, edited = len(text), text
+        whole = max(n - 30, 1)
+        moves = [(n // 3, 0, text[max(n // 2 - 1, 0) :][:40]), (0, 7, ""), (2 * n // 3, 20, " " + text[whole - 1 :][:30])]
+        for start, removed, new in moves:
+            at = min(start, len(edited))
+            edited = edited[:at] + new + edited[at + removed :]
+        assert (r.n_tokens, r.n_pretokens) == brute(text), r.doc_id
+        assert (r.n_tokens_edited, r.n_pretokens_edited) == brute(edited), r.doc_id
