@@ -396,6 +396,17 @@ def schema_diff_documents(spark, sf_dir):
     return found.select("id", "field", "kind", *[F.array_join(c, ",").alias(c) for c in ("from", "to")], "breaking")
 
 
+@query(None)
+def schema_diff_tables(spark, sf_dir):
+    """Each table's schema against the next table's: what is added, dropped, widened and changed, and whether the whole is breaking."""
+    documents = {n: {"properties": {f.name.split("_", 1)[-1]: {"type": f.dataType.typeName()} for f in _table(spark, sf_dir, n).schema}} for n in TABLES}
+    rows = []
+    for a, b in zip(TABLES, TABLES[1:]):
+        d = s.diff(documents[a], documents[b])
+        rows += [(a, b, kind, x if isinstance(x, str) else x["field"], d["breaking"]) for kind in ("added", "dropped", "widened", "changed") for x in d[kind]]
+    return spark.createDataFrame(rows, "old string, new string, kind string, field string, breaking boolean")
+
+
 def _with_metadata(schema: T.StructType, **metadata: dict) -> T.StructType:
     """The fields that have metadata, in the table's order, required unless a key `null` says otherwise."""
     return T.StructType([T.StructField(f.name, f.dataType, metadata[f.name].get("null", False), metadata[f.name]) for f in schema if f.name in metadata])

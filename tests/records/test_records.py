@@ -245,6 +245,21 @@ def test_registry_is_write_once(spark):
             catalog.register(frozen, catalog.catalog(spark, [bad]))
 
 
+def test_schema_diff_of_tables(spark, sf):
+    """The same differences from sets of (field, type), read from the files."""
+    import pyarrow.parquet as pq
+
+    names = {"int64": "long", "int32": "integer", "double": "double", "string": "string", "large_string": "string", "timestamp[us]": "timestamp_ntz", "date32[day]": "date"}
+    fields = {t: {f.name.split("_", 1)[-1]: names.get(str(f.type), str(f.type)) for f in pq.read_schema(f"{sf}/{t}.parquet")} for t in queries.TABLES}
+    want = set()
+    for a, b in zip(queries.TABLES, queries.TABLES[1:]):
+        x, y = fields[a], fields[b]
+        kinds = {k: "added" for k in y.keys() - x.keys()} | {k: "dropped" for k in x.keys() - y.keys()} | {k: "changed" for k in x.keys() & y.keys() if x[k] != y[k]}
+        breaking = bool({"dropped", "changed"} & set(kinds.values()))
+        want |= {(a, b, kind, k, breaking) for k, kind in kinds.items()}
+    assert {tuple(r) for r in queries.QUERIES["schema_diff_tables"](spark, sf).collect()} == want
+
+
 def test_catalogs(spark):
     from pactframe.operators import catalog
 
