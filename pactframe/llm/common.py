@@ -6,12 +6,16 @@ import re
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words: space and the ASCII controls tab to carriage return.
 GAP = r"[\x20\x09-\x0D]"
+SEED = 42
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +27,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP + "+"), "")
 
 
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of every shingle of a whole text, repeats included; one hash of the whole sequence where words are few, none without words."""
+    tokens = (text or "").encode().translate(_LOWER).split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(tokens)
+    digest = xxhash.xxh64_intdigest
+    if len(tokens) <= width:
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    spans = zip(starts[: len(tokens) - width + 1].tolist(), ends[width - 1 :].tolist())
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(tokens) - width + 1)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -21,32 +21,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, table
+from . import similar
+from .common import cut, shingle_hashes, table
 from .components import components
 
 BITS = 64
-SEED = 42
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The SimHash of a whole text: bit i is set if over half of the shingle hashes have it set."""
-    tokens = (text or "").encode().translate(_LOWER).split()
-    if not tokens:
-        return 0
-    joined = b" ".join(tokens)
-    if len(tokens) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    spans = zip(starts[: len(tokens) - width + 1].tolist(), ends[width - 1 :].tolist())
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(tokens) - width + 1)
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: bit i is set if over half of them have it set."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 15):  # bounded memory for very long texts
         part = hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -54,6 +41,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The SimHash of a whole text."""
+    return majority(shingle_hashes(text, width))
+
+
 def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """Rows (doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,13 +95,40 @@ def links(prints: DataFrame, distance: int = 2, crowded: int = 64) -> DataFrame:
     return pairs.select(F.col("vertex").alias("u"), F.col("vertex2").alias("v")).unionByName(stars)
 
 
-def _rooted(docs: DataFrame, doc_id: str, text: str, width: int, distance: int, crowded: int) -> DataFrame:
-    """Rows (doc_id, fp, root, component_id), one per row of docs. Where ids repeat, components of different roots may share a name."""
-    rows = cut(with_fingerprints(docs, doc_id, text, width))
+def _sketched(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """Rows (doc_id, fp, t, n, keys): with_fingerprints and what similar.links needs, in one pass over the texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes, keys = [], [], []
+            for value in batch.column("text").to_pylist():
+                hashes = shingle_hashes(value, width)
+                prints.append(majority(hashes))
+                hashes = np.unique(hashes)
+                sizes.append(len(hashes))
+                keys.append(similar.block_keys(hashes))
+            columns = [pa.array(np.array(prints, np.uint64).view(np.int64)), batch.column("t"), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "fp", "t", "n", "keys"])
+
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), similar.text_key(text).alias("t"))
+    return rows.mapInArrow(run, "doc_id bigint, fp bigint, t binary, n bigint, keys array<bigint>")
+
+
+def _rooted(docs: DataFrame, doc_id: str, text: str, width: int, distance: int, crowded: int, similarity: float | None = None) -> DataFrame:
+    """Rows (doc_id, fp, root, component_id), one per row of docs. Where ids repeat, components of different roots may share a name.
+
+    With a similarity, groups that hold texts whose shingle sets are that similar are one component.
+    """
+    sketched = cut(with_fingerprints(docs, doc_id, text, width) if similarity is None else _sketched(docs, doc_id, text, width))
+    rows = sketched.select("doc_id", "fp")
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     # the fingerprint itself names the vertex, so that rows without an id take part too
     found = components(links(prints.select("fp", F.col("fp").alias("vertex")), distance, crowded))
     named = prints.join(found, prints["fp"] == found["u"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    if similarity is not None:
+        texts = sketched.filter("n > 0").groupBy("t", "fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+        texts = cut(texts.join(named.select("fp", "root"), "fp").drop("fp"))
+        merged = components(similar.links(texts, docs, text, width, similarity))
+        named = named.join(merged, named["root"] == merged["u"], "left").select("fp", "least", F.coalesce("component", "root").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(named.join(roots, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
 
@@ -119,14 +138,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     return _rooted(docs, doc_id, text, width, distance, crowded).drop("root")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near copies: the row whose id names the component, with all its columns.
 
+    Near are texts whose fingerprints are linked, and texts whose sets of shingles (`width` words) have a Jaccard
+    similarity of `similarity` or more (see similar.py). Texts without words are one group.
+
     Of a component's rows that repeat its id those of the least fingerprint are taken, and the one of the least
     hash stays; an id that names several components stays once for each. A row without an id stays, since no
     component can be named by it.
     """
-    found = cut(_rooted(docs, doc_id, text, width, 2, 64).filter("doc_id IS NOT NULL"))
+    found = cut(_rooted(docs, doc_id, text, width, 2, 64, similarity).filter("doc_id IS NOT NULL"))
     stay = found.filter("doc_id = component_id").groupBy("root", F.col("doc_id").alias(doc_id)).agg(F.min("fp").alias("_fp"))
     # texts are hashed again only where an id comes with several fingerprints
     mixed = cut(found.groupBy(F.col("doc_id").alias(doc_id)).agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a != b").select(doc_id))

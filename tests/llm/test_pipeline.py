@@ -9,7 +9,7 @@ from tests.llm.test_lines import brute as lines_left
 from tests.llm.test_mixing import simulated
 from tests.llm.test_pieces import PATH
 from tests.llm.test_simhash import brute as simhash_of
-from tests.llm.test_simhash import groups
+from tests.llm.test_simhash import groups, similar_pairs
 
 
 def test_pipeline_agrees_with_brute_force(spark, sf):
@@ -18,7 +18,8 @@ def test_pipeline_agrees_with_brute_force(spark, sf):
     good = {i for i, kept in con.execute(f"SELECT doc_id, kept FROM ({quality.op2_sql()})").fetchall() if kept}
     docs = [Row(**r.asDict()) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect() if r.doc_id in good]
     texts = dict(zip([d.doc_id for d in docs], lines_left([(d.source, d.text) for d in docs], 0.05, 3), strict=True))
-    stay = set(groups(list(texts), [simhash_of(t) for t in texts.values()]).values())
+    held = list(texts.values())
+    stay = set(groups(list(texts), [simhash_of(t, 5) for t in held], similar_pairs(held)).values())
     rows = corpus_pipeline.run(spark, sf).collect()
     assert sorted(r.doc_id for r in rows) == sorted(stay)
     own = pieces.model(PATH)

@@ -1,3 +1,4 @@
+import itertools
 import re
 
 import numpy as np
@@ -6,18 +7,28 @@ import xxhash
 from pactframe.llm import components, simhash
 
 
-def brute(text):
+def shingles(text, width):
     text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
-    if not w:
-        return 0
-    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
-    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return [" ".join(w[i : i + width]) for i in range(len(w) - width + 1)] or [" ".join(w)] * bool(w)
+
+
+def brute(text, width=3):
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles(text, width)]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def groups(keys, prints):
-    """The least key that each key reaches over fingerprints two bits apart or less."""
+def similar_pairs(texts):
+    """Places of the texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = [set(shingles(t, 5)) for t in texts]
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        x, y = sets[a], sets[b]
+        if 10 * min(len(x), len(y)) >= 8 * max(len(x), len(y)) > 0 and 10 * len(x & y) >= 8 * len(x | y):
+            yield a, b
+
+
+def groups(keys, prints, more=()):
+    """The least key that each key reaches over fingerprints two bits apart or less, and over more pairs of places."""
     parent = {k: k for k in keys}
 
     def find(x):
@@ -26,11 +37,11 @@ def groups(keys, prints):
         return x
 
     v = np.array(prints, np.uint64)
-    for a in range(len(keys)):
-        for b in np.flatnonzero(np.bitwise_count(v[a + 1 :] ^ v[a]) <= 2):
-            x, y = find(keys[a]), find(keys[a + 1 + b])
-            if x != y:
-                parent[max(x, y)] = min(x, y)
+    close = ((a, a + 1 + b) for a in range(len(keys)) for b in np.flatnonzero(np.bitwise_count(v[a + 1 :] ^ v[a]) <= 2))
+    for a, b in itertools.chain(close, more):
+        x, y = find(keys[a]), find(keys[b])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
     return {k: find(k) for k in keys}
 
 
@@ -87,3 +98,47 @@ def test_repeated_ids_lose_no_group(spark):
         kept = simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string, n int").repartition(5)).collect()
         assert len(kept) == len(want) and {(r.doc_id, r.text) for r in kept} == want
         assert len({r.n for r in kept if r.doc_id == 7}) == 1
+
+
+def variants(rng, base, count, edits):
+    """Texts that differ from base in up to `edits` words."""
+    for _ in range(count):
+        w = list(base)
+        for k in rng.integers(0, len(w), rng.integers(0, edits + 1)):
+            w[k] = f"x{rng.integers(1 << 30)}"
+        yield " ".join(w)
+
+
+def test_similar_texts_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for size in (6, 9, 30, 120, 700):
+        for _ in range(6):
+            texts += variants(rng, [f"w{x}" for x in rng.integers(0, 5000, size)], 12, size // 40 + 1)
+    # a large group around one text, and one whose texts lie on both sides of the threshold
+    texts += variants(rng, [f"h{x}" for x in rng.integers(0, 5000, 200)], 150, 5)
+    texts += variants(rng, [f"g{x}" for x in rng.integers(0, 5000, 200)], 60, 14)
+    texts += ["", None, "z " * 50_000, texts[0].upper(), texts[0]]
+    order = [int(k) for k in rng.permutation(len(texts))]
+    rows = [(at, texts[k], "clash", "clash") for at, k in enumerate(order)]
+    held = [texts[k] for k in order]
+    pairs = list(similar_pairs(held))
+    prints = [brute(t, 5) for t in held]
+    want = groups(list(range(len(held))), prints, pairs)
+    assert len(set(groups(list(range(len(held))), prints).values())) > len(set(want.values())) + 100
+    df = spark.createDataFrame(rows, "doc_id long, text string, root string, keys string").repartition(4)
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_texts_below_the_similarity_stay(spark):
+    base = [f"w{k}" for k in range(104)]  # 100 shingles; a changed word in the middle takes five of them away
+    near, far = list(base), list(base)
+    for k in (20, 60):
+        near[k] = "other"  # 90 of 110
+    for k in (20, 50, 80):
+        far[k] = "else"  # 85 of 115
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))]
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3]
