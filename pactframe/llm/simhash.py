@@ -100,8 +100,8 @@ def _sketched(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, sizes, keys = [], [], []
-            for value in batch.column("text").to_pylist():
-                hashes = shingle_hashes(value, width)
+            for value in batch.column("text"):  # one text at a time
+                hashes = shingle_hashes(value.as_py(), width)
                 prints.append(majority(hashes))
                 hashes = np.unique(hashes)
                 sizes.append(len(hashes))
