@@ -60,7 +60,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, similari
         for batch in batches:
             last, of_last = None, None  # pairs of one head follow each other in most tasks
             keep = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):  # one pair of texts at a time
+                a, b = a.as_py(), b.as_py()
                 if b != last:
                     last, of_last = b, np.unique(shingle_hashes(b, width))
                 keep.append(jaccard(np.unique(shingle_hashes(a, width)), of_last) >= similarity)
@@ -72,12 +73,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, similari
     return cut(pairs.join(texts, "t").join(others, "t2").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint").distinct())
 
 
-def _pairs(left: DataFrame, right: DataFrame, on: list[str], similarity: float) -> DataFrame:
-    """Distinct (t, t2, u, v) of texts under one key that are in different groups, u > v, and whose sizes allow the similarity."""
-    other = right.select(*on, F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    sizes = F.least("n", "n2") >= F.floor(similarity * F.greatest("n", "n2"))
-    u, v = F.greatest("root", "root2").alias("u"), F.least("root", "root2").alias("v")
-    return left.join(other, on).filter((F.col("root") != F.col("root2")) & sizes).select("t", "t2", u, v).distinct()
+def _apart(similarity: float) -> Column:
+    """Whether a pair (n, root), (n2, root2) is in different groups and its sizes allow the similarity."""
+    return (F.col("root") != F.col("root2")) & (F.least("n", "n2") >= F.floor(similarity * F.greatest("n", "n2")))
+
+
+def _ends() -> list[Column]:
+    return [F.greatest("root", "root2").alias("u"), F.least("root", "root2").alias("v")]
 
 
 def links(texts: DataFrame, docs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
@@ -89,13 +91,17 @@ def links(texts: DataFrame, docs: DataFrame, text: str, width: int, similarity:
     filed = texts.select("t", "n", "root", F.explode("keys").alias("key"))
     blocks = filed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
     members = cut(filed.join(blocks, "key"))
-    heads = members.groupBy("key").agg(F.min(F.struct("t", "n", "root")).alias("head")).select("key", "head.*")
-    first = cut(_pairs(members, heads, ["key"], similarity))
+    heads = members.groupBy("key").agg(F.min(F.struct(F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("root").alias("root2"))).alias("head"))
+    first = cut(members.join(heads.select("key", "head.*"), "key").filter(_apart(similarity)).select("t", "t2", *_ends()).distinct())
     found = _verified(first, docs, text, width, similarity)
     merged = components(found)
     now = members.join(merged, members["root"] == merged["u"], "left").select("key", "t", "n", F.coalesce("component", "root").alias("root"))
     apart = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    rest = cut(now.join(apart, "key"))
-    second = _pairs(rest, rest, ["key"], similarity).filter("t < t2")
+    rest = cut(now.join(apart, "key").join(texts.select("t", "keys"), "t"))
+    other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("t", "n", "root", "keys")])
+    # a pair that shares several blocks is formed in the first of them only
+    here = F.element_at(F.array_intersect("keys", "keys2"), 1) == F.col("key")
+    formed = rest.join(other, "key").filter(_apart(similarity) & (F.col("t") < F.col("t2")) & here)
+    second = formed.select("t", "t2", *_ends())
     second = cut(second.join(first, ["t", "t2"], "left_anti").join(first.select(F.col("t").alias("t2"), F.col("t2").alias("t")), ["t", "t2"], "left_anti"))
     return found.unionByName(_verified(second, docs, text, width, similarity))
