@@ -5,9 +5,11 @@ stand ten differing bits are five bits long. The blocks here are instead groups
 (20 blocks of four: a pair at 0.8 shares one with a chance of 0.99997, a closer pair more surely). As in the pigeonhole
 join, texts meet in blocks and every link is verified, on the whole shingle sets.
 
-What is linked already is never compared: in each block every text is first held against the block's head, then
-what is still apart is compared in full. So copies in thousands cost one comparison each, and no pair of texts that
-share a block is left out. A block of very many texts that are alike, but not enough to be linked, does cost their pairs.
+What is linked already is never compared. In each block every text is first held against the block's head, so copies in
+thousands cost one comparison each. For what is still apart then, the shingles that another group has as well are counted
+for each text by classes of their hashes. Two texts have at most the sum of the lesser counts in common; a pair that would
+need more is not formed. This loses no pair, and of a large group of near copies on both sides of the threshold it
+leaves few. What it leaves is compared on the whole sets, so pairs just below the threshold do cost their number.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from .components import components
 
 BLOCKS = 20
 MINIMA = 4
+CLASSES = 64
 _RULE = np.random.default_rng(42)
 _MASKS = _RULE.integers(0, 1 << 64, BLOCKS * MINIMA, np.uint64)
 _FACTORS = _RULE.integers(0, 1 << 64, BLOCKS * MINIMA, np.uint64) | np.uint64(1)
@@ -44,33 +47,47 @@ def block_keys(hashes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sets of hashes, each sorted and without repeats; 0 where both are empty."""
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / max(1, len(a) + len(b) - common)
-
-
 def text_key(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
-    """Those of pairs (t, t2, u, v) whose texts are similar, as (u, v)."""
+def _sets(docs: DataFrame, ends: DataFrame, text: str, width: int) -> DataFrame:
+    """Rows (t, hashes) for each t of ends: the distinct shingle hashes of its text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last, of_last = None, None  # pairs of one head follow each other in most tasks
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):  # one pair of texts at a time
-                a, b = a.as_py(), b.as_py()
-                if b != last:
-                    last, of_last = b, np.unique(shingle_hashes(b, width))
-                keep.append(jaccard(np.unique(shingle_hashes(a, width)), of_last) >= similarity)
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            held = [np.unique(shingle_hashes(value.as_py(), width)).view(np.int64) for value in batch.column("a")]  # one text at a time
+            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(held, pa.list_(pa.int64()))], names=["t", "hashes"])
+
+    texts = docs.select(text_key(text).alias("t"), F.col(text).alias("a")).join(ends, "t", "left_semi").groupBy("t").agg(F.min("a").alias("a"))
+    return texts.mapInArrow(run, "t binary, hashes array<bigint>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (t, t2, u, v) whose sets are similar, as (u, v)."""
+    common = F.size(F.array_intersect("hashes", "hashes2"))
+    other = sets.select(F.col("t").alias("t2"), F.col("hashes").alias("hashes2"))
+    held = pairs.join(sets, "t").join(other, "t2")
+    return cut(held.filter(common / (F.size("hashes") + F.size("hashes2") - common) >= similarity).select("u", "v").distinct())
+
+
+def _several(members: DataFrame) -> DataFrame:
+    """The rows of members (key, t, n, root) in blocks that hold several groups."""
+    blocks = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+    return members.join(blocks, "key")
+
+
+def _shared(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (t, shared): for each class of hashes how many shingles of t another group of members has as well."""
+    held = members.select("t", "root").distinct().join(sets, "t").select("t", "root", F.explode("hashes").alias("hash"))
+    several = held.groupBy("hash").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("hash")
+    counts = held.join(several, "hash").groupBy("t", F.col("hash").bitwiseAND(CLASSES - 1).cast("int").alias("c")).agg(F.count("*").cast("int").alias("m"))
+    by_class = counts.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("c", "m"))).alias("of"))  # CLASSES entries at most
+    classes = F.sequence(F.lit(0), F.lit(CLASSES - 1))
+    return by_class.select("t", F.transform(classes, lambda c: F.coalesce(F.try_element_at("of", c), F.lit(0))).alias("shared"))
+
 
-    ends = pairs.select("t").union(pairs.select("t2")).distinct()
-    texts = cut(docs.select(text_key(text).alias("t"), F.col(text).alias("a")).join(ends, "t", "left_semi").groupBy("t").agg(F.min("a").alias("a")))
-    others = texts.select(F.col("t").alias("t2"), F.col("a").alias("b"))
-    return cut(pairs.join(texts, "t").join(others, "t2").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint").distinct())
+def _sum(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0), lambda total, m: total + m)
 
 
 def _apart(similarity: float) -> Column:
@@ -88,20 +105,19 @@ def links(texts: DataFrame, docs: DataFrame, text: str, width: int, similarity:
     texts has one row for each distinct text: t (text_key), n (distinct shingles), keys (block_keys), root (its group so
     far). docs has the texts themselves.
     """
-    filed = texts.select("t", "n", "root", F.explode("keys").alias("key"))
-    blocks = filed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    members = cut(filed.join(blocks, "key"))
-    heads = members.groupBy("key").agg(F.min(F.struct(F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("root").alias("root2"))).alias("head"))
-    first = cut(members.join(heads.select("key", "head.*"), "key").filter(_apart(similarity)).select("t", "t2", *_ends()).distinct())
-    found = _verified(first, docs, text, width, similarity)
+    members = cut(_several(texts.select("t", "n", "root", F.explode("keys").alias("key"))))
+    sets = cut(_sets(docs, members.select("t").distinct(), text, width))
+    head = F.min(F.struct(F.xxhash64("t", "key").alias("order"), F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("root").alias("root2")))
+    heads = members.groupBy("key").agg(head.alias("head")).select("key", "head.t2", "head.n2", "head.root2")
+    found = _verified(cut(members.join(heads, "key").filter(_apart(similarity)).select("t", "t2", *_ends()).distinct()), sets, similarity)
     merged = components(found)
-    now = members.join(merged, members["root"] == merged["u"], "left").select("key", "t", "n", F.coalesce("component", "root").alias("root"))
-    apart = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    rest = cut(now.join(apart, "key").join(texts.select("t", "keys"), "t"))
-    other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("t", "n", "root", "keys")])
+    members = cut(_several(members.join(merged, members["root"] == merged["u"], "left").select("key", "t", "n", F.coalesce("component", "root").alias("root"))))
+    able = members.join(_shared(members, sets), "t").filter(_sum(F.col("shared")) >= F.floor(F.col("n") * similarity))
+    rest = cut(able.join(texts.select("t", "keys"), "t"))
+    other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("t", "n", "root", "keys", "shared")])
     # a pair that shares several blocks is formed in the first of them only
     here = F.element_at(F.array_intersect("keys", "keys2"), 1) == F.col("key")
-    formed = rest.join(other, "key").filter(_apart(similarity) & (F.col("t") < F.col("t2")) & here)
-    second = formed.select("t", "t2", *_ends())
-    second = cut(second.join(first, ["t", "t2"], "left_anti").join(first.select(F.col("t").alias("t2"), F.col("t2").alias("t")), ["t", "t2"], "left_anti"))
-    return found.unionByName(_verified(second, docs, text, width, similarity))
+    # similar sets of sizes n and n2 have at least (n + n2) * similarity / (1 + similarity) shingles in common
+    enough = _sum(F.zip_with("shared", "shared2", lambda a, b: F.least(a, b))) >= F.floor((F.col("n") + F.col("n2")) * (similarity / (1 + similarity)))
+    formed = rest.join(other, "key").filter(_apart(similarity) & (F.col("t") < F.col("t2")) & here & enough)
+    return found.unionByName(_verified(cut(formed.select("t", "t2", *_ends())), sets, similarity))
