@@ -226,14 +226,18 @@ def search(index: Index, items: DataFrame, item_id: str = "item_id", text: str =
     return rows.select("q", "item_id").join(results, "q").select("item_id", "rank", "doc_id", "score", "tier")
 
 
-def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark")
-
+def vocabulary(items: DataFrame, text: str = "text") -> DataFrame:
+    """Rows (term): the terms of items, those of a batch once."""
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(sorted({t.decode() for x in batch.column(0).cast(pa.binary()) for t in terms(x.as_py())}), pa.string())], names=["term"])
 
-    index = build(table(spark, sf_dir, "documents"), items.select(F.col("text").cast("string")).mapInArrow(words, "term string"))
+    return items.select(F.col(text).cast("string")).mapInArrow(words, "term string")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    index = build(table(spark, sf_dir, "documents"), vocabulary(items))
     found = cut(search(index, items).drop("tier"))
     index.drop()
     return found
