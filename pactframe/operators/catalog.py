@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import payload as p
+from ..functions.shared import cut
 from ..plans import schemas as s
+from . import nodes
 
 
 class RegistryConflict(ValueError):
@@ -22,20 +23,14 @@ def catalog(spark: SparkSession, documents: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "id string, body string, fingerprint string")
 
 
-def _of_bodies(function: Callable[[dict], str | None], kind: str = "string") -> Callable[[Column], Column]:
-    """A function of one document as a function of bodies, in Arrow batches. Null bodies give null."""
-    @F.pandas_udf(kind)
-    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([None if x is None else function(json.loads(x)) for x in batch], dtype=object)
-
-    return made
-
-
 def of_bodies(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """A catalog from a column of documents as JSON texts; other columns stay."""
+    """A catalog from a column of documents as JSON texts; other columns stay. What is no JSON has neither id nor fingerprint."""
     identifier = F.try_variant_get(F.try_parse_json(body), "$['$id']", "string")
-    return bodies.withColumns({"id": identifier, "fingerprint": _of_bodies(s.fingerprint)(F.col(body))}).withColumnRenamed(body, "body")
+    digest = F.sha2(F.col(body), 256)
+    prints = nodes.fingerprints(bodies.select(digest.alias("id"), F.col(body).alias("body")).dropDuplicates(["id"])).withColumnsRenamed({"id": "_digest", "fingerprint": "_fingerprint"})
+    rows = bodies.select(F.struct(*bodies.columns).alias("_row"), digest.alias("_of"), identifier.alias("_id")).join(prints, F.col("_of") == F.col("_digest"), "left")
+    kept = [F.col(f"_row.`{c}`") for c in bodies.columns if c not in ("id", "fingerprint")]
+    return rows.select(*kept, F.col("_id").alias("id"), F.col("_fingerprint").alias("fingerprint")).withColumnRenamed(body, "body")
 
 
 def version_of(identifier: Column) -> Column:
@@ -68,14 +63,6 @@ def artifact_name(identifier: Column, cap: int = 100, head: int = 48, elision: s
     return F.concat(short, F.lit("."), F.substring(F.sha2(identifier, 256), 1, 16), F.lit(".schema.json"))
 
 
-def _placement_problem(document: dict) -> str | None:
-    try:
-        s.check_placement(document)
-    except s.MisplacedMigration as e:
-        return str(e)
-    return None if document.get("$id") else "a frozen document needs an $id"
-
-
 def register(frozen: DataFrame, new: DataFrame) -> DataFrame:
     """frozen with the documents of new whose identifier it lacks. The same structure again changes nothing; another raises.
 
@@ -84,8 +71,10 @@ def register(frozen: DataFrame, new: DataFrame) -> DataFrame:
     old = frozen.select("id", F.col("fingerprint").alias("was"))
     told = new.groupBy("id").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b")).join(old, "id", "left")
     clashes = told.filter("a <> b OR a <> was").select("id", F.lit(None).cast("string").alias("problem"))
-    misplaced = new.select("id", _of_bodies(_placement_problem)(F.col("body")).alias("problem")).filter("problem IS NOT NULL")
-    found = clashes.unionByName(misplaced).first()
+    message = F.concat(F.lit(f"{s.MIGRATE_FROM} is for root properties only, not "), "pointer")
+    misplaced = nodes.misplaced(new.select("id", "body")).select("id", message.alias("problem"))
+    nameless = new.filter("id IS NULL OR id = ''").select("id", F.lit("a frozen document needs an $id").alias("problem"))
+    found = clashes.unionByName(misplaced).unionByName(nameless).first()
     if found and found["problem"]:
         raise s.MisplacedMigration(found["problem"]) if s.MIGRATE_FROM in found["problem"] else ValueError(found["problem"])
     if found:
@@ -119,36 +108,49 @@ def compare(mine: DataFrame, other: DataFrame, key: str = "id") -> DataFrame:
 
 
 def drift(current: DataFrame, frozen: DataFrame) -> DataFrame:
-    """Rows (id, status): checked, unfrozen, refreezable or drifted. Changes are judged in Arrow batches, on the documents that differ."""
-    @F.pandas_udf("string")
-    def judge(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for ids, olds, news in batches:
-            out = []
-            for identifier, old, new in zip(ids, map(json.loads, olds), map(json.loads, news), strict=True):
-                inert = (s.version_of(identifier) == 1 and s.only_defaults_added(old, new)) or s.only_optional_removed(old, new)
-                out.append("refreezable" if inert else "drifted")
-            yield pd.Series(out, dtype=object)
-
-    joined = current.alias("c").join(frozen.alias("f"), "id", "left").select("id", F.col("c.fingerprint").alias("a"), F.col("f.fingerprint").alias("b"), F.col("c.body").alias("new"), F.col("f.body").alias("old"))
-    differ = joined.filter("a <> b").select("id", judge("id", "old", "new").alias("status"))
-    status = F.when(F.col("id").isNull(), "checked").when(F.col("b").isNull(), "unfrozen").otherwise("checked")
-    return joined.filter("b IS NULL OR a = b").select("id", status.alias("status")).unionByName(differ)
-
-
-def _types(prop: Column, deep: int = 2) -> Column:
-    """A property's accepted types, sorted and distinct; a reference is a type of its own. Unions in unions are read `deep` levels down."""
-    ref, kind = F.try_variant_get(prop, "$['$ref']", "string"), F.try_variant_get(prop, "$.type", "variant")
-    names = F.coalesce(F.try_variant_get(kind, "$", "array<string>"), F.array_compact(F.array(F.try_variant_get(kind, "$", "string"))))
-    if deep:
-        members = F.try_variant_get(prop, "$.anyOf", "array<variant>")
-        names = F.when(members.isNotNull(), F.flatten(F.transform(members, lambda x: _types(x, deep - 1)))).otherwise(names)
-    return F.array_sort(F.array_distinct(F.when(ref.isNotNull(), F.array(F.concat(F.lit("$ref:"), ref))).otherwise(names)))
+    """Rows (id, status) of current's documents: checked, unfrozen, refreezable, drifted or unreadable.
+
+    What differs in fingerprint, or has none, is judged by a join of both documents' nodes on their paths: a first version that
+    only gained `default`, or any version that only lost `x-optional` of schemas, may be frozen again. A frozen copy that is
+    no JSON counts as absent, and a current document that is none is unreadable. A document without an id is checked.
+    """
+    readable = F.try_parse_json("body").isNotNull()
+    old = frozen.filter(readable).select("id", F.col("fingerprint").alias("b"), F.col("body").alias("old"), F.lit(True).alias("there"))
+    joined = current.select("id", F.col("fingerprint").alias("a"), F.col("body").alias("new"), readable.alias("readable")).join(old, "id", "left")
+    same = F.col("a").eqNullSafe(F.col("b")) & F.col("a").isNotNull()
+    status = F.when(F.col("id").isNull(), "checked").when(~F.col("readable"), "unreadable").when(F.col("there").isNull(), "unfrozen").when(same, "checked")
+    told = cut(joined.withColumn("status", status))
+    apart = told.filter("status IS NULL")
+    sides = [nodes.walk(apart.select("id", F.col(c).alias("body"))) for c in ("old", "new")]
+    gained = (F.col("side") == "new") & (F.col("key") == "default")
+    lost = (F.col("side") == "old") & (F.col("key") == s.OPTIONAL) & (F.col("inside") == "schema")
+    every = lambda c: F.min(F.coalesce(c, F.lit(False)))
+    found = nodes.differences(*sides).groupBy("id").agg(every(gained).alias("gained"), every(lost).alias("lost"))
+    inert = (F.col("gained") & (version_of(F.col("id")) == 1)) | F.col("lost")
+    judged = apart.drop("status").join(found, "id", "left").select("id", F.when(F.col("gained").isNull(), "checked").when(inert, "refreezable").otherwise("drifted").alias("status"))
+    return told.filter("status IS NOT NULL").select("id", "status").unionByName(judged)
 
 
 def properties(documents: DataFrame) -> DataFrame:
-    """Rows (id, field, types) of the top-level properties of documents (id, body)."""
+    """Rows (id, field, types) of the top-level properties of documents (id, body): types sorted and distinct, a reference a type of its own.
+
+    Unions in unions are taken apart one level at a time until none is left.
+    """
     found = F.try_variant_get(F.try_parse_json("body"), "$.properties", "map<string,variant>")
-    return documents.select("id", F.explode(found).alias("field", "prop")).select("id", "field", _types(F.col("prop")).alias("types"))
+    level = documents.select("id", F.explode(found).alias("field", "v"))
+    none = F.array().cast("array<string>")
+    parts = []
+    while True:
+        level = cut(level)
+        v = F.col("v")
+        ref, members, kind = F.try_variant_get(v, "$['$ref']", "string"), F.try_variant_get(v, "$.anyOf", "array<variant>"), F.try_variant_get(v, "$.type", "variant")
+        names = F.coalesce(F.try_variant_get(kind, "$", "array<string>"), F.array_compact(F.array(p.text(kind))))
+        union = ref.isNull() & members.isNotNull()
+        parts.append(level.select("id", "field", F.when(ref.isNotNull(), F.array(F.concat(F.lit("$ref:"), ref))).when(union, none).otherwise(names).alias("names")))
+        level = level.filter(union).select("id", "field", F.explode(members).alias("v"))
+        if level.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, parts).groupBy("id", "field").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("types"))
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:

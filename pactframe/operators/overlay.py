@@ -1,5 +1,8 @@
 """Ordered patches on payloads: stacks of override, merge and unset actions folded into one VARIANT column.
 
+Actions are data: a target's steps and a value, from documents of the plan or from a table of them. One generic step is folded
+over a row's actions, so a plan does not grow with the number of actions, documents or keys.
+
 Targets are `$`, `.name`, `['name']`, `[n]`, `[*]` and `[?(@.name=='text')]` or `[?(@=='text')]`. Each action
 sees what the ones before made. The same fold runs on Python documents through `apply_to`.
 """
@@ -7,16 +10,18 @@ sees what the ones before made. The same fold runs on Python documents through `
 from __future__ import annotations
 
 import copy
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import payload as p
+from ..functions.shared import cut
 
 OPERATIONS = ("override", "merge", "unset")
 _STEP = re.compile(r"\.(?P<name>[A-Za-z_][\w-]*)|\[(?P<q>['\"])(?P<quoted>.*?)(?P=q)\]|\[(?P<index>\d+)\]|\[(?P<all>\*)\]|\.(?P<dot>\*)|\[\?\(@(?:\.(?P<field>[\w-]+))?\s*==\s*(?P<r>['\"])(?P<text>.*?)(?P=r)\)\]")
@@ -73,110 +78,243 @@ def parse_document(raw: dict) -> list[Action]:
     return [Action.parse(a) for a in raw["actions"]]
 
 
-def _object(fields: Column) -> Column:
-    return F.to_variant_object(fields)
+#: An action as data. Steps say how they pick: key, index, all, where (a member whose field, or which itself, is a text), or put, a key
+#: that is made where it is missing and makes an object of what is none. A merge is one `set` for each leaf of its patch.
+HOWS = ("key", "put", "index", "all", "where")
+STEP = "struct<how: string, key: string, n: bigint, text: string>"
+OPERATION = f"struct<op: string, steps: array<{STEP}>, creates: boolean, value: variant>"
+_OUT = {"override": "set", "merge": "set", "unset": "unset"}
 
 
-def _matches(x: Column, where: tuple[str | None, str]) -> Column:
-    name, text = where
-    value = p.get(p.as_map(x), name) if name else x
-    return F.coalesce((p.kind(value) == "string") & (p.text(value) == text), F.lit(False))
+def _as_data(step: tuple[str, Any]) -> dict:
+    kind, key = step
+    field, text = key if kind == "where" else (key if kind in ("key", "put") else None, None)
+    return {"how": kind, "key": field, "n": key if kind == "index" else None, "text": text}
 
 
-def _creatable(path: list[tuple[str, Any]]) -> bool:
-    """Whether a concrete path can be made from nothing: a new list has a place 0 only."""
-    return all(kind == "key" or (kind == "index" and key == 0) for kind, key in path)
+def _leaves(patch: Any, above: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], Any]]:
+    """The paths and values of a patch's leaves; an empty object is one."""
+    if not isinstance(patch, dict) or not patch:
+        return [(above, patch)]
+    return [leaf for k, v in patch.items() for leaf in _leaves(v, (*above, k))]
+
+
+def operations(documents: list[dict]) -> list[dict]:
+    """The actions of documents in order, as data."""
+    out = []
+    for action in [a for d in documents for a in parse_document(d)]:
+        path = [_as_data(x) for x in steps(action.target)]
+        leaves = _leaves(action.value) if action.operation == "merge" else [((), action.value)]
+        for names, value in leaves:
+            op = "object" if action.operation == "merge" and value == {} else _OUT[action.operation]
+            out.append({"op": op, "steps": [*path, *[_as_data(("put", k)) for k in names]], "creates": action.operation == "override" and action.concrete, "value": value})
+    return out
 
 
-def _made(path: list[tuple[str, Any]], value: Column) -> Column:
-    for kind, key in reversed(path):
-        value = _object(F.create_map(F.lit(key), value) if kind == "key" else F.array(value))
-    return value
+def _object(fields: Column) -> Column:
+    return F.to_variant_object(fields)
 
 
-def _at(v: Column, path: list[tuple[str, Any]], change: Callable[[Column], Column], new: Column | None = None) -> Column:
-    """v with `change` made at every place of path; where a path's end is missing it is made with `new`, if that is given and can be.
+@dataclass(frozen=True)
+class Shape:
+    """What operations have in them: how many steps at most, which kinds of steps and operations, and whether any makes what is missing."""
 
-    v is named often, so it has to be cheap: a column or a variable of `let`.
-    """
-    if not path:
-        return change(v)
-    (kind, key), rest = path[0], path[1:]
-    deeper = lambda x: p.let(x, lambda y: _at(y, rest, change, new))
-    fresh = _made(rest, new) if new is not None and _creatable(rest) else None
-    if kind == "key":
-        def in_object(m: Column) -> Column:
-            put = lambda x: _object(F.map_concat(F.map_filter(m, lambda k, _: k != key), F.create_map(F.lit(key), x)))
-            out = F.when(p.has(m, key), put(deeper(p.get(m, key))))
-            return out.otherwise(v) if fresh is None else out.when(m.isNull(), _object(F.create_map(F.lit(key), fresh))).otherwise(put(fresh))
+    deepest: int
+    hows: frozenset[str]
+    ops: frozenset[str]
+    creates: bool
+
+    @classmethod
+    def of(cls, found: list[dict]) -> Shape:
+        all_steps = [s["how"] for o in found for s in o["steps"]]
+        return cls(max((len(o["steps"]) for o in found), default=0), frozenset(all_steps), frozenset(o["op"] for o in found), any(o["creates"] for o in found))
+
+
+def _first(cases: list[tuple[Column, Column]], default: Column) -> Column:
+    return reduce(lambda out, c: F.when(c[0], c[1]).otherwise(out), reversed(cases), default)
+
+
+def _acted(v: Column, o: Column, shape: Shape) -> Column:
+    """v after an operation o of a shape. The expression grows with the number of steps, and holds no branch for kinds that do not occur."""
+    path, op = o["steps"], o["op"]
+    keyed = [h for h in ("key", "put") if h in shape.hows]
+    makes, indexed = shape.creates or "put" in shape.hows, "index" in shape.hows
+    by_key = lambda how: how.isin(keyed) if len(shape.hows) > len(keyed) else F.lit(True)
+    empty = p.literal({})
+
+    def end(x: Column) -> Column:
+        cases = [("object", F.when(p.as_map(x).isNotNull(), x).otherwise(empty)), ("unset", p.literal(None))]
+        return _first([(op == name, value) for name, value in cases if name in shape.ops], o["value"])
+
+    def made(level: int) -> Column:
+        """What the steps below a level make from nothing."""
+        below = F.slice(path, level + 2, F.greatest(F.size(path) - level - 1, F.lit(0)))
+        bottom = F.when(op == "object", empty).otherwise(o["value"]) if "object" in shape.ops else o["value"]
+        if level + 1 == shape.deepest:
+            return bottom
+        field, member = (lambda x, s: _object(F.create_map(s["key"], x))), (lambda x, s: _object(F.array(x)))
+        return F.aggregate(F.reverse(below), bottom, lambda x, s: F.when(by_key(s["how"]), field(x, s)).otherwise(member(x, s)) if indexed else field(x, s))
+
+    def at(x: Column, level: int) -> Column:
+        if level == shape.deepest:
+            return end(x)
+        s = F.get(path, F.lit(level))
+        parts = F.struct(p.as_map(x).alias("m"), p.as_array(x).alias("a"), s.alias("s"))
+        return F.when(F.size(path) <= level, end(x)).otherwise(p.let(parts, lambda it: inside(x, it["m"], it["a"], it["s"], level)))
+
+    def inside(x: Column, m: Column, a: Column, s: Column, level: int) -> Column:
+        how = s["how"]
+        below = F.slice(path, level + 2, F.greatest(F.size(path) - level - 1, F.lit(0)))
+        from_nothing = o["creates"] & F.forall(below, lambda z: by_key(z["how"]) | (z["n"] == 0)) if shape.creates else F.lit(False)
+        able = (how == "put") | from_nothing if "put" in shape.hows else from_nothing
+        last = (op == "unset") & (F.size(path) == level + 1)
+
+        def text_of(y: Column) -> Column:
+            value = F.when(s["key"].isNull(), y).otherwise(F.try_element_at(p.as_map(y), s["key"]))
+            return F.coalesce((p.kind(value) == "string") & (p.text(value) == s["text"]), F.lit(False))
+
+        of_key = lambda k: _first([(how == "all", F.lit(True))] if "all" in shape.hows else [], by_key(how) & (k == s["key"]))
+        of_index = lambda y, i: _first([(how == h, test(y, i)) for h, test in (("index", lambda y, i: i == s["n"]), ("where", lambda y, i: text_of(y)), ("all", lambda y, i: F.lit(True))) if h in shape.hows], F.lit(False))
+
+        def in_map(fields: Column) -> Column:
+            if "unset" in shape.ops:
+                fields = F.when(last, F.map_filter(fields, lambda k, _: ~of_key(k))).otherwise(fields)
+            deep = F.transform_values(fields, lambda k, y: F.when(of_key(k), at(y, level + 1)).otherwise(y))
+            if makes and keyed:
+                deep = F.when(able & by_key(how) & ~F.map_contains_key(fields, s["key"]), F.map_concat(fields, F.create_map(s["key"], made(level)))).otherwise(deep)
+            return _object(deep)
+
+        def in_list(items: Column) -> Column:
+            if "unset" in shape.ops:
+                items = F.when(last, F.filter(items, lambda y, i: ~of_index(y, i))).otherwise(items)
+            deep = F.transform(items, lambda y, i: F.when(of_index(y, i), at(y, level + 1)).otherwise(y))
+            if makes and indexed:
+                deep = F.when(able & (how == "index") & (F.size(items) == s["n"]), F.concat(items, F.array(made(level)))).otherwise(deep)
+            return _object(deep)
+
+        fresh = []
+        if makes and keyed:
+            fresh.append((able & by_key(how), _object(F.create_map(s["key"], made(level)))))
+        if makes and indexed:
+            fresh.append((able & (how == "index") & (s["n"] == 0), _object(F.array(made(level)))))
+        in_none = _first(fresh, x)
+        pick = lambda hows: how.isin(hows) if set(hows) != shape.hows else F.lit(True)
+        for_maps = [h for h in (*keyed, "all") if h in shape.hows]
+        for_lists = [h for h in ("index", "where", "all") if h in shape.hows]
+        cases = ([(m.isNotNull() & pick(for_maps), in_map(m))] if for_maps else []) + ([(a.isNotNull() & pick(for_lists), in_list(a))] if for_lists else [])
+        return _first(cases, in_none)
+
+    return at(v, 0)
+
+
+def _folded(v: Column, found: Column, shape: Shape) -> Column:
+    return F.aggregate(found, v, lambda state, o: _acted(state, o, shape))
 
-        return p.let(p.as_map(v), in_object)
-    if kind == "all":
-        fields = lambda m: F.when(m.isNotNull(), _object(F.transform_values(m, lambda _, x: deeper(x)))).otherwise(v)
-        return p.let(p.as_array(v), lambda items: F.when(items.isNotNull(), _object(F.transform(items, deeper))).otherwise(p.let(p.as_map(v), fields)))
 
-    def in_list(items: Column) -> Column:
-        here = (lambda x, i: i == key) if kind == "index" else (lambda x, i: _matches(x, key))
-        out = F.when(items.isNotNull(), _object(F.transform(items, lambda x, i: F.when(here(x, i), deeper(x)).otherwise(x))))
-        if fresh is not None and kind == "index":
-            out = F.when(F.size(items) == key, _object(F.concat(items, F.array(fresh)))).when(items.isNull() & F.lit(key == 0), _object(F.array(fresh))).otherwise(out)
-            return F.coalesce(out, v)
-        return out.otherwise(v)
+def apply(v: Column, documents: list[dict]) -> Column:
+    """v, a VARIANT, after all actions of all documents, in order: a fold over the actions, which are one literal."""
+    found = operations(documents)
+    if not found:
+        return v
+    return _folded(v, F.from_json(F.lit(json.dumps(found, ensure_ascii=False)), f"array<{OPERATION}>"), Shape.of(found))
 
-    return p.let(p.as_array(v), in_list)
 
+# Fixed patterns: one step of a target, and its kinds.
+_NAME, _ONE, _TWO, _INDEX = r"\.([A-Za-z_][\w-]*)", r"\['([^']*)'\]", r"\[\"([^\"]*)\"\]", r"\[([0-9]+)\]"
+_WHERE = r"\[\?\(@(?:\.([\w-]+))?\s*==\s*(?:'([^']*)'|\"([^\"]*)\")\)\]"
+_ANY = "|".join([_NAME, _ONE, _TWO, _INDEX, r"\[\*\]", r"\.\*", _WHERE])
 
-def _merged(v: Column, patch: Any) -> Column:
-    if not isinstance(patch, dict):
-        return p.literal(patch)
 
-    def under(sub: Any) -> Callable[[Column], Column]:
-        return lambda y: _merged(y, sub)
+def _steps_of(target: Column) -> Column:
+    """A target's steps as data; null if it cannot be read to its end."""
+    found = F.regexp_extract_all(target, F.lit(_ANY), F.lit(0))
+    field = lambda x, pattern, group=1: F.regexp_extract(x, f"^{pattern}$", group)
+    none = F.lit(None).cast("string")
 
-    def into(m: Column) -> Column:
-        if not patch:
-            return F.when(m.isNotNull(), v).otherwise(p.literal({}))
-        base = F.coalesce(m, p.literal_map({}))
-        entries = [x for k, sub in patch.items() for x in (F.lit(k), F.when(p.has(m, k), p.let(p.get(m, k), under(sub))).otherwise(p.literal(sub)))]
-        return _object(F.map_concat(F.map_filter(base, lambda k, _: ~k.isin(list(patch))), F.create_map(*entries)))
+    def step(x: Column) -> Column:
+        told = lambda how, key=none, n=none, text=none: F.struct(F.lit(how).alias("how"), key.alias("key"), n.cast("bigint").alias("n"), text.alias("text"))
+        where = told("where", F.nullif(field(x, _WHERE), F.lit("")), none, F.when(x.contains("'"), field(x, _WHERE, 2)).otherwise(field(x, _WHERE, 3)))
+        return (
+            F.when(x.rlike(f"^{_INDEX}$"), told("index", none, F.nullif(field(x, _INDEX), F.lit("")))).when(x.isin("[*]", ".*"), told("all"))
+            .when(x.startswith("[?"), where).when(x.startswith("['"), told("key", field(x, _ONE))).when(x.startswith("["), told("key", field(x, _TWO))).otherwise(told("key", field(x, _NAME)))
+        )
 
-    return p.let(p.as_map(v), into)
+    whole = F.concat(F.lit("$"), F.array_join(found, "")) == target
+    return F.when(whole, F.transform(found, step))
 
 
-def _without(v: Column, last: tuple[str, Any]) -> Column:
-    kind, key = last
-    m, items = p.as_map(v), p.as_array(v)
-    if kind == "key":
-        return F.coalesce(_object(F.map_filter(m, lambda k, _: k != key)), v)
-    if kind == "index":
-        left = F.filter(items, lambda x, i: i != key)
-    elif kind == "all":
-        return F.when(items.isNotNull(), p.literal([])).when(m.isNotNull(), p.literal({})).otherwise(v)
-    else:
-        left = F.filter(items, lambda x: ~_matches(x, key))
-    return F.coalesce(_object(left), v)
-
-
-def act(v: Column, action: Action) -> Column:
-    path = steps(action.target)
-    if action.operation == "override":
-        value = p.literal(action.value)
-        return _at(v, path, lambda _: value, value if action.concrete else None)
-    if action.operation == "merge":
-        return _at(v, path, lambda x: _merged(x, action.value))
-    return _at(v, path[:-1], lambda x: _without(x, path[-1])) if path else p.literal(None)
+def _actions(overlays: DataFrame) -> DataFrame:
+    """Rows (key, n, a, target, word, value, problem) of overlays (key, n, body); a is an action's number in its document."""
+    listed = F.try_variant_get(F.try_parse_json("body"), "$.actions", "array<variant>")
+    rows = overlays.select("key", "n", listed.isNull().alias("none"), F.posexplode_outer(listed).alias("a", "v")).withColumn("m", p.as_map(F.col("v")))
+    words = F.filter(F.array(*map(F.lit, OPERATIONS)), lambda w: F.coalesce(F.map_contains_key("m", w), F.lit(False)))
+    target = F.when(p.kind(p.get(F.col("m"), "target")) == "string", p.text(p.get(F.col("m"), "target")))
+    problem = (
+        F.when(F.col("none"), "an overlay needs a list of actions").when(F.col("a").isNull(), None).when(F.coalesce(target, F.lit("")) == "", "an action needs a target")
+        .when(F.size(words) != 1, "an action has exactly one of " + ", ".join(OPERATIONS)).when(_steps_of(target).isNull(), F.concat(F.lit("cannot read the target "), target))
+    )
+    word = F.get(words, F.lit(0))
+    return rows.select("key", "n", "a", target.alias("target"), word.alias("word"), F.try_element_at("m", word).alias("value"), problem.alias("problem")).filter("a IS NOT NULL OR problem IS NOT NULL")
 
 
-def apply(v: Column, documents: list[dict]) -> Column:
-    """v, a VARIANT, after all actions of all documents, in order: a fold over the actions' numbers, so the plan grows with their number alone."""
-    actions = [a for d in documents for a in parse_document(d)]
-    if not actions:
-        return v
+def problems(overlays: DataFrame) -> DataFrame:
+    """Rows (key, n, a, problem): documents and actions that cannot be read."""
+    return _actions(overlays).filter("problem IS NOT NULL").select("key", "n", "a", "problem")
 
-    def one(state: Column, number: Column) -> Column:
-        return reduce(lambda out, a: out.when(number == a[0], act(state, a[1])), enumerate(actions[1:], 1), F.when(number == 0, act(state, actions[0])))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(actions) - 1)), v, one)
+def compiled(overlays: DataFrame) -> DataFrame:
+    """Rows (key, operations) of overlays (key, n, body: a document as JSON text): each key's actions in order, as data, values as JSON texts.
+
+    The patches of merges are taken apart a level at a time until only leaves are left. Raises for what cannot be read.
+    """
+    actions = cut(_actions(overlays))
+    if bad := actions.filter("problem IS NOT NULL").first():
+        raise BadOverlay(f"{bad['key']}: {bad['problem']}")
+    merge = F.col("word") == "merge"
+    level = actions.withColumn("names", F.array().cast("array<string>"))
+    leaves = [level.filter(~merge)]
+    level = level.filter(merge)
+    while True:
+        level = cut(level)
+        fields = p.as_map(F.col("value"))
+        inner = F.coalesce(F.size(fields) > 0, F.lit(False))
+        leaves.append(level.filter(~inner))
+        level = level.filter(inner).select("key", "n", "a", "target", "word", F.explode(fields).alias("k", "value"), "problem", "names")
+        level = level.select("key", "n", "a", "target", "word", "value", "problem", F.array_append("names", F.col("k")).alias("names"))
+        if level.isEmpty():
+            break
+    rows = reduce(DataFrame.unionByName, leaves)
+    put = F.transform("names", lambda k: F.struct(F.lit("put").alias("how"), k.alias("key"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("string").alias("text")))
+    op = F.when(F.col("word") == "unset", "unset").when(merge & p.as_map(F.col("value")).isNotNull(), "object").otherwise("set")
+    read = rows.select("key", "n", "a", _steps_of(F.col("target")).alias("path"), put.alias("put"), op.alias("op"), F.col("word"), F.to_json("value").alias("value"))
+    concrete = (F.col("word") == "override") & F.forall("path", lambda x: x["how"].isin("key", "index"))
+    entry = F.struct("n", "a", "op", F.concat("path", "put").alias("steps"), concrete.alias("creates"), "value")
+    return read.groupBy("key").agg(F.array_sort(F.collect_list(entry)).alias("operations"))
+
+
+def apply_stacks(rows: DataFrame, v: str, keys: str, overlays: DataFrame) -> DataFrame:
+    """rows with v, a VARIANT, after the documents of overlays (key, n, body) for each of the row's keys, in the keys' order.
+
+    The stack of each distinct list of keys is put together once, by joins; unknown keys are passed over, and rows without
+    keys stay as they are. The plan depends on the deepest target alone, not on the number of keys or actions.
+    """
+    found = cut(compiled(overlays))
+    each = found.select(F.explode("operations").alias("o")).select("o.op", "o.creates", F.col("o.steps.how").alias("hows"))
+    has = [F.coalesce(F.max(F.array_contains("hows", h)), F.lit(False)) for h in HOWS]
+    deepest, creates, ops, *there = each.agg(F.max(F.size("hows")), F.max("creates"), F.collect_set("op"), *has).first()
+    if deepest is None:
+        return rows
+    shape = Shape(deepest, frozenset(h for h, yes in zip(HOWS, there) if yes), frozenset(ops), creates)
+    lists = rows.select(F.col(keys).alias("_keys")).filter("size(_keys) > 0").distinct()
+    each = lists.select("_keys", F.posexplode("_keys").alias("_at", "key")).join(found, "key")
+    stacks = each.groupBy("_keys").agg(F.array_sort(F.collect_list(F.struct("_at", "operations"))).alias("_all"))
+    as_data = lambda o: F.struct(o["op"].alias("op"), o["steps"].alias("steps"), o["creates"].alias("creates"), F.parse_json(o["value"]).alias("value"))
+    stacks = cut(stacks.select("_keys", F.transform(F.flatten(F.transform("_all", lambda x: x["operations"])), as_data).alias("_operations")))
+    size = stacks.agg(F.coalesce(F.sum(F.size("_operations")), F.lit(0))).first()[0]
+    joined = rows.select(F.struct(*rows.columns).alias("_row")).join(F.broadcast(stacks) if size * 400 <= 64 << 20 else stacks, F.col(f"_row.`{keys}`") == F.col("_keys"), "left")
+    # a list of operations that is carried along is read once, by the fold
+    changed = F.when(F.col("_operations").isNull(), F.col(f"_row.`{v}`")).otherwise(_folded(F.col(f"_row.`{v}`"), F.col("_operations"), shape))
+    return joined.select(*[changed.alias(c) if c == v else F.col(f"_row.`{c}`") for c in rows.columns])
 
 
 class OverlayRegistry:
@@ -210,15 +348,14 @@ class OverlayRegistry:
 def apply_by_keys(v: Column, keys: Column, registry: OverlayRegistry | dict[str, list[dict]]) -> Column:
     """v after the documents of each of the row's keys, in the keys' order; unknown keys are passed over.
 
-    The registry is plan-time data, so the fold over a row's keys is an aggregate with one branch per key.
+    The registry is plan-time data, a literal map of actions by key. `apply_stacks` takes overlays from a table.
     """
     known = registry if isinstance(registry, OverlayRegistry) else OverlayRegistry(registry)
-
-    def one(state: Column, key: Column) -> Column:
-        branches = [(name, apply(state, known.documents_for(name))) for name in known.keys()]
-        return reduce(lambda out, b: F.when(key == b[0], b[1]).otherwise(out), branches, state)
-
-    return F.aggregate(keys, v, one)
+    by_key = {name: operations(known.documents_for(name)) for name in known.keys()}
+    if not any(by_key.values()):
+        return v
+    stacks = F.from_json(F.lit(json.dumps(by_key, ensure_ascii=False)), f"map<string, array<{OPERATION}>>")
+    return _folded(v, F.flatten(F.array_compact(F.transform(keys, lambda k: F.try_element_at(stacks, k)))), Shape.of([o for found in by_key.values() for o in found]))
 
 
 def apply_to(document: Any, documents: list[dict]) -> Any:
@@ -259,6 +396,11 @@ def _drop(x: Any, last: tuple[str, Any]) -> Any:
     return x
 
 
+def _creatable(path: list[tuple[str, Any]]) -> bool:
+    """Whether a concrete path can be made from nothing: a new list has a place 0 only."""
+    return all(kind == "key" or (kind == "index" and key == 0) for kind, key in path)
+
+
 def _walk(x: Any, path: list[tuple[str, Any]], change: Callable[[Any], Any], create: bool) -> Any:
     if not path:
         return change(x)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from .functions import gate
 from .functions import payload as p
-from .operators import catalog, fixtures, ladder, lens, overlay
+from .operators import catalog, fixtures, ladder, lens, nodes, overlay
 from .plans import documents, projection
 from .plans import schemas as s
 from .sources import types as sources
@@ -268,6 +268,37 @@ def overlay_tenant_keys(spark, sf_dir):
     return out.select("c_custkey", p.text(p.path(F.col("v"), "theme")).alias("theme"), p.text(p.path(F.col("v"), "size")).alias("size"))
 
 
+def _overlay_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An overlay for each order, under its key, and two for each priority: rows (key, n, body)."""
+    orders = _table(spark, sf_dir, "orders")
+    total = F.col("o_totalprice").cast("decimal(20,2)").cast("string")
+    own = F.concat(F.lit('{"actions":[{"target":"$.total","override":'), total, F.lit('},{"target":"$.notes[0]","override":"'), F.col("o_orderkey").cast("string"), F.lit('"},{"target":"$.flags","merge":{"seen":{"by":"o"},"none":{}}}'), F.when(F.col("o_orderkey") % 2 == 0, ',{"target":"$.draft","unset":true}').otherwise(""), F.lit("]}"))
+    by_key = orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("key"), F.lit(0).alias("n"), own.alias("body"))
+    priorities = orders.select(F.col("o_orderpriority").alias("key")).distinct()
+    first = priorities.select("key", F.lit(0).alias("n"), F.concat(F.lit('{"actions":[{"target":"$.flags.level","override":"'), F.substring("key", 1, 1), F.lit('"},{"target":"$.items[?(@.id==\'b\')].n","override":9}]}')).alias("body"))
+    second = priorities.select("key", F.lit(1).alias("n"), F.lit('{"actions":[{"target":"$.items[*]","merge":{"seen":true}},{"target":"$.flags","merge":{"seen":{"by":"p"}}}]}').alias("body"))
+    return by_key.unionByName(first).unionByName(second)
+
+
+@query("""
+SELECT o_orderkey, o_totalprice::DECIMAL(20,2)::VARCHAR AS total, o_orderkey::VARCHAR AS note, CASE WHEN o_orderkey % 3 = 0 THEN 'o' ELSE 'p' END AS by, substr(o_orderpriority, 1, 1) AS level,
+  '[1,9]' AS ns, 2 AS seen, o_orderkey % 2 = 1 AS draft, CASE WHEN o_orderkey % 3 = 0 THEN '{}' END AS none FROM orders""")
+def overlay_table_keys(spark, sf_dir):
+    """Every order's own overlay and those of its priority, from a table with a key for each order; the order of keys tells who writes last."""
+    key = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    keys = F.when(F.col("o_orderkey") % 3 == 0, F.array("o_orderpriority", key, F.lit("unknown"))).otherwise(F.array(key, "o_orderpriority"))
+    base = F.parse_json(F.lit('{"draft":true,"items":[{"id":"a","n":1},{"id":"b","n":2}]}'))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", keys.alias("keys"), base.alias("v"))
+    v = F.col("v")
+    out = overlay.apply_stacks(rows, "v", "keys", _overlay_table(spark, sf_dir))
+    items = p.as_array(p.path(v, "items"))
+    number = lambda x: p.number(p.get(p.as_map(x), "n")).cast("int")
+    return out.select(
+        "o_orderkey", p.path(v, "total").cast("decimal(20,2)").cast("string").alias("total"), p.text(p.path(v, "notes.0")).alias("note"), p.text(p.path(v, "flags.seen.by")).alias("by"), p.text(p.path(v, "flags.level")).alias("level"),
+        F.to_json(F.transform(items, number)).alias("ns"), F.size(F.filter(items, lambda x: p.has(p.as_map(x), "seen"))).alias("seen"), p.has(p.as_map(v), "draft").alias("draft"), F.to_json(p.path(v, "flags.none")).alias("none"),
+    )
+
+
 def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select(F.concat(F.lit("https://example.org/"), F.lower("p_brand"), F.lit("/"), F.col("p_size").cast("string")).alias("id"), "p_brand", "p_size", "p_partkey")
 
@@ -495,3 +526,71 @@ def fixtures_sequence(spark, sf_dir):
     index = fixtures.Fixtures().shape("thing", schema=schema).state("thing", "isArchived", {"archived": True, "kind": "old"})
     made = index.factory("thing").state("is_archived").sequence({"kind": "a"}, {"kind": "b"}, {"kind": "c"}).count(1000).make(spark, size=7)
     return made.select("n", _text("payload", "name"), _text("payload", "kind"), F.try_variant_get(p.get(F.col("payload"), "archived"), "$", "boolean").alias("archived"), _number("payload", "size"))
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each part that refers to one below and one above it, in chains and cycles, to a definition of its own, and, for some, to nothing known."""
+    key = F.col("p_partkey")
+    name = lambda k: F.concat(F.lit("https://example.org/part/"), k.cast("string"), F.lit("/1"))
+    ref = lambda k: F.concat(F.lit('{"$ref":"'), name(k), F.lit('"}'))
+    parts = _table(spark, sf_dir, "part")
+    body = F.concat(
+        F.lit('{"$id":"'), name(key), F.lit('","properties":{"a":'), ref(F.floor(key / 3).cast("bigint")), F.lit(',"b":{"anyOf":[{"type":"null"},'), ref(key + F.when(key % 4 == 3, -3).otherwise(1)), F.lit(']},"own":{"$ref":"https://example.org/own/1"}},'),
+        F.lit('"$defs":{"mine":{"$id":"https://example.org/own/1","items":'), F.when(key % 5 == 0, '{"$ref":"https://example.org/gone/1"}').otherwise('{"type":"string"}'), F.lit("}}}"),
+    )
+    return parts.select(name(key).alias("id"), body.alias("body"))
+
+
+_CLOSURE = """
+WITH RECURSIVE k AS (SELECT DISTINCT p_partkey AS k FROM part),
+edges AS (SELECT k, unnest([k // 3, CASE WHEN k % 4 = 3 THEN k - 3 ELSE k + 1 END]) AS t FROM k),
+reach(root, t) AS (SELECT k, t FROM edges UNION SELECT root, e.t FROM reach JOIN edges e ON e.k = reach.t)
+"""
+_PART = "'https://example.org/part/' || {} || '/1'"
+
+
+@query(_CLOSURE + f"SELECT {_PART.format('root')} AS id, count(*) FILTER (t IN (SELECT k FROM k)) + 1 AS n_defs, bool_or(t = root) AS cyclic FROM reach GROUP BY root")
+def schema_bundles(spark, sf_dir):
+    """The bundles of all documents of a table: how many documents each has inside, and whether it is inside of itself."""
+    documents = _linked(spark, sf_dir)
+    defs = F.map_filter(p.as_map(F.try_variant_get(F.parse_json("body"), "$['$defs']", "variant")), lambda k, _: k != "mine")
+    bundled = nodes.References(documents, documents).bundles()
+    return bundled.select("id", F.size(defs).cast("bigint").alias("n_defs"), F.map_contains_key(defs, F.col("id")).alias("cyclic"))
+
+
+@query(_CLOSURE + f"""
+, within AS (SELECT k AS root, k AS t FROM k UNION SELECT root, t FROM reach)
+SELECT {_PART.format('root')} AS id, {_PART.format('t')} AS ref FROM reach WHERE t NOT IN (SELECT k FROM k)
+UNION SELECT {_PART.format('root')}, 'https://example.org/gone/1' FROM within WHERE t % 5 = 0 AND t IN (SELECT k FROM k)""")
+def schema_unresolved(spark, sf_dir):
+    """What no document of the table answers, of all that each document refers to, directly or not."""
+    documents = _linked(spark, sf_dir)
+    return nodes.References(documents, documents).unresolved()
+
+
+@query("""
+SELECT 'https://example.org/part/' || p_partkey || '/1' AS id, sha256('{"properties":{"p_name":' || CASE p_partkey % 3 WHEN 0 THEN '{"type":["string","null"]}' WHEN 1 THEN '{"anyOf":[{"$ref":"#/$defs/t"},{"type":"null"}]}' ELSE '{"type":"string"}' END
+  || ',"p_size":{"enum":[' || p_size || ',null],"type":["integer","null"]}},"type":"object"}') AS fingerprint FROM part""")
+def schema_fingerprints(spark, sf_dir):
+    """Fingerprints of a document for each part, with titles left out and `nullable` written out."""
+    turn = F.col("p_partkey") % 3
+    name = F.when(turn == 0, '{"nullable":true,"type":"string","title":"Name"}').when(turn == 1, '{"nullable":true,"$ref":"#/$defs/t"}').otherwise('{"nullable":false,"description":"d","type":"string"}')
+    size = F.concat(F.lit('{"type":"integer","nullable":true,"enum":['), F.col("p_size").cast("string"), F.lit("]}"))
+    return catalog.of_bodies(_table(spark, sf_dir, "part").select(_document(("p_size", size), ("p_name", name)).alias("body"))).select("id", "fingerprint")
+
+
+@query("""
+SELECT 'https://example.org/part/' || p_partkey || '/1' AS id, 'p_size' AS field, CASE p_partkey % 3 WHEN 0 THEN 'changed' ELSE 'widened' END AS kind, '$ref:#/$defs/t,integer,null,string' AS "from",
+  CASE p_partkey % 3 WHEN 0 THEN '$ref:#/$defs/t,boolean,integer,null' ELSE '$ref:#/$defs/t,boolean,integer,null,string' END AS "to", p_partkey % 3 = 0 AS breaking FROM part WHERE p_partkey % 3 < 2""")
+def schema_diff_unions(spark, sf_dir):
+    """Unions five deep whose innermost member changes or gains a type."""
+    turn = F.col("p_partkey") % 3
+    part = _table(spark, sf_dir, "part")
+
+    def document(inner) -> DataFrame:
+        opened = '{"anyOf":[{"$ref":"#/$defs/t"},' + '{"anyOf":[{"type":["integer","null"]},' * 4
+        return part.select(_document(("p_size", F.concat(F.lit(opened), inner, F.lit("]}" * 5)))).alias("body"))
+
+    old, new = document(F.lit('{"type":"string"}')), document(F.when(turn == 0, '{"type":"boolean"}').when(turn == 1, '{"type":["string","boolean"]}').otherwise('{"title":"t","type":"string"}'))
+    found = catalog.diff(catalog.of_bodies(old), catalog.of_bodies(new))
+    return found.select("id", "field", "kind", *[F.array_join(c, ",").alias(c) for c in ("from", "to")], "breaking")
