@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,11 @@ from pyspark.sql import types as T
 
 from .functions import gate
 from .functions import payload as p
-from .operators import catalog, fixtures, ladder, lens, nodes, overlay
+from .functions.shared import shared_folder
+from .operators import catalog, fixtures, ladder, lens, nodes, overlay, vocabulary
 from .plans import documents, projection
 from .plans import schemas as s
+from .sources import store
 from .sources import types as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -594,3 +597,35 @@ def schema_diff_unions(spark, sf_dir):
     old, new = document(F.lit('{"type":"string"}')), document(F.when(turn == 0, '{"type":"boolean"}').when(turn == 1, '{"type":["string","boolean"]}').otherwise('{"title":"t","type":"string"}'))
     found = catalog.diff(catalog.of_bodies(old), catalog.of_bodies(new))
     return found.select("id", "field", "kind", *[F.array_join(c, ",").alias(c) for c in ("from", "to")], "breaking")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, (l_orderkey % 4 = 0 OR l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000))
+  AND (l_returnflag = 'N' OR l_returnflag IN (SELECT o_orderstatus FROM orders)) AS accepted FROM lineitem""")
+def gate_live_vocabularies(spark, sf_dir):
+    """Two vocabularies that are tables: keys of dear orders, which may be null, and statuses; a field that is missing is not checked."""
+    orders, lines = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
+    key = F.when(F.col("l_orderkey") % 4 == 0, F.lit(None)).otherwise(F.col("l_orderkey").cast("variant"))
+    flag = F.create_map(F.lit("flag"), F.col("l_returnflag").cast("variant"))
+    payload = F.map_concat(F.create_map(F.lit("order"), F.coalesce(key, p.literal(None))), F.when(F.col("l_returnflag") == "N", p.literal_map({})).otherwise(flag))
+    rows = lines.select("l_orderkey", "l_linenumber", payload.alias("payload"))
+    dear = vocabulary.Vocabulary("order", orders.filter("o_totalprice > 200000").select(F.col("o_orderkey").alias("value")), nullable=True)
+    found = vocabulary.conforms(rows, "payload", dear, vocabulary.Vocabulary("flag", orders.select(F.col("o_orderstatus").alias("value"))), into="accepted")
+    return found.select("l_orderkey", "l_linenumber", "accepted")
+
+
+@query("""
+SELECT 'https://example.org/part/' || p_partkey || '/1' AS id, CASE WHEN p_partkey % 3 = 0 THEN 'frozen' WHEN p_partkey % 3 = 1 THEN 'out of scope' ELSE 'frozen before' END AS action,
+  CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 2 THEN 0 ELSE -1 END::BIGINT AS commit FROM part""")
+def store_freeze(spark, sf_dir):
+    """A document for each part: a third is frozen in a first commit, a third within the scope in a second, a third belongs to others; the second freeze runs twice."""
+    part = _table(spark, sf_dir, "part")
+    documents = catalog.of_bodies(part.select("p_partkey", _document(("p_size", '{"type":"integer"}')).alias("body")))
+    current = documents.withColumn("owner", F.when(F.col("p_partkey") % 3 == 1, "other/package"))
+    kept = store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    kept.put(current.filter("p_partkey % 3 = 2"))
+    frozen = kept.freeze(current)
+    kept.freeze(current)
+    commits = [kept.spark.read.parquet(f"{kept.folder}/commits/{n:020d}").select("id", F.lit(n).cast("bigint").alias("commit")) for n in kept.commits()]
+    known = commits[0].unionByName(commits[1])
+    return current.select("id").join(frozen.report, "id", "left").join(known, "id", "left").select("id", F.coalesce("action", F.lit("frozen before")).alias("action"), F.coalesce("commit", F.lit(-1)).cast("bigint").alias("commit"))
