@@ -73,6 +73,19 @@ def with_columns_dropped(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c in names])
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, or one like it that is none of columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def restored(df: DataFrame, columns: list[str], *more: str | Column) -> DataFrame:
+    """The caller's columns from the struct `_row` that carried them, so that no name of theirs meets one used on the way, and more."""
+    return df.select(*[F.col(f"_row.`{c}`") for c in columns], *more)
+
+
 def arrow_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 

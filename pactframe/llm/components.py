@@ -25,18 +25,17 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.filter("u != v").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Rows (u, component) for every vertex of links (u, v: long, u > v) that is not the smallest of its component.
 
-    Repeated links count once; an empty table gives an empty result. Raises if rounds do not suffice: the
-    number of rounds grows with the logarithm of the longest chain.
+    Repeated links count once; a link with a null vertex links nothing; an empty table gives an empty result. Ends when a round changes nothing: the
+    number of rounds grows with the logarithm of the longest chain, and every round either ends it or brings a vertex nearer to its least.
     """
-    current = cut(links.select("u", "v").distinct())
+    current = cut(links.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         current = cut(_star(_star(current, large=True), large=False))
         after = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             return current.select("u", F.col("v").alias("component"))
         before = after
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

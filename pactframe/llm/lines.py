@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, with_columns_dropped
+from .common import cut, fresh, table, with_columns_dropped
 
 SPACE = " \t\n\x0b\x0c\r"
 BROADCAST_BYTES = 64 << 20
@@ -57,17 +57,18 @@ def drop_boilerplate(pages: DataFrame, host: str | Column = "source", text: str
     not make each other's lines boilerplate.
     """
     host = F.col(host) if isinstance(host, str) else host
-    found = cut(boilerplate(pages, host, F.col(text), max_ratio, min_pages, copies_once)).select(F.col("host").alias("_host"), F.col("keys").alias("_keys"))
-    size = found.agg(F.sum(8 * F.size("_keys") + 64)).first()[0] or 0
+    of_host, keys, listed, left = (fresh(pages.columns, n) for n in ("_host", "_keys", "_lines", "_stays"))
+    found = cut(boilerplate(pages, host, F.col(text), max_ratio, min_pages, copies_once)).select(F.col("host").alias(of_host), F.col("keys").alias(keys))
+    size = found.agg(F.sum(8 * F.size(keys) + 64)).first()[0] or 0
     own = with_columns_dropped(pages, "n_lines", "n_removed")
-    joined = pages.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, host.eqNullSafe(F.col("_host")), "left")
-    joined = joined.withColumn("_lines", _lines(F.col(text)))
-    stays = F.filter("_lines", lambda x: _is_blank(x) | ~F.array_contains("_keys", _key(x)))
-    joined = joined.withColumn("_stays", F.when(F.col("_keys").isNull(), F.col("_lines")).otherwise(stays))
-    n = F.coalesce(F.size("_lines").cast("bigint"), F.lit(0).cast("bigint"))
+    joined = pages.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, host.eqNullSafe(F.col(of_host)), "left")
+    joined = joined.withColumn(listed, _lines(F.col(text)))
+    stays = F.filter(listed, lambda x: _is_blank(x) | ~F.array_contains(keys, _key(x)))
+    joined = joined.withColumn(left, F.when(F.col(keys).isNull(), F.col(listed)).otherwise(stays))
+    n = F.coalesce(F.size(listed).cast("bigint"), F.lit(0).cast("bigint"))
     n = F.when(F.col(text).isNull(), F.lit(0).cast("bigint")).otherwise(n)
-    kept = F.when(F.col(text).isNotNull(), F.array_join("_stays", "\n")).alias(text)
-    removed = F.when(F.col(text).isNull(), F.lit(0).cast("bigint")).otherwise((F.size("_lines") - F.size("_stays")).cast("bigint"))
+    kept = F.when(F.col(text).isNotNull(), F.array_join(left, "\n")).alias(text)
+    removed = F.when(F.col(text).isNull(), F.lit(0).cast("bigint")).otherwise((F.size(listed) - F.size(left)).cast("bigint"))
     return joined.select(*[kept if c == text else F.col(c) for c in own.columns], n.alias("n_lines"), removed.alias("n_removed"))
 
 

@@ -6,8 +6,8 @@ Every step is a DataFrame expression; no Python runs on the executors. A documen
 * its words by a short list of common words of its language, with one more bin for all other words; for this, A-Z are
   read as a-z and words end at all of ASCII that is no letter, so "The" and "the," are the word "the".
 
-The references are the same histograms summed over all documents of the language that are long enough to
-judge; documents whose language is null or has no list are held against the characters of all languages together. A
+The references are the same histograms summed over all documents of the language that pass the base rule (junk that
+repeats itself is no reference) and are long enough to judge; documents whose language is null or has no list are held against the characters of all languages together. A
 document is rejected when the Jensen-Shannon distance (the square root of the divergence to base 2,
 from 0 to 1) of either histogram from its reference exceeds a limit. Shorter documents have no distance.
 
@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, cut, shared_folder, table, with_columns_dropped, words
+from .common import GAP, cut, restored, shared_folder, table, with_columns_dropped, words
 
 # Common function words by language.
 COMMON_WORDS = {
@@ -100,12 +100,12 @@ def _listed(lang: Column, rules: QualityRules) -> Column:
 
 
 def language_references(measured: DataFrame, rules: QualityRules = QualityRules(), lang: str = "lang") -> DataFrame:
-    """One row per listed language and one for all together: lang, ref_chars and ref_common, histograms as shares, of `measure`'s rows. At most one row more than lists."""
+    """One row per listed language and one for all together: lang, ref_chars and ref_common, histograms as shares, of those of `measure`'s rows that pass the base rule. At most one row more than lists."""
     bins = max(map(len, rules.common_words.values())) + 1
     zero = F.lit(0).cast("bigint")
     sums = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)])
     share = lambda c: F.transform(F.filter(c, lambda x: x.isNotNull()), lambda x: x / F.aggregate(c, zero, lambda a, y: a + F.coalesce(y, zero)))
-    each = measured.groupBy(_listed(F.col(lang), rules).alias("lang")).agg(sums("_chars", CLASSES).alias("c"), sums("_common", bins).alias("w"))
+    each = measured.filter("NOT base_failed").groupBy(_listed(F.col(lang), rules).alias("lang")).agg(sums("_chars", CLASSES).alias("c"), sums("_common", bins).alias("w"))
     totals = each.filter(F.col("lang") != ANY).unionByName(each.agg(F.lit(ANY).alias("lang"), sums("c", CLASSES).alias("c"), F.lit(None).cast("array<bigint>").alias("w")))
     return totals.filter(F.get("c", F.lit(0)).isNotNull()).select("lang", share(F.col("c")).alias("ref_chars"), share(F.col("w")).alias("ref_common"))
 
@@ -168,9 +168,12 @@ def judge(measured: DataFrame, references: DataFrame, rules: QualityRules = Qual
 def score(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", lang: str = "lang") -> DataFrame:
     """docs with the columns ADDED. Rows and counts are written once to the shared folder, as a table; references and verdicts are read from it."""
     path = f"{shared_folder(docs.sparkSession)}/measured-{uuid.uuid4().hex}"
-    measure(docs, rules, text, lang).write.option("compression", "zstd").parquet(path)
-    measured = docs.sparkSession.read.parquet(path)
-    return judge(measured, cut(language_references(measured, rules, lang)), rules, lang)
+    own = with_columns_dropped(docs, *[c for c in ADDED if c not in (text, lang)])
+    rows = docs.select(F.struct(*own.columns).alias("_row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    measured = measure(rows, rules).drop("text")
+    measured.write.option("compression", "zstd").parquet(path)
+    kept = docs.sparkSession.read.schema(measured.schema).parquet(path)
+    return restored(judge(kept, cut(language_references(kept, rules)), rules), own.columns, *ADDED)
 
 
 def verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -219,7 +222,8 @@ common AS (SELECT long.doc_id, long.lang, listed.i, coalesce(hits.n, 0) AS n FRO
   LEFT JOIN hits ON hits.doc_id = long.doc_id AND hits.w = listed.w),
 k AS (SELECT * FROM h UNION ALL SELECT doc_id, lang, i, n, 'w' FROM common
   UNION ALL SELECT long.doc_id, long.lang, -1, any_value(long.n) - sum(c.n), 'w' FROM long JOIN common c USING (doc_id) GROUP BY ALL),
-sums AS (SELECT lang, kind, i, sum(n) AS n FROM k WHERE lang <> '' GROUP BY ALL UNION ALL SELECT '', kind, i, sum(n) FROM k WHERE kind = 'c' GROUP BY ALL),
+good AS (SELECT k.* FROM k JOIN b USING (doc_id) WHERE NOT (n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words)),
+sums AS (SELECT lang, kind, i, sum(n) AS n FROM good WHERE lang <> '' GROUP BY ALL UNION ALL SELECT '', kind, i, sum(n) FROM good WHERE kind = 'c' GROUP BY ALL),
 ref AS (SELECT lang, kind, i, n / sum(n) OVER (PARTITION BY lang, kind) AS q FROM sums),
 p AS (SELECT doc_id, lang, kind, i, n / sum(n) OVER (PARTITION BY doc_id, kind) AS p FROM k),
 js AS (SELECT doc_id, kind, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS js

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import similar
-from .common import cut, shingle_hashes, table
+from .common import cut, fresh, restored, shingle_hashes, table
 from .components import components
 
 BITS = 64
@@ -145,10 +145,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     similarity of `similarity` or more (see similar.py). Texts without words are one group.
 
     Of a component's rows that repeat its id those of the least fingerprint are taken, and the one of the least
-    hash stays; an id that names several components stays once for each. A row without an id stays, since no
-    component can be named by it.
+    hash stays; an id that names several components stays once for each. Where no row of a component has an id, the one of
+    the least hash stays.
     """
-    found = cut(_rooted(docs, doc_id, text, width, 2, 64, similarity).filter("doc_id IS NOT NULL"))
+    rooted = cut(_rooted(docs, doc_id, text, width, 2, 64, similarity))
+    nameless = rooted.filter("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias("_fp"), "root").distinct()
+    found = rooted.filter("doc_id IS NOT NULL")
     stay = found.filter("doc_id = component_id").groupBy("root", F.col("doc_id").alias(doc_id)).agg(F.min("fp").alias("_fp"))
     # texts are hashed again only where an id comes with several fingerprints
     mixed = cut(found.groupBy(F.col("doc_id").alias(doc_id)).agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a != b").select(doc_id))
@@ -157,14 +159,18 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     if not mixed.isEmpty():
         rows = _fingerprinted(ided.join(mixed, doc_id, "left_semi"), text, width)
         kept.append(_first(rows.join(stay, [doc_id, "_fp"], "left_semi"), [doc_id, "_fp"], docs.columns))
-    kept.append(docs.filter(F.col(doc_id).isNull()))
+    if not nameless.isEmpty():
+        rows = docs.filter(F.col(doc_id).isNull()).select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("text"))
+        joined = _fingerprinted(rows, "text", width).drop("text").join(nameless, "_fp")
+        least = joined.groupBy("root").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))  # combined before the shuffle
+        kept.append(restored(least, docs.columns))
     return reduce(DataFrame.unionByName, kept)
 
 
 def _first(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Of the rows of equal keys the one whose columns have the least hash."""
-    least = Window.partitionBy(*keys).orderBy(F.xxhash64(*columns))
-    return rows.withColumn("_at", F.row_number().over(least)).filter("_at = 1").select(*columns)
+    least, at = Window.partitionBy(*keys).orderBy(F.xxhash64(*columns)), fresh(rows.columns, "_at")
+    return rows.withColumn(at, F.row_number().over(least)).filter(F.col(at) == 1).select(*columns)
 
 
 def _fingerprinted(rows: DataFrame, text: str, width: int) -> DataFrame:

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, forget, shared_folder, table, with_columns_dropped
+from .common import cut, forget, fresh, shared_folder, table, with_columns_dropped
 from .fm_index import FMIndex
 
 WIDTH, GRAM = 13, 5
@@ -380,11 +380,12 @@ BROADCAST_BYTES = 64 << 20
 
 
 def _with_spans(docs: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
-    """docs with a column _spans."""
-    found = repeated_spans(_prepared(docs, doc_id, text), **options).select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("spans").alias("_spans"))
-    size = found.agg(F.sum(64 + 8 * F.size("_spans"))).first()[0] or 0
-    same = (F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)) == F.col("_d")) & (F.xxhash64(text) == F.col("_t"))
-    return docs.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, same, "left").drop("_d", "_t")
+    """docs, and as the last column the spans of each row's text."""
+    d, t, of = (fresh(docs.columns, n) for n in ("_d", "_t", "_spans"))
+    found = repeated_spans(_prepared(docs, doc_id, text), **options).select(F.col("d").alias(d), F.col("t").alias(t), F.col("spans").alias(of))
+    size = found.agg(F.sum(64 + 8 * F.size(of))).first()[0] or 0
+    same = (F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)) == F.col(d)) & (F.xxhash64(text) == F.col(t))
+    return docs.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, same, "left").drop(d, t)
 
 
 def keep_words(text: str | None, spans: list[dict] | None) -> tuple[int, int, list[bytes]]:
@@ -409,12 +410,12 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                rows = [keep_words(t, s) for t, s in zip(part.column(text).to_pylist(), part.column("_spans").to_pylist(), strict=True)]
+                rows = [keep_words(t, s) for t, s in zip(part.column(text).to_pylist(), part.columns[-1].to_pylist(), strict=True)]
                 new = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([b" ".join(r[2]).decode() for r in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], *ADDED])
 
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema] + [f"{k} {v}" for k, v in ADDED.items()])
-    return _with_spans(own, doc_id, text, **options).select(*own.columns, "_spans").mapInArrow(run, fields)
+    return _with_spans(own, doc_id, text, **options).mapInArrow(run, fields)
 
 
 def keep_unique(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_columns_dropped
+from .common import fresh, table, with_columns_dropped
 
 LOOKAHEAD = 2
 #: Pre-tokens whose counts a Python worker remembers.
@@ -187,12 +187,13 @@ def count_edited(docs: DataFrame, text: str = "text", edits: str = "edits", voca
 
     vocabulary, pattern = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     own = [c for c in with_columns_dropped(docs, *ADDED).columns if c not in (text, edits)]
+    of_text, of_edits = fresh(own, "_text"), fresh(own, "_edits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, compiled = _counter(vocabulary, pattern)
         for batch in batches:
             rows = []
-            for t, changes in zip(batch.column("_text").to_pylist(), batch.column("_edits").to_pylist(), strict=True):
+            for t, changes in zip(batch.column(of_text).to_pylist(), batch.column(of_edits).to_pylist(), strict=True):
                 tree = CountTree(t or "", count, compiled)
                 before = tree.n_tokens, tree.n_pretokens
                 for e in changes or ():
@@ -202,7 +203,7 @@ def count_edited(docs: DataFrame, text: str = "text", edits: str = "edits", voca
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in own] + new, names=[*own, *ADDED])
 
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema] + [f"{k} {v}" for k, v in ADDED.items()])
-    return docs.select(*own, F.col(text).alias("_text"), F.col(edits).alias("_edits")).mapInArrow(run, fields)
+    return docs.select(*own, F.col(text).alias(of_text), F.col(edits).alias(of_edits)).mapInArrow(run, fields)
 
 
 def sample_edits(text: str = "text"):

@@ -134,15 +134,31 @@ def _unchunked(payload: bytes) -> bytes:
         at += n + 2
 
 
+def _unpacked(payload: bytes, bits: int, coding: str) -> bytes:
+    """A packed payload, members one after the other, of UNPACKED_BYTES at most: a page that unpacks to more has no text."""
+    out, left = [], UNPACKED_BYTES
+    while payload:
+        one = zlib.decompressobj(bits)
+        out.append(one.decompress(payload, left + 1))
+        left -= len(out[-1])
+        if left < 0:
+            raise NoText(f"{coding} gives more than {UNPACKED_BYTES} bytes")
+        if not one.eof:
+            raise EOFError
+        payload = one.unused_data if bits == 31 else b""
+        payload = payload.lstrip(b"\0")
+    return b"".join(out)
+
+
 def _decoded(payload: bytes, header: Callable[[str], str]) -> bytes:
     if "chunked" in header("transfer-encoding").lower():
         payload = _unchunked(payload)
     for coding in reversed([c.strip().lower() for c in header("content-encoding").split(",")]):
         try:
             if coding in ("gzip", "x-gzip"):
-                payload = gzip.decompress(payload)
+                payload = _unpacked(payload, 31, coding)
             elif coding == "deflate":
-                payload = zlib.decompress(payload, 15 if payload[:1] == b"\x78" else -15)
+                payload = _unpacked(payload, 15 if payload[:1] == b"\x78" else -15, coding)
             elif coding not in ("", "identity"):
                 raise NoText(f"content encoding {coding}")
         except (OSError, EOFError, zlib.error):
@@ -201,19 +217,32 @@ def to_bytes(record: dict) -> bytes:
 
 
 _COLUMNS = {"warc-type": "warc_type", "warc-record-id": "record_id", "warc-date": "date", "warc-target-uri": "target_uri", "content-type": "content_type"}
-#: The longest header line that is read, and the longest block that is kept.
-LINE_BYTES, BLOCK_BYTES = 1 << 16, 1 << 28
+#: The longest block of one record: what is longer comes in segments, as the format has it. The longest header line. The most that a payload unpacks to.
+BLOCK_BYTES, LINE_BYTES, UNPACKED_BYTES = 1 << 28, 1 << 24, 1 << 28
 
 
 def _broken(reason: str, block: bytes = b"") -> dict:
     return dict.fromkeys(_COLUMNS.values(), "") | {"warc_type": "broken", "headers": {"reason": reason}, "block": block}
 
 
-def _skipped(stream: BinaryIO, n: int) -> int:
-    """Reads n bytes or up to the end, and gives what was missing."""
-    while n and (part := stream.read(min(n, 1 << 20))):
-        n -= len(part)
-    return n
+def _segments(record: dict, stream: BinaryIO, n: int) -> Iterator[dict]:
+    """A record whose block of n bytes is above BLOCK_BYTES as its first segment and continuations; what is missing at the end is told."""
+    number, done = 1, 0
+    while done < n:
+        block = stream.read(min(BLOCK_BYTES, n - done))
+        done += len(block)
+        short = len(block) == 0
+        if short:
+            yield _broken(f"{n - done} of {n} bytes are missing")
+            return
+        told = {"WARC-Segment-Number": str(number)} | ({"WARC-Segment-Total-Length": str(n)} if done == n else {})
+        if number == 1:
+            yield record | {"headers": record["headers"] | told, "block": block}
+        else:
+            name = f"{record['record_id'][:-1]}:{number}>" if record["record_id"].endswith(">") else f"{record['record_id']}:{number}"
+            told["WARC-Segment-Origin-ID"] = record["record_id"]
+            yield record | {"warc_type": "continuation", "record_id": name, "headers": told, "block": block}
+        number += 1
 
 
 def read_records(source: BinaryIO) -> Iterator[dict]:
@@ -221,34 +250,40 @@ def read_records(source: BinaryIO) -> Iterator[dict]:
     stream = source if isinstance(source, io.BufferedReader) else io.BufferedReader(source)
     if stream.peek(2)[:2] == b"\x1f\x8b":
         stream = io.BufferedReader(gzip.GzipFile(fileobj=stream))
-    lost = 0  # bytes before the next record that belong to none
+    lost, begins = 0, True  # bytes before the next record that belong to none; whether what is read next begins a line
     try:
         while line := stream.readline(LINE_BYTES):
-            if not line.startswith(b"WARC/"):
+            inside, begins = not begins, line.endswith(b"\n")
+            if inside or not line.startswith(b"WARC/"):
                 lost += len(line.strip())
                 continue
             if lost:
                 yield _broken(f"{lost} bytes between records")
                 lost = 0
             fields: dict[str, str] = {}
+            begins, long = True, False
             while (line := stream.readline(LINE_BYTES)).strip():
+                long = long or not line.endswith(b"\n")
                 name, _, value = line.decode("utf-8", "replace").partition(":")
                 fields[name.strip()] = value.strip()
+            if long:
+                yield _broken(f"a header line that does not end within {LINE_BYTES} bytes")
+                continue
             told = {k.lower(): k for k in fields}
             size = fields.pop(told["content-length"], "") if "content-length" in told else ""
             if not re.fullmatch("[0-9]{1,18}", size):
                 yield _broken(f"Content-Length is {size!r}")
                 continue
             n = int(size)
+            record = {to: fields.pop(told[name], "") if name in told else "" for name, to in _COLUMNS.items()} | {"headers": fields}
             if n > BLOCK_BYTES:
-                left = _skipped(stream, n)
-                yield _broken(f"a block of {n} bytes" + (f", {left} of them missing" if left else ""))
+                yield from _segments(record, stream, n)
                 continue
             block = stream.read(n)
             if len(block) < n:
                 yield _broken(f"{n - len(block)} of {n} bytes are missing", block)
                 return
-            yield {to: fields.pop(told[name], "") if name in told else "" for name, to in _COLUMNS.items()} | {"headers": fields, "block": block}
+            yield record | {"block": block}
     except (OSError, EOFError, zlib.error) as e:
         yield _broken(f"{type(e).__name__}: {e}")
     if lost:

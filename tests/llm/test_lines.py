@@ -7,11 +7,14 @@ from pactframe.llm import lines
 STRIP = " \t\n\x0b\x0c\r"
 
 
-def brute(rows, ratio, least):
-    """rows (host, text): what stays of each text."""
-    pages, seen = Counter(h for h, _ in rows), defaultdict(Counter)
-    for h, t in rows:
-        seen[h].update({x.strip(STRIP) for x in (t or "").split("\n")} - {""})
+def brute(rows, ratio, least, once=False):
+    """rows (host, text): what stays of each text; with once, a host's pages of the same lines in the same order count as one."""
+    counted = [(h, [x.strip(STRIP) for x in (t or "").split("\n") if x.strip(STRIP)]) for h, t in rows]
+    if once:
+        counted = [(h, list(ls)) for h, ls in {(h, tuple(dict.fromkeys(ls))) for h, ls in counted}]
+    pages, seen = Counter(h for h, _ in counted), defaultdict(Counter)
+    for h, ls in counted:
+        seen[h].update(set(ls))
     gone = {h: {k for k, n in c.items() if n >= least and n > ratio * pages[h]} for h, c in seen.items()}
     return [None if t is None else "\n".join(x for x in t.split("\n") if x.strip(STRIP) not in gone[h]) for h, t in rows]
 

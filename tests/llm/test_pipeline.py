@@ -17,7 +17,8 @@ def test_pipeline_agrees_with_brute_force(spark, sf):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
     good = {i for i, kept in con.execute(f"SELECT doc_id, kept FROM ({quality.op2_sql()})").fetchall() if kept}
     docs = [Row(**r.asDict()) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect() if r.doc_id in good]
-    texts = dict(zip([d.doc_id for d in docs], lines_left([(d.source, d.text) for d in docs], 0.05, 3), strict=True))
+    # a source's copies count as one page
+    texts = dict(zip([d.doc_id for d in docs], lines_left([(d.source, d.text) for d in docs], corpus_pipeline.LINE_RATIO, 3, once=True), strict=True))
     held = list(texts.values())
     stay = set(groups(list(texts), [simhash_of(t, 5) for t in held], similar_pairs(held)).values())
     rows = corpus_pipeline.run(spark, sf).collect()

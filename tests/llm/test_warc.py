@@ -143,3 +143,37 @@ def test_null_dates_are_written_empty(spark):
     made = warc.serialized(warc.derive(spark.createDataFrame(rows, warc.RECORD))).collect()
     assert len(made) == 2 and all(b"WARC-Date: \r\n" in bytes(r.bytes) and b"WARC-Refers-To-Date: \r\n" in bytes(r.bytes) for r in made)
     assert [bytes(r.bytes) for r in made] == [warc.to_bytes(r.asDict() | {"block": bytes(r.block)}) for r in made]
+
+
+def test_long_blocks_come_in_segments(monkeypatch):
+    """No byte of a block above the bound is lost: segments with their numbers, the last with the whole length."""
+    monkeypatch.setattr(warc, "BLOCK_BYTES", 100)
+    block = bytes(range(256)) * 2
+    record = {"warc_type": "response", "record_id": "<urn:x:1>", "date": "d", "target_uri": "u", "content_type": "t", "headers": {"A": "b"}, "block": block}
+    small = record | {"record_id": "<urn:x:2>", "block": b"ok"}
+    data = warc.to_bytes(record) + warc.to_bytes(small)
+    got = list(warc.from_bytes(data))
+    assert [r["warc_type"] for r in got] == ["response", *["continuation"] * 5, "response"] and b"".join(r["block"] for r in got[:-1]) == block
+    assert [r["headers"].get("WARC-Segment-Number") for r in got[:-1]] == list("123456") and got[5]["headers"]["WARC-Segment-Total-Length"] == "512"
+    assert got[0]["headers"]["A"] == "b" and len({r["record_id"] for r in got}) == 7 and all(r["headers"]["WARC-Segment-Origin-ID"] == "<urn:x:1>" for r in got[1:6])
+    assert list(warc.from_bytes(b"".join(map(warc.to_bytes, got)))) == got
+    cut_off = list(warc.from_bytes(data[:400]))
+    assert cut_off[-1]["warc_type"] == "broken" and "are missing" in cut_off[-1]["headers"]["reason"]
+
+
+def test_header_lines_of_any_length(monkeypatch):
+    record = {"warc_type": "response", "record_id": "<urn:x:1>", "date": "d", "target_uri": "u" * 200_000, "content_type": "t", "headers": {}, "block": b"x"}
+    assert list(warc.from_bytes(warc.to_bytes(record))) == [record]
+    monkeypatch.setattr(warc, "LINE_BYTES", 1000)
+    got = list(warc.from_bytes(warc.to_bytes(record) + warc.to_bytes(record | {"target_uri": "u"})))
+    assert got[0]["warc_type"] == "broken" and "header line" in got[0]["headers"]["reason"] and got[-1]["target_uri"] == "u"
+
+
+def test_unpacking_is_bounded(monkeypatch):
+    monkeypatch.setattr(warc, "UNPACKED_BYTES", 1000)
+    told = lambda payload, coding: warc._decoded(payload, {"transfer-encoding": "", "content-encoding": coding}.__getitem__)
+    page = b"a" * 1000
+    assert told(gzip.compress(page), "gzip") == told(gzip.compress(page[:400]) + gzip.compress(page[400:]), "gzip") == told(zlib.compress(page), "deflate") == told(zlib.compress(page)[2:-4], "deflate") == page
+    for payload, coding in ((gzip.compress(page * 1000), "gzip"), (gzip.compress(page) * 2, "gzip"), (zlib.compress(page + b"a"), "deflate"), (gzip.compress(page)[:-9], "gzip"), (b"junk", "gzip")):
+        with pytest.raises(warc.NoText):
+            told(payload, coding)
