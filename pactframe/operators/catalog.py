@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,21 +180,47 @@ def path_collisions(written: DataFrame) -> DataFrame:
     return groups.filter("size(g) > 1").select("path", F.transform("g", lambda x: x["class_name"]).alias("classes"))
 
 
-#: Roots are sent to all tasks up to this size, at ROOT_BYTES each; more are joined.
-BROADCAST_BYTES, ROOT_BYTES = 64 << 20, 400
+def _swept(openings: dict[int, list[tuple[list[str], str]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts by owner over rows (part, key, owner, n) in the order of their keys; rows with an owner are roots. openings has, by partition, the roots that are open where it begins."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str | None, int] = {}
+        stack: list[tuple[list[str], str]] | None = None
+        for batch in batches:
+            for part, key, owner, n in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "owner", "n"))):
+                if stack is None:
+                    stack = list(openings.get(part, ()))
+                while stack and key[: len(stack[-1][0])] != stack[-1][0]:
+                    stack.pop()
+                if owner is not None:
+                    stack.append((key, owner))
+                else:
+                    told = stack[-1][1] if stack else None
+                    counts[told] = counts.get(told, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["owner", "files"])
+
+    return run
 
 
 def owners(files: DataFrame, roots: DataFrame) -> DataFrame:
     """Files counted by owner, the largest first; the longest root that a path lies under owns it, the first by name of several. A null path is nobody's: app.
 
-    Every directory of a path is looked up among the roots, so this is an equi-join and not a comparison of all pairs. Roots are
-    made distinct and, where their counted size allows it, sent to all tasks: then a directory that all files share is no hot key.
+    Roots and paths, split into directories, are sorted once by ranges: then all that lies under a root follows it. Each partition
+    is read once with a stack of the roots that are open; those open where it begins are the known ones among the
+    directories of its first key, which are as many as partitions times depth. No path is repeated for its directories, and no directory is a key.
     """
-    found = roots.groupBy("root").agg(F.min("owner").alias("owner"))
-    if found.count() * ROOT_BYTES <= BROADCAST_BYTES:
-        found = F.broadcast(found)
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    listed = files.groupBy("path").agg(F.count("*").alias("n")).select("path", "n", F.explode_outer(F.when(F.col("path").isNotNull(), above)).alias("root"))
-    best = listed.join(found, "root", "left").groupBy("path").agg(F.first("n").alias("n"), F.max_by("owner", F.when(F.col("owner").isNotNull(), F.length("root"))).alias("owner"))
-    return best.groupBy(F.coalesce("owner", F.lit("app")).alias("owner")).agg(F.sum("n").alias("files")).orderBy(F.desc("files"), "owner")
+    found = roots.groupBy("root").agg(F.min("owner").alias("owner")).filter("root IS NOT NULL AND owner IS NOT NULL")
+    counted = files.groupBy("path").agg(F.count("*").alias("n"))
+    under = lambda c: F.split(c, "/").alias("key")
+    rows = found.select(under("root"), "owner", F.lit(0).cast("bigint").alias("n")).unionByName(counted.filter("path IS NOT NULL").select(under("path"), F.lit(None).cast("string").alias("owner"), "n"))
+    spread = cut(rows.repartitionByRange("key").sortWithinPartitions("key", F.col("owner").isNull()).withColumn("part", F.spark_partition_id()))
+    heads = spread.groupBy("part").agg(F.min("key").alias("first"))
+    above = heads.select("part", F.explode(F.transform(F.sequence(F.lit(1), F.size("first")), lambda i: F.slice("first", 1, i))).alias("at"))
+    known = spread.filter("owner IS NOT NULL").select("key", "owner").join(F.broadcast(above), F.col("key") == F.col("at"))  # partitions times depth
+    openings: dict[int, list[tuple[list[str], str]]] = {}
+    for r in known.select("part", "key", "owner").collect():
+        openings.setdefault(r["part"], []).append((r["key"], r["owner"]))
+    openings = {part: sorted(found, key=lambda x: len(x[0])) for part, found in openings.items()}
+    swept = spread.select("part", "key", "owner", "n").mapInArrow(_swept(openings), "owner string, files bigint")
+    nobody = counted.filter("path IS NULL").select(F.lit(None).cast("string").alias("owner"), F.col("n").alias("files"))
+    total = swept.unionByName(nobody).groupBy(F.coalesce("owner", F.lit("app")).alias("owner")).agg(F.sum("files").alias("files"))
+    return total.filter("files > 0").orderBy(F.desc("files"), "owner")

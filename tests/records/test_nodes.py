@@ -161,3 +161,28 @@ def test_plans_do_not_grow_with_keys_or_actions(spark):
     assert sizes[1] < 1.1 * sizes[0]
     many = [{"target": f"$.k{i % 7}.v", "override": i} for i in range(200)]
     assert len(json.loads(spark.range(1).select(F.to_json(overlay.apply(F.parse_json(F.lit("{}")), [{"actions": many}])).alias("j")).first().j)) == 7
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_owners_by_longest_root(spark, partitions):
+    """Roots in roots, roots that are paths, names that begin alike, repeated paths and roots, borders of partitions inside a root, null paths."""
+    roots = [("a", "A"), ("a/b", "B"), ("a/b/c", "C"), ("a/b/c", "B2"), ("ab", "AB"), ("z/y", "Z"), (None, "N"), ("q", None), ("a/b/x.py", "X")]
+    paths = ["a/1", "a/b/1", "a/b/c/1", "a/b/cc/1", "ab/1", "abc/1", "a", "z/1", "z/y", "z/y/1", "q/1", "a/b/x.py", "", "/a/1", None, None] + [f"a/b/{i % 50}/{i}" for i in range(300)] + ["a/1", "a/b!/1", "a!"]
+    known = {}
+    for root, owner in roots:
+        if root is not None and owner is not None:
+            known[root] = min(owner, known.get(root, owner))
+    want = {}
+    for path in paths:
+        parts = path.split("/") if path is not None else []
+        owner = next((known[r] for i in range(len(parts), 0, -1) if (r := "/".join(parts[:i])) in known), "app")
+        want[owner] = want.get(owner, 0) + 1
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = catalog.owners(spark.createDataFrame([(x,) for x in paths], "path string"), spark.createDataFrame(roots, "root string, owner string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.owner: r.files for r in got} == want and [(-r.files, r.owner) for r in got] == sorted((-n, o) for o, n in want.items())
