@@ -6,7 +6,7 @@ stand ten differing bits are five bits long. The blocks here are instead groups
 join, texts meet in blocks and every link is verified, on the whole shingle sets.
 
 What is linked already is never compared. In each block every text is first held against the block's head, so copies in
-thousands cost one comparison each. For what is still apart then, the shingles that another group has as well are counted
+thousands cost one comparison each; of a text's blocks the largest comes first, and the others only where it is still apart. For what is still apart then, the shingles that another group has as well are counted
 for each text by classes of their hashes. Two texts have at most the sum of the lesser counts in common; a pair that would
 need more is not formed. This loses no pair, and of a large group of near copies on both sides of the threshold it
 leaves few. What it leaves is compared on the whole sets, so pairs just below the threshold do cost their number.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shingle_hashes
+from .common import cut, shingle_hashes, small_enough
 from .components import components
 
 BLOCKS = 20
@@ -58,15 +58,21 @@ def _sets(docs: DataFrame, ends: DataFrame, text: str, width: int) -> DataFrame:
             held = [np.unique(shingle_hashes(value.as_py(), width)).view(np.int64) for value in batch.column("a")]  # one text at a time
             yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(held, pa.list_(pa.int64()))], names=["t", "hashes"])
 
-    texts = docs.select(text_key(text).alias("t"), F.col(text).alias("a")).join(ends, "t", "left_semi").groupBy("t").agg(F.min("a").alias("a"))
+    rows = docs.select(text_key(text).alias("t"), F.col(text).alias("a"))
+    one = lambda df: df.groupBy("t").agg(F.min("a").alias("a"))  # noqa: E731 - copies are folded before they are shuffled
+    texts = one(rows.join(F.broadcast(ends), "t", "left_semi")) if small_enough(ends, 64) else one(rows).join(ends, "t", "left_semi")
     return texts.mapInArrow(run, "t binary, hashes array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs (t, t2, u, v) whose sets are similar, as (u, v)."""
+    """Those of pairs (t, t2, u, v), already cut, whose sets are similar, as (u, v).
+
+    The sets of the second texts, few where these are heads, go to all tasks if their measured size allows it: then no set is shuffled for a pair.
+    """
     common = F.size(F.array_intersect("hashes", "hashes2"))
-    other = sets.select(F.col("t").alias("t2"), F.col("hashes").alias("hashes2"))
-    held = pairs.join(sets, "t").join(other, "t2")
+    other = sets.join(pairs.select(F.col("t2").alias("t")).distinct(), "t", "left_semi").select(F.col("t").alias("t2"), F.col("hashes").alias("hashes2"))
+    size = other.agg(F.sum(F.size("hashes2") * 8 + 64)).first()[0] or 0
+    held = pairs.join(sets, "t").join(F.broadcast(other) if size <= 64 << 20 else other, "t2")
     return cut(held.filter(common / (F.size("hashes") + F.size("hashes2") - common) >= similarity).select("u", "v").distinct())
 
 
@@ -95,6 +101,13 @@ def _apart(similarity: float) -> Column:
     return (F.col("root") != F.col("root2")) & (F.least("n", "n2") >= F.floor(similarity * F.greatest("n", "n2")))
 
 
+def _beside_heads(members: DataFrame, similarity: float) -> DataFrame:
+    """Rows (t, t2, u, v, size): texts beside the head of each of their blocks, where they may be similar and are apart."""
+    head = F.min(F.struct(F.xxhash64("t", "key").alias("order"), F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("root").alias("root2")))
+    heads = members.groupBy("key").agg(head.alias("head"), F.count("*").alias("size")).select("key", "size", "head.t2", "head.n2", "head.root2")
+    return members.join(heads, "key").filter(_apart(similarity)).select("t", "t2", *_ends(), "size")
+
+
 def _ends() -> list[Column]:
     return [F.greatest("root", "root2").alias("u"), F.least("root", "root2").alias("v")]
 
@@ -106,12 +119,16 @@ def links(texts: DataFrame, docs: DataFrame, text: str, width: int, similarity:
     far). docs has the texts themselves.
     """
     members = cut(_several(texts.select("t", "n", "root", F.explode("keys").alias("key"))))
-    sets = cut(_sets(docs, members.select("t").distinct(), text, width))
-    head = F.min(F.struct(F.xxhash64("t", "key").alias("order"), F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("root").alias("root2")))
-    heads = members.groupBy("key").agg(head.alias("head")).select("key", "head.t2", "head.n2", "head.root2")
-    found = _verified(cut(members.join(heads, "key").filter(_apart(similarity)).select("t", "t2", *_ends()).distinct()), sets, similarity)
-    merged = components(found)
-    members = cut(_several(members.join(merged, members["root"] == merged["u"], "left").select("key", "t", "n", F.coalesce("component", "root").alias("root"))))
+    sets = cut(_sets(docs, cut(members.select("t").distinct()), text, width))
+    found = None
+    for every in (False, True):
+        pairs = _beside_heads(members, similarity)
+        if not every:  # first each text beside the head of its largest block alone: what that links need not meet in its other blocks
+            pairs = pairs.groupBy("t").agg(F.max_by(F.struct("t2", "u", "v"), F.struct("size", "t2")).alias("first")).select("t", "first.*")
+        links_found = _verified(cut(pairs.select("t", "t2", "u", "v").distinct()), sets, similarity)
+        found = links_found if found is None else found.unionByName(links_found)
+        merged = components(links_found)
+        members = cut(_several(members.join(merged, members["root"] == merged["u"], "left").select("key", "t", "n", F.coalesce("component", "root").alias("root"))))
     able = members.join(_shared(members, sets), "t").filter(_sum(F.col("shared")) >= F.floor(F.col("n") * similarity))
     rest = cut(able.join(texts.select("t", "keys"), "t"))
     other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("t", "n", "root", "keys", "shared")])
