@@ -629,3 +629,20 @@ def store_freeze(spark, sf_dir):
     commits = [kept.spark.read.parquet(f"{kept.folder}/commits/{n:020d}").select("id", F.lit(n).cast("bigint").alias("commit")) for n in kept.commits()]
     known = commits[0].unionByName(commits[1])
     return current.select("id").join(frozen.report, "id", "left").join(known, "id", "left").select("id", F.coalesce("action", F.lit("frozen before")).alias("action"), F.coalesce("commit", F.lit(-1)).cast("bigint").alias("commit"))
+
+
+NOTED = lens.Lens("noted-view", get=DROP_BALANCE.get, put=lambda v, prior, kept: F.map_concat(F.map_filter(v, lambda k, _: ~k.isin("c_acctbal", "note")), F.coalesce(kept, p.literal_map({}))), complement=DROP_BALANCE.complement,
+                  private=lambda v: F.map_filter(v, lambda k, _: k == "note"), restore=lambda v, state: F.map_concat(F.map_filter(v, lambda k, _: k != "note"), state))
+
+
+@query("SELECT c_custkey, c_name || '!' AS c_name, 'n' || c_custkey AS note, c_acctbal, false AS leaked FROM customer")
+def lens_private_state(spark, sf_dir):
+    """Two runs: the first edits renderings that have a note of their own; the second gets the note back, and puts without a prior payload."""
+    customers = _table(spark, sf_dir, "customer")
+    kept = lens.Kept(NOTED, store.Log(spark, f"{shared_folder(spark)}/lens-{uuid.uuid4().hex}"))
+    rows = customers.select("c_custkey", p.from_frame(customers, "c_custkey", "c_name", "c_acctbal").alias("prior"))
+    edited = F.map_concat(F.transform_values(NOTED.get(F.col("prior")), lambda k, x: F.when(k == "c_name", F.concat(p.text(x), F.lit("!")).cast("variant")).otherwise(x)), F.create_map(F.lit("note"), F.concat(F.lit("n"), F.col("c_custkey").cast("string")).cast("variant")))
+    first = kept.put(rows.withColumn("view", edited), "c_custkey", "view", "prior").select("c_custkey", "payload")
+    second = kept.get(first, "c_custkey", "payload").withColumn("prior", F.lit(None).cast(p.MAP))
+    back = kept.put(second, "c_custkey", "rendering", "prior", into="back")
+    return back.select("c_custkey", _text("back", "c_name"), _text("rendering", "note"), _number("back", "c_acctbal"), p.has(F.col("payload"), "note").alias("leaked"))

@@ -34,8 +34,8 @@ class Frozen:
     report: DataFrame
 
 
-class Store:
-    """Documents (id, body, fingerprint) under a folder that the driver and all executors share."""
+class Log:
+    """Numbered tables under a folder that the driver and all executors share; a number is taken once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -52,13 +52,21 @@ class Store:
         names = [x.getPath().getName() for x in fs.listStatus(top)] if fs.exists(top) else []
         return sorted(int(n) for n in names if re.fullmatch("[0-9]{20}", n))
 
-    def read(self, upto: int | None = None) -> DataFrame:
-        """The documents of all commits, or of those before `upto`."""
-        paths = [f"{self.folder}/commits/{n:020d}" for n in self.commits() if upto is None or n < upto]
-        return self.spark.read.schema(COLUMNS).parquet(*paths) if paths else self.spark.createDataFrame([], COLUMNS)
-
-    def versions(self, stem: str) -> list[int]:
-        return [r["version"] for r in catalog.versions(self.read(), stem).collect()]
+    def append(self, rows: DataFrame) -> int:
+        """Adds a table, whatever the others hold; its number."""
+        staged = f"{self.folder}/staged/{uuid.uuid4().hex}"
+        rows.write.parquet(staged)
+        while not self._published(staged, number := max(self.commits(), default=-1) + 1):
+            pass
+        return number
+
+    def numbered(self, schema: str) -> DataFrame:
+        """The rows of all tables with the number of theirs as `_commit`."""
+        paths = [f"{self.folder}/commits/{n:020d}" for n in self.commits()]
+        if not paths:
+            return self.spark.createDataFrame([], f"{schema}, _commit bigint")
+        number = F.regexp_extract(F.col("_metadata.file_path"), "/commits/([0-9]{20})/", 1).cast("bigint")
+        return self.spark.read.schema(schema).parquet(*paths).withColumn("_commit", number)
 
     def _published(self, staged: str, number: int) -> bool:
         """Whether the staged table became commit `number`; False where another writer took it."""
@@ -75,6 +83,18 @@ class Store:
             raise
         return True
 
+
+class Store(Log):
+    """Documents (id, body, fingerprint), each frozen once."""
+
+    def read(self, upto: int | None = None) -> DataFrame:
+        """The documents of all commits, or of those before `upto`."""
+        paths = [f"{self.folder}/commits/{n:020d}" for n in self.commits() if upto is None or n < upto]
+        return self.spark.read.schema(COLUMNS).parquet(*paths) if paths else self.spark.createDataFrame([], COLUMNS)
+
+    def versions(self, stem: str) -> list[int]:
+        return [r["version"] for r in catalog.versions(self.read(), stem).collect()]
+
     def put(self, documents: DataFrame) -> int | None:
         """Adds documents (id, body, fingerprint) whose id is new, in one commit; its number, or None where none is new.
 
