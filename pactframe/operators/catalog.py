@@ -90,10 +90,13 @@ def chain(*tiers: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "id"]), "tier").alias("_first")).select("id", "_first.*").select(*rows.columns)
 
 
-def union_of_sources(*sources: DataFrame, key: str = "class_name") -> DataFrame:
-    """Distinct keys of sources in order; the first source that has one keeps its slot."""
-    numbered = [t.withColumn("source", F.lit(i)) for i, t in enumerate(sources)]
-    return reduce(DataFrame.unionByName, numbered).groupBy(key).agg(F.min("source").alias("source"))
+def union_of_sources(*sources: DataFrame, key: str = "class_name", order: str | None = None) -> DataFrame:
+    """Distinct keys of sources in order; the first source that has one keeps its slot: with `order`, a column of every source, the least of it there, as `slot`."""
+    numbered = [t.select(key, F.lit(i).alias("source"), *([F.col(order).alias("slot")] if order else [])) for i, t in enumerate(sources)]
+    rows = reduce(DataFrame.unionByName, numbered)
+    if not order:
+        return rows.groupBy(key).agg(F.min("source").alias("source"))
+    return rows.groupBy(key).agg(F.min(F.struct("source", "slot")).alias("first")).select(key, "first.source", "first.slot")
 
 
 def versions(frozen: DataFrame, stem: str) -> DataFrame:

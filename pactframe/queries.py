@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .functions import gate
 from .functions import payload as p
 from .functions.shared import shared_folder
-from .operators import catalog, fixtures, ladder, lens, nodes, overlay, vocabulary
+from .operators import catalog, fixtures, identity, ladder, lens, nodes, overlay, vocabulary
 from .plans import documents, projection
 from .plans import schemas as s
 from .sources import store
@@ -646,3 +646,18 @@ def lens_private_state(spark, sf_dir):
     second = kept.get(first, "c_custkey", "payload").withColumn("prior", F.lit(None).cast(p.MAP))
     back = kept.put(second, "c_custkey", "rendering", "prior", into="back")
     return back.select("c_custkey", _text("back", "c_name"), _text("rendering", "note"), _number("back", "c_acctbal"), p.has(F.col("payload"), "note").alias("leaked"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'https://other.org/x/' || p_size WHEN 1 THEN 'https://example.org/base/part/' || p_partkey || '/1' WHEN 2 THEN 'https://brands.org/' || lower(p_brand) || '/' || p_size END AS id,
+  CASE p_partkey % 4 WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE -1 END AS grammar, p_partkey % 4 = 3 AS unresolved, p_partkey % 4 IN (0, 2) AS kept FROM part""")
+def identity_resolved(spark, sf_dir):
+    """References of four spellings: absolute, relative, of a grammar of their own, and of one that needs what is not declared; and whether a document keeps such an id."""
+    turn, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    ref = F.when(turn == 0, F.concat(F.lit(" https://other.org/x/"), size)).when(turn == 1, F.concat(F.lit("//part/"), F.col("p_partkey").cast("string"), F.lit("/1 "))).when(turn == 2, F.concat(F.lit("brand:"), "p_brand", F.lit(":"), size)).otherwise("later:x")
+    brand = identity.Grammar(lambda r: r.startswith("brand:"), lambda r, base: F.concat(F.lit("https://brands.org/"), F.lower(F.split_part(r, F.lit(":"), F.lit(2))), F.lit("/"), F.split_part(r, F.lit(":"), F.lit(3))))
+    later = identity.Grammar(lambda r: r.rlike("^(later|brand):"), lambda r, base: F.lit(None).cast("string"))
+    rows = _table(spark, sf_dir, "part").select("p_partkey", identity.resolved(ref, "https://example.org/base/ ", [brand, later]).alias("r"), turn.alias("turn"))
+    named = F.when(F.col("turn").isin(0, 2), F.col("r.id")).otherwise("part/1")
+    document = identity.without_relative_id(F.to_variant_object(F.create_map(F.lit("$id"), named.cast("variant"), F.lit("type"), F.lit("object").cast("variant"))))
+    return rows.select("p_partkey", "r.id", "r.grammar", F.col("r.problem").isNotNull().alias("unresolved"), p.has(p.as_map(document), "$id").alias("kept"))

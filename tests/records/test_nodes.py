@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pactframe.operators import catalog, nodes, overlay
+from pactframe.operators import catalog, identity, nodes, overlay
 from pactframe.plans import schemas as s
 
 DOCUMENTS = [
@@ -186,3 +186,22 @@ def test_owners_by_longest_root(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {r.owner: r.files for r in got} == want and [(-r.files, r.owner) for r in got] == sorted((-n, o) for o, n in want.items())
+
+
+@pytest.mark.parametrize("base", ["https://x.example/s/", False, None, "", "/rel", True])
+def test_references_resolve_as_on_the_driver(spark, base):
+    refs = ["https://a.example/b/1", " /b/1", "b/1", "//b//1", "", "urn:x:y", None]
+    rows = spark.createDataFrame(list(enumerate(refs)), "i int, ref string").select("i", identity.resolved(F.col("ref"), base).alias("r")).orderBy("i").collect()
+    for ref, r in zip(refs, [x.r for x in rows]):
+        if ref is None:
+            assert r.id is None and r.problem is None and r.grammar is None
+        elif s.is_absolute(ref) or base is False or isinstance(base, str) and s.is_absolute(base):
+            assert (r.id, r.problem, r.grammar) == (s.resolve_id(ref.strip(), base if base != "https://x.example/s/" else "https://x.example/s"), None, -1)
+        else:
+            assert r.id is None and ref in r.problem
+
+
+def test_the_first_source_keeps_its_slot(spark):
+    a, b = (spark.createDataFrame(x, "class_name string, at int, more string") for x in ([("x", 5, "m"), ("y", 2, "m"), ("x", 3, "m")], [("y", 0, "m"), ("z", 9, "m"), ("z", 7, "m")]))
+    got = catalog.union_of_sources(a, b, order="at").orderBy("source", "slot").collect()
+    assert [tuple(r) for r in got] == [("y", 0, 2), ("x", 0, 3), ("z", 1, 7)]
