@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """df cut, and how many of its rows meet a condition, observed by the same job. A task that runs twice may count twice, so only zero is exact."""
+    seen = Observation()
+    kept = cut(df.observe(seen, F.count_if(condition).alias("n")))
+    return kept, seen.get["n"]
+
+
 def sent_if_small(df: DataFrame, bytes_each: int, limit: int = 64 << 20) -> DataFrame:
     """df, already cut, to be broadcast if its measured size stays under limit."""
     return F.broadcast(df) if df.count() * bytes_each <= limit else df

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import payload as p
-from ..functions.shared import cut
+from ..functions.shared import cut, cut_counting
 from ..plans import schemas as s
 from . import nodes
 
@@ -146,15 +146,15 @@ def properties(documents: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     parts = []
     while True:
-        level = cut(level)
         v = F.col("v")
         ref, members, kind = F.try_variant_get(v, "$['$ref']", "string"), F.try_variant_get(v, "$.anyOf", "array<variant>"), F.try_variant_get(v, "$.type", "variant")
         names = F.coalesce(F.try_variant_get(kind, "$", "array<string>"), F.array_compact(F.array(p.text(kind))))
         union = ref.isNull() & members.isNotNull()
+        level, unions = cut_counting(level, union)
         parts.append(level.select("id", "field", F.when(ref.isNotNull(), F.array(F.concat(F.lit("$ref:"), ref))).when(union, none).otherwise(names).alias("names")))
-        level = level.filter(union).select("id", "field", F.explode(members).alias("v"))
-        if level.isEmpty():
+        if not unions:
             break
+        level = level.filter(union).select("id", "field", F.explode(members).alias("v"))
     return reduce(DataFrame.unionByName, parts).groupBy("id", "field").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("types"))
 
 

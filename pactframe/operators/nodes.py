@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import payload as p
-from ..functions.shared import cut
+from ..functions.shared import cut, cut_counting
 from ..plans import schemas as s
 
 NULL = {"type": "null"}
@@ -129,12 +129,12 @@ def walk(documents: DataFrame, fold: bool = True, exclude: set[str] | frozenset[
     level = documents.select("id", root.alias("path"), F.lit(None).cast("string").alias("inside"), F.lit("schema").alias("place"), F.try_parse_json("body").alias("v")).filter("v IS NOT NULL")
     levels, token, inner = [], _token(F.col("v")), F.explode(children(F.col("v"), F.col("place"))).alias("c")
     while True:
-        level = cut(level.withColumn("token", token))
+        level, containers = cut_counting(level.withColumn("token", token), F.col("token").isin("{", "["))
         levels.append(level.drop("v"))
+        if not containers:
+            return reduce(DataFrame.unionByName, levels).select("id", "path", "inside", "place", "token")
         below = level.select("id", "path", F.col("place").alias("inside"), inner)
         level = below.select("id", F.array_append("path", F.col("c.step")).alias("path"), "inside", F.col("c.place").alias("place"), F.col("c.v").alias("v"))
-        if levels[-1].filter("token IN ('{', '[')").isEmpty():
-            return reduce(DataFrame.unionByName, levels).select("id", "path", "inside", "place", "token")
 
 
 def _closed(node: Column, depth: Column) -> Column:
@@ -245,8 +245,8 @@ class References:
         newest = self.links.filter("def IS NULL").select(F.col("id").alias("root"), "ref").distinct()
         rounds: list[DataFrame] = []
         while True:
-            newest = cut(newest.join(answers, ["root", "ref"], "left").join(known, "ref", "left").select("root", "ref", "def", (F.col("def").isNull() & F.col("known").isNotNull()).alias("known")))
-            if newest.isEmpty():
+            newest, n = cut_counting(newest.join(answers, ["root", "ref"], "left").join(known, "ref", "left").select("root", "ref", "def", (F.col("def").isNull() & F.col("known").isNotNull()).alias("known")), F.lit(True))
+            if not n:
                 return reduce(DataFrame.unionByName, rounds) if rounds else newest
             rounds.append(newest)
             by_own = newest.join(own_links, ["root", "def"]).select("root", "next")
