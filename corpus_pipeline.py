@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return
 the columns of documents; its text and n_chars follow what line dedup removes.
+
+Defined cases: rows without a text fail the quality rules; a null source is a source of its own; a null language is judged by the characters of all
+languages; repeated rows and copies leave one row, also where no row of theirs has an id; further columns of documents are carried to the last stage, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,12 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactframe.llm import lines, mixing, pieces, quality, simhash
-from pactframe.llm.common import shared_folder
+from pactframe.llm.common import fresh, shared_folder
 
 PLACE = ["block", "slot", "place"]
 
 #: Above this share of a source's pages a line is boilerplate (op4_lines has 0.05, as its SQL says).
 LINE_RATIO = 0.01
+#: Target weights by source; without any a source weighs as the square root of its number of documents.
+WEIGHTS: dict | None = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +41,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).drop(*mixing.ADDED)
+    aside = {c: fresh(docs.columns, f"_{c}") for c in mixing.ADDED if c in docs.columns}
+    mixed = mixing.mix(docs.withColumnsRenamed(aside), WEIGHTS).drop(*mixing.ADDED)
+    return mixed.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +54,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     encoded = pieces.encode(docs.select("doc_id", "source", "text"), decoded="decoded")
     scores = F.transform("segmentations", lambda s: s["score"]).alias("scores")
     rows = encoded.select("doc_id", "source", "ids", (F.octet_length("ids") / 4).cast("bigint").alias("n_pieces"), scores, F.col("decoded").alias("text"))
-    plan = mixing.schedule(docs).select("_source", "_id", *PLACE).hint("shuffle_hash")
+    plan = mixing.schedule(docs, WEIGHTS).select("_source", "_id", *PLACE).hint("shuffle_hash")
     return rows.join(plan, rows["doc_id"].eqNullSafe(plan["_id"]) & rows["source"].eqNullSafe(plan["_source"])).select(*rows.columns, *PLACE)
 
 
