@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+#: Links that one task of a round takes, so that a small table of links is not dealt into many tiny files round after round.
+LINKS_EACH = 20_000
+
+
+def _star(links: DataFrame, large: bool, parts: int) -> DataFrame:
     """links (u, v) in both directions for the large star, from the larger to the smaller vertex for the small star."""
     if large:
         links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -22,7 +26,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         moved = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.filter("u != v").distinct()
+    return moved.filter("u != v").coalesce(parts).distinct().coalesce(parts)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -34,8 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     current = cut(links.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL").distinct())
     before = None
     while True:
-        current = cut(_star(_star(current, large=True), large=False))
         after = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             return current.select("u", F.col("v").alias("component"))
-        before = after
+        before, parts = after, max(1, -(-after[0] // LINKS_EACH))
+        current = cut(_star(_star(current.coalesce(parts), True, parts), False, parts))
