@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import duckdb
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pactframe.llm import mixing, pieces, quality
@@ -68,3 +69,33 @@ def test_copies_do_not_empty_each_other(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert left == {i: "first line\nsecond line" if i < 40 else f"own {i}" if i < 200 else None for i in range(203)}
+
+
+def test_run_on_odd_rows(spark, sf, tmp_path):
+    """Nulls in any column, repeated rows, copies without ids and further columns with names of the way; an empty table."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    first = docs.limit(5)
+    null = lambda c: docs.limit(2).withColumn(c, F.lit(None).cast(docs.schema[c].dataType))
+    odd = docs.unionByName(first).unionByName(first.withColumn("doc_id", F.lit(None).cast("bigint")))
+    for c in docs.columns:
+        odd = odd.unionByName(null(c))
+    odd = odd.withColumns({c: F.lit("mine") for c in ("_source", "_id", "_row", "_text", "_keys", "slot", "root")})
+    odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    plain = {r.doc_id for r in corpus_pipeline.run(spark, _written(docs, f"{tmp_path}/plain")).collect()}
+    assert {r.doc_id for r in rows} == plain and len(rows) == len(plain)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def _written(docs, folder):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_target_weights_take_effect(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "WEIGHTS", {"a": 1, "b": 3})
+    docs = spark.createDataFrame([(i, "ab"[i % 2], f"text {i}") for i in range(640)], "doc_id long, source string, text string")
+    rows = corpus_pipeline.encode_pieces(spark, docs, "").collect()
+    want = simulated([1, 3], [10, 10])
+    assert {(r.source, r.block): r.slot for r in rows} == {(s, b): want[k][b] for k, s in enumerate("ab") for b in range(10)}
