@@ -1,6 +1,6 @@
 """Operator 9, document fingerprints: a homomorphic multiset hash of paragraphs, in DataFrame expressions only.
 
-A text's paragraphs are its lines, long ones cut after sentence ends. Each paragraph is hashed to a vector of
+A text's paragraphs are its lines, cut after sentence ends. Each paragraph is hashed to a vector of
 45 numbers, and the text's vector is their sum, so the order of paragraphs does not matter and a paragraph is
 added or taken away in constant time (`added`, `removed`):
 
