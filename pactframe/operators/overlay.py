@@ -185,9 +185,9 @@ def _acted(v: Column, o: Column, shape: Shape) -> Column:
             return _object(deep)
 
         def in_list(items: Column) -> Column:
-            if "unset" in shape.ops:
-                items = F.when(last, F.filter(items, lambda y, i: ~of_index(y, i))).otherwise(items)
             deep = F.transform(items, lambda y, i: F.when(of_index(y, i), at(y, level + 1)).otherwise(y))
+            if "unset" in shape.ops:  # what moves up to a place that is freed is not looked at again
+                deep = F.when(last, F.filter(items, lambda y, i: ~of_index(y, i))).otherwise(deep)
             if makes and indexed:
                 deep = F.when(able & (how == "index") & (F.size(items) == s["n"]), F.concat(items, F.array(made(level)))).otherwise(deep)
             return _object(deep)

@@ -167,6 +167,16 @@ def test_overlays(spark, action, before, after):
     assert json.loads(got) == after
 
 
+@pytest.mark.parametrize("action,before,after", [
+    ({"target": "$.t[0]", "unset": True}, {"t": [1, 2, 3]}, {"t": [2, 3]}), ({"target": "$.t[2]", "unset": True}, {"t": [1, 2, 3]}, {"t": [1, 2]}),
+    ({"target": "$.t[1].a", "unset": True}, {"t": [{"a": 1}, {"a": 2, "b": 3}]}, {"t": [{"a": 1}, {"b": 3}]}),
+    ({"target": "$.t[1][0]", "unset": True}, {"t": [[1, 2], [3, 4, 5]]}, {"t": [[1, 2], [4, 5]]}), ({"target": "$.t[*]", "unset": True}, {"t": [1, 2]}, {"t": []}),
+])
+def test_unset_members(spark, action, before, after):
+    """What moves up to the place of a member that is taken out stays as it is."""
+    test_overlays(spark, action, before, after)
+
+
 #: Paths that cannot be made: a column leaves the record as it is, a document raises.
 UNMADE = [("$.b[1]", {"a": {}}), ("$.a[1].c", {"a": []}), ("$.a[3]", {"a": [1]}), ("$.x.y[2].z", {"x": 1}), ("$.x.y[2].z", {"x": {"y": {}}}), ("$.i[?(@.id=='b')].v", {"i": [{"id": "a"}, {"id": "b"}]})]
 MADE = [("$.b[0]", {"a": {}}, {"a": {}, "b": [7]}), ("$.a[1].c", {"a": [1]}, {"a": [1, {"c": 7}]}), ("$.a.b[0].c", {"a": [1]}, {"a": {"b": [{"c": 7}]}}), ("$.a[0]", {"a": 5}, {"a": [7]}), ("$.a.b.c.d.e", {}, {"a": {"b": {"c": {"d": {"e": 7}}}}})]
