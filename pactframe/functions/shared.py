@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,18 @@ def cut_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
 def sent_if_small(df: DataFrame, bytes_each: int, limit: int = 64 << 20) -> DataFrame:
     """df, already cut, to be broadcast if its measured size stays under limit."""
     return F.broadcast(df) if df.count() * bytes_each <= limit else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys over a few tasks for each core: a small file is one task, however much work its rows are."""
+    return df.repartition(_tasks(df), *keys)
+
+
+def gathered(parts: list[DataFrame]) -> DataFrame:
+    """The rows of tables of a loop's rounds, kept as one table: the rounds' many small partitions are read once."""
+    return cut(reduce(DataFrame.unionByName, parts).coalesce(_tasks(parts[0])))
+
+
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import payload as p
-from ..functions.shared import cut, cut_counting
+from ..functions.shared import cut, cut_counting, gathered, sent_if_small, spread
 from ..plans import schemas as s
 
 NULL = {"type": "null"}
@@ -200,81 +200,131 @@ def misplaced(documents: DataFrame) -> DataFrame:
     return found.select("id", pointer(F.col("path")).alias("pointer"))
 
 
-def _first_key(path: Column) -> Column:
-    return F.get(path, F.lit(0))["key"]
-
-
-def _unquoted(token: Column) -> Column:
-    return p.text(F.try_parse_json(token))
-
-
 class References:
     """The references of documents and of what they refer to, found once for all documents of a table.
 
     documents and registry are rows (id, body), ids unique in each. A document's own definitions (`$defs` with an `$id`) come before the
     registry for that document. A reference is a text `$ref` with a scheme. The closure is a semi-naive fixpoint: each
-    round joins only what the last one found, and ends when nothing is new, so cycles end too.
+    round joins only what the last one found, and ends when nothing is new, so cycles end too. References are numbered, above zero where
+    the registry has them; a document is one row with the numbers it has seen, so a round moves what is new and not what was found before.
     """
 
     def __init__(self, documents: DataFrame, registry: DataFrame | None = None):
         self.documents = documents.select("id", "body")
         self.registry = documents.limit(0).select("id", "body") if registry is None else registry.select("id", "body")
-        own, known = (self._found(x) for x in (self.documents, self.registry))
-        text = lambda x: x.filter("key = '$ref'").select("id", F.col("text").alias("ref"), "path")
-        under = F.get("path", F.lit(1))["key"]
-        inside = (_first_key(F.col("path")) == "$defs") & (F.size("path") > 1)
-        names = own.filter((F.col("key") == "$id") & inside & (F.size("path") == 3)).select("id", under.alias("def"), F.col("text").alias("name"))
-        links = text(own).withColumn("def", F.when(inside, under))
-        self._ids = own.filter("key = '$id'").select("id", "text"), known.filter("key = '$id'").select("id", "text")
-        self.definitions = cut(names)
-        self.links = cut(links.select("id", "def", "ref"))
-        self.registry_links = cut(text(known).select("id", "ref").distinct())
-        self.reached = self._closure()
-
-    def _found(self, documents: DataFrame) -> DataFrame:
-        """Rows (id, path, key, text) of the references and identifiers in documents."""
-        nodes = walk(documents, False, frozenset()).withColumn("key", last_key(F.col("path")))
-        texts = nodes.filter("key IN ('$ref', '$id') AND token LIKE '\"%'").select("id", "path", "key", _unquoted(F.col("token")).alias("text"))
-        return cut(texts.filter("key = '$id' OR contains(text, '://')"))
+        own = self._found(self.documents)
+        known = own if registry is documents else self._found(self.registry)
+        inside = (F.col("first") == "$defs") & (F.col("depth") > 1)
+        ids = lambda x: x.filter("key = '$id'").select("id", "text")
+        text = lambda x: x.filter("key = '$ref'").withColumnRenamed("text", "ref")
+        self._ids = ids(own), ids(known)
+        self.definitions = own.filter((F.col("key") == "$id") & inside & (F.col("depth") == 3)).select("id", F.col("under").alias("def"), F.col("text").alias("name"))
+        self.links = text(own).select("id", F.when(inside, F.col("under")).alias("def"), "ref")
+        self.registry_links = text(known).select("id", "ref").distinct()
+        self._numbers = self._numbered()
+        self._roots = cut(self.documents.select("id", F.monotonically_increasing_id().alias("root")))
+        self._links = cut(self._by_number(self._rooted(self.links), "ref", "next"))
+        self._reached = self._closure()
+
+    @staticmethod
+    def _found(documents: DataFrame) -> DataFrame:
+        """Rows (id, depth, first, under, key, text) of the references and identifiers in documents: first and under are the first two keys on the way."""
+        none = F.lit(None).cast("string")
+        level = spread(documents, "id").select("id", none.alias("first"), none.alias("under"), F.try_parse_json("body").alias("v")).filter("v IS NOT NULL")
+        members, levels, depth = documents.sparkSession.tvf.variant_explode(F.col("v").outer()), [], 0
+        kind = F.schema_of_variant("value")
+        while True:
+            depth += 1
+            told = F.coalesce("key", F.lit(""))  # a list's member has no key
+            first, under = (told if depth == at else F.col(c) for at, c in ((1, "first"), (2, "under")))
+            inner = kind.startswith("ARRAY") | kind.startswith("OBJECT")
+            text = F.when(F.col("key").isin("$ref", "$id") & (kind == "STRING"), p.text(F.col("value")))
+            below = level.lateralJoin(members).select("id", F.lit(depth).alias("depth"), first.alias("first"), under.alias("under"), "key", text.alias("text"), F.when(inner, F.col("value")).alias("v"))
+            level, more = cut_counting(below.filter("v IS NOT NULL OR key = '$id' AND text IS NOT NULL OR contains(text, '://')"), F.col("v").isNotNull())
+            levels.append(level.filter("text IS NOT NULL").drop("v"))
+            if not more:
+                return gathered(levels)
+            level = level.filter("v IS NOT NULL").select("id", "first", "under", "v")
+
+    def _numbered(self) -> DataFrame:
+        """Rows (text, n): all identifiers and references, numbered from one, below zero where the registry has no such document."""
+        named = lambda x, c, known: x.select(F.col(c).alias("text"), F.lit(known).alias("known"))
+        all_texts = [named(self.registry, "id", True), named(self.links, "ref", False), named(self.registry_links, "ref", False), named(self.definitions, "name", False)]
+        each = reduce(DataFrame.unionByName, all_texts).filter("text IS NOT NULL").groupBy("text").agg(F.max("known").alias("known"))
+        return cut(each.select("text", (F.when(F.col("known"), 1).otherwise(-1) * (F.monotonically_increasing_id() + 1)).alias("n")))
+
+    def _by_number(self, rows: DataFrame, column: str, into: str, keep: bool = False) -> DataFrame:
+        found = rows.join(self._numbers.select(F.col("text").alias(column), F.col("n").alias(into)), column)
+        return found if keep else found.drop(column)
+
+    def _rooted(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self._roots, "id").drop("id")
 
     def _closure(self) -> DataFrame:
-        """Rows (root, ref, def, known): every reference reached; def names the document's own definition that answers it, known tells whether the registry does."""
-        answers = self.definitions.groupBy(F.col("id").alias("root"), F.col("name").alias("ref")).agg(F.max("def").alias("def"))
-        known = self.registry.select(F.col("id").alias("ref"), F.lit(True).alias("known"))
-        own_links = self.links.filter("def IS NOT NULL").select(F.col("id").alias("root"), "def", F.col("ref").alias("next"))
-        newest = self.links.filter("def IS NULL").select(F.col("id").alias("root"), "ref").distinct()
-        rounds: list[DataFrame] = []
+        """Rows (root, own, seen): the numbers of every reference reached. own has, by number, the document's own definition that answers one and what that refers to."""
+        none = F.array().cast("array<bigint>")
+        direct = self._links.filter("def IS NULL").groupBy("root").agg(F.collect_set("next").alias("fresh"))
+        answers = self._by_number(self._rooted(self.definitions.groupBy("id", "name").agg(F.max("def").alias("def"))), "name", "n", keep=True)
+        of_own = self._links.filter("def IS NOT NULL").groupBy("root", "def").agg(F.collect_set("next").alias("next"))
+        entry = F.struct("n", F.struct("def", "name", F.coalesce("next", none).alias("next")).alias("to"))
+        own = answers.join(of_own, ["root", "def"], "left").groupBy("root").agg(F.map_from_entries(F.collect_list(entry)).alias("own"))
+        edges = cut(self._by_number(self._by_number(self.registry_links, "ref", "next"), "id", "n").groupBy("n").agg(F.collect_set("next").alias("next")))
+        without = F.create_map().cast("map<bigint, struct<def: string, name: string, next: array<bigint>>>")
+        state = direct.join(own, "root", "left").select("root", F.coalesce("own", without).alias("own"), none.alias("seen"), "fresh")
+        ended: list[DataFrame] = []
         while True:
-            newest, n = cut_counting(newest.join(answers, ["root", "ref"], "left").join(known, "ref", "left").select("root", "ref", "def", (F.col("def").isNull() & F.col("known").isNotNull()).alias("known")), F.lit(True))
-            if not n:
-                return reduce(DataFrame.unionByName, rounds) if rounds else newest
-            rounds.append(newest)
-            by_own = newest.join(own_links, ["root", "def"]).select("root", "next")
-            by_known = newest.filter("known").join(self.registry_links.select(F.col("id").alias("ref"), F.col("ref").alias("next")), "ref").select("root", "next")
-            before = reduce(DataFrame.unionByName, rounds).select("root", F.col("ref").alias("next"))
-            newest = by_own.unionByName(by_known).distinct().join(before, ["root", "next"], "left_anti").withColumnRenamed("next", "ref")
+            state, more = cut_counting(state, F.size("fresh") > 0)
+            ended.append(state.filter("size(fresh) = 0").select("root", "own", "seen"))
+            if not more:
+                return gathered(ended)
+            state = state.filter("size(fresh) > 0")
+            asked = state.select("root", F.explode(_in_registry("fresh")).alias("n"))
+            found = asked.join(edges, "n").groupBy("root").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("found"))
+            by_own = F.flatten(F.transform("fresh", lambda n: F.coalesce(F.try_element_at("own", n)["next"], none)))
+            seen = F.concat("seen", "fresh")
+            state = state.join(found, "root", "left").select("root", "own", seen.alias("seen"), F.array_except(F.concat(by_own, F.coalesce("found", none)), seen).alias("fresh"))
 
     def unresolved(self) -> DataFrame:
         """Rows (id, ref): references in a document's bundle that nothing in it answers."""
-        asked = self.reached.select(F.col("root").alias("id"), "ref").unionByName(self.links.select("id", "ref")).distinct()
+        lone = self._reached.select("root", F.explode(F.filter("seen", lambda n: (n < 0) & ~F.map_contains_key("own", n))).alias("n"))
+        unseen = self._links.filter("def IS NOT NULL").join(self._reached.select("root", "seen"), "root", "left").filter(~F.coalesce(F.array_contains("seen", F.col("next")), F.lit(False)))
+        asked = lone.unionByName(unseen.select("root", F.col("next").alias("n"))).distinct()
+        asked = cut(asked.join(self._numbers.select("n", F.col("text").alias("ref")), "n").join(self._roots, "root").select("root", "id", "ref"))
         own, known = self._ids
-        inner = self.reached.filter("known").select("root", F.col("ref").alias("id")).join(known, "id").select(F.col("root").alias("id"), F.col("text").alias("ref"))
+        holders = known.join(asked.select(F.col("ref").alias("text")).distinct(), "text", "left_semi")
+        holders = sent_if_small(cut(self._by_number(holders, "id", "n").distinct()), 256)
+        inner = self._reached.select("root", F.explode(_in_registry("seen")).alias("n")).join(holders, "n").select("root", F.col("text").alias("ref")).join(self._roots, "root").select("id", "ref")
         keys = self.documents.select("id", F.explode(F.map_keys(p.as_map(F.try_variant_get(F.try_parse_json("body"), "$['$defs']", "variant")))).alias("ref"))
-        answered = self.reached.filter("known OR def IS NOT NULL").select(F.col("root").alias("id"), "ref")
-        there = own.select("id", F.col("text").alias("ref")).unionByName(inner).unionByName(keys).unionByName(answered).distinct()
-        return asked.join(there, ["id", "ref"], "left_anti")
+        there = own.select("id", F.col("text").alias("ref")).unionByName(inner).unionByName(keys)
+        return asked.select("id", "ref").join(there, ["id", "ref"], "left_anti")
 
     def bundles(self) -> DataFrame:
         """Rows (id, body): each document with all documents it refers to, directly or not, under `$defs` by their identifiers."""
         of = F.try_parse_json("body")
         defs = p.as_map(F.try_variant_get(of, "$['$defs']", "variant"))
-        found = self.reached.filter("known").join(self.registry.withColumnRenamed("id", "ref"), "ref").select("root", "ref", "body")
-        mine = self.reached.filter("def IS NOT NULL").join(self.documents.select(F.col("id").alias("root"), F.explode(defs).alias("def", "v")), ["root", "def"])
-        entries = found.unionByName(mine.select("root", "ref", F.to_json("v").alias("body"))).groupBy(F.col("root").alias("id")).agg(F.collect_list(F.struct("ref", "body")).alias("found"))
-        rows = self.documents.filter(of.isNotNull()).join(entries, "id", "left").select("id", p.as_map(of).alias("m"), F.coalesce(defs, p.literal_map({})).alias("own"), "found")
-        embedded = F.coalesce(F.map_from_entries(F.transform("found", lambda x: F.struct(x["ref"], F.try_parse_json(x["body"])))), p.literal_map({}))
-        both = p.let(embedded, lambda e: F.map_concat(F.map_filter("own", lambda k, _: ~F.map_contains_key(e, k)), e))
-        rest = F.map_filter("m", lambda k, _: k != "$defs")
-        whole = F.when(F.size(both) > 0, F.map_concat(rest, F.create_map(F.lit("$defs"), F.to_variant_object(both)))).otherwise(rest)
-        dated = p.let(whole, lambda w: F.when(p.has(w, "$schema"), w).otherwise(F.map_concat(w, F.create_map(F.lit("$schema"), p.literal(DIALECT)))))
-        return rows.select("id", p.to_json(dated).alias("body"))
+        # documents with the same closure, such as those of a cycle, share what is put together from the registry
+        sets = self._reached.select("root", F.array_sort(_in_registry("seen")).alias("set")).groupBy("set").agg(F.collect_list("root").alias("roots"))
+        sets = cut(sets.select(F.monotonically_increasing_id().alias("of"), "set", "roots"))
+        # a document is written as JSON once, and its text is put into every bundle that has it
+        entry = lambda key, v: F.struct(key.alias("key"), F.concat(quoted(key), F.lit(":"), F.coalesce(F.to_json(v), F.lit("null"))).alias("text"))
+        pool = self.registry.select(F.col("id").alias("text"), entry(F.col("id"), of).alias("entry")).join(self._numbers, "text").select("n", "entry")
+        found = sets.select("of", F.explode("set").alias("n")).join(pool, "n").groupBy("of").agg(F.collect_list("entry").alias("found"))
+        mine = self._reached.select("root", F.explode(F.map_values(F.map_filter("own", lambda n, _: F.array_contains("seen", n)))).alias("to")).select("root", "to.def", F.col("to.name").alias("ref"))
+        mine = mine.join(self._rooted(self.documents.select("id", F.explode(defs).alias("def", "v"))), ["root", "def"]).groupBy("root").agg(F.collect_list(entry(F.col("ref"), F.col("v"))).alias("mine"))
+        rows = self.documents.filter(of.isNotNull()).join(self._roots, "id", "left").join(mine, "root", "left").join(sets.select("of", F.explode("roots").alias("root")), "root", "left").join(found, "of", "left")
+        written = lambda m: F.transform(F.map_entries(m), lambda x: entry(x["key"], x["value"]))
+        none = F.array().cast("array<struct<key: string, text: string>>")
+        joined = lambda entries: F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(entries), lambda x: x["text"]), ","), F.lit("}"))
+        rows = rows.select("id", p.as_map(of).alias("m"), F.coalesce(written(defs), none).alias("own"), F.concat(F.coalesce("mine", none), F.coalesce("found", none)).alias("found"))
+        names = F.transform("found", lambda x: x["key"])
+        inside = F.concat(p.let(names, lambda known: F.filter("own", lambda x: ~F.array_contains(known, x["key"]))), F.col("found"))
+        embedded = F.struct(F.lit("$defs").alias("key"), F.concat(F.lit('"$defs":'), joined(inside)).alias("text"))
+        dialect = F.struct(F.lit("$schema").alias("key"), F.lit(f'"$schema":"{DIALECT}"').alias("text"))
+        rest = written(F.map_filter("m", lambda k, _: k != "$defs"))
+        whole = F.concat(rest, F.when(F.size("own") + F.size("found") > 0, F.array(embedded)).otherwise(none), F.when(p.has(F.col("m"), "$schema"), none).otherwise(F.array(dialect)))
+        return rows.select("id", joined(whole).alias("body"))
+
+
+def _in_registry(numbers: str) -> Column:
+    """Of numbers those that the registry answers, and no definition of the document's own."""
+    return F.filter(numbers, lambda n: (n > 0) & ~F.map_contains_key("own", n))

@@ -558,7 +558,8 @@ def schema_bundles(spark, sf_dir):
     documents = _linked(spark, sf_dir)
     defs = F.map_filter(p.as_map(F.try_variant_get(F.parse_json("body"), "$['$defs']", "variant")), lambda k, _: k != "mine")
     bundled = nodes.References(documents, documents).bundles()
-    return bundled.select("id", F.size(defs).cast("bigint").alias("n_defs"), F.map_contains_key(defs, F.col("id")).alias("cyclic"))
+    told = p.let(defs, lambda d: F.struct(F.size(d).cast("bigint").alias("n_defs"), F.map_contains_key(d, F.col("id")).alias("cyclic")))
+    return bundled.select("id", told.alias("told")).select("id", "told.n_defs", "told.cyclic")
 
 
 @query(_CLOSURE + f"""

@@ -205,3 +205,14 @@ def test_the_first_source_keeps_its_slot(spark):
     a, b = (spark.createDataFrame(x, "class_name string, at int, more string") for x in ([("x", 5, "m"), ("y", 2, "m"), ("x", 3, "m")], [("y", 0, "m"), ("z", 9, "m"), ("z", 7, "m")]))
     got = catalog.union_of_sources(a, b, order="at").orderBy("source", "slot").collect()
     assert [tuple(r) for r in got] == [("y", 0, 2), ("x", 0, 3), ("z", 1, 7)]
+
+
+def test_closures_are_one_row_for_each_document(spark):
+    """Rounds move numbers of what is new, documents of a cycle share one closure, and identifiers are written as JSON wherever they stand."""
+    name = lambda i: f'https://x/"{i}\\/1'
+    by_id = {name(i): {"$id": name(i), "b": {"$ref": name((i + 1) % 5)}, "a": {"z": 1.5, "k": [{"$ref": "https://x/own/1"}]}, "$defs": {"q\n": {"$id": "https://x/own/1", "$ref": name(i)}}} for i in range(5)}
+    documents = rows(spark, by_id)
+    found = nodes.References(documents, documents)
+    assert found._reached.count() == 5
+    assert {r.id: json.loads(r.body) for r in found.bundles().collect()} == {k: s.bundle(d, by_id) for k, d in by_id.items()}
+    assert found.unresolved().count() == 0
