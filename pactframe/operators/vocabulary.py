@@ -1,8 +1,8 @@
 """Gates against live vocabularies: whether a payload's values are among those of a table, decided by existence joins.
 
 A vocabulary is asked when the gate runs, not when the schema is made. Its distinct values are sent to all tasks where
-their measured size allows it. Beyond that a Bloom filter of bounded size, made on Spark, goes ahead of the join: rows whose value it
-has not seen are refused where they are, and only the distinct values of the rest are shuffled to the vocabulary.
+their measured size allows it. Beyond that rows are shuffled to the values once for each such vocabulary; a row that has
+no value to be looked up, as where the field is missing or null, goes to any task.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import payload as p
-from ..functions.shared import cut, sent_if_small
+from ..functions.shared import cut
 
-#: A Bloom filter's bits for each value, the most bits it has, and its probes.
-BITS_EACH, MOST_BITS, PROBES = 16, 1 << 27, 4
+#: Texts, none of them a token, that rows without a value are spread by.
+NOWHERE = 4096
 
 
 @dataclass(frozen=True)
@@ -38,49 +38,26 @@ def _spelled(v: Column) -> Column:
     return F.when(of == "string", F.concat(F.lit("s"), p.text(v))).when(of == "number", F.concat(F.lit("n"), number)).when(of == "boolean", F.concat(F.lit("b"), p.text(v)))
 
 
-def _bloom(tokens: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """One row (_one, _bits: words of 64 bits) and the number of bits."""
-    bits = min(MOST_BITS, 1 << max(10, (n * BITS_EACH - 1).bit_length()))
-    places = tokens.select(F.explode(F.array(*[F.pmod(F.xxhash64("token", F.lit(i)), F.lit(bits)) for i in range(PROBES)])).alias("at"))
-    one = F.expr("shiftleft(1L, cast(at % 64 as int))")
-    words = places.groupBy((F.expr("at div 64")).alias("word")).agg(F.bit_or(one).alias("bits"))
-    all_words = tokens.sparkSession.range(bits // 64).join(words, F.col("id") == F.col("word"), "left")
-    filled = all_words.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))).alias("all"))  # bits / 64 rows, MOST_BITS / 64 at most
-    return cut(filled.select(F.lit(1).alias("_one"), F.col("all.bits").alias("_bits"))), bits
-
-
-def _may_have(token: Column, bits: int) -> Column:
-    def probe(i: int) -> Column:
-        at = F.pmod(F.xxhash64(token, F.lit(i)), F.lit(bits))
-        return F.getbit(F.get(F.col("_bits"), F.floor(at / 64).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
-
-    found = probe(0)
-    for i in range(1, PROBES):
-        found = found & probe(i)
-    return found
-
-
-def _known(rows: DataFrame, vocabulary: DataFrame, limit: int) -> DataFrame:
-    """Rows (_known): of rows' tokens (_token) those in the vocabulary, distinct, to be joined with rows."""
-    tokens = cut(vocabulary.select(_spelled(F.col("value").cast("variant")).alias("token")).filter("token IS NOT NULL").distinct())
-    n, size = tokens.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("token") + 32), F.lit(0))).first()
-    if size <= limit:
-        return F.broadcast(tokens.withColumnRenamed("token", "_known"))
-    bloom, bits = _bloom(tokens, n)
-    asked = rows.select("_token", F.lit(1).alias("_one")).filter("_token IS NOT NULL").join(F.broadcast(bloom), "_one").filter(_may_have(F.col("_token"), bits)).select(F.col("_token").alias("_known")).distinct()
-    found = cut(asked.join(tokens, F.col("_known") == F.col("token"), "left_semi"))
-    return sent_if_small(found, 256, limit)
+def _tokens(vocabulary: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """Rows (_known): a vocabulary's distinct values as texts, and whether they are small enough to be sent to all tasks."""
+    tokens = cut(vocabulary.select(_spelled(F.col("value").cast("variant")).alias("_known")).filter("_known IS NOT NULL").distinct())
+    return tokens, tokens.agg(F.coalesce(F.sum(F.octet_length("_known") + 32), F.lit(0))).first()[0] <= limit
 
 
 def conforms(rows: DataFrame, payload: str, *vocabularies: Vocabulary, into: str = "conforms", limit: int = 64 << 20) -> DataFrame:
     """rows with a boolean column `into`: whether the payload (a VARIANT or a payload map) has only values of the vocabularies. A null payload does not conform."""
     whole = F.col(payload) if rows.schema[payload].dataType.typeName() == "variant" else F.to_variant_object(F.col(payload))
-    held = rows.select(F.struct(*rows.columns).alias("_row"), whole.alias("_v")).withColumn("_ok", F.col("_v").isNotNull())
-    for x in vocabularies:
-        value = p.path(F.col("_v"), x.field)
-        of = p.kind(value)
-        asked = held.withColumns({"_kind": of, "_token": _spelled(value)})
-        joined = asked.join(_known(asked, x.values, limit), F.col("_token") == F.col("_known"), "left")
-        fits = F.when(F.col("_kind").isNull(), True).when(F.col("_kind") == "null", F.lit(x.nullable)).otherwise(F.col("_known").isNotNull())
-        held = joined.select("_row", "_v", (F.col("_ok") & fits).alias("_ok"))
+    values = [p.path(F.col("_v"), x.field) for x in vocabularies]
+    asked = rows.select(F.struct(*rows.columns).alias("_row"), whole.alias("_v"))
+    held = asked.select("_row", F.col("_v").isNotNull().alias("_ok"), *[F.struct(p.kind(v).alias("kind"), _spelled(v).alias("token")).alias(f"_{i}") for i, v in enumerate(values)])
+    for i, x in enumerate(vocabularies):
+        known, small = _tokens(x.values, limit)
+        token, kind = F.col(f"_{i}.token"), F.col(f"_{i}.kind")
+        if small:
+            joined = held.join(F.broadcast(known), token == F.col("_known"), "left")
+        else:
+            spread = F.coalesce(token, F.concat(F.lit("?"), (F.monotonically_increasing_id() % NOWHERE).cast("string")))
+            joined = held.withColumn("_token", spread).join(known, F.col("_token") == F.col("_known"), "left")
+        fits = F.when(kind.isNull(), True).when(kind == "null", F.lit(x.nullable)).otherwise(F.col("_known").isNotNull())
+        held = joined.select("_row", (F.col("_ok") & fits).alias("_ok"), *[f"_{j}" for j in range(i + 1, len(vocabularies))])
     return held.select(*[F.col(f"_row.`{c}`") for c in rows.columns if c != into], F.col("_ok").alias(into))

@@ -144,6 +144,20 @@ def test_live_vocabularies(spark, limit):
     assert vocabulary.conforms(rows.withColumn("conforms", F.lit(1)), "v", V("k", words), limit=limit).columns == [*rows.columns, "conforms"]
 
 
+def test_rows_without_a_value_are_spread(spark):
+    """Beyond the limit rows are shuffled by their values; those that have none do not meet in one task."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = F.when(F.col("id") == 0, '{"k":"a"}').when(F.col("id") % 2 == 0, '{"k":null}').otherwise("{}")
+        rows = spark.range(2000).select("id", F.parse_json(made).alias("v"))
+        got = vocabulary.conforms(rows, "v", vocabulary.Vocabulary("k", spark.createDataFrame([("a",)], "value string")), limit=0)
+        assert got.filter("conforms").count() == 1001
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 1000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_a_vocabulary_of_a_million(spark):
     values = spark.range(1_000_000).select((F.col("id") * 3).alias("value"))
     rows = spark.range(3000).select("id", p.as_map(F.parse_json(F.concat(F.lit('{"k":'), (F.col("id") * 1001).cast("string"), F.lit("}")))).alias("payload"))
