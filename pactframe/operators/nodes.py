@@ -8,6 +8,7 @@ document's nodes; differences of documents are joins on paths. Bodies that are n
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -159,9 +160,26 @@ def texts(nodes: DataFrame) -> DataFrame:
     return whole.select("id", F.concat(F.array_join(F.transform("all", written), ""), _closed(F.element_at("all", -1), F.lit(0))).alias("text"))
 
 
+#: What a body may have that is written otherwise in a canonical text than Spark writes it: escapes, other than ASCII, numbers that are no short whole ones.
+_UNEVEN = r"\\|[^\x20-\x7e\t\r\n]|[0-9][.eE]|[0-9]{16}"
+
+
+def _plain_text(exclude: set[str] | frozenset[str]) -> Column:
+    """The canonical text of an object `body` that needs no walk, null for others: excluded keys at its root only, no `nullable`, and nothing uneven."""
+    root = F.map_filter(p.from_json(F.col("body")), lambda k, _: ~k.isin(sorted(exclude)) if exclude else F.lit(True))
+    inner = '"(?:' + "|".join(re.escape(k) for k in sorted({"nullable", *exclude})) + ')":'
+    told = F.when(~F.col("body").rlike(_UNEVEN), p.to_json(root))
+    return p.let(told, lambda text: F.when(~text.rlike(inner), text))
+
+
 def fingerprints(documents: DataFrame, exclude: set[str] | frozenset[str] = frozenset(s.VOLATILE)) -> DataFrame:
-    """Rows (id, fingerprint) of documents (id, body) that are JSON; ids are unique."""
-    return texts(walk(documents, True, exclude)).select("id", F.sha2("text", 256).alias("fingerprint"))
+    """Rows (id, fingerprint) of documents (id, body) that are JSON; ids are unique.
+
+    Objects that Spark writes in the canonical form already are written at once; all others are taken apart.
+    """
+    told = cut(spread(documents.select("id", "body"), "id").select("id", "body", _plain_text(exclude).alias("text")))
+    plain, others = told.filter("text IS NOT NULL").select("id", "text"), told.filter("text IS NULL").select("id", "body")
+    return plain.unionByName(texts(walk(others, True, exclude))).select("id", F.sha2("text", 256).alias("fingerprint"))
 
 
 def pointer(path: Column) -> Column:
@@ -193,7 +211,9 @@ def differences(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def misplaced(documents: DataFrame) -> DataFrame:
     """Rows (id, pointer): renames declared elsewhere than on root properties."""
-    nodes = walk(documents, False, frozenset())
+    # a key is spelled out in a body, unless it is escaped
+    named = documents.filter(F.col("body").contains(s.MIGRATE_FROM) | F.col("body").contains("\\"))
+    nodes = walk(named, False, frozenset())
     up = parent(F.col("path"))
     root_property = (F.size(up) == 2) & (F.get(up, F.lit(0))["key"] == "properties") & (F.get(up, F.lit(1))["n"] < 0)
     found = nodes.filter((last_key(F.col("path")) == s.MIGRATE_FROM) & (F.col("inside") == "schema") & ~root_property)

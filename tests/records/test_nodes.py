@@ -216,3 +216,13 @@ def test_closures_are_one_row_for_each_document(spark):
     assert found._reached.count() == 5
     assert {r.id: json.loads(r.body) for r in found.bundles().collect()} == {k: s.bundle(d, by_id) for k, d in by_id.items()}
     assert found.unresolved().count() == 0
+
+
+def test_plain_documents_are_not_taken_apart(spark, monkeypatch):
+    """Objects that are written as they are, once the root's volatile keys are gone, are not walked; all fingerprints are the driver's."""
+    plain = [{"$id": "a/1", "type": "object", "b": [1, {"z": None, "a": True}], "title": "t"}, {"b": "v:1", "a": {}}, {"title": "t"}]
+    uneven = [{"a": {"title": "t"}}, {"a": {"nullable": True, "type": "string"}}, {"nullable": True, "type": "string"}, {"a": 1.0}, {"a": 10**20}, {"a": "q\"\\"}, {"a": "ü"}, {"a": 1e-7}]
+    by_id, walked, walk = {str(i): d for i, d in enumerate([*plain, *uneven])}, [], nodes.walk
+    monkeypatch.setattr(nodes, "walk", lambda documents, *more: walked.append(documents) or walk(documents, *more))
+    assert {r.id: r.fingerprint for r in nodes.fingerprints(rows(spark, by_id)).collect()} == {k: s.fingerprint(d) for k, d in by_id.items()}
+    assert {r.id for r in walked[0].collect()} == set(map(str, range(len(plain), len(by_id))))
