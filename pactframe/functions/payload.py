@@ -114,11 +114,14 @@ def text(value: Column) -> Column:
 
 
 def path(value: Column, dotted: str) -> Column:
-    """The value at a dotted path, SQL null if there is none. A segment of digits is a key, or else a list index."""
+    """The value at a dotted path, SQL null if there is none. A segment of digits is a key of an object and an index of a list.
+
+    No value is both, so the likelier way comes first: each way that finds nothing costs an exception.
+    """
     ways = ["$"]
     for segment in dotted.split(".") if dotted else []:
         quote = '"' if "'" in segment else "'"
-        ways = [w + step for w in ways for step in ([f"[{quote}{segment}{quote}]", f"[{int(segment)}]"] if re.fullmatch("[0-9]{1,9}", segment) else [f"[{quote}{segment}{quote}]"])]
+        ways = [w + step for w in ways for step in ([f"[{int(segment)}]", f"[{quote}{segment}{quote}]"] if re.fullmatch("[0-9]{1,9}", segment) else [f"[{quote}{segment}{quote}]"])]
     return F.coalesce(*[F.try_variant_get(value, w, "variant") for w in ways]) if dotted else value
 
 

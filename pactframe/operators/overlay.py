@@ -12,6 +12,7 @@ from __future__ import annotations
 import copy
 import json
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -115,6 +116,11 @@ def _object(fields: Column) -> Column:
     return F.to_variant_object(fields)
 
 
+def _has(m: Column, key: Column) -> Column:
+    """Whether a map has a key. In a fold, which is interpreted, `map_contains_key` ends each hit by an exception."""
+    return F.exists(F.map_keys(m), lambda k: k == key)
+
+
 @dataclass(frozen=True)
 class Shape:
     """What operations have in them: how many steps at most, which kinds of steps and operations, and whether any makes what is missing."""
@@ -181,7 +187,7 @@ def _acted(v: Column, o: Column, shape: Shape) -> Column:
                 fields = F.when(last, F.map_filter(fields, lambda k, _: ~of_key(k))).otherwise(fields)
             deep = F.transform_values(fields, lambda k, y: F.when(of_key(k), at(y, level + 1)).otherwise(y))
             if makes and keyed:
-                deep = F.when(able & by_key(how) & ~F.map_contains_key(fields, s["key"]), F.map_concat(fields, F.create_map(s["key"], made(level)))).otherwise(deep)
+                deep = F.when(able & by_key(how) & ~_has(fields, s["key"]), F.map_concat(fields, F.create_map(s["key"], made(level)))).otherwise(deep)
             return _object(deep)
 
         def in_list(items: Column) -> Column:
@@ -207,16 +213,130 @@ def _acted(v: Column, o: Column, shape: Shape) -> Column:
     return at(v, 0)
 
 
-def _folded(v: Column, found: Column, shape: Shape) -> Column:
-    return F.aggregate(found, v, lambda state, o: _acted(state, o, shape))
+#: Kinds of actions (all but the value) that get an expression of their own in a fold; others go through the generic step.
+OWN = 16
+_STATE = "struct<m: map<string,variant>, x: variant>"
+
+
+def _kind_of(o: dict) -> tuple:
+    return (o["op"], o["creates"], tuple((s["how"], s["key"], s["n"], s["text"]) for s in o["steps"]))
+
+
+def _by_kind(state: Column, value: Column, kind: tuple) -> Column:
+    """A fold's state after an action of a kind known in the plan: as `_acted`, with one branch, and nothing is made anew where nothing is hit.
+
+    A state's m are the fields of an object, which stay apart from one action to the next, and its x is any other value.
+    """
+    op, creates, path = kind
+    by_key = lambda how: how in ("key", "put")
+
+    def made(level: int) -> Column:
+        out = p.literal({}) if op == "object" else value
+        for how, key, _, _ in reversed(path[level + 1 :]):
+            out = _object(F.create_map(F.lit(key), out) if by_key(how) else F.array(out))
+        return out
+
+    def end(x: Column) -> Column:
+        return {"object": lambda: F.when(p.as_map(x).isNotNull(), x).otherwise(p.literal({})), "unset": lambda: p.literal(None)}.get(op, lambda: value)()
+
+    def able(level: int) -> bool:
+        how = path[level][0]
+        return how == "put" or creates and all(by_key(h) or n == 0 for h, _, n, _ in path[level + 1 :]) and how in ("key", "index")
+
+    def last(level: int) -> bool:
+        return op == "unset" and len(path) == level + 1
+
+    def of_key(m: Column, level: int) -> Column:
+        """The fields of an object after a step that names one of them."""
+        key = F.lit(path[level][1])
+        if last(level):
+            return F.when(_has(m, key), F.map_filter(m, lambda k, _: k != key)).otherwise(m)
+        changed = F.transform_values(m, lambda k, y: F.when(k == key, at(y, level + 1)).otherwise(y))
+        return F.when(_has(m, key), changed).otherwise(F.map_concat(m, F.create_map(key, made(level))) if able(level) else m)
+
+    def hit(y: Column, i: Column, how: str, key: str | None, n: int | None, text: str | None) -> Column:
+        if how == "index":
+            return i == n
+        value = y if key is None else F.try_element_at(p.as_map(y), F.lit(key))
+        return F.coalesce((p.kind(value) == "string") & (p.text(value) == text), F.lit(False))
+
+    def of_items(a: Column, level: int) -> Column:
+        """A list after a step that picks members of it."""
+        step = path[level]
+        every = step[0] == "all"
+        if last(level):
+            return _object(F.array().cast("array<variant>") if every else F.filter(a, lambda y, i: ~hit(y, i, *step)))
+        deep = F.transform(a, lambda y, i: at(y, level + 1) if every else F.when(hit(y, i, *step), at(y, level + 1)).otherwise(y))
+        if step[0] == "index" and able(level):
+            deep = F.when(F.size(a) == step[2], F.concat(a, F.array(made(level)))).otherwise(deep)
+        return _object(deep)
+
+    def of_all(m: Column, level: int) -> Column:
+        return F.map_filter(m, lambda k, _: F.lit(False)) if last(level) else F.transform_values(m, lambda k, y: at(y, level + 1))
+
+    def at(x: Column, level: int) -> Column:
+        if level == len(path):
+            return end(x)
+        how, key, n, _ = path[level]
+        if by_key(how):
+            fresh = _object(F.create_map(F.lit(key), made(level))) if able(level) else x
+            return p.let(p.as_map(x), lambda m: F.when(m.isNull(), fresh).otherwise(_object(of_key(m, level))))
+        fresh = _object(F.array(made(level))) if able(level) and n == 0 else x
+        in_list = p.let(p.as_array(x), lambda a: F.when(a.isNull(), fresh).otherwise(of_items(a, level)))
+        if how != "all":
+            return in_list
+        return p.let(p.as_map(x), lambda m: F.when(m.isNull(), in_list).otherwise(_object(of_all(m, level))))
+
+    if not path or not (by_key(path[0][0]) or path[0][0] == "all"):
+        return _state_of(at(_value_of(state), 0))
+    m, nothing = state["m"], F.lit(None).cast("variant")
+    if path[0][0] == "all":
+        return F.when(m.isNull(), _state_of(at(state["x"], 0))).otherwise(_state(of_all(m, 0), nothing))
+    fresh = _state(F.create_map(F.lit(path[0][1]), made(0)), nothing) if able(0) else state
+    return F.when(m.isNull(), fresh).otherwise(_state(of_key(m, 0), nothing))
+
+
+def _state(m: Column, x: Column) -> Column:
+    return F.struct(m.alias("m"), x.alias("x")).cast(_STATE)
+
+
+def _state_of(v: Column) -> Column:
+    return p.let(v, lambda x: p.let(p.as_map(x), lambda m: _state(m, F.when(m.isNull(), x))))
+
+
+def _value_of(state: Column) -> Column:
+    return F.when(state["m"].isNotNull(), _object(state["m"])).otherwise(state["x"])
+
+
+def _folded(v: Column, found: Column, kinds: list[tuple], shape: Shape | None) -> Column:
+    """v after found, operations whose `own` is the number of their kind in kinds, or null for those of a shape that go through the generic step."""
+
+    def step(state: Column, o: Column) -> Column:
+        cases = [(o["own"] == i, _by_kind(state, o["value"], kind)) for i, kind in enumerate(kinds)]
+        if shape is None:
+            return _first(cases[:-1], cases[-1][1])
+        return _first(cases, _state_of(_acted(_value_of(state), o, shape)))
+
+    return _value_of(F.aggregate(found, _state_of(v), step))
+
+
+OWN_OPERATION = f"struct<own: int, {OPERATION.removeprefix('struct<')}"
+
+
+def _numbered(found: list[dict]) -> tuple[list[dict], list[tuple], Shape | None]:
+    """Operations with the number of their kind, the kinds, commonest first, and the shape of the rest."""
+    kinds = [k for k, _ in Counter(map(_kind_of, found)).most_common(OWN)]
+    numbers = {k: i for i, k in enumerate(kinds)}
+    rest = [o for o in found if _kind_of(o) not in numbers]
+    return [{"own": numbers.get(_kind_of(o)), **o} for o in found], kinds, Shape.of(rest) if rest else None
 
 
 def apply(v: Column, documents: list[dict]) -> Column:
     """v, a VARIANT, after all actions of all documents, in order: a fold over the actions, which are one literal."""
-    found = operations(documents)
+    found, kinds, shape = _numbered(operations(documents))
     if not found:
         return v
-    return _folded(v, F.from_json(F.lit(json.dumps(found, ensure_ascii=False)), f"array<{OPERATION}>"), Shape.of(found))
+    return _folded(v, F.from_json(F.lit(json.dumps(found, ensure_ascii=False)), f"array<{OWN_OPERATION}>"), kinds, shape)
 
 
 # Fixed patterns: one step of a target, and its kinds.
@@ -292,28 +412,40 @@ def compiled(overlays: DataFrame) -> DataFrame:
     return read.groupBy("key").agg(F.array_sort(F.collect_list(entry)).alias("operations"))
 
 
+def _spelled(o: Column) -> Column:
+    """An operation without its value as a text."""
+    return F.concat(o["op"], F.when(o["creates"], "+").otherwise("-"), F.to_json(o["steps"]))
+
+
 def apply_stacks(rows: DataFrame, v: str, keys: str, overlays: DataFrame) -> DataFrame:
     """rows with v, a VARIANT, after the documents of overlays (key, n, body) for each of the row's keys, in the keys' order.
 
     The stack of each distinct list of keys is put together once, by joins; unknown keys are passed over, and rows without
-    keys stay as they are. The plan depends on the deepest target alone, not on the number of keys or actions.
+    keys stay as they are. The plan depends on the commonest kinds of actions, `OWN` at most, and the deepest target of the others, not on
+    the number of keys or actions.
     """
     found = cut(compiled(overlays))
-    each = found.select(F.explode("operations").alias("o")).select("o.op", "o.creates", F.col("o.steps.how").alias("hows"))
-    has = [F.coalesce(F.max(F.array_contains("hows", h)), F.lit(False)) for h in HOWS]
-    deepest, creates, ops, *there = each.agg(F.max(F.size("hows")), F.max("creates"), F.collect_set("op"), *has).first()
-    if deepest is None:
+    each = found.select(F.explode("operations").alias("o")).select(_spelled(F.col("o")).alias("kind"), "o.op", "o.creates", "o.steps")
+    counts = each.groupBy("kind").agg(F.count("*").alias("n"), F.first(F.struct("op", "creates", "steps")).alias("o"))
+    common = [r.asDict(True) for r in counts.orderBy(F.desc("n"), "kind").limit(OWN + 1).collect()]
+    if not common:
         return rows
-    shape = Shape(deepest, frozenset(h for h, yes in zip(HOWS, there) if yes), frozenset(ops), creates)
+    kinds, shape = {r["kind"]: _kind_of(r["o"]) for r in common[:OWN]}, None
+    if len(common) > OWN:
+        rest = each.filter(~F.col("kind").isin(list(kinds))).select("op", "creates", F.col("steps.how").alias("hows"))
+        has = [F.coalesce(F.max(F.array_contains("hows", h)), F.lit(False)) for h in HOWS]
+        deepest, creates, ops, *there = rest.agg(F.max(F.size("hows")), F.max("creates"), F.collect_set("op"), *has).first()
+        shape = Shape(deepest, frozenset(h for h, yes in zip(HOWS, there) if yes), frozenset(ops), creates)
+    numbers = F.create_map(*[F.lit(x) for i, k in enumerate(kinds) for x in (k, i)])
     lists = rows.select(F.col(keys).alias("_keys")).filter("size(_keys) > 0").distinct()
     each = lists.select("_keys", F.posexplode("_keys").alias("_at", "key")).join(found, "key")
     stacks = each.groupBy("_keys").agg(F.array_sort(F.collect_list(F.struct("_at", "operations"))).alias("_all"))
-    as_data = lambda o: F.struct(o["op"].alias("op"), o["steps"].alias("steps"), o["creates"].alias("creates"), F.parse_json(o["value"]).alias("value"))
+    as_data = lambda o: F.struct(F.try_element_at(numbers, _spelled(o)).alias("own"), o["op"].alias("op"), o["steps"].alias("steps"), o["creates"].alias("creates"), F.parse_json(o["value"]).alias("value"))
     stacks = cut(stacks.select("_keys", F.transform(F.flatten(F.transform("_all", lambda x: x["operations"])), as_data).alias("_operations")))
     size = stacks.agg(F.coalesce(F.sum(F.size("_operations")), F.lit(0))).first()[0]
     joined = rows.select(F.struct(*rows.columns).alias("_row")).join(F.broadcast(stacks) if size * 400 <= 64 << 20 else stacks, F.col(f"_row.`{keys}`") == F.col("_keys"), "left")
     # a list of operations that is carried along is read once, by the fold
-    changed = F.when(F.col("_operations").isNull(), F.col(f"_row.`{v}`")).otherwise(_folded(F.col(f"_row.`{v}`"), F.col("_operations"), shape))
+    changed = F.when(F.col("_operations").isNull(), F.col(f"_row.`{v}`")).otherwise(_folded(F.col(f"_row.`{v}`"), F.col("_operations"), list(kinds.values()), shape))
     return joined.select(*[changed.alias(c) if c == v else F.col(f"_row.`{c}`") for c in rows.columns])
 
 
@@ -354,8 +486,11 @@ def apply_by_keys(v: Column, keys: Column, registry: OverlayRegistry | dict[str,
     by_key = {name: operations(known.documents_for(name)) for name in known.keys()}
     if not any(by_key.values()):
         return v
-    stacks = F.from_json(F.lit(json.dumps(by_key, ensure_ascii=False)), f"map<string, array<{OPERATION}>>")
-    return _folded(v, F.flatten(F.array_compact(F.transform(keys, lambda k: F.try_element_at(stacks, k)))), Shape.of([o for found in by_key.values() for o in found]))
+    numbered, kinds, shape = _numbered([o for found in by_key.values() for o in found])
+    each = iter(numbered)
+    by_key = {name: [next(each) for _ in found] for name, found in by_key.items()}
+    stacks = F.from_json(F.lit(json.dumps(by_key, ensure_ascii=False)), f"map<string, array<{OWN_OPERATION}>>")
+    return _folded(v, F.flatten(F.array_compact(F.transform(keys, lambda k: F.try_element_at(stacks, k)))), kinds, shape)
 
 
 def apply_to(document: Any, documents: list[dict]) -> Any:

@@ -204,6 +204,43 @@ def test_plans_of_overlays_grow_with_their_actions(spark):
     assert sizes[2] < 4.5 * sizes[0]
 
 
+def test_kinds_and_bounds_take_one_look(spark):
+    """A kind names its value's schema once; bounds below 2^53 are told by doubles, as exactly as before."""
+    value = F.col("v")
+    plan = spark.createDataFrame([("1",)], "j string").select(F.parse_json("j").alias("v"))
+    assert plan.select(p.kind(value).alias("k"))._jdf.queryExecution().analyzed().toString().count("schema_of_variant(v") <= 2
+    assert "schema_of_variant" not in plan.select(gate._compared(value, 40, "__le__").alias("k"))._jdf.queryExecution().analyzed().toString()
+    rows = ["1", '"a"', "null", "true", "[1]", "{}", "1.5", "1e300", "99999999999999999999", "9007199254740993", "-9007199254740993", "40", "40.0", "41"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, j string").withColumn("v", F.parse_json("j"))
+    kinds = [r.k for r in df.orderBy("i").select(p.kind(value).alias("k")).collect()]
+    assert kinds == ["number", "string", "null", "boolean", "array", "object", *["number"] * 8]
+    assert [r.k for r in spark.sql("SELECT CAST(DATE '2020-01-01' AS VARIANT) AS v UNION ALL SELECT CAST(NULL AS VARIANT)").select(p.kind(value).alias("k")).collect()] == ["string", None]
+    for bound in (40, -40, 2**53 - 1, 2**53, 2**53 + 1, -(2**53), 1 - 2**53):
+        for how in ("__le__", "__ge__", "__eq__", "__lt__", "__gt__"):
+            got = [r.k for r in df.filter("i >= 8").orderBy("i").select(gate._compared(value, bound, how).alias("k")).collect()]
+            assert got == [getattr(int(float(r)) if "." in r else int(r), how)(bound) for r in rows[8:]], (bound, how)
+
+
+def test_overlays_by_kind(spark, monkeypatch):
+    """Kinds with an expression of their own, kinds beyond them and the generic step alone give the same."""
+    befores = [{"a": {"b": [1, {"c": 2}]}, "l": [{"id": "x"}, {"id": "y", "n": 1}], "s": "t"}, {}, {"a": [1], "l": {"k": {"n": 1}}}, [1, 2], "text", None, {"l": [], "a": {"b": None}, "d": {}}]
+    actions = [
+        {"target": "$.a.b[1].c", "override": 5}, {"target": "$.l[?(@.id=='y')].n", "override": 7}, {"target": "$.l[*]", "merge": {"seen": {"by": "o"}, "e": {}}}, {"target": "$.new.path[0]", "override": "deep"}, {"target": "$.l[0]", "unset": True},
+        {"target": "$.s", "override": None}, {"target": "$.d", "merge": {}}, {"target": "$.d.*", "unset": True}, {"target": "$.l[1]", "override": {"id": "z"}}, {"target": "$.a", "merge": {"q": [1]}}, {"target": "$.*", "merge": {"all": 1}}, {"target": "$.gone", "unset": True},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(befores)], "i int, j string").withColumn("v", F.parse_json("j"))
+
+    def after(own, some):
+        monkeypatch.setattr(overlay, "OWN", own)
+        return {r.i: json.loads(r.o) for r in df.select("i", F.to_json(overlay.apply(F.col("v"), [{"actions": some}])).alias("o")).collect()}
+
+    assert after(64, actions) == after(0, actions) == after(3, actions)
+    found, kinds, rest = overlay._numbered(overlay.operations([{"actions": actions}]))
+    assert len(kinds) == 3 and rest and {o["own"] for o in found} == {0, 1, 2, None}
+    got = after(16, [{"target": "$", "override": {"x": 1}}, *actions[3:5]])
+    assert list(got.values()) == [{"x": 1, "new": {"path": ["deep"]}}] * len(befores)
+
+
 def test_overlay_registry(spark):
     one, two = ({"actions": [{"target": "$.a", "override": x}]} for x in (1, 2))
     known = overlay.OverlayRegistry({"one": [one]}).register("two", two)
