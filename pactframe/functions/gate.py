@@ -165,9 +165,12 @@ OBJECT_WORDS = {"required", "properties", "additionalProperties", "patternProper
 
 
 def _compared(v: Column, bound: float, how: str) -> Column:
-    """A number against a bound of the schema: exactly where both are whole, else as doubles."""
+    """A number against a bound of the schema: exactly where both are whole, else as doubles.
+
+    Below 2^53 no other whole number rounds to the bound, so doubles tell as much.
+    """
     by_double = getattr(p.number(v), how)(float(bound))
-    if isinstance(bound, float) and not bound.is_integer() or abs(bound) >= 10**38:
+    if isinstance(bound, float) and not bound.is_integer() or abs(bound) < 2**53 or abs(bound) >= 10**38:
         return by_double
     exact = p.whole(v)
     return F.when(exact.isNotNull(), getattr(exact, how)(F.lit(Decimal(int(bound))).cast("decimal(38,0)"))).otherwise(by_double)

@@ -18,6 +18,10 @@ NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 WHOLE = r"^\s*([+-]?[0-9]+)(?:\.[0-9]*)?(?![0-9]|\.|[eE][+-]?[0-9])"
 PHP_SPACE = " \t\n\r\0\x0b"
 FALSE_WORDS = ["", "0", "false", "no", "off"]
+# The kinds of Spark's names of variants, the commonest first; a name that is not here is a kind of text.
+_NUMBERS = ("DECIMAL", "BIGINT", "DOUBLE", "INT", "TINYINT", "SMALLINT", "FLOAT")
+KINDS = {"STRING": "string", **dict.fromkeys(_NUMBERS, "number"), "OBJECT": "object", "ARRAY": "array", "BOOLEAN": "boolean", "VOID": "null"}
+WHOLE_NAMES = r"^(?:TINYINT|SMALLINT|INT|BIGINT|DECIMAL\([0-9]+,0\))$"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -90,12 +94,8 @@ def get(payload: Column, key: str) -> Column:
 
 def kind(value: Column) -> Column:
     """null, boolean, string, integer-or-number, array, object; SQL null for an absent value."""
-    found = F.schema_of_variant(value)
-    return (
-        F.when(found == "VOID", "null").when(found == "BOOLEAN", "boolean").when(found == "STRING", "string")
-        .when(found.startswith("ARRAY"), "array").when(found.startswith("OBJECT"), "object")
-        .when(found.isin("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE") | found.startswith("DECIMAL"), "number").when(found.isNotNull(), "string")
-    )
+    name = F.substring_index(F.substring_index(F.schema_of_variant(value), "(", 1), "<", 1)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair]), name), F.when(name.isNotNull(), "string"))
 
 
 def number(value: Column) -> Column:
@@ -104,9 +104,7 @@ def number(value: Column) -> Column:
 
 def whole(value: Column) -> Column:
     """A number that is stored without a fraction, exactly, as decimal(38,0); null for others."""
-    found = F.schema_of_variant(value)
-    stored = found.isin("TINYINT", "SMALLINT", "INT", "BIGINT") | (found.startswith("DECIMAL") & found.endswith(",0)"))
-    return F.when(stored, F.try_variant_get(value, "$", "decimal(38,0)"))
+    return F.when(F.schema_of_variant(value).rlike(WHOLE_NAMES), F.try_variant_get(value, "$", "decimal(38,0)"))
 
 
 def text(value: Column) -> Column:
