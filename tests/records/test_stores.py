@@ -70,6 +70,27 @@ def test_two_writers_at_once(spark, kept):
     assert all(told[d["$id"]] == s.fingerprint(d) for n in sets if n not in lost for d in sets[n])
 
 
+def test_a_number_is_taken_once(spark, kept):
+    """Writers that rename at the same moment: one has the number, and nothing gets into its folder."""
+    top = kept.folder.removeprefix("file://")
+    for number in range(60):
+        meet, won = threading.Barrier(6), []
+        for i in range(6):
+            os.makedirs(f"{top}/staged/{number}-{i}")
+            open(f"{top}/staged/{number}-{i}/part", "w").close()
+
+        def run(i, number=number, meet=meet, won=won):
+            own = store.Store(spark, kept.folder)
+            meet.wait(60)
+            if own._published(f"{kept.folder}/staged/{number}-{i}", number):
+                won.append(i)
+
+        threads = [threading.Thread(target=run, args=(i,)) for i in range(6)]
+        [t.start() for t in threads]
+        [t.join(60) for t in threads]
+        assert len(won) == 1 and os.listdir(f"{top}/commits/{number:020d}") == ["part"]
+
+
 def test_freezing_by_scope(spark, kept):
     current = catalog.catalog(spark, [made(1), made(2), made(3)]).withColumn("owner", F.expr("CASE WHEN id LIKE '%d1/%' THEN 'v/one' WHEN id LIKE '%d2/%' THEN 'v/two' END"))
     action = lambda f: {r.id.split("/")[3]: r.action for r in f.report.collect()}
