@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import array
 import functools
+import json
 import os
 import re
 import uuid
@@ -44,6 +45,9 @@ FORMAT = "shard int, block int, first bigint, n_ids int, kind string, planes arr
 # Unicode's white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 RUN = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+SPACED = re.compile(f" [^{WHITE}]").match
+# Letters and then symbols, between which the byte-level pattern cuts too.
+WORD = re.compile(r"( ?[A-Za-z]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 REMEMBERED = 1 << 20
 
 
@@ -60,24 +64,46 @@ class Encoder:
         plain = [(t.content, i) for i, t in decoder.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.parting = plain[0] if plain else None
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        pre = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}
+        self.sizes = None  # of tokens in bytes: a byte-level vocabulary spells each byte by one character
+        if pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True):
+            vocabulary = self.tokenizer.get_vocab()
+            self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _runs(self, runs: list[str]) -> list[bytes]:
-        """The ids of runs, which hold no added token. Many go to the library as one text, parted by an added token."""
-        if not self.parting:
-            return self._library(runs)
+        """The ids of runs, which hold no added token. Many go to the library as one text."""
         out = []
-        for ids in self._library([self.parting[0].join(runs[k : k + 1024]) for k in range(0, len(runs), 1024)]):
-            ends = np.append(np.flatnonzero(np.frombuffer(ids, "<u4") == self.parting[1]), len(ids) // 4).tolist()
-            at = 0
-            for end in ends:
-                out.append(ids[4 * at : 4 * end])
-                at = end + 1
+        for k in range(0, len(runs), 1024):
+            part = runs[k : k + 1024]
+            out += self._spaced(part) or self._parted(part)
         return out
 
+    def _spaced(self, runs: list[str]) -> list[bytes] | None:
+        """By bytes, for runs that begin with a space each and so are cut apart in one text; None if the ids do not end where the runs do."""
+        if self.sizes is None or not all(map(SPACED, runs)):
+            return None
+        (ids,) = self._library(["".join(runs)])
+        ends = np.cumsum([len(r) if r.isascii() else len(r.encode()) for r in runs])
+        reached = np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])
+        at = np.searchsorted(reached, ends)
+        if len(reached) == 0 or reached[-1] != ends[-1] or (reached[at] != ends).any():
+            return None
+        cuts = [0, *(4 * (at + 1)).tolist()]
+        return [ids[a:z] for a, z in zip(cuts, cuts[1:])]
+
+    def _parted(self, runs: list[str]) -> list[bytes]:
+        """By an added token between the runs."""
+        if not self.parting:
+            return self._library(runs)
+        (ids,) = self._library([self.parting[0].join(runs)])
+        ends = np.append(np.flatnonzero(np.frombuffer(ids, "<u4") == self.parting[1]), len(ids) // 4).tolist()
+        return [ids[4 * a : 4 * z] for a, z in zip([0, *(e + 1 for e in ends)], ends)]
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 256):
             part = texts[at : at + 256]
@@ -85,14 +111,14 @@ class Encoder:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             known = self.known
-            found = [each and list(map(known.get, each)) for each in runs]
-            new = list({r for each, got in zip(runs, found, strict=True) if each and None in got for r, x in zip(each, got, strict=True) if x is None})
-            known.update(zip(new, self._runs(new), strict=True))
-            for t, each, got in zip(part, runs, found, strict=True):
-                if each is None:
-                    yield self._library([t])[0]
-                else:
-                    yield b"".join([known[r] if x is None else x for r, x in zip(each, got, strict=True)] if None in got else got)
+            new = set().union(*filter(None, runs)).difference(known)
+            halves = {r: m.groups() for r in new if (m := WORD(r))} if self.sizes is not None else {}
+            new = {h for pair in halves.values() for h in pair}.difference(known).union(new.difference(halves))
+            for own in ([r for r in new if SPACED(r)], [r for r in new if not SPACED(r)]):
+                known.update(zip(own, self._runs(own), strict=True))
+            known.update((r, known[a] + known[b]) for r, (a, b) in halves.items())
+            for t, each in zip(part, runs, strict=True):
+                yield self._library([t])[0] if each is None else b"".join(map(known.__getitem__, each))
 
 
 @functools.cache

@@ -28,6 +28,17 @@ def test_encoder_agrees_with_the_library():
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_new_runs_go_to_the_library_without_marks_between_them(monkeypatch):
+    own, asked = tf.Encoder(PATH), []
+    library_of = own._library
+    monkeypatch.setattr(own, "_library", lambda texts: asked.extend(texts) or library_of(texts))
+    texts = [" one two&&& two*** &&& é two.' x", " 日本 two&&&! \x1c Ünï one_1 a'ss a!'s"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library(t) for t in texts]
+    spaced = [a for a in asked if own.parting[0] not in a]
+    assert sum(a.count(" two") for a in spaced) == 2  # " two" and " two.'"
+    assert list(own.encode(texts)) == list(own.encode(texts)) and len(asked) == 2
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 @pytest.mark.parametrize("n", [1, 7, 8, 1000])
 def test_planes_round_trip(kind, n):
