@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import payload as p
-from ..functions.shared import cut
+from ..functions.shared import cut, sent_if_small
 
 OPERATIONS = ("override", "merge", "unset")
 _STEP = re.compile(r"\.(?P<name>[A-Za-z_][\w-]*)|\[(?P<q>['\"])(?P<quoted>.*?)(?P=q)\]|\[(?P<index>\d+)\]|\[(?P<all>\*)\]|\.(?P<dot>\*)|\[\?\(@(?:\.(?P<field>[\w-]+))?\s*==\s*(?P<r>['\"])(?P<text>.*?)(?P=r)\)\]")
@@ -364,14 +364,14 @@ def _steps_of(target: Column) -> Column:
 
 
 def _actions(overlays: DataFrame) -> DataFrame:
-    """Rows (key, n, a, target, word, value, problem) of overlays (key, n, body); a is an action's number in its document."""
+    """Rows (key, n, a, target, word, value, problem) of overlays (key, n, body); a is an action's number in its document. Targets are not read yet."""
     listed = F.try_variant_get(F.try_parse_json("body"), "$.actions", "array<variant>")
     rows = overlays.select("key", "n", listed.isNull().alias("none"), F.posexplode_outer(listed).alias("a", "v")).withColumn("m", p.as_map(F.col("v")))
     words = F.filter(F.array(*map(F.lit, OPERATIONS)), lambda w: F.coalesce(F.map_contains_key("m", w), F.lit(False)))
     target = F.when(p.kind(p.get(F.col("m"), "target")) == "string", p.text(p.get(F.col("m"), "target")))
     problem = (
         F.when(F.col("none"), "an overlay needs a list of actions").when(F.col("a").isNull(), None).when(F.coalesce(target, F.lit("")) == "", "an action needs a target")
-        .when(F.size(words) != 1, "an action has exactly one of " + ", ".join(OPERATIONS)).when(_steps_of(target).isNull(), F.concat(F.lit("cannot read the target "), target))
+        .when(F.size(words) != 1, "an action has exactly one of " + ", ".join(OPERATIONS))
     )
     word = F.get(words, F.lit(0))
     return rows.select("key", "n", "a", target.alias("target"), word.alias("word"), F.try_element_at("m", word).alias("value"), problem.alias("problem")).filter("a IS NOT NULL OR problem IS NOT NULL")
@@ -379,7 +379,8 @@ def _actions(overlays: DataFrame) -> DataFrame:
 
 def problems(overlays: DataFrame) -> DataFrame:
     """Rows (key, n, a, problem): documents and actions that cannot be read."""
-    return _actions(overlays).filter("problem IS NOT NULL").select("key", "n", "a", "problem")
+    unread = F.when(_steps_of(F.col("target")).isNull() & F.col("a").isNotNull(), F.concat(F.lit("cannot read the target "), "target"))
+    return _actions(overlays).select("key", "n", "a", F.coalesce("problem", unread).alias("problem")).filter("problem IS NOT NULL")
 
 
 def compiled(overlays: DataFrame) -> DataFrame:
@@ -387,9 +388,18 @@ def compiled(overlays: DataFrame) -> DataFrame:
 
     The patches of merges are taken apart a level at a time until only leaves are left. Raises for what cannot be read.
     """
+    return _compiled(overlays)[0]
+
+
+def _compiled(overlays: DataFrame) -> tuple[DataFrame, list[tuple], Shape | None]:
+    """`compiled`, cut; the kinds that its operations' numbers (`own`) name, and the shape of those without."""
     actions = cut(_actions(overlays))
+    targets = cut(actions.select("target").distinct().withColumn("path", _steps_of(F.col("target"))))  # each target is read once
+    targets = sent_if_small(targets, 400)
     if bad := actions.filter("problem IS NOT NULL").first():
         raise BadOverlay(f"{bad['key']}: {bad['problem']}")
+    if bad := actions.join(targets.filter("path IS NULL").select("target"), "target").first():
+        raise BadOverlay(f"{bad['key']}: cannot read the target {bad['target']}")
     merge = F.col("word") == "merge"
     level = actions.withColumn("names", F.array().cast("array<string>"))
     leaves = [level.filter(~merge)]
@@ -403,18 +413,25 @@ def compiled(overlays: DataFrame) -> DataFrame:
         level = level.select("key", "n", "a", "target", "word", "value", "problem", F.array_append("names", F.col("k")).alias("names"))
         if level.isEmpty():
             break
-    rows = reduce(DataFrame.unionByName, leaves)
-    put = F.transform("names", lambda k: F.struct(F.lit("put").alias("how"), k.alias("key"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("string").alias("text")))
     op = F.when(F.col("word") == "unset", "unset").when(merge & p.as_map(F.col("value")).isNotNull(), "object").otherwise("set")
-    read = rows.select("key", "n", "a", _steps_of(F.col("target")).alias("path"), put.alias("put"), op.alias("op"), F.col("word"), F.to_json("value").alias("value"))
+    rows = reduce(DataFrame.unionByName, leaves).withColumn("op", op)
+    put = F.transform("names", lambda k: F.struct(F.lit("put").alias("how"), k.alias("key"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("string").alias("text")))
     concrete = (F.col("word") == "override") & F.forall("path", lambda x: x["how"].isin("key", "index"))
-    entry = F.struct("n", "a", "op", F.concat("path", "put").alias("steps"), concrete.alias("creates"), "value")
-    return read.groupBy("key").agg(F.array_sort(F.collect_list(entry)).alias("operations"))
-
-
-def _spelled(o: Column) -> Column:
-    """An operation without its value as a text."""
-    return F.concat(o["op"], F.when(o["creates"], "+").otherwise("-"), F.to_json(o["steps"]))
+    told = lambda df: df.join(targets, "target").withColumn("steps", F.concat("path", put)).withColumn("creates", concrete)
+    by = ["word", "op", "target", "names"]
+    counts = rows.groupBy(*by).count()
+    common = [r.asDict(True) for r in told(counts.orderBy(F.desc("count"), *by).limit(OWN + 1)).orderBy(F.desc("count"), *by).collect()]
+    kinds = list(dict.fromkeys(map(_kind_of, common[:OWN])))
+    same = lambda r: (F.col("word") == r["word"]) & (F.col("op") == r["op"]) & (F.col("target") == r["target"]) & (F.col("names") == F.array(*map(F.lit, r["names"])).cast("array<string>"))
+    own, shape = _first([(same(r), F.lit(kinds.index(_kind_of(r)))) for r in common[:OWN]], F.lit(None).cast("int")), None
+    if len(common) > OWN:
+        rest = told(counts.filter(own.isNull())).select("op", "creates", F.col("steps.how").alias("hows"))
+        has = [F.coalesce(F.max(F.array_contains("hows", h)), F.lit(False)) for h in HOWS]
+        deepest, creates, ops, *there = rest.agg(F.max(F.size("hows")), F.max("creates"), F.collect_set("op"), *has).first()
+        shape = Shape(deepest, frozenset(h for h, yes in zip(HOWS, there) if yes), frozenset(ops), creates)
+    entry = F.struct("n", "a", "op", "steps", "creates", "value", "own")
+    read = told(rows).withColumn("value", F.to_json("value")).withColumn("own", own).select("key", entry.alias("entry"))
+    return cut(read.groupBy("key").agg(F.array_sort(F.collect_list("entry")).alias("operations"))), kinds, shape
 
 
 def apply_stacks(rows: DataFrame, v: str, keys: str, overlays: DataFrame) -> DataFrame:
@@ -424,28 +441,18 @@ def apply_stacks(rows: DataFrame, v: str, keys: str, overlays: DataFrame) -> Dat
     keys stay as they are. The plan depends on the commonest kinds of actions, `OWN` at most, and the deepest target of the others, not on
     the number of keys or actions.
     """
-    found = cut(compiled(overlays))
-    each = found.select(F.explode("operations").alias("o")).select(_spelled(F.col("o")).alias("kind"), "o.op", "o.creates", "o.steps")
-    counts = each.groupBy("kind").agg(F.count("*").alias("n"), F.first(F.struct("op", "creates", "steps")).alias("o"))
-    common = [r.asDict(True) for r in counts.orderBy(F.desc("n"), "kind").limit(OWN + 1).collect()]
-    if not common:
+    found, kinds, shape = _compiled(overlays)
+    if not kinds:
         return rows
-    kinds, shape = {r["kind"]: _kind_of(r["o"]) for r in common[:OWN]}, None
-    if len(common) > OWN:
-        rest = each.filter(~F.col("kind").isin(list(kinds))).select("op", "creates", F.col("steps.how").alias("hows"))
-        has = [F.coalesce(F.max(F.array_contains("hows", h)), F.lit(False)) for h in HOWS]
-        deepest, creates, ops, *there = rest.agg(F.max(F.size("hows")), F.max("creates"), F.collect_set("op"), *has).first()
-        shape = Shape(deepest, frozenset(h for h, yes in zip(HOWS, there) if yes), frozenset(ops), creates)
-    numbers = F.create_map(*[F.lit(x) for i, k in enumerate(kinds) for x in (k, i)])
     lists = rows.select(F.col(keys).alias("_keys")).filter("size(_keys) > 0").distinct()
     each = lists.select("_keys", F.posexplode("_keys").alias("_at", "key")).join(found, "key")
     stacks = each.groupBy("_keys").agg(F.array_sort(F.collect_list(F.struct("_at", "operations"))).alias("_all"))
-    as_data = lambda o: F.struct(F.try_element_at(numbers, _spelled(o)).alias("own"), o["op"].alias("op"), o["steps"].alias("steps"), o["creates"].alias("creates"), F.parse_json(o["value"]).alias("value"))
+    as_data = lambda o: F.struct(o["own"].alias("own"), o["op"].alias("op"), o["steps"].alias("steps"), o["creates"].alias("creates"), F.parse_json(o["value"]).alias("value"))
     stacks = cut(stacks.select("_keys", F.transform(F.flatten(F.transform("_all", lambda x: x["operations"])), as_data).alias("_operations")))
     size = stacks.agg(F.coalesce(F.sum(F.size("_operations")), F.lit(0))).first()[0]
     joined = rows.select(F.struct(*rows.columns).alias("_row")).join(F.broadcast(stacks) if size * 400 <= 64 << 20 else stacks, F.col(f"_row.`{keys}`") == F.col("_keys"), "left")
     # a list of operations that is carried along is read once, by the fold
-    changed = F.when(F.col("_operations").isNull(), F.col(f"_row.`{v}`")).otherwise(_folded(F.col(f"_row.`{v}`"), F.col("_operations"), list(kinds.values()), shape))
+    changed = F.when(F.col("_operations").isNull(), F.col(f"_row.`{v}`")).otherwise(_folded(F.col(f"_row.`{v}`"), F.col("_operations"), kinds, shape))
     return joined.select(*[changed.alias(c) if c == v else F.col(f"_row.`{c}`") for c in rows.columns])
 
 

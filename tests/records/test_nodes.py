@@ -226,3 +226,16 @@ def test_plain_documents_are_not_taken_apart(spark, monkeypatch):
     monkeypatch.setattr(nodes, "walk", lambda documents, *more: walked.append(documents) or walk(documents, *more))
     assert {r.id: r.fingerprint for r in nodes.fingerprints(rows(spark, by_id)).collect()} == {k: s.fingerprint(d) for k, d in by_id.items()}
     assert {r.id for r in walked[0].collect()} == set(map(str, range(len(plain), len(by_id))))
+
+
+def test_targets_and_kinds_are_told_once(spark, monkeypatch):
+    """Many overlays of few targets: their commonest kinds are numbered, the others are left to the generic step, and nothing changes."""
+    bodies = [(f"k{i}", 0, json.dumps({"actions": [{"target": "$.a", "override": i}, {"target": "$.m", "override": {}}, {"target": "$.m", "merge": {"x": {"y": i}, "e": {}}}, {"target": f"$.odd{i}", "override": None}]})) for i in range(9)]
+    overlays = spark.createDataFrame(bodies, "key string, n int, body string")
+    rows = spark.range(9).selectExpr("id", "array(concat('k', id)) AS keys", "parse_json('{}') AS v")
+    for own in (3, 5, 64):
+        monkeypatch.setattr(overlay, "OWN", own)
+        found, kinds, shape = overlay._compiled(overlays)
+        assert len(kinds) == min(own, 13) and (shape is None) == (own == 64) and {o.own for r in found.collect() for o in r.operations} == {*range(len(kinds)), *([] if own == 64 else [None])}
+        got = {r.id: json.loads(r.j) for r in overlay.apply_stacks(rows, "v", "keys", overlays).selectExpr("id", "to_json(v) AS j").collect()}
+        assert got == {i: {"a": i, "m": {"x": {"y": i}, "e": {}}, f"odd{i}": None} for i in range(9)}
